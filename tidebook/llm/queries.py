@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidebook.llm.mixing import op2_sainte_lague_mix
 from tidebook.llm.sharding import op3_hypergeometric_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sainte_lague_mix": op2_sainte_lague_mix,
     "op3_hypergeometric_shards": op3_hypergeometric_shards,
 }
 
