@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidebook.llm.mixing import op2_sainte_lague_mix
 from tidebook.llm.sharding import op3_hypergeometric_shards
+from tidebook.llm.token_counts import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sainte_lague_mix": op2_sainte_lague_mix,
     "op3_hypergeometric_shards": op3_hypergeometric_shards,
+    "op6_token_counts": op6_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
