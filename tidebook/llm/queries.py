@@ -9,11 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from tidebook.llm.mixing import op2_sainte_lague_mix
 from tidebook.llm.sharding import op3_hypergeometric_shards
 from tidebook.llm.token_counts import op6_token_counts
+from tidebook.llm.warc import op9_warc_salvage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sainte_lague_mix": op2_sainte_lague_mix,
     "op3_hypergeometric_shards": op3_hypergeometric_shards,
     "op6_token_counts": op6_token_counts,
+    "op9_warc_salvage": op9_warc_salvage,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc_salvage": """
+        WITH p AS (
+            SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+                   sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), w AS (
+            SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN w USING (payload_digest)
+    """,
+}
