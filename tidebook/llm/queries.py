@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidebook.llm.mixing import op2_sainte_lague_mix
 from tidebook.llm.sharding import op3_hypergeometric_shards
 from tidebook.llm.simhash import op4_simhash_components
+from tidebook.llm.tiling import op10_tiling_decontamination
 from tidebook.llm.token_counts import op6_token_counts
 from tidebook.llm.warc import op9_warc_salvage
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hypergeometric_shards": op3_hypergeometric_shards,
     "op4_simhash_components": op4_simhash_components,
     "op6_token_counts": op6_token_counts,
+    "op10_tiling_decontamination": op10_tiling_decontamination,
     "op9_warc_salvage": op9_warc_salvage,
 }
 
