@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidebook.llm.mixing import op2_sainte_lague_mix
+from tidebook.llm.outliers import op5_mcd_quality
 from tidebook.llm.sharding import op3_hypergeometric_shards
 from tidebook.llm.simhash import op4_simhash_components
 from tidebook.llm.tiling import op10_tiling_decontamination
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sainte_lague_mix": op2_sainte_lague_mix,
     "op3_hypergeometric_shards": op3_hypergeometric_shards,
     "op4_simhash_components": op4_simhash_components,
+    "op5_mcd_quality": op5_mcd_quality,
     "op6_token_counts": op6_token_counts,
     "op10_tiling_decontamination": op10_tiling_decontamination,
     "op9_warc_salvage": op9_warc_salvage,
