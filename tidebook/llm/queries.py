@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidebook.llm.license_scan import op1_license_scan, oracle as license_oracle
 from tidebook.llm.mixing import op2_sainte_lague_mix
 from tidebook.llm.outliers import op5_mcd_quality
 from tidebook.llm.sharding import op3_hypergeometric_shards
@@ -15,6 +16,7 @@ from tidebook.llm.token_counts import op6_token_counts
 from tidebook.llm.warc import op9_warc_salvage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_sainte_lague_mix": op2_sainte_lague_mix,
     "op3_hypergeometric_shards": op3_hypergeometric_shards,
     "op4_simhash_components": op4_simhash_components,
@@ -25,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": license_oracle(),
     "op9_warc_salvage": """
         WITH p AS (
             SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
