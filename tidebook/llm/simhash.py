@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tidebook.llm.common import durable, read_table
 from tidebook.llm.components import connected_components
+from tidebook.runtime import ship_package
 
 WIDTH, HASH_SEED, MAX_BITS = 3, 42, 3
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -69,6 +70,8 @@ def xxh64(data: bytes, seed: int) -> int:
 def fingerprints(text: Column, width: int = WIDTH, seed: int = HASH_SEED) -> Column:
     """Fingerprints (long) of whole texts."""
 
+    ship_package()
+
     @F.arrow_udf("long")
     def prints(texts: pa.Array) -> pa.Array:
         return pa.array([fingerprint(t.as_py(), width, seed) for t in texts], pa.int64())

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.llm.common import read_table
+from tidebook.runtime import ship_package
 
 LEAST_WORDS, COVERAGE = 5, 0.5
 #: UTF-8 bytes of the items of one block; seeds of one (text, item) that are held at once.
@@ -249,6 +250,8 @@ def covers(text: Column, block: Benchmark, threshold: float = COVERAGE) -> Colum
         )
     )
 
+    ship_package()
+
     @F.arrow_udf(_COVER)
     def met(texts: pa.Array) -> pa.Array:
         out = []

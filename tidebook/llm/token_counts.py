@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.llm.common import read_table
+from tidebook.runtime import ship_package
 
 MODEL, TOKEN_LIMIT = "piece_bpe_32k.model", 4096
 #: Bytes of pieces in one call of the encoder; entries of each of the memo's two generations.
@@ -138,6 +139,8 @@ def token_count(text: Column, model: str = MODEL) -> Column:
     are ordinary text. Nothing is truncated or padded.
     """
 
+    ship_package()
+
     @F.arrow_udf("long")
     def lengths(texts: pa.Array) -> pa.Array:
         return pa.array(_counter(model_path(model)).count(texts.to_pylist()), pa.int64())

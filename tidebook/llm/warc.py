@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm.common import read_table, shared_dir
+from tidebook.runtime import ship_package
 
 LEAST_REVISIT_BYTES, ROWS_PER_FILE, DATE = 100, 4_000, "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -251,6 +252,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT_BYTES
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], ["member"])
 
+    ship_package()
     rows = classify(pages, least).select(
         F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("id"),
         "url",
@@ -289,6 +291,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema or _schema())
 
+    ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(records, FIELDS)
 
