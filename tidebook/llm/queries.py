@@ -13,6 +13,7 @@ from tidebook.llm.sharding import op3_hypergeometric_shards
 from tidebook.llm.simhash import op4_simhash_components
 from tidebook.llm.tiling import op10_tiling_decontamination
 from tidebook.llm.token_counts import op6_token_counts
+from tidebook.llm.toxicity import op8_toxicity_chain
 from tidebook.llm.warc import op9_warc_salvage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_components": op4_simhash_components,
     "op5_mcd_quality": op5_mcd_quality,
     "op6_token_counts": op6_token_counts,
+    "op8_toxicity_chain": op8_toxicity_chain,
     "op10_tiling_decontamination": op10_tiling_decontamination,
     "op9_warc_salvage": op9_warc_salvage,
 }
