@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidebook.llm.license_scan import op1_license_scan, oracle as license_oracle
 from tidebook.llm.mixing import op2_sainte_lague_mix
 from tidebook.llm.outliers import op5_mcd_quality
+from tidebook.llm.quotes import op7_quotation_linking
 from tidebook.llm.sharding import op3_hypergeometric_shards
 from tidebook.llm.simhash import op4_simhash_components
 from tidebook.llm.tiling import op10_tiling_decontamination
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_components": op4_simhash_components,
     "op5_mcd_quality": op5_mcd_quality,
     "op6_token_counts": op6_token_counts,
+    "op7_quotation_linking": op7_quotation_linking,
     "op8_toxicity_chain": op8_toxicity_chain,
     "op10_tiling_decontamination": op10_tiling_decontamination,
     "op9_warc_salvage": op9_warc_salvage,
