@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import SPACE_CLASS, WORD_CLASS, count_words, durable, read_table, unit
+from tidebook.llm.common import SPACE_CLASS, WORD_CLASS, count_words, durable, let, read_table, unit
 
 WEIGHTS, SHARE, CEILING = (5, 2, 1), 1.5, 2
 LANES, SHARDS, SEED = 256, 8, 7_130_417
@@ -205,41 +205,48 @@ def mix(
     )
 
 
-def mixed_documents(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix: one row for each lap that takes words of a document.
 
     A lap that takes all words repeats the row as it is. The lap that ends within a
-    document takes its leading or trailing words, or both, with the white space
-    behind them, and n_chars follows where it exists. At most two documents of a source are cut.
+    document takes its leading or trailing words, or both, with the white space around
+    them, and n_chars follows where it exists. At most two documents of a source are cut.
+    Columns keep their names, whatever those are.
     """
+    packed = docs.select(F.struct("*").alias("_tm_row"), "doc_id", "source", count_words(F.col("text")).alias("n"))
+    mixed = mix(packed, F.col("n"), ["doc_id", "n"])
     pieces = F.transform(
         F.sequence(F.lit(0), F.floor((F.col("reach") - 1) / F.col("source_size")).cast("int")),
         lambda lap: F.least(F.col("reach") - lap * F.col("source_size"), F.col("source_size")),
     )
-    at, size, circle = F.col("offset"), F.col("size"), F.col("source_size")
-    head = F.greatest(F.least(F.col("rest"), F.least(at + size, circle)) - at, F.lit(0))
+    at, size, circle, rest = F.col("offset"), F.col("size"), F.col("source_size"), F.col("rest")
+    head = F.greatest(F.least(rest, F.least(at + size, circle)) - at, F.lit(0))
     front = F.least(circle - at, size)  # words before the circle closes
-    tail = F.least(F.col("rest"), F.greatest(at + size - circle, F.lit(0)))
-    words = F.regexp_extract_all("text", F.lit(f"{SPACE_CLASS}*{WORD_CLASS}+{SPACE_CLASS}*"), F.lit(0))
-    cut = F.array_join(
-        F.concat(
-            F.slice(words, F.lit(1), F.col("head").cast("int")),
-            F.slice(words, (front + 1).cast("int"), F.col("tail").cast("int")),
+    tail = F.least(rest, F.greatest(at + size - circle, F.lit(0)))
+    words = F.regexp_extract_all("_tm_row.text", F.lit(f"{SPACE_CLASS}*{WORD_CLASS}+{SPACE_CLASS}*"), F.lit(0))
+    cut = let(
+        words,
+        lambda w: F.array_join(
+            F.concat(
+                F.slice(w, F.lit(1), F.col("head").cast("int")),
+                F.slice(w, (front + 1).cast("int"), F.col("tail").cast("int")),
+            ),
+            "",
         ),
-        "",
     )
-    text = F.when(F.col("head") + F.col("tail") == size, F.col("text")).otherwise(cut)
-    out = (
+    taken = (
         mixed.where("taken > 0")
         .withColumn("rest", F.explode(pieces))
         .withColumn("head", head)
         .withColumn("tail", tail)
         .where("head + tail > 0")
-        .withColumn("text", text)
+        .withColumn("cut", F.when(F.col("head") + F.col("tail") < size, cut))
     )
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+    values = {c: F.col(f"_tm_row.`{c}`") for c in docs.columns}
+    values["text"] = F.coalesce("cut", values["text"])
+    if "n_chars" in values:
+        values["n_chars"] = F.coalesce(F.char_length("cut").cast("long"), values["n_chars"])
+    return taken.select(*[v.alias(c) for c, v in values.items()])
 
 
 def op2_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

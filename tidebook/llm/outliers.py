@@ -275,11 +275,13 @@ def drop_outliers(docs: DataFrame) -> DataFrame:
     """`docs` without the rows that fail the fixed rules or lie outside their group.
 
     Two passes over the texts, one for the estimates and one for the verdicts; texts
-    themselves are not moved while groups are few. Columns stay as they are.
+    themselves are not moved while groups are few. All columns stay as they are, whatever
+    their names.
     """
     slim = durable(count_documents(docs.select("lang", "source", "text")).drop("lang", "source", "text"))
-    verdicts = judge(count_documents(docs), estimates(slim))
-    return verdicts.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(F.struct("*").alias("_to_row"), "lang", "source", "text")
+    verdicts = judge(count_documents(packed), estimates(slim))
+    return verdicts.where("kept").select("_to_row.*")
 
 
 def op5_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

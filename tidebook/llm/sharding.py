@@ -221,19 +221,31 @@ def assign_shards(
     )
 
 
-def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in shards 0 to 39 under the law `rows`: counts at most one apart.
-
-    A null text has no bytes and the CRC-32 of the empty string.
-    """
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, size and text_crc32 of documents; a null text has no bytes and the CRC-32 of the empty string."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    slim = read_table(spark, sf_dir, "documents").select(
+    return docs.select(
         "doc_id",
+        "source",
         (F.octet_length(text) + F.lit(16)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.col("source"),
+        *more,
     )
-    return assign_shards(slim, ["doc_id", "text_crc32", "size", "source"]).select(
+
+
+_KEY = ["doc_id", "text_crc32", "size", "source"]
+
+
+def shard_documents(docs: DataFrame) -> DataFrame:
+    """`docs` with shard and slot, which replace columns of these names; texts move twice, to their lane and shard."""
+    own = [c for c in docs.columns if c not in ("shard", "slot")]
+    packed = _sized(docs, F.struct(*[F.col(f"`{c}`") for c in own]).alias("_ts_row"))
+    return assign_shards(packed, _KEY).select("_ts_row.*", "shard", "slot")
+
+
+def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 39 under the law `rows`: counts at most one apart."""
+    return assign_shards(_sized(read_table(spark, sf_dir, "documents")), _KEY).select(
         "doc_id",
         "size",
         "text_crc32",
