@@ -245,13 +245,16 @@ def equity_state(curve: DataFrame, keys: list[str], order: str = "timestamp") ->
     )
 
 
-def performance(positions: DataFrame, commission: float = 3e-4, slippage: float = 5e-4) -> DataFrame:
-    """Metrics per symbol of holding `weight` from each bar to the next, from symbol, timestamp, close, weight."""
+def performance(positions: DataFrame, commission: float = 3e-4, slippage: float = 5e-4, scale: float = 1.0) -> DataFrame:
+    """Metrics per symbol of holding `weight` from each bar to the next, from symbol, timestamp, close, weight.
+
+    `scale` multiplies the bars' returns, for series that are not prices.
+    """
     ordered = Window.partitionBy("symbol").orderBy("timestamp")
     path = ordered.rowsBetween(Window.unboundedPreceding, 0)
     steps = (
         positions.withColumn("held", F.coalesce(F.lag("weight").over(ordered), F.lit(0.0)))
-        .withColumn("step", F.lead("close").over(ordered) / F.col("close") - 1)
+        .withColumn("step", (F.lead("close").over(ordered) / F.col("close") - 1) * scale)
         .where("step IS NOT NULL")
         .withColumn("traded", F.abs(F.col("weight") - F.col("held")))
         .withColumn("profit", F.col("weight") * F.col("step"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that register queries.
-MODULES = ("market", "features")
+MODULES = ("market", "features", "models")
 
 
 def load():
