@@ -49,20 +49,27 @@ def normalised(mixture: Column) -> Column:
     )
 
 
-def _arrays(components) -> special.Mixture | None:
-    if components is None or len(components) == 0:
-        return None
-    m = tuple(np.array([c[k] for c in components], float) for k in ("w", "loc", "scale", "df"))
-    return m if m[0].sum() > 0 else None
+def _arrays(mixtures: list) -> special.Mixture:
+    """Rows of components, padded with components of no weight."""
+    width = max(map(len, mixtures))
+    out = tuple(np.full((len(mixtures), width), v) for v in (0.0, 0.0, 1.0, 1.0))
+    for i, components in enumerate(mixtures):
+        for j, c in enumerate(components):
+            for array, key in zip(out, ("w", "loc", "scale", "df"), strict=True):
+                array[i, j] = c[key]
+    return out
 
 
 def _batch(function):
     def run(mixtures: pd.Series, at: pd.Series) -> pd.Series:
-        out = []
-        for components, x in zip(mixtures, at, strict=True):
-            m = _arrays(components)
-            out.append(None if m is None or pd.isna(x) else function(float(x), m))
-        return pd.Series(out, dtype="float64")
+        usable = [
+            m is not None and len(m) > 0 and not pd.isna(x) and sum(c["w"] for c in m) > 0 for m, x in zip(mixtures, at, strict=True)
+        ]
+        out = pd.Series(np.nan, index=mixtures.index)
+        if any(usable):
+            rows = np.nonzero(usable)[0]
+            out.iloc[rows] = function(at.to_numpy(float)[rows], _arrays([mixtures.iloc[k] for k in rows]))
+        return out.astype(object).where(pd.Series(usable, index=out.index), None).astype("Float64")
 
     return run
 
@@ -85,6 +92,26 @@ def quantile(mixture: Column, p: Column | float) -> Column:
     return _column(special.mixture_quantile, mixture, p)
 
 
+def tails(mixture: Column, loss: float, tail: float) -> Column:
+    """Struct of p_positive, p_below_loss, p_above_loss, q_low and q_high, in one pass over the batches."""
+    ship_package()
+    names = ["p_positive", "p_below_loss", "p_above_loss", "q_low", "q_high"]
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def read(mixtures: pd.Series) -> pd.DataFrame:
+        usable = np.array([m is not None and len(m) > 0 and sum(c["w"] for c in m) > 0 for m in mixtures], bool)
+        out = np.full((len(mixtures), len(names)), np.nan)
+        if usable.any():
+            m = _arrays([x for x, ok in zip(mixtures, usable, strict=True) if ok])
+            n = int(usable.sum())
+            at = lambda x: special.mixture_cdf(np.full(n, x), m)
+            q = lambda p: special.mixture_quantile(np.full(n, p), m)
+            out[usable] = np.column_stack([1 - at(0.0), at(-loss), 1 - at(loss), q(tail), q(1 - tail)])
+        return pd.DataFrame(out, columns=names)
+
+    return read(mixture)
+
+
 def probability_above(mixture: Column, x: Column | float) -> Column:
     return 1 - cdf(mixture, x)
 

@@ -55,7 +55,7 @@ def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             d = 1 / np.where(np.abs(1 + step * d) < tiny, tiny, 1 + step * d)
             c = np.where(np.abs(1 + step / c) < tiny, tiny, 1 + step / c)
             f = f * c * d
-        if np.all(np.abs(c * d - 1) < 1e-16):
+        if np.all(np.abs(c * d - 1) < 4e-16):
             break
     value = np.where(inner, front * f, np.where(xx >= 1, 1.0, 0.0))
     return np.where(swap, 1 - value, value)
@@ -79,37 +79,44 @@ def t_cdf(x, loc, scale, df) -> np.ndarray:
     return np.where(z > 0, 1 - tail, tail)
 
 
+#: Weights, locations, scales and degrees of freedom; arrays of components, or of rows of components.
 Mixture = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def mixture_cdf(x: float, m: Mixture) -> float:
+def mixture_cdf(x, m: Mixture) -> np.ndarray:
+    """Distribution function at x, one value per row of components."""
     w, loc, scale, df = m
-    return float((w * t_cdf(x, loc, scale, df)).sum() / w.sum())
+    return (w * t_cdf(np.asarray(x, float)[..., None], loc, scale, df)).sum(-1) / w.sum(-1)
 
 
-def mixture_logpdf(x: float, m: Mixture) -> float:
-    """Log density by log-sum-exp; components of weight zero are left out."""
-    w, loc, scale, df = (v[m[0] > 0] for v in m)
-    parts = np.log(w / w.sum()) + t_logpdf(x, loc, scale, df)
-    top = parts.max()
-    return float(top + np.log(np.exp(parts - top).sum()))
+def mixture_logpdf(x, m: Mixture) -> np.ndarray:
+    """Log density by log-sum-exp; components of weight zero add nothing."""
+    w, loc, scale, df = m
+    with np.errstate(divide="ignore"):
+        parts = np.log(w / w.sum(-1, keepdims=True)) + t_logpdf(np.asarray(x, float)[..., None], loc, scale, df)
+    top = parts.max(-1)
+    return top + np.log(np.exp(parts - top[..., None]).sum(-1))
 
 
-def mixture_quantile(p: float, m: Mixture, steps: int = 200) -> float:
-    """By bisection between bounds that hold the probability."""
-    if not 0 < p < 1:
+def mixture_quantile(p, m: Mixture, steps: int = 100) -> np.ndarray:
+    """By bisection of all rows at once, between bounds that hold the probabilities."""
+    p = np.asarray(p, float)
+    if np.any((p <= 0) | (p >= 1)):
         raise ValueError("a probability must lie between 0 and 1")
     w, loc, scale, _ = m
-    low, high = float((loc - scale).min()), float((loc + scale).max())
-    reach = float(scale.max())
-    while mixture_cdf(low, m) > p:
-        low, reach = low - reach, reach * 2
-    reach = float(scale.max())
-    while mixture_cdf(high, m) < p:
-        high, reach = high + reach, reach * 2
+    reach = np.where(w > 0, scale, 0).max(-1)
+    low = np.where(w > 0, loc, np.inf).min(-1) - reach
+    high = np.where(w > 0, loc, -np.inf).max(-1) + reach
+    step = reach.copy()
+    while (short := mixture_cdf(low, m) > p).any():
+        low, step = np.where(short, low - step, low), step * 2
+    step = reach.copy()
+    while (short := mixture_cdf(high, m) < p).any():
+        high, step = np.where(short, high + step, high), step * 2
     for _ in range(steps):
         mid = (low + high) / 2
-        if mid in (low, high):
+        if np.all((mid == low) | (mid == high)):
             break
-        low, high = (mid, high) if mixture_cdf(mid, m) < p else (low, mid)
+        below = mixture_cdf(mid, m) < p
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
     return (low + high) / 2

@@ -71,14 +71,8 @@ def agreement(fused: DataFrame) -> DataFrame:
 
 def tails(fused: DataFrame, limits: RiskLimits) -> DataFrame:
     """Adds the probabilities and quantiles that a decision reads, all from the mixture."""
-    m = F.col("mixture")
-    return (
-        fused.withColumn("p_positive", 1 - mixtures.cdf(m, 0.0))
-        .withColumn("p_below_loss", mixtures.cdf(m, -limits.large_loss_threshold))
-        .withColumn("p_above_loss", 1 - mixtures.cdf(m, limits.large_loss_threshold))
-        .withColumn("q_low", mixtures.quantile(m, TAIL))
-        .withColumn("q_high", mixtures.quantile(m, 1 - TAIL))
-    )
+    read = mixtures.tails(F.col("mixture"), limits.large_loss_threshold, TAIL)
+    return fused.withColumn("_tails", read).select(*fused.columns, "_tails.*")
 
 
 def decide(rows: DataFrame, limits: RiskLimits, max_age_days: float = 3.0) -> DataFrame:

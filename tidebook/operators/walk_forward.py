@@ -203,7 +203,7 @@ def _replay_symbol(pdf: pd.DataFrame, x: str, horizon: int, warmup: int, refit_e
         while pending and rows[pending[0][0] - 1].realised_at <= row.timestamp:
             position, answers = pending.pop(0)
             past = rows[position - 1]
-            reliability.score({m: special.mixture_logpdf(past.forward_log_return, _mixture(parts)) for m, (parts, _) in answers.items()})
+            reliability.score({m: float(special.mixture_logpdf(past.forward_log_return, _mixture(parts))) for m, (parts, _) in answers.items()})
             if position > absorbed:
                 models.update(past, x)
                 absorbed = position
@@ -230,7 +230,7 @@ def _replay_symbol(pdf: pd.DataFrame, x: str, horizon: int, warmup: int, refit_e
         record = [{"w": c[0], "loc": c[1], "scale": c[2], "df": c[3]} for c in parts]
         out.append(
             (row.symbol, row.timestamp, row.realised_at, outcome, record, within + between, weights["momentum"], weights["volatility"],
-             weights["regime"], special.mixture_cdf(outcome, m), 1 - special.mixture_cdf(0.0, m), special.mixture_logpdf(outcome, m))
+             weights["regime"], float(special.mixture_cdf(outcome, m)), float(1 - special.mixture_cdf(0.0, m)), float(special.mixture_logpdf(outcome, m)))
         )
         pending.append((index, answers))
     return out

@@ -357,7 +357,7 @@ def model_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- portfolios ----------------------------------------------------------------------------------------------------------
 @query(
     "metrics_performance",
-    f"""{BASE}, w AS (SELECT symbol, timestamp, close, CASE WHEN lc - {"lag(lc, 5) OVER (" + W + ")"} > 0 THEN 1.0 ELSE -0.5 END AS weight FROM b),
+    f"""{BASE}, w AS (SELECT symbol, timestamp, close, CASE WHEN lc - {"lag(lc, 5) OVER (" + W + ")"} > 0 THEN 1.0::DOUBLE ELSE -0.5::DOUBLE END AS weight FROM b),
         s AS (SELECT *, coalesce(lag(weight) OVER ({W}), 0) AS held, lead(close) OVER ({W}) / close - 1 AS step FROM w),
         t AS (SELECT *, abs(weight - held) AS traded, weight * step AS profit, (1 - abs(weight - held) * 0.0008) * (1 + weight * step * 0.00001) - 1 AS ret FROM s WHERE step IS NOT NULL),
         e AS (SELECT *, exp(sum(ln(1 + ret)) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS equity FROM t),
