@@ -74,8 +74,13 @@ class Feature:
     build: Build
 
 
-LC, R = F.col("_lc"), F.col("_r")  # noqa: E741  log close, log return
-C, H, L, O, V = (F.col(c) for c in ("close", "high", "low", "open", "volume"))  # noqa: E741
+def column(name: str) -> Callable[[], Column]:
+    """A column that is made when it is used, as columns need a running session."""
+    return lambda: F.col(name)
+
+
+LC, R = column("_lc"), column("_r")  # log close, log return
+C, H, L, O, V = map(column, ("close", "high", "low", "open", "volume"))  # noqa: E741
 
 
 def _positive(x: Column, value: Column | None = None) -> Column:
@@ -84,15 +89,15 @@ def _positive(x: Column, value: Column | None = None) -> Column:
 
 
 def log_return(h: int = 1) -> Feature:
-    return Feature(f"log_return_{h}", h, lambda w: LC - w.lag(LC, h))
+    return Feature(f"log_return_{h}", h, lambda w: LC() - w.lag(LC(), h))
 
 
 def simple_return(h: int = 1) -> Feature:
-    return Feature(f"return_{h}", h, lambda w: C / w.lag(C, h) - 1)
+    return Feature(f"return_{h}", h, lambda w: C() / w.lag(C(), h) - 1)
 
 
 def _average(w: Frames, n: int, exponential: bool) -> Column:
-    return w.ema(C, n) if exponential else w.mean(C, n)
+    return w.ema(C(), n) if exponential else w.mean(C(), n)
 
 
 def _average_lookback(n: int, exponential: bool) -> int:
@@ -106,7 +111,7 @@ def moving_average(n: int = 20, exponential: bool = False) -> Feature:
 def price_to_moving_average(n: int = 20, exponential: bool = False) -> Feature:
     def build(w: Frames) -> Column:
         average = _average(w, n, exponential)
-        return _positive(average, LC - F.ln(average))
+        return _positive(average, LC() - F.ln(average))
 
     return Feature(f"close_to_{'ema' if exponential else 'sma'}_{n}", _average_lookback(n, exponential), build)
 
@@ -124,7 +129,7 @@ def moving_average_spread(fast: int = 12, slow: int = 26, exponential: bool = Tr
 
 def momentum(n: int = 60, skip: int = 5) -> Feature:
     name = f"momentum_{n}_{skip}" if skip else f"momentum_{n}"
-    return Feature(name, n + skip, lambda w: w.lag(LC, skip) - w.lag(LC, n + skip))
+    return Feature(name, n + skip, lambda w: w.lag(LC(), skip) - w.lag(LC(), n + skip))
 
 
 def relative_strength_index(n: int = 14) -> Feature:
@@ -138,39 +143,39 @@ def relative_strength_index(n: int = 14) -> Feature:
 
 
 def price_z_score(n: int = 20) -> Feature:
-    return Feature(f"price_zscore_{n}", n - 1, lambda w: F.when(~w.flat(LC, n), (LC - w.mean(LC, n)) / w.sd(LC, n)))
+    return Feature(f"price_zscore_{n}", n - 1, lambda w: F.when(~w.flat(LC(), n), (LC() - w.mean(LC(), n)) / w.sd(LC(), n)))
 
 
 def drawdown_from_high(n: int = 60) -> Feature:
-    return Feature(f"drawdown_{n}", n - 1, lambda w: F.ln(C / F.max(H).over(w.last(n))))
+    return Feature(f"drawdown_{n}", n - 1, lambda w: F.ln(C() / F.max(H()).over(w.last(n))))
 
 
 def trend_slope(n: int = 20) -> Feature:
     def build(w: Frames) -> Column:
-        slope = F.regr_slope(LC, F.col("_n").cast("double")).over(w.last(n))
-        return F.when(w.flat(LC, n), 0.0).otherwise(slope)
+        slope = F.regr_slope(LC(), F.col("_n").cast("double")).over(w.last(n))
+        return F.when(w.flat(LC(), n), 0.0).otherwise(slope)
 
     return Feature(f"trend_slope_{n}", n - 1, build)
 
 
 def trend_quality(n: int = 20) -> Feature:
     def build(w: Frames) -> Column:
-        fit = F.regr_r2(LC, F.col("_n").cast("double")).over(w.last(n))
-        return F.when(~w.flat(LC, n), F.least(F.lit(1.0), fit))
+        fit = F.regr_r2(LC(), F.col("_n").cast("double")).over(w.last(n))
+        return F.when(~w.flat(LC(), n), F.least(F.lit(1.0), fit))
 
     return Feature(f"trend_quality_{n}", n - 1, build)
 
 
 def realised_volatility(n: int = 20, annualised: bool = True) -> Feature:
     factor = ANNUALISER if annualised else 1.0
-    return Feature(f"volatility_{n}", n, lambda w: w.sd(R, n) * factor)
+    return Feature(f"volatility_{n}", n, lambda w: w.sd(R(), n) * factor)
 
 
 def ewma_volatility(span: int = 20, annualised: bool = True) -> Feature:
     factor = ANNUALISER if annualised else 1.0
 
     def build(w: Frames) -> Column:
-        level = w.ema(R * R, span)
+        level = w.ema(R() * R(), span)
         return _positive(level, F.sqrt(level) * factor)
 
     return Feature(f"ewma_volatility_{span}", 3 * span, build)
@@ -181,12 +186,12 @@ def _root(level: Column) -> Column:
 
 
 def parkinson_volatility(n: int = 20) -> Feature:
-    return Feature(f"parkinson_volatility_{n}", n - 1, lambda w: _root(w.mean(F.pow(F.ln(H / L), F.lit(2.0)), n) / (4 * LN2)))
+    return Feature(f"parkinson_volatility_{n}", n - 1, lambda w: _root(w.mean(F.pow(F.ln(H() / L()), F.lit(2.0)), n) / (4 * LN2)))
 
 
 def garman_klass_volatility(n: int = 20) -> Feature:
     def build(w: Frames) -> Column:
-        part = 0.5 * F.pow(F.ln(H / L), F.lit(2.0)) - (2 * LN2 - 1) * F.pow(F.ln(C / O), F.lit(2.0))
+        part = 0.5 * F.pow(F.ln(H() / L()), F.lit(2.0)) - (2 * LN2 - 1) * F.pow(F.ln(C() / O()), F.lit(2.0))
         return _root(w.mean(part, n))
 
     return Feature(f"garman_klass_volatility_{n}", n - 1, build)
@@ -196,26 +201,26 @@ def downside_volatility(n: int = 20) -> Feature:
     return Feature(
         f"downside_volatility_{n}",
         n,
-        lambda w: F.sqrt(w.mean(F.pow(F.least(R, F.lit(0.0)), F.lit(2.0)), n)) * ANNUALISER,
+        lambda w: F.sqrt(w.mean(F.pow(F.least(R(), F.lit(0.0)), F.lit(2.0)), n)) * ANNUALISER,
     )
 
 
 def volatility_ratio(fast: int = 5, slow: int = 60) -> Feature:
     def build(w: Frames) -> Column:
-        a, b = w.sd(R, fast), w.sd(R, slow)
+        a, b = w.sd(R(), fast), w.sd(R(), slow)
         return F.when((a > 0) & (b > 0), F.ln(a / b))
 
     return Feature(f"volatility_ratio_{fast}_{slow}", slow, build)
 
 
 def average_true_range(n: int = 14) -> Feature:
-    return Feature(f"atr_pct_{n}", n, lambda w: w.mean(F.col("_range"), n) / C)
+    return Feature(f"atr_pct_{n}", n, lambda w: w.mean(F.col("_range"), n) / C())
 
 
 def relative_volume(n: int = 20) -> Feature:
     def build(w: Frames) -> Column:
-        middle = F.percentile(V, F.lit(0.5)).over(w.last(n))
-        return F.when((middle > 0) & (V > 0), F.ln(V / middle))
+        middle = F.percentile(V(), F.lit(0.5)).over(w.last(n))
+        return F.when((middle > 0) & (V() > 0), F.ln(V() / middle))
 
     return Feature(f"relative_volume_{n}", n - 1, build)
 
@@ -224,7 +229,7 @@ def volume_z_score(n: int = 20) -> Feature:
     def build(w: Frames) -> Column:
         lv = F.col("_lv")
         sd = w.sd(lv, n)
-        return F.when((F.min(V).over(w.last(n)) > 0) & (sd > 0), (lv - w.mean(lv, n)) / sd)
+        return F.when((F.min(V()).over(w.last(n)) > 0) & (sd > 0), (lv - w.mean(lv, n)) / sd)
 
     return Feature(f"volume_zscore_{n}", n - 1, build)
 
@@ -234,8 +239,10 @@ def median_turnover(n: int = 20) -> Feature:
 
 
 def amihud_illiquidity(n: int = 20) -> Feature:
-    part = F.when(F.col("_turnover") > 0, F.abs(R) / F.col("_turnover"))
-    return Feature(f"amihud_{n}", n, lambda w: w.mean(part, n) * 1e6)
+    def build(w: Frames) -> Column:
+        return w.mean(F.when(F.col("_turnover") > 0, F.abs(R()) / F.col("_turnover")), n) * 1e6
+
+    return Feature(f"amihud_{n}", n, build)
 
 
 def minimal_set() -> list[Feature]:
@@ -276,15 +283,15 @@ def subset(features: list[Feature], names: list[str]) -> list[Feature]:
 
 def with_helpers(bars: DataFrame, frames: Frames, number: Column | None = None) -> DataFrame:
     """Bars with the columns that features share: bar number, log close and volume, returns, ranges, turnover."""
-    before = frames.lag(C, 1)
+    before = frames.lag(C(), 1)
     return (
         bars.withColumn("_n", F.row_number().over(frames.ordered) if number is None else number)
-        .withColumn("_lc", F.ln(C))
-        .withColumn("_lv", F.when(V > 0, F.ln(V)))
+        .withColumn("_lc", F.ln(C()))
+        .withColumn("_lv", F.when(V() > 0, F.ln(V())))
         .withColumn("_turnover", turnover())
-        .withColumn("_r", LC - frames.lag(LC, 1))
-        .withColumn("_change", C - before)
-        .withColumn("_range", F.greatest(H - L, F.abs(H - before), F.abs(L - before)))
+        .withColumn("_r", LC() - frames.lag(LC(), 1))
+        .withColumn("_change", C() - before)
+        .withColumn("_range", F.greatest(H() - L(), F.abs(H() - before), F.abs(L() - before)))
     )
 
 

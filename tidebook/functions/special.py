@@ -47,7 +47,7 @@ def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     c = np.ones_like(z)
     d = 1 / np.where(np.abs(1 - (aa + bb) * z / (aa + 1)) < tiny, tiny, 1 - (aa + bb) * z / (aa + 1))
     f = d.copy()
-    for m in range(1, 400):
+    for m in range(1, 200):
         for step in (
             m * (bb - m) * z / ((aa + 2 * m - 1) * (aa + 2 * m)),
             -(aa + m) * (aa + bb + m) * z / ((aa + 2 * m) * (aa + 2 * m + 1)),
@@ -55,7 +55,7 @@ def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             d = 1 / np.where(np.abs(1 + step * d) < tiny, tiny, 1 + step * d)
             c = np.where(np.abs(1 + step / c) < tiny, tiny, 1 + step / c)
             f = f * c * d
-        if np.all(np.abs(c * d - 1) < 4e-16):
+        if np.all(np.abs(c * d - 1) < 2e-15):
             break
     value = np.where(inner, front * f, np.where(xx >= 1, 1.0, 0.0))
     return np.where(swap, 1 - value, value)
@@ -98,7 +98,7 @@ def mixture_logpdf(x, m: Mixture) -> np.ndarray:
     return top + np.log(np.exp(parts - top[..., None]).sum(-1))
 
 
-def mixture_quantile(p, m: Mixture, steps: int = 100) -> np.ndarray:
+def mixture_quantile(p, m: Mixture, steps: int = 60) -> np.ndarray:
     """By bisection of all rows at once, between bounds that hold the probabilities."""
     p = np.asarray(p, float)
     if np.any((p <= 0) | (p >= 1)):

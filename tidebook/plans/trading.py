@@ -32,8 +32,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "symbol",
         F.col("timestamp").alias("as_of"),
         "_n",
-        *[(w.mean(f.R, n) / 100).alias(f"m{n}") for n in (20, 60)],
-        *[(w.sd(f.R, n) / 100).alias(f"s{n}") for n in (20, 60)],
+        *[(w.mean(f.R(), n) / 100).alias(f"m{n}") for n in (20, 60)],
+        *[(w.sd(f.R(), n) / 100).alias(f"s{n}") for n in (20, 60)],
     )
 
     def model(name: str, n: int, df: float, log_weight: float):
@@ -146,7 +146,7 @@ RISK_SQL = f"""{DECISION_SQL}, {BOOK_SQL},
     cr AS (SELECT *, action <> 'no_trade' AND target_weight > 0 AS acts,
         (action = 'sell' AND held > 0) OR (action = 'buy' AND held < 0) AS reducing,
         halted OR daily_loss > 0.02 OR drawdown > 0.15 OR (held = 0 AND slots + 1 > 10) OR coalesce(vol > 0.6, false) OR coalesce(tov < 5e7, false) AS stopped FROM bk),
-    hr AS (SELECT *, greatest(0, 0.05::DOUBLE - pos) + CASE WHEN reducing THEN 2 * pos ELSE 0 END AS h1, greatest(0, 0.25::DOUBLE - sec) + CASE WHEN reducing THEN 2 * pos ELSE 0 END AS h2,
+    hr AS (SELECT *, greatest(0, 0.05::DOUBLE - pos) + CASE WHEN reducing THEN 2 * pos ELSE 0 END AS h1, CASE WHEN sec IS NOT NULL THEN greatest(0, 0.25::DOUBLE - sec) + CASE WHEN reducing THEN 2 * pos ELSE 0 END END AS h2,
         greatest(0, 0.6::DOUBLE - port) + CASE WHEN reducing THEN 2 * pos ELSE 0 END AS h3 FROM cr),
     kr AS (SELECT *, CASE WHEN NOT acts OR stopped OR h1 <= 0 OR (sec IS NOT NULL AND h2 <= 0) OR h3 <= 0 THEN 0.0::DOUBLE
         ELSE greatest(0, least(target_weight, h1, coalesce(h2, 1e9), h3)) END AS approved,
