@@ -28,3 +28,20 @@ def ship_package(spark: SparkSession | None = None) -> None:
             z.write(source, source.relative_to(_PACKAGE.parent))
     context.addPyFile(str(archive))
     context._tidebook_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (`spark.checkpoint.dir`).
+
+    Only a local master without the setting gets a temporary folder; on a cluster a
+    missing setting is an error, as a local folder would lose rows.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+            folder = tempfile.mkdtemp(prefix="tidebook-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()

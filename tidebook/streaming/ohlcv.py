@@ -39,8 +39,26 @@ def bars_stream(ticks: DataFrame, every: str = "1 hour", delay: str = "0 seconds
     )
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Appends what is there to a Parquet sink and stops; a second run goes on after the first."""
+    """Appends what is there to a Parquet sink and stops; a second run goes on after the first.
+
+    State is kept in RocksDB, which states with several columns need and which spills
+    beyond memory.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKSDB)
+    try:
+        _run_available(stream, path, checkpoint)
+    finally:
+        conf.unset(PROVIDER) if before is None else conf.set(PROVIDER, before)
+
+
+def _run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
 
