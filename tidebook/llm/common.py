@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebook.runtime import shared_dir
+
+__all__ = ["count_words", "durable", "let", "read_table", "shared_dir", "unit", "words_of"]
+
 #: One white-space character of the word rule `[^\x20\x09-\x0D]+`.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: One character of a word under that rule.
@@ -23,23 +26,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (`spark.checkpoint.dir`).
-
-    Only a local master without the setting gets a temporary folder; on a
-    cluster a missing setting is an error, as a local folder would lose rows.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-            folder = tempfile.mkdtemp(prefix="tidebook-checkpoint-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
 def durable(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
