@@ -60,11 +60,14 @@ def align(bars: DataFrame, as_of: str, symbols: list[str] | None = None) -> Data
     return rows.groupBy("symbol").agg(F.max_by(F.struct(*names), "timestamp").alias("r")).select("symbol", "r.*")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, value: str) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, value: str, lane: str = "day") -> DataFrame:
     """`left` with the `value` of the latest right row of the key at or before it, null without one.
 
-    Both sides meet in one sorted stream, right rows first at equal times; no pairs are made.
-    Of right rows at one moment the greatest value counts.
+    Both sides meet in one sorted stream, right rows first at equal times; no pairs are
+    made. The stream is cut into lanes of time, and a table with the last value of each
+    (key, lane) carries values on, so that one key's history is not one task. Of right
+    rows at one moment the greatest value counts; null values are passed over
+    and null keys meet nothing.
     """
     tagged_left = left.select(
         F.col(key).alias("_k"), F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).alias("_v"), F.struct("*").alias("_row")
@@ -74,10 +77,16 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_
         .agg(F.max(value).alias("_v"))
         .select("_k", "_t", F.lit(0).alias("_side"), "_v")
     )
-    stream = tagged_left.unionByName(tagged_right, allowMissingColumns=True)
-    order = Window.partitionBy("_k").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    met = stream.withColumn("_found", F.last("_v", ignorenulls=True).over(order))
-    return met.where("_side = 1").select("_row.*", F.col("_found").alias(value))
+    stream = tagged_left.unionByName(tagged_right, allowMissingColumns=True).withColumn("_lane", F.date_trunc(lane, "_t"))
+    ends = stream.groupBy("_k", "_lane").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_t"))).alias("_end"))
+    earlier = Window.partitionBy("_k").orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        F.col("_k").alias("_ck"), F.col("_lane").alias("_cl"), F.last("_end", ignorenulls=True).over(earlier).alias("_carry")
+    )
+    within = Window.partitionBy("_k", "_lane").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    met = stream.withColumn("_near", F.last("_v", ignorenulls=True).over(within)).where("_side = 1")
+    same = met["_k"].eqNullSafe(carried["_ck"]) & met["_lane"].eqNullSafe(carried["_cl"])
+    return met.join(carried, same, "left").select("_row.*", F.when(F.col("_k").isNotNull(), F.coalesce("_near", "_carry")).alias(value))
 
 
 def coverage(bars: DataFrame) -> DataFrame:
