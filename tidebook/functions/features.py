@@ -83,6 +83,11 @@ LC, R = column("_lc"), column("_r")  # log close, log return
 C, H, L, O, V = map(column, ("close", "high", "low", "open", "volume"))  # noqa: E741
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, null where b is zero: bars that break the invariant give no value, and no error."""
+    return F.try_divide(a, b)
+
+
 def _positive(x: Column, value: Column | None = None) -> Column:
     """`value` (x itself by default) where x is above zero, else null."""
     return F.when(x > 0, x if value is None else value)
@@ -93,7 +98,7 @@ def log_return(h: int = 1) -> Feature:
 
 
 def simple_return(h: int = 1) -> Feature:
-    return Feature(f"return_{h}", h, lambda w: C() / w.lag(C(), h) - 1)
+    return Feature(f"return_{h}", h, lambda w: ratio(C(), w.lag(C(), h)) - 1)
 
 
 def _average(w: Frames, n: int, exponential: bool) -> Column:
@@ -143,11 +148,11 @@ def relative_strength_index(n: int = 14) -> Feature:
 
 
 def price_z_score(n: int = 20) -> Feature:
-    return Feature(f"price_zscore_{n}", n - 1, lambda w: F.when(~w.flat(LC(), n), (LC() - w.mean(LC(), n)) / w.sd(LC(), n)))
+    return Feature(f"price_zscore_{n}", n - 1, lambda w: F.when(~w.flat(LC(), n), ratio(LC() - w.mean(LC(), n), w.sd(LC(), n))))
 
 
 def drawdown_from_high(n: int = 60) -> Feature:
-    return Feature(f"drawdown_{n}", n - 1, lambda w: F.ln(C() / F.max(H()).over(w.last(n))))
+    return Feature(f"drawdown_{n}", n - 1, lambda w: F.ln(ratio(C(), F.max(H()).over(w.last(n)))))
 
 
 def trend_slope(n: int = 20) -> Feature:
@@ -186,12 +191,12 @@ def _root(level: Column) -> Column:
 
 
 def parkinson_volatility(n: int = 20) -> Feature:
-    return Feature(f"parkinson_volatility_{n}", n - 1, lambda w: _root(w.mean(F.pow(F.ln(H() / L()), F.lit(2.0)), n) / (4 * LN2)))
+    return Feature(f"parkinson_volatility_{n}", n - 1, lambda w: _root(w.mean(F.pow(F.ln(ratio(H(), L())), F.lit(2.0)), n) / (4 * LN2)))
 
 
 def garman_klass_volatility(n: int = 20) -> Feature:
     def build(w: Frames) -> Column:
-        part = 0.5 * F.pow(F.ln(H() / L()), F.lit(2.0)) - (2 * LN2 - 1) * F.pow(F.ln(C() / O()), F.lit(2.0))
+        part = 0.5 * F.pow(F.ln(ratio(H(), L())), F.lit(2.0)) - (2 * LN2 - 1) * F.pow(F.ln(ratio(C(), O())), F.lit(2.0))
         return _root(w.mean(part, n))
 
     return Feature(f"garman_klass_volatility_{n}", n - 1, build)
@@ -214,7 +219,7 @@ def volatility_ratio(fast: int = 5, slow: int = 60) -> Feature:
 
 
 def average_true_range(n: int = 14) -> Feature:
-    return Feature(f"atr_pct_{n}", n, lambda w: w.mean(F.col("_range"), n) / C())
+    return Feature(f"atr_pct_{n}", n, lambda w: ratio(w.mean(F.col("_range"), n), C()))
 
 
 def relative_volume(n: int = 20) -> Feature:

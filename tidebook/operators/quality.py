@@ -84,7 +84,7 @@ def stale_prices(bars: DataFrame, least: int = STALE_RUN) -> DataFrame:
 def price_jumps(bars: DataFrame, sigmas: float = SPIKE_SIGMAS) -> DataFrame:
     """Returns at least `sigmas` robust deviations from the median: splits where the ratio fits, else spikes."""
     ordered = Window.partitionBy("symbol").orderBy("timestamp")
-    r = F.ln(F.col("close") / F.lag("close").over(ordered))
+    r = F.ln(F.try_divide("close", F.lag("close").over(ordered)))
     returns = bars.select("symbol", "timestamp", r.alias("r")).where("r IS NOT NULL")
     middle = returns.groupBy("symbol").agg(F.percentile("r", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("n"))
     around = returns.join(middle, "symbol").withColumn("away", F.abs(F.col("r") - F.col("median")))

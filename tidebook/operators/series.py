@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.functions.features import Feature, Frames, compute, lookback, with_helpers
+from tidebook.functions.features import Feature, Frames, compute, lookback, ratio, with_helpers
 from tidebook.operators.chunks import chunked, numbered
 
 KEEP = ["symbol", "timestamp"]
@@ -76,9 +76,9 @@ def forward_labels(bars: DataFrame, horizon: int) -> DataFrame:
             "symbol",
             F.col("timestamp").alias("as_of"),
             F.lead("timestamp", horizon).over(ordered).alias("realised_at"),
-            F.ln(F.lead("close", horizon).over(ordered) / close).alias("forward_log_return"),
-            F.least(F.lit(0.0), F.ln(F.min("low").over(ahead) / close)).alias("mae"),
-            F.greatest(F.lit(0.0), F.ln(F.max("high").over(ahead) / close)).alias("mfe"),
+            F.ln(ratio(F.lead("close", horizon).over(ordered), close)).alias("forward_log_return"),
+            F.least(F.lit(0.0), F.ln(ratio(F.min("low").over(ahead), close))).alias("mae"),
+            F.greatest(F.lit(0.0), F.ln(ratio(F.max("high").over(ahead), close))).alias("mfe"),
         )
         .where("realised_at IS NOT NULL")
         .withColumn("horizon_bars", F.lit(horizon))
@@ -93,9 +93,9 @@ def training_set(bars: DataFrame, features: list[Feature], horizon: int, complet
     labelled = bars.select(
         "*",
         F.lead("timestamp", horizon).over(frames.ordered).alias("realised_at"),
-        F.ln(F.lead("close", horizon).over(frames.ordered) / F.col("close")).alias("forward_log_return"),
-        F.least(F.lit(0.0), F.ln(F.min("low").over(ahead) / F.col("close"))).alias("mae"),
-        F.greatest(F.lit(0.0), F.ln(F.max("high").over(ahead) / F.col("close"))).alias("mfe"),
+        F.ln(ratio(F.lead("close", horizon).over(frames.ordered), F.col("close"))).alias("forward_log_return"),
+        F.least(F.lit(0.0), F.ln(ratio(F.min("low").over(ahead), F.col("close")))).alias("mae"),
+        F.greatest(F.lit(0.0), F.ln(ratio(F.max("high").over(ahead), F.col("close")))).alias("mfe"),
     )
     out = compute(
         with_helpers(labelled, frames), features, frames, [*KEEP, "realised_at", "forward_log_return", "mae", "mfe"]

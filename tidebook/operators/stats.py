@@ -254,7 +254,7 @@ def performance(positions: DataFrame, commission: float = 3e-4, slippage: float
     path = ordered.rowsBetween(Window.unboundedPreceding, 0)
     steps = (
         positions.withColumn("held", F.coalesce(F.lag("weight").over(ordered), F.lit(0.0)))
-        .withColumn("step", (F.lead("close").over(ordered) / F.col("close") - 1) * scale)
+        .withColumn("step", (F.try_divide(F.lead("close").over(ordered), "close") - 1) * scale)
         .where("step IS NOT NULL")
         .withColumn("traded", F.abs(F.col("weight") - F.col("held")))
         .withColumn("profit", F.col("weight") * F.col("step"))

@@ -47,7 +47,7 @@ def bar_derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
         market.typical_price().alias("typical"),
         F.round(market.turnover(), 4).alias("turnover"),
         market.bar_range().alias("true_range"),
-        F.ln(F.col("close") / F.lag("close").over(Frames().ordered)).alias("log_return"),
+        F.ln(F.try_divide("close", F.lag("close").over(Frames().ordered))).alias("log_return"),
     )
     return rounded(out)
 

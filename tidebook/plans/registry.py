@@ -14,7 +14,7 @@ ORACLE_SQL: dict[str, str] = {}
 #: Ticks and bars in DuckDB SQL, as common table expressions.
 TICKS = """ticks AS (
     SELECT event_type AS symbol, ts, value AS price, CAST(regexp_extract(props, '"k": *(\\d+)', 1) AS DOUBLE) AS volume,
-           event_id, user_id FROM events)"""
+           event_id, user_id FROM events WHERE value > 0)"""
 
 
 def bars_cte(name: str, unit: str) -> str:

@@ -45,7 +45,7 @@ def stream_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_gate",
-    """SELECT event_type AS symbol, 'accepted' AS verdict, count(*) AS n FROM events GROUP BY 1""",
+    """SELECT event_type AS symbol, 'accepted' AS verdict, count(*) AS n FROM events WHERE value > 0 GROUP BY 1""",
 )
 def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of a state per symbol; ticks of the tables arrive in order."""

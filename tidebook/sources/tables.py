@@ -11,8 +11,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as ticks: symbol, ts, price, volume, event_id, user_id."""
-    return table(spark, sf_dir, "events").select(
+    """events as ticks: symbol, ts, price, volume, event_id, user_id; values that are no price are left out."""
+    return table(spark, sf_dir, "events").where("value > 0").select(
         F.col("event_type").alias("symbol"),
         F.col("ts").cast("timestamp_ntz").alias("ts"),
         F.col("value").alias("price"),

@@ -13,7 +13,7 @@ TICK_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type str
 def tick_stream(spark: SparkSession, folder: str, pattern: str = "events*.parquet") -> DataFrame:
     """Tick files as a stream; times become instants of the session's zone, as watermarks need them."""
     raw = spark.readStream.schema(TICK_SCHEMA).option("pathGlobFilter", pattern).parquet(folder)
-    return raw.select(
+    return raw.where("value > 0").select(
         F.col("event_type").alias("symbol"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("value").alias("price"),
