@@ -4,16 +4,22 @@ Lines that start with `>` marks quote; the number of marks is the level. An
 attribution line (`... wrote:`) right before a deeper level goes with its quotation. What is
 left of a message at level 0 is its own text. Quoted and own lines are normalised
 (marks off, case folded, punctuation and white space reduced to single spaces) and
-hashed. A quoted line links to the latest earlier message of the conversation that
-holds the same line as its own. The message that most of the level-1 lines link to is the
-parent, the latest of them on ties; other messages answer the one before them.
+hashed. Line breaks do not count: consecutive quoted lines of a level are joined to a passage,
+and a passage of at least LEAST words links to the latest earlier message of the
+conversation whose own words hold it in one piece, however either is wrapped. Where the
+passage as a whole is not found, its paragraphs are tried, then each line: a whole own
+line of the same words first, else words inside an own text. A line of fewer words
+links with its passage or to the same whole line. The message that most of the level-1 lines
+link to is the parent, the latest of them on ties; other messages answer the one before them.
 
 A message whose parent is not the one before it starts a branch. Reply order puts a
 branch right after its parent: the sort key of a message is the path of the parents of
 its branches, then its turn.
 
-Scale: links are found by one window over (conversation, line hash), which sees lines
-in turn order and keeps a single value; no pairs of equal lines are made. The
+Scale: links are found by one window over (conversation, line hash) or (conversation,
+passage), which sees them in turn order and keeps a single value; no pairs of equal lines
+are made. Distinct passages meet distinct own texts of their conversation by the rarest of
+their windows of LEAST words, and are then compared word by word. The
 message before, and the branch that a message belongs to, are carried over lanes of
 LANE turns and a table of lane ends, so that a conversation that holds a large share of all
 messages is spread over tasks. Branch paths need as many rounds as branches nest.
@@ -26,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidebook.llm.common import durable, let, read_table
 
-LANE = 256
+LANE, LEAST = 256, 4
 _MARKS = r"^[ \t]*>[> \t]*"
 
 
@@ -35,8 +41,47 @@ def normalised(line: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(F.regexp_replace(line, _MARKS, "")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
+def _runs(lines: Column) -> Column:
+    """Arrays of the lines that follow each other at one level."""
+    starts = F.filter(
+        F.transform(
+            lines,
+            lambda x, i: let(
+                F.get(lines, i - 1),
+                lambda b: F.when((i == 0) | (b["line"] + 1 != x["line"]) | (b["level"] != x["level"]), i),
+            ),
+        ),
+        lambda i: i.isNotNull(),
+    )
+    return let(
+        starts,
+        lambda s: F.transform(s, lambda a, k: F.slice(lines, a + 1, F.coalesce(F.get(s, k + 1), F.size(lines)) - a)),
+    )
+
+
+def _units(more: Column) -> Column:
+    """Passages, paragraphs and lines of at least LEAST words: rank (3, 2, 1), level, first and last line, text."""
+
+    def of(texts: Column) -> Column:
+        worded = F.filter(texts, lambda x: x["text"] != "")
+        unit = lambda rank: lambda r: F.struct(
+            F.lit(rank).alias("rank"),
+            F.get(r, F.lit(0))["level"].alias("level"),
+            F.get(r, F.lit(0))["line"].alias("first"),
+            F.element_at(r, -1)["line"].alias("last"),
+            F.array_join(F.transform(F.filter(r, lambda x: x["text"] != ""), lambda x: x["text"]), " ").alias("text"),
+        )
+        every = F.concat(
+            F.transform(_runs(texts), unit(3)), F.transform(let(worded, _runs), unit(2)), F.transform(worded, lambda x: unit(1)(F.array(x)))
+        )
+        return F.filter(every, lambda u: F.size(F.split(u["text"], " ")) >= LEAST)
+
+    texts = F.transform(more, lambda x: F.struct(x["level"].alias("level"), x["line"].alias("line"), normalised(x["raw"]).alias("text")))
+    return F.when(F.size(more) > 0, let(texts, of))
+
+
 def split_message(text: Column) -> Column:
-    """Struct of own text, quoted lines (level, line, hash) and hashes of own lines.
+    """Struct of own text, quoted lines (level, line, hash), hashes of own lines and quoted units.
 
     A text without quotes keeps its every character; null stays null. Lines without a
     word are never hashed.
@@ -89,32 +134,100 @@ def split_message(text: Column) -> Column:
                 .alias("own"),
                 hashes(t["more"]).alias("quoted"),
                 F.array_distinct(F.transform(hashes(t["zero"]), lambda x: x["hash"])).alias("mine"),
+                _units(t["more"]).alias("units"),
             ),
         )
 
     return F.when(text.isNotNull(), let(F.split(text, "\n"), parse))
 
 
+def _windows(text: Column) -> Column:
+    """Distinct hashes of all runs of LEAST words of a normalised text."""
+    return let(
+        F.split(text, " "),
+        lambda w: F.when(
+            F.size(w) >= LEAST,
+            F.array_distinct(
+                F.transform(F.sequence(F.lit(1), F.size(w) - LEAST + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, LEAST), " ")))
+            ),
+        ),
+    )
+
+
+def _latest(origins: DataFrame, quoted: DataFrame, key: str) -> DataFrame:
+    """`quoted` with origin: the latest earlier turn of `origins` (conv_id, turn, key) with the same key."""
+    earlier = Window.partitionBy("conv_id", key).orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    both = origins.withColumn("_tq_own", F.lit(True)).unionByName(quoted, allowMissingColumns=True)
+    found = both.withColumn("origin", F.max(F.when(F.col("_tq_own"), F.col("turn"))).over(earlier))
+    return found.where("_tq_own IS NULL").drop("_tq_own")
+
+
+def _unit_links(keyed: DataFrame) -> DataFrame:
+    """(conv_id, turn, message, level, line, wide, near): origins of a line by its passage or paragraph, and by its own words."""
+    units = durable(
+        keyed.where("size(s.units) > 0")
+        .select("conv_id", "turn", F.xxhash64("s.units").alias("message"), F.explode("s.units").alias("u"))
+        .select("conv_id", "turn", "message", "u.*")
+        .withColumn("unit", F.xxhash64("text"))
+    )
+    texts = units.select("conv_id", "unit", F.col("text").alias("quote")).distinct()
+    own = durable(
+        keyed.where("s.own <> ''")
+        .join(units.select("conv_id").distinct(), "conv_id", "left_semi")
+        .select("conv_id", "turn", normalised(F.col("s.own")).alias("body"))
+        .withColumn("body_id", F.xxhash64("body"))
+    )
+    bodies = own.select("conv_id", "body_id", "body").distinct()
+    asked = texts.select("conv_id", "unit", F.explode(_windows(F.col("quote"))).alias("window"))
+    held = durable(
+        bodies.select("conv_id", "body_id", F.explode(_windows(F.col("body"))).alias("window")).join(
+            asked.select("conv_id", "window").distinct(), ["conv_id", "window"], "left_semi"
+        )
+    )
+    spread = held.groupBy("conv_id", "window").agg(F.count(F.lit(1)).alias("n"))
+    # a unit with a window that no own text has is nowhere
+    rarest = (
+        asked.join(spread, ["conv_id", "window"], "left")
+        .groupBy("conv_id", "unit")
+        .agg(F.min_by("window", F.coalesce("n", F.lit(0))).alias("window"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
+        .where("n > 0")
+    )
+    spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    holds = (
+        rarest.join(held, ["conv_id", "window"])
+        .join(texts, ["conv_id", "unit"])
+        .join(bodies, ["conv_id", "body_id"])
+        .where(F.contains(spaced("body"), spaced("quote")))
+        .select("conv_id", "body_id", "unit")
+    )
+    origins = holds.join(own, ["conv_id", "body_id"]).select("conv_id", "turn", "unit").distinct()
+    linked = _latest(origins, units.drop("text"), "unit").where("origin IS NOT NULL")
+    lines = linked.withColumn("line", F.explode(F.sequence("first", "last")))
+    wider = F.when(F.col("rank") > 1, F.col("rank"))
+    return lines.groupBy("conv_id", "turn", "message", "level", "line").agg(
+        F.max_by("origin", wider).alias("wide"), F.max(F.when(F.col("rank") == 1, F.col("origin"))).alias("near")
+    )
+
+
 def quotation_links(parsed: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, level, line, origin) of quoted lines; origin is null where none is found.
 
     `parsed` has conv_id, turn and the struct of split_message as s.
     """
     keyed = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    quoted = keyed.select("conv_id", "turn", F.explode("s.quoted").alias("q")).select(
-        "conv_id", "turn", F.col("q.level").alias("level"), F.col("q.line").alias("line"), F.col("q.hash").alias("hash")
+    quoted = keyed.select("conv_id", "turn", F.xxhash64("s.units").alias("message"), F.explode("s.quoted").alias("q")).select(
+        "conv_id", "turn", "message", F.col("q.level").alias("level"), F.col("q.line").alias("line"), F.col("q.hash").alias("hash")
     )
     # only lines that someone quotes can be originals
     wanted = quoted.select("conv_id", "hash").distinct()
     origins = (
-        keyed.select("conv_id", "turn", F.explode("s.mine").alias("hash"))
-        .distinct()
-        .join(wanted, ["conv_id", "hash"], "left_semi")
-        .select("conv_id", "hash", "turn", F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("line"))
-    )
-    earlier = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    both = origins.unionByName(quoted).withColumn("origin", F.max(F.when(F.col("level").isNull(), F.col("turn"))).over(earlier))
-    return both.where("level IS NOT NULL").select("conv_id", "turn", "level", "line", "origin")
+        keyed.select("conv_id", "turn", F.explode("s.mine").alias("hash")).distinct().join(wanted, ["conv_id", "hash"], "left_semi")
+    )
+    return (
+        _latest(origins, quoted, "hash")
+        .join(_unit_links(keyed), ["conv_id", "turn", "message", "level", "line"], "left")
+        .select("conv_id", "turn", "level", "line", F.coalesce("wide", "origin", "near").alias("origin"))
+    )
 
 
 def _parents(links: DataFrame) -> DataFrame:
