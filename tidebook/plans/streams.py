@@ -55,9 +55,9 @@ def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("session_events")
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A paper session over hourly bars: predictions, settlements after five bars, PITs; a fold per symbol."""
+    """A paper session over hourly bars: refits, fused predictions, rulings, fills and settlements after five bars; a fold per symbol."""
     bars = tables.hourly_bars(spark, sf_dir).select(
-        "symbol", (F.col("timestamp") + F.expr("INTERVAL 1 HOUR")).cast("timestamp").alias("bar_end"), "close"
+        "symbol", (F.col("timestamp") + F.expr("INTERVAL 1 HOUR")).cast("timestamp").alias("bar_end"), "close", "volume"
     )
     out = session.session_batch(bars)
     return rounded(out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("bar_end", "settled_bar")}))

@@ -1,9 +1,19 @@
-"""A paper session as a stream: bars in, decisions and settlements out, one state per symbol.
+"""A paper session as a stream: bars in, decisions, fills and settlements out, one state per symbol.
 
-The state of a symbol is what its models have absorbed and the queue of predictions
-whose outcomes are not known yet; a bar settles what fell due, is absorbed, and
-asks for a new prediction. Bars at or before the last one handled are skipped, so
-that a restart from a checkpoint or a replayed source changes nothing.
+A bar passes these steps in order. Bars at or before the last one handled are skipped,
+so that a restart from a checkpoint or a replayed source changes nothing. The day rolls, the
+account is marked, and every prediction that is due is settled: it scores the
+reliability weights and is absorbed by the models. On schedule the models (regression on
+momentum, variance filter, regime filter) are refitted on all settled examples, which end
+a horizon before the present. Then the models predict, their answers are fused, and the
+decision is reviewed, ordered and filled in the account of the symbol.
+
+Before the first fit the variance filter alone predicts and nothing is decided. A bar
+without a usable close neither trades nor settles: what is due waits for the next usable
+bar. A bar after a longer silence than allowed is marked and settled, and then halts.
+
+Scale: one symbol is one fold. Refits read all settled examples, so the state holds three
+numbers per bar, and a series of n bars costs n / refit_every passes over them.
 """
 
 from __future__ import annotations
@@ -11,120 +21,278 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidebook.functions import filters, special
+from tidebook.config import RiskLimits
+from tidebook.functions import account, filters, special
+from tidebook.functions.features import ANNUALISER
+from tidebook.operators import trading
+from tidebook.operators.walk_forward import _Models
 from tidebook.runtime import ship_package
 
 OUTPUT = (
     "symbol string, bar_end timestamp, event string, close double, predicted_mean double, predicted_sd double, "
-    "settled_bar timestamp, outcome double, u double, n_seen long"
+    "settled_bar timestamp, outcome double, u double, n_seen long, n_rows long, "
+    "w_momentum double, w_volatility double, w_regime double, disagreement double, epistemic_variance double, "
+    "action string, reason string, target_weight double, approved_weight double, failing string, "
+    "order_id string, filled double, fill_price double, slippage double, fees double, "
+    "cash double, position double, equity double, day_start_equity double, drawdown double"
 )
 COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+MODELS = ("momentum", "volatility", "regime")
+X, LAGS = "momentum_20_1", 21
+
+
+@dataclass(frozen=True)
+class Config:
+    """What a session runs under; the limits, costs and models are those of the batch operators."""
+
+    horizon: int = 5
+    scale: float = 0.02
+    warmup: int = 300
+    refit_every: int = 50
+    starting_cash: float = 1e6
+    max_silence_days: float = 3.0
+    limits: RiskLimits = field(default_factory=RiskLimits)
+
+    def __post_init__(self) -> None:
+        if self.horizon < 1 or self.warmup < 3 or self.refit_every < 1 or self.starting_cash <= 0:
+            raise ValueError("horizon, warmup, refit_every and starting cash are too small")
 
 
 class State:
-    """What one symbol has absorbed, and its pending predictions; round-trips through JSON."""
+    """What one symbol has absorbed, its account and its pending predictions; round-trips through JSON."""
 
-    def __init__(self, horizon: int, scale: float):
-        self.horizon, self.scale = horizon, scale
-        self.filter = filters.VarianceFilter(b0=scale**2)
+    def __init__(self, symbol: str, config: Config):
+        self.symbol, self.config = symbol, config
+        self.filter = filters.VarianceFilter(b0=config.scale**2)
+        self.models = _Models(config.horizon)
+        self.reliability = filters.Reliability({m: float(-np.log(len(MODELS))) for m in MODELS})
+        self.account = account.Account(config.starting_cash)
         self.last_close: float | None = None
         self.last_bar: str | None = None
+        self.closes: list[float | None] = []
+        self.examples: list[tuple[float, float, float]] = []
         self.pending: list[dict] = []
+        self.since_refit = 0
 
     def dump(self) -> str:
-        f = self.filter
-        return json.dumps(
-            {
-                "s": f.s.tolist(), "q": f.q.tolist(), "logs": f.logs.tolist(), "n": [f.n_seen, f.n_skipped],
-                "last_close": self.last_close, "last_bar": self.last_bar, "pending": self.pending,
-            }
-        )
+        held = {
+            "filter": _of_filter(self.filter), "account": asdict(self.account),
+            "reliability": [self.reliability.logs, self.reliability.scored], "models": None,
+            "last_close": self.last_close, "last_bar": self.last_bar, "closes": self.closes,
+            "examples": self.examples, "pending": self.pending, "since_refit": self.since_refit,
+        }
+        if self.models.ready:
+            g = self.models.regime
+            p = g.parameters
+            held["models"] = {
+                "sums": self.models.sums, "variance": _of_filter(self.models.variance),
+                "regime": [[p.centre, p.drift_spread, p.persistence, p.mean_variance, p.dispersion, p.n_rows, p.prior_shape],
+                           g.belief.tolist(), g.log_likelihood, g.n_seen, g.n_skipped],
+            }
+        return json.dumps(held)
 
     @classmethod
-    def restore(cls, text: str | None, horizon: int, scale: float) -> State:
-        out = cls(horizon, scale)
+    def restore(cls, text: str | None, symbol: str, config: Config) -> State:
+        out = cls(symbol, config)
         if text:
             held = json.loads(text)
-            out.filter.s, out.filter.q, out.filter.logs = (np.array(held[k]) for k in ("s", "q", "logs"))
-            out.filter.n_seen, out.filter.n_skipped = held["n"]
-            out.last_close, out.last_bar, out.pending = held["last_close"], held["last_bar"], held["pending"]
+            out.filter = _to_filter(held["filter"])
+            out.account = account.Account(**held["account"])
+            logs, scored = held["reliability"]
+            out.reliability = filters.Reliability(logs, {k: tuple(v) for k, v in scored.items()})
+            if held["models"]:
+                parameters, belief, *rest = held["models"]["regime"]
+                out.models.sums, out.models.variance = held["models"]["sums"], _to_filter(held["models"]["variance"])
+                out.models.regime = filters.RegimeFilter(filters.RegimeParameters(*parameters), np.array(belief), *rest)
+                out.models.ready = True
+            for name in ("last_close", "last_bar", "closes", "pending", "since_refit"):
+                setattr(out, name, held[name])
+            out.examples = [tuple(e) for e in held["examples"]]
         return out
 
-    def on_bar(self, moment: pd.Timestamp, close: float | None) -> list[tuple]:
-        """Rows (event, close, mean, sd, settled bar, outcome, u, n_seen) that a bar gives rise to."""
+    def _row(self, event: str, close: float | None, **values: object) -> tuple:
+        a = self.account
+        known = {"n_seen": self.filter.n_seen, "cash": a.cash, "position": a.quantity, "equity": a.equity, "day_start_equity": a.day_start}
+        known |= {"drawdown": a.drawdown if math.isfinite(a.peak) else None}
+        values = known | values | {"event": event, "close": close}
+        return tuple(values.get(c) for c in COLUMNS[2:])
+
+    def on_bar(self, moment: pd.Timestamp, close: float | None, volume: float | None = None) -> list[tuple]:
+        """Rows of COLUMNS from the event on that a bar gives rise to."""
         stamp = moment.isoformat()
         if self.last_bar is not None and stamp <= self.last_bar:
-            return [("already_handled", close, None, None, None, None, None, self.filter.n_seen)]
+            return [self._row("already_handled", close)]
         rows: list[tuple] = []
         usable = close is not None and math.isfinite(close) and close > 0
+        volume = None if volume is None or not math.isfinite(volume) else float(volume)
+        first = self.last_bar is None
+        silence = 0.0 if first else (moment - pd.Timestamp(self.last_bar)).total_seconds() / 86_400
+        self.last_bar = stamp
+        self.account.roll(stamp[:10])
+        self.account.mark(close if usable else None)
+        if first:
+            rows.append(self._row("session_started", close))
+        rows += self._settle(close if usable else None)
+        r = math.log(close / self.last_close) if usable and self.last_close else None
+        self.filter.observe(r)
+        self.closes = [*self.closes, close if usable else None][-LAGS - 1 :]
+        if not usable:
+            return [*rows, self._row("halted", close, failing="price")]
+        self.last_close = close
+        rows += self._refit(close)
+        asked = {"bar": stamp, "close": close, "left": self.config.horizon, "r": r, "x": self._momentum(), "answers": None}
+        self.pending.append(asked)
+        halted = ["feed"] * (silence > self.config.max_silence_days) + ["account"] * (self.account.equity <= 0)
+        if halted:
+            return [*rows, self._row("halted", close, failing=",".join(halted))]
+        return [*rows, self._act(asked, volume)]
+
+    def _momentum(self) -> float | None:
+        if len(self.closes) <= LAGS or self.closes[-2] is None or self.closes[0] is None:
+            return None
+        return math.log(self.closes[-2] / self.closes[0])
+
+    def _settle(self, close: float | None) -> list[tuple]:
+        """Scores and absorbs every prediction that is due; without a usable close they wait."""
+        rows = []
         for p in self.pending:
             p["left"] -= 1
-        if self.pending and self.pending[0]["left"] <= 0:
+        while close is not None and self.pending and self.pending[0]["left"] <= 0:
             due = self.pending.pop(0)
-            if usable:
-                outcome = math.log(close / due["close"])
-                mixture = tuple(np.array(v) for v in zip(*due["mixture"], strict=True))
-                u = float(special.mixture_cdf(outcome, mixture))
-                rows.append(("settled", close, None, None, pd.Timestamp(due["bar"]), outcome, u, self.filter.n_seen))
-        r = math.log(close / self.last_close) if usable and self.last_close else None
-        self.filter.observe(r)
-        self.last_bar = stamp
-        if usable:
-            self.last_close = close
-            parts, _ = self.filter.predictive(self.horizon)
-            self.pending.append({"bar": stamp, "close": close, "mixture": parts, "left": self.horizon})
-            w, loc, scale, df = (np.array(v) for v in zip(*parts, strict=True))
-            mean = float((w * loc).sum())
-            finite = np.where(df > 2, scale**2 * df / np.maximum(df - 2, 1e-12), np.inf)
-            sd = float(np.sqrt((w * (finite + (loc - mean) ** 2)).sum()))
-            rows.append(("bar", close, mean, sd if math.isfinite(sd) else None, None, None, None, self.filter.n_seen))
-        else:
-            rows.append(("bar", close, None, None, None, None, None, self.filter.n_seen))
+            outcome = math.log(close / due["close"])
+            if due["r"] is not None and due["x"] is not None:
+                self.examples.append((due["x"], outcome, due["r"]))
+                if self.models.ready:
+                    self.models.update(SimpleNamespace(forward_log_return=outcome, r=due["r"], **{X: due["x"]}), X)
+            if due["answers"] is None:
+                continue
+            answers = {m: parts for m, (parts, _) in due["answers"].items()}
+            weights = due["weights"]
+            if set(answers) == set(MODELS):
+                self.reliability.score({m: float(special.mixture_logpdf(outcome, _mixture(parts))) for m, parts in answers.items()})
+            pooled, _, _ = account.pool(due["answers"], weights)
+            u = float(special.mixture_cdf(outcome, _mixture(pooled)))
+            rows.append(self._row("settled", close, settled_bar=pd.Timestamp(due["bar"]), outcome=outcome, u=u))
         return rows
 
+    def _refit(self, close: float) -> list[tuple]:
+        self.since_refit += 1
+        if (self.models.ready and self.since_refit < self.config.refit_every) or len(self.examples) < self.config.warmup:
+            return []
+        table = pd.DataFrame(self.examples, columns=[X, "forward_log_return", "r"])
+        self.models.fit(table, len(table), X)
+        self.since_refit = 0
+        return [self._row("refit", close, n_rows=len(table))]
+
+    def _act(self, asked: dict, volume: float | None) -> tuple:
+        """Predicts, fuses, decides, reviews and fills; the row holds what each step said."""
+        c, close = self.config, asked["close"]
+        if not self.models.ready:
+            asked["answers"], asked["weights"] = {"volatility": self.filter.predictive(c.horizon)}, {"volatility": 1.0}
+        elif asked["x"] is None:
+            return self._row("bar", close, reason="no_features")
+        else:
+            asked["answers"] = self.models.predict(SimpleNamespace(**{X: asked["x"]}), X)
+            asked["weights"] = self.reliability.weights()
+        parts, epistemic, disagreement = account.pool(asked["answers"], asked["weights"])
+        mean, variance, _ = account.moments(parts)
+        sd = math.sqrt(variance)
+        said = {"predicted_mean": mean, "predicted_sd": sd if math.isfinite(sd) else None}
+        said |= {f"w_{m}": w for m, w in asked["weights"].items()}
+        if not self.models.ready:
+            return self._row("bar", close, **said)
+        action, reason, target = account.decide(parts, epistemic, c.limits, trading.FLOOR_DOWNSIDE, trading.TAIL)
+        a = self.account
+        approved, failed = a.review(action, target, sd * ANNUALISER, None if volume is None else volume * close, c.limits)
+        said |= {"disagreement": disagreement, "epistemic_variance": epistemic, "action": action, "reason": reason}
+        said |= {"target_weight": target, "approved_weight": approved, "failing": ",".join(failed) or None, "filled": 0.0}
+        if approved > 0:
+            a.n_orders += 1
+            said["order_id"] = f"{self.symbol}-{a.n_orders:08d}"
+            done = a.fill(
+                self.symbol, action, approved * a.equity / close, close, volume, trading.COMMISSION, trading.SLIPPAGE, trading.PARTICIPATION
+            )
+            if done is None:
+                said["failing"] = "rejected"
+            else:
+                quantity, price, fees = done
+                said |= {"filled": quantity if action == "buy" else -quantity, "fill_price": price, "slippage": price - close, "fees": fees}
+        return self._row("bar", close, **said)
+
+
+def _of_filter(f: filters.VarianceFilter) -> list:
+    return [f.mu, f.a0, f.b0, f.s.tolist(), f.q.tolist(), f.logs.tolist(), f.n_seen, f.n_skipped]
+
+
+def _to_filter(held: list) -> filters.VarianceFilter:
+    mu, a0, b0, s, q, logs, n_seen, n_skipped = held
+    return filters.VarianceFilter(mu, a0, b0, np.array(s), np.array(q), np.array(logs), n_seen, n_skipped)
+
+
+def _mixture(parts: list) -> special.Mixture:
+    return tuple(np.array(v, float) for v in zip(*parts, strict=True))
+
+
+def _events(state: State, bars: pd.DataFrame) -> pd.DataFrame:
+    ordered = bars.sort_values("bar_end", kind="stable")
+    volumes = [None if pd.isna(v) else v for v in ordered.volume]
+    closes = [None if pd.isna(v) else v for v in ordered.close]
+    out = [
+        (state.symbol, moment, *row)
+        for moment, close, volume in zip(ordered.bar_end, closes, volumes, strict=True)
+        for row in state.on_bar(moment, close, volume)
+    ]
+    return pd.DataFrame(out, columns=COLUMNS)
+
 
 class Session(StatefulProcessor):
-    def __init__(self, horizon: int, scale: float):
-        self.horizon, self.scale = horizon, scale
+    def __init__(self, config: Config):
+        self.config = config
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("session", "state string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         text = self.held.get()[0] if self.held.exists() else None
-        state = State.restore(text, self.horizon, self.scale)
-        bars = pd.concat(list(rows)).sort_values("bar_end", kind="stable")
-        out = [(key[0], r.bar_end, *row) for r in bars.itertuples() for row in state.on_bar(r.bar_end, r.close)]
+        state = State.restore(text, key[0], self.config)
+        events = _events(state, pd.concat(list(rows)))
         self.held.update((state.dump(),))
-        events = [(symbol, moment, *rest) for symbol, moment, *rest in out]
-        yield pd.DataFrame(events, columns=COLUMNS)
+        yield events
 
     def close(self) -> None:
         pass
 
 
-def session_stream(bars: DataFrame, horizon: int = 5, scale: float = 0.02) -> DataFrame:
-    """Events of a stream of bars (symbol, bar_end, close)."""
+def _slim(bars: DataFrame) -> DataFrame:
+    """Bars without a volume column have no turnover to check and none that bounds a fill."""
+    volume = F.col("volume").cast("double") if "volume" in bars.columns else F.lit(None).cast("double").alias("volume")
+    return bars.select("symbol", "bar_end", "close", volume.alias("volume"))
+
+
+def session_stream(bars: DataFrame, horizon: int = 5, scale: float = 0.02, **config: object) -> DataFrame:
+    """Events of a stream of bars (symbol, bar_end, close and, where known, volume)."""
     ship_package()
-    return bars.select("symbol", "bar_end", "close").groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=Session(horizon, scale), outputStructType=OUTPUT, outputMode="append", timeMode="None"
+    processor = Session(Config(horizon, scale, **config))
+    return _slim(bars).groupBy("symbol").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=OUTPUT, outputMode="append", timeMode="None"
     )
 
 
-def session_batch(bars: DataFrame, horizon: int = 5, scale: float = 0.02) -> DataFrame:
+def session_batch(bars: DataFrame, horizon: int = 5, scale: float = 0.02, **config: object) -> DataFrame:
     """The same events from a table of bars, by the same state."""
     ship_package()
+    held = Config(horizon, scale, **config)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = State(horizon, scale)
-        pdf = pdf.sort_values("bar_end", kind="stable")
-        out = [(r.symbol, r.bar_end, *row) for r in pdf.itertuples() for row in state.on_bar(r.bar_end, r.close)]
-        return pd.DataFrame(out, columns=COLUMNS)
+        return _events(State(pdf.symbol.iloc[0], held), pdf)
 
-    return bars.select("symbol", "bar_end", "close").groupBy("symbol").applyInPandas(run, OUTPUT)
+    return _slim(bars).groupBy("symbol").applyInPandas(run, OUTPUT)
