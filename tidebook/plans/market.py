@@ -248,10 +248,22 @@ GAP_SQL = f"""WITH {SHIPMENTS}, g AS (SELECT symbol, timestamp AS "at", lag(time
 
 @query("quality_calendar_gap", GAP_SQL)
 def quality_calendar_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mondays only, so that most neighbours are gaps."""
+    """Mondays only, so that most neighbours are gaps; quality_calendar_gap_all checks every bar."""
     return quality.calendar_gaps(tables.shipment_bars(spark, sf_dir).where(F.weekday("timestamp") == 0))
 
 
+@query(
+    "quality_calendar_gap_all",
+    f"""WITH {SHIPMENTS}, g AS (SELECT symbol, timestamp AS "at", lag(timestamp::DATE) OVER (PARTITION BY symbol ORDER BY timestamp) AS a,
+        timestamp::DATE AS b FROM bars),
+        n AS (SELECT symbol, "at", len(list_filter(range(1, b - a), lambda i: isodow(a + i::INT) <= 5)) AS observed FROM g WHERE a IS NOT NULL)
+        SELECT 'calendar_gap' AS check, 'warning' AS severity, symbol, "at", observed::DOUBLE AS observed FROM n WHERE observed > 5""",
+)
+def quality_calendar_gap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gaps of the whole table."""
+    return quality.calendar_gaps(tables.shipment_bars(spark, sf_dir))
+
+
 @query(
     "quality_zero_volume",
     f"""WITH {HOURLY}, x AS (SELECT symbol, count(*) FILTER (volume = 0) AS z, count(*) AS n FROM bars GROUP BY symbol)
