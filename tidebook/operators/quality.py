@@ -108,12 +108,12 @@ def price_jumps(bars: DataFrame, sigmas: float = SPIKE_SIGMAS) -> DataFrame:
     )
 
 
-def report(bars: DataFrame, arrival: str, calendar: TradingCalendar | None = None) -> DataFrame:
+def report(bars: DataFrame, arrival: str, calendar: TradingCalendar | None = None, least: int = MIN_BARS) -> DataFrame:
     """All findings of all checks."""
     parts = [
         duplicates(bars),
         unordered(bars, arrival),
-        insufficient_history(bars),
+        insufficient_history(bars, least),
         calendar_gaps(bars, calendar),
         zero_volume(bars),
         stale_prices(bars),

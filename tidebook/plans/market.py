@@ -335,6 +335,38 @@ def quality_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
                0::BIGINT AS n_info, NOT (n < 31 OR z > n // 10) AS is_usable FROM n""",
 )
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of two checks, as its SQL has them; quality_verdict unites all seven."""
     bars = tables.daily_bars(spark, sf_dir)
     findings = quality.insufficient_history(bars, 31).unionByName(quality.zero_volume(bars))
     return quality.summary(findings, bars)
+
+
+@query(
+    "quality_verdict",
+    f"""WITH {HOURLY}, o AS (SELECT *, timestamp AS arrival, row_number() OVER w AS i, lag(timestamp) OVER w AS before,
+            lag(close) OVER w AS last, ln(close / lag(close) OVER w) AS r FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)),
+        dup AS (SELECT symbol, 'error' AS severity FROM bars GROUP BY symbol, timestamp HAVING count(*) > 1),
+        back AS (SELECT symbol, timestamp < lag(timestamp) OVER (PARTITION BY symbol ORDER BY arrival) AS back FROM o),
+        uno AS (SELECT symbol, 'info' AS severity FROM back GROUP BY symbol HAVING count(*) FILTER (back) > 0),
+        few AS (SELECT symbol, 'error' AS severity FROM bars GROUP BY symbol HAVING count(*) < 30),
+        gap AS (SELECT symbol, 'warning' AS severity FROM o WHERE before IS NOT NULL
+            AND len(list_filter(range(1, timestamp::DATE - before::DATE), lambda k: isodow(before::DATE + k::INT) <= 5)) > 5),
+        vol AS (SELECT symbol, CASE WHEN count(*) FILTER (volume = 0) > count(*) // 10 THEN 'error' ELSE 'warning' END AS severity
+            FROM bars GROUP BY symbol HAVING count(*) FILTER (volume = 0) > 0),
+        isl AS (SELECT symbol, sum(CASE WHEN close = last THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY timestamp) AS island FROM o),
+        sta AS (SELECT symbol, 'warning' AS severity FROM isl GROUP BY symbol, island HAVING count(*) >= 5),
+        med AS (SELECT symbol, median(r) AS m, count(r) AS n FROM o GROUP BY symbol),
+        mad AS (SELECT symbol, median(abs(r - m)) AS d FROM o JOIN med USING (symbol) GROUP BY symbol),
+        jmp AS (SELECT symbol, CASE WHEN len(list_filter([1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 10.0], lambda v: abs(abs(r) - ln(v)) <= 0.08)) > 0
+            THEN 'error' ELSE 'warning' END AS severity
+            FROM o JOIN med USING (symbol) JOIN mad USING (symbol) WHERE d > 0 AND n >= 2 AND abs(r - m) / (1.4826 * d) >= 12),
+        f AS (SELECT * FROM dup UNION ALL SELECT * FROM uno UNION ALL SELECT * FROM few UNION ALL SELECT * FROM gap UNION ALL SELECT * FROM vol
+            UNION ALL SELECT * FROM sta UNION ALL SELECT * FROM jmp)
+        SELECT s.symbol, count(*) FILTER (severity = 'error') AS n_error, count(*) FILTER (severity = 'warning') AS n_warning,
+               count(*) FILTER (severity = 'info') AS n_info, count(*) FILTER (severity = 'error') = 0 AS is_usable
+        FROM (SELECT DISTINCT symbol FROM bars) s LEFT JOIN f USING (symbol) GROUP BY s.symbol""",
+)
+def quality_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven checks over all hourly bars; aggregated bars arrive in the order of their stamps."""
+    bars = tables.hourly_bars(spark, sf_dir).withColumn("arrival", F.col("timestamp"))
+    return quality.summary(quality.report(bars, "arrival"), bars)
