@@ -256,15 +256,30 @@ def minimal_set() -> list[Feature]:
 
 def default_set() -> list[Feature]:
     """Twenty-one features whose longest lookback is 140 bars."""
+    # The standard set and its parameters.
     return [
-        log_return(1), log_return(5), log_return(20),
-        momentum(20, 1), momentum(60, 5), momentum(120, 20),
-        price_to_moving_average(20), price_to_moving_average(50), moving_average_spread(12, 26),
-        relative_strength_index(14), price_z_score(20), drawdown_from_high(60),
-        trend_slope(20), trend_quality(20),
-        realised_volatility(20), volatility_ratio(5, 60), parkinson_volatility(20), average_true_range(14),
-        relative_volume(20), median_turnover(20), amihud_illiquidity(20),
-    ]
+        log_return(1),
+        log_return(5),
+        momentum(60, 5),
+        momentum(120, 20),
+        price_to_moving_average(50),
+        moving_average_spread(12, 26),
+        trend_slope(60),
+        trend_quality(60),
+        price_z_score(20),
+        relative_strength_index(14),
+        drawdown_from_high(120),
+        realised_volatility(20),
+        ewma_volatility(20),
+        parkinson_volatility(20),
+        downside_volatility(60),
+        volatility_ratio(10, 120),
+        average_true_range(14),
+        relative_volume(20),
+        volume_z_score(60),
+        median_turnover(20),
+        amihud_illiquidity(20),
+    ]
 
 
 def lookback(features: list[Feature]) -> int:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions import features as f
 from tidebook.operators import series
-from tidebook.plans.registry import HOURLY, query, r, rounded
+from tidebook.plans.registry import HOURLY, SHIPMENTS, query, r, rounded
 from tidebook.sources import tables
 
 W = "PARTITION BY symbol ORDER BY timestamp"
@@ -38,54 +40,80 @@ def ema(x: str, n: int) -> str:
 
 A = "15.874507866387544"  # root of 252
 LN2 = "0.6931471805599453"
-SQL: dict[str, tuple[int, str]] = {
-    "log_return_1": (1, f"lc - {lag('lc', 1)}"),
-    "log_return_5": (5, f"lc - {lag('lc', 5)}"),
-    "log_return_20": (20, f"lc - {lag('lc', 20)}"),
-    "return_1": (1, "close / pc - 1"),
-    "sma_20": (19, over("avg(close)", 20)),
-    "ema_20": (59, ema("close", 20)),
-    "close_to_sma_20": (19, f"lc - ln({over('avg(close)', 20)})"),
-    "close_to_sma_50": (49, f"lc - ln({over('avg(close)', 50)})"),
-    "close_to_ema_20": (59, f"lc - ln({ema('close', 20)})"),
-    "ema_spread_12_26": (77, f"ln({ema('close', 12)} / {ema('close', 26)})"),
-    "sma_spread_12_26": (25, f"ln({over('avg(close)', 12)} / {over('avg(close)', 26)})"),
-    "momentum_20_1": (21, f"{lag('lc', 1)} - {lag('lc', 21)}"),
-    "momentum_60_5": (65, f"{lag('lc', 5)} - {lag('lc', 65)}"),
-    "momentum_120_20": (140, f"{lag('lc', 20)} - {lag('lc', 140)}"),
-    "momentum_10": (10, f"lc - {lag('lc', 10)}"),
-    "rsi_14": (
-        14,
-        f"CASE WHEN {over('avg(greatest(ch, 0))', 14)} = 0 AND {over('avg(greatest(-ch, 0))', 14)} = 0 THEN 50.0 "
-        f"WHEN {over('avg(greatest(-ch, 0))', 14)} = 0 THEN 100.0 "
-        f"ELSE 100 - 100 / (1 + {over('avg(greatest(ch, 0))', 14)} / {over('avg(greatest(-ch, 0))', 14)}) END",
-    ),
-    "price_zscore_20": (19, f"CASE WHEN NOT {flat('lc', 20)} THEN (lc - {over('avg(lc)', 20)}) / {over('stddev_samp(lc)', 20)} END"),
-    "drawdown_60": (59, f"ln(close / {over('max(high)', 60)})"),
-    "trend_slope_20": (19, f"CASE WHEN {flat('lc', 20)} THEN 0.0 ELSE {over('regr_slope(lc, n::DOUBLE)', 20)} END"),
-    "trend_quality_20": (19, f"CASE WHEN NOT {flat('lc', 20)} THEN least(1.0, {over('regr_r2(lc, n::DOUBLE)', 20)}) END"),
-    "volatility_20": (20, f"{over('stddev_samp(r)', 20)} * {A}"),
-    "ewma_volatility_20": (60, f"sqrt({ema('r * r', 20)}) * {A}"),
-    "parkinson_volatility_20": (19, f"CASE WHEN {over('avg(ln(high / low) ** 2)', 20)} > 0 THEN sqrt({over('avg(ln(high / low) ** 2)', 20)} / (4 * {LN2})) * {A} END"),
-    "garman_klass_volatility_20": (
-        19,
-        f"CASE WHEN {over(f'avg(0.5 * ln(high / low) ** 2 - (2 * {LN2} - 1) * ln(close / open) ** 2)', 20)} > 0 THEN "
-        f"sqrt(greatest({over(f'avg(0.5 * ln(high / low) ** 2 - (2 * {LN2} - 1) * ln(close / open) ** 2)', 20)}, 0)) * {A} END",
-    ),
-    "downside_volatility_20": (20, f"sqrt({over('avg(least(r, 0) ** 2)', 20)}) * {A}"),
-    "volatility_ratio_5_60": (60, f"CASE WHEN {over('stddev_samp(r)', 5)} > 0 AND {over('stddev_samp(r)', 60)} > 0 THEN ln({over('stddev_samp(r)', 5)} / {over('stddev_samp(r)', 60)}) END"),
-    "atr_pct_14": (14, f"{over('avg(tr)', 14)} / close"),
-    "relative_volume_20": (19, f"CASE WHEN {over('median(volume)', 20)} > 0 AND volume > 0 THEN ln(volume / {over('median(volume)', 20)}) END"),
-    "volume_zscore_20": (19, f"CASE WHEN {over('min(volume)', 20)} > 0 AND {over('stddev_samp(lv)', 20)} > 0 THEN (lv - {over('avg(lv)', 20)}) / {over('stddev_samp(lv)', 20)} END"),
-    "turnover_median_20": (19, over("median(tv)", 20)),
-    "amihud_20": (20, f"{over('avg(CASE WHEN tv > 0 THEN abs(r) / tv END)', 20)} * 1e6"),
+
+def _ratio(x: str, y: str) -> str:
+    return f"CASE WHEN {x} > 0 AND {y} > 0 THEN ln({x} / {y}) END"
+
+
+def _rsi(n: int) -> str:
+    up, down = over("avg(greatest(ch, 0))", n), over("avg(greatest(-ch, 0))", n)
+    return f"CASE WHEN {up} = 0 AND {down} = 0 THEN 50.0 WHEN {down} = 0 THEN 100.0 ELSE 100 - 100 / (1 + {up} / {down}) END"
+
+
+def _zscore(n: int) -> str:
+    return f"CASE WHEN NOT {flat('lc', n)} THEN (lc - {over('avg(lc)', n)}) / {over('stddev_samp(lc)', n)} END"
+
+
+def _parkinson(n: int) -> str:
+    x = over("avg(ln(high / low) ** 2)", n)
+    return f"CASE WHEN {x} > 0 THEN sqrt({x} / (4 * {LN2})) * {A} END"
+
+
+def _garman_klass(n: int) -> str:
+    x = over(f"avg(0.5 * ln(high / low) ** 2 - (2 * {LN2} - 1) * ln(close / open) ** 2)", n)
+    return f"CASE WHEN {x} > 0 THEN sqrt(greatest({x}, 0)) * {A} END"
+
+
+def _volume_zscore(n: int) -> str:
+    sd = over("stddev_samp(lv)", n)
+    return f"CASE WHEN {over('min(volume)', n)} > 0 AND {sd} > 0 THEN (lv - {over('avg(lv)', n)}) / {sd} END"
+
+
+def _relative_volume(n: int) -> str:
+    x = over("median(volume)", n)
+    return f"CASE WHEN {x} > 0 AND volume > 0 THEN ln(volume / {x}) END"
+
+
+#: Lookback and SQL of a feature by the stem of its name and its parameters.
+BUILDERS: dict[str, Callable[..., tuple[int, str]]] = {
+    "log_return": lambda n: (n, f"lc - {lag('lc', n)}"),
+    "return": lambda n: (n, f"close / {lag('close', n)} - 1"),
+    "sma": lambda n: (n - 1, over("avg(close)", n)),
+    "ema": lambda n: (3 * n - 1, ema("close", n)),
+    "close_to_sma": lambda n: (n - 1, f"lc - ln({over('avg(close)', n)})"),
+    "close_to_ema": lambda n: (3 * n - 1, f"lc - ln({ema('close', n)})"),
+    "ema_spread": lambda a, b: (3 * b - 1, f"ln({ema('close', a)} / {ema('close', b)})"),
+    "sma_spread": lambda a, b: (b - 1, f"ln({over('avg(close)', a)} / {over('avg(close)', b)})"),
+    "momentum": lambda n, skip=0: (n + skip, f"{lag('lc', skip)} - {lag('lc', n + skip)}"),
+    "rsi": lambda n: (n, _rsi(n)),
+    "price_zscore": lambda n: (n - 1, _zscore(n)),
+    "drawdown": lambda n: (n - 1, f"ln(close / {over('max(high)', n)})"),
+    "trend_slope": lambda n: (n - 1, f"CASE WHEN {flat('lc', n)} THEN 0.0 ELSE {over('regr_slope(lc, n::DOUBLE)', n)} END"),
+    "trend_quality": lambda n: (n - 1, f"CASE WHEN NOT {flat('lc', n)} THEN least(1.0, {over('regr_r2(lc, n::DOUBLE)', n)}) END"),
+    "volatility": lambda n: (n, f"{over('stddev_samp(r)', n)} * {A}"),
+    "ewma_volatility": lambda n: (3 * n, f"sqrt({ema('r * r', n)}) * {A}"),
+    "parkinson_volatility": lambda n: (n - 1, _parkinson(n)),
+    "garman_klass_volatility": lambda n: (n - 1, _garman_klass(n)),
+    "downside_volatility": lambda n: (n, f"sqrt({over('avg(least(r, 0) ** 2)', n)}) * {A}"),
+    "volatility_ratio": lambda a, b: (b, _ratio(over("stddev_samp(r)", a), over("stddev_samp(r)", b))),
+    "atr_pct": lambda n: (n, f"{over('avg(tr)', n)} / close"),
+    "relative_volume": lambda n: (n - 1, _relative_volume(n)),
+    "volume_zscore": lambda n: (n - 1, _volume_zscore(n)),
+    "turnover_median": lambda n: (n - 1, over("median(tv)", n)),
+    "amihud": lambda n: (n, f"{over('avg(CASE WHEN tv > 0 THEN abs(r) / tv END)', n)} * 1e6"),
 }
 
 
-def sql_of(found: list[f.Feature], extra: str = "") -> str:
+def sql_for(name: str) -> tuple[int, str]:
+    parts = name.split("_")
+    numbers = [int(x) for x in parts if x.isdigit()]
+    return BUILDERS["_".join(x for x in parts if not x.isdigit())](*numbers)
+
+
+def sql_of(found: list[f.Feature], base: str = BASE) -> str:
     need = f.lookback(found) + 1
-    columns = ", ".join(r(f"CASE WHEN n >= {SQL[x.name][0] + 1} THEN {SQL[x.name][1]} END", x.name) for x in found)
-    return f"{BASE} SELECT symbol, timestamp, least(n, {need})::INT AS n_bars{extra}, {columns} FROM b"
+    columns = ", ".join(r(f"CASE WHEN n >= {sql_for(x.name)[0] + 1} THEN {sql_for(x.name)[1]} END", x.name) for x in found)
+    return f"{base} SELECT symbol, timestamp, least(n, {need})::INT AS n_bars, {columns} FROM b"
 
 
 def _walk(spark: SparkSession, sf_dir: str, found: list[f.Feature], chunk: int | None = None) -> DataFrame:
@@ -107,13 +135,31 @@ GROUPS: dict[str, list[f.Feature]] = {
 def _register(name: str, found: list[f.Feature]) -> None:
     @query(name, sql_of(found))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _walk(spark, sf_dir, found)
+        return _walk(spark, sf_dir, found, chunk=512)
 
 
 for _name, _found in GROUPS.items():
     _register(_name, _found)
 
 
+#: Every family once more with other parameters.
+OTHER = [
+    f.log_return(3), f.simple_return(7), f.moving_average(7), f.moving_average(7, True), f.price_to_moving_average(35), f.price_to_moving_average(9, True),
+    f.moving_average_spread(5, 17), f.moving_average_spread(5, 17, False), f.momentum(30, 3), f.momentum(8, 0), f.relative_strength_index(9),
+    f.price_z_score(45), f.drawdown_from_high(30), f.trend_slope(33), f.trend_quality(33), f.realised_volatility(10), f.ewma_volatility(11),
+    f.parkinson_volatility(8), f.garman_klass_volatility(12), f.downside_volatility(31), f.volatility_ratio(7, 40), f.average_true_range(5),
+    f.relative_volume(9), f.volume_z_score(13), f.median_turnover(6), f.amihud_illiquidity(15),
+]
+_register("features_other_parameters", OTHER)
+SHIPMENT_BASE = BASE.replace(HOURLY, SHIPMENTS)
+
+
+@query("features_shipments", sql_of(f.default_set(), SHIPMENT_BASE))
+def features_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The standard set over daily bars with gaps, of one long series per part type."""
+    return rounded(series.feature_walk(tables.shipment_bars(spark, sf_dir), f.default_set(), chunk=512))
+
+
 @query("features_default", sql_of(f.default_set()))
 def features_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: twenty-one features at every hourly bar, each symbol spread over chunks of 512 bars."""
