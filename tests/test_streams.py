@@ -1,5 +1,10 @@
 """Streams against the batch form of the same operator."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -39,6 +44,57 @@ def test_gate_stream_equals_verdicts(spark, tmp_path):
     assert got == want and sorted(got.values()).count("accepted") == 4
 
 
+def ticks_of(rows, spark):
+    return spark.createDataFrame(rows, "symbol string, s int, event_id long").select(
+        "symbol", F.timestamp_seconds("s").alias("ts"), "event_id", F.col("s").cast("double").alias("price"), F.lit(2.0).alias("volume")
+    )
+
+
+def test_gate_stream_orders_a_whole_micro_batch(spark, tmp_path):
+    """More rows of one symbol than an Arrow batch holds, in a file against their order of arrival."""
+    n = 25_000
+    rows = spark.range(n).select(
+        F.lit("a").alias("symbol"), F.timestamp_seconds(n - F.col("id")).alias("ts"), (n - F.col("id")).alias("event_id"),
+        F.lit(1.0).alias("price"), F.lit(1.0).alias("volume"),
+    )
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = gate.gate_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    ohlcv.run_available(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert spark.read.parquet(str(tmp_path / "out")).where("verdict = 'accepted'").count() == n
+
+
+def test_bars_stream_counts_what_it_refuses_and_flushes_what_is_open(spark, tmp_path):
+    """Two batches: the slow symbol's ticks are far behind the fast one's clock and still make bars."""
+    first = [("fast", 10, 1), ("fast", 7300, 2), ("slow", 5, 3), ("slow", 5, 4)]
+    second = [("slow", 40, 5), ("slow", 20, 6), ("slow", 3700, 7), ("fast", 7301, 8)]
+    schema = ticks_of(first, spark).schema
+    for part in (first, second):
+        ticks_of(part, spark).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = ohlcv.bars_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        ohlcv.run_available(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    key = lambda df: sorted((r.symbol, r.bar_start.hour, r.open, r.high, r.low, r.close, r.volume, r.n_ticks, r.n_duplicates, r.n_out_of_order) for r in df.collect())
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == [("fast", 0, 10.0, 10.0, 10.0, 10.0, 2.0, 1, 0, 0), ("slow", 0, 5.0, 40.0, 5.0, 40.0, 4.0, 2, 1, 1)]
+    assert key(ohlcv.open_bars(spark, str(tmp_path / "checkpoint"))) == [
+        ("fast", 2, 7300.0, 7301.0, 7300.0, 7301.0, 4.0, 2, 0, 0), ("slow", 1, 3700.0, 3700.0, 3700.0, 3700.0, 2.0, 1, 1, 1),
+    ]
+
+
+def test_state_streams_run_from_any_folder(sf, tmp_path):
+    """A process that has the package on sys.path alone, in another working folder."""
+    root = Path(__file__).resolve().parents[1]
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+from tidebook.streaming import gate, ohlcv
+ohlcv.run_available(gate.gate_stream(ohlcv.tick_stream(spark, {sf!r})), "out", "checkpoint")
+print("rows", spark.read.parquet("out").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "rows 1" in done.stdout, done.stderr[-2000:]
+
+
 def test_staleness(spark):
     rows = spark.createDataFrame([("a", "2024-01-01 00:00:00")], "symbol string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert gate.staleness(rows, "2024-01-01 00:05:00", 60).first().stale is True

@@ -7,49 +7,69 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.plans.registry import HOURLY, query, r, rounded
+from tidebook.plans.registry import TICKS, query, r, rounded
 from tidebook.runtime import shared_dir
 from tidebook.sources import tables
 from tidebook.streaming import gate, ohlcv, session
 
 
-def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
+#: Ticks as they arrive: each six times, those of every eleventh event late, in SQL.
+COPIES = 6
+ARRIVING = f"""{TICKS}, ar AS (SELECT symbol, ts, price, volume,
+        (event_id + CASE WHEN event_id % 11 = 0 THEN 7 ELSE 0 END) * 100 + CASE WHEN event_id % 11 = 0 THEN 50 ELSE 0 END + k AS arrival
+        FROM ticks, (SELECT unnest(range({COPIES})) AS k)),
+    v AS (SELECT *, max(ts) OVER (PARTITION BY symbol ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ar),
+    j AS (SELECT *, CASE WHEN ts < seen THEN 'out_of_order' WHEN ts = seen THEN 'duplicate' ELSE 'accepted' END AS verdict FROM v)"""
+
+
+def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of late and repeated ticks; event_id is the order of arrival, which is not that of the file."""
+    late = F.col("event_id") % 11 == 0
+    base = (F.col("event_id") + F.when(late, 7).otherwise(0)) * 100 + F.when(late, 50).otherwise(0)
+    copies = F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))
+    return ohlcv.tick_stream(spark, sf_dir).withColumn("k", copies).withColumn("event_id", base + F.col("k")).drop("k")
+
+
+def _run(spark: SparkSession, stream: DataFrame) -> tuple[DataFrame, str]:
+    """What the stream wrote, and its checkpoint."""
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     ohlcv.run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out"), f"{folder}/checkpoint"
 
 
-@query(
-    "stream_ohlcv",
-    f"""WITH {HOURLY} SELECT symbol, timestamp AS bar_start, {r("open", "open")}, {r("high", "high")}, {r("low", "low")}, {r("close", "close")}, {r("volume", "volume")}
-        FROM bars WHERE timestamp + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ticks)""",
-)
+FEED_BARS = f"""WITH {ARRIVING}, good AS (SELECT *, date_trunc('hour', ts) AS bar_start FROM j WHERE verdict = 'accepted'),
+    bars AS (SELECT symbol, bar_start, first(price ORDER BY arrival) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY arrival) AS close,
+                    sum(volume) AS volume, count(*) AS n_ticks FROM good GROUP BY 1, 2),
+    ends AS (SELECT symbol, max(bar_start) AS final FROM bars GROUP BY 1)"""
+PRICES = ", ".join(r(c, c) for c in ("open", "high", "low", "close", "volume"))
+
+
+@query("stream_ohlcv", f"""{FEED_BARS} SELECT symbol, bar_start, {PRICES}, n_ticks FROM bars JOIN ends USING (symbol) WHERE bar_start < final""")
 def stream_ohlcv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars that a stream of ticks closes; the bucket that is still open at the end is not among them."""
-    bars = _run(spark, ohlcv.bars_stream(ohlcv.tick_stream(spark, sf_dir)))
-    return rounded(bars.drop("bar_end").withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz")))
+    """Bars that accepted ticks of a later bucket close; each symbol's open bar at the end is not among them."""
+    bars, _ = _run(spark, ohlcv.bars_stream(arriving(spark, sf_dir)))
+    start = F.col("bar_start").cast("timestamp_ntz")
+    return rounded(bars.withColumn("bar_start", start).select("symbol", "bar_start", "open", "high", "low", "close", "volume", "n_ticks"))
 
 
 @query(
     "stream_flush",
-    f"""WITH {HOURLY} SELECT symbol, timestamp AS bar_start, {r("close", "close")} FROM bars
-        WHERE timestamp + INTERVAL 1 HOUR > (SELECT max(ts) FROM ticks)""",
+    f"""{FEED_BARS}, c AS (SELECT symbol, count(*) FILTER (verdict = 'accepted') AS n_accepted, count(*) FILTER (verdict = 'duplicate') AS n_duplicates,
+            count(*) FILTER (verdict = 'out_of_order') AS n_out_of_order FROM j GROUP BY 1)
+        SELECT symbol, bar_start, {PRICES}, n_ticks, n_accepted, n_duplicates, n_out_of_order FROM bars JOIN ends USING (symbol) JOIN c USING (symbol)
+        WHERE bar_start = final""",
 )
 def stream_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bars that the end of a session flushes."""
-    emitted = _run(spark, ohlcv.bars_stream(ohlcv.tick_stream(spark, sf_dir)))
-    ticks = tables.ticks(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    rest = ohlcv.open_bars(ticks, emitted)
-    return rounded(rest.select("symbol", F.col("bar_start").cast("timestamp_ntz").alias("bar_start"), "close"))
+    """The bars that the end of a session flushes, read from the stream's state, with all that the gate has counted."""
+    _, checkpoint = _run(spark, ohlcv.bars_stream(arriving(spark, sf_dir)))
+    rest = ohlcv.open_bars(spark, checkpoint)
+    return rounded(rest.withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz")))
 
 
-@query(
-    "stream_gate",
-    """SELECT event_type AS symbol, 'accepted' AS verdict, count(*) AS n FROM events WHERE value > 0 GROUP BY 1""",
-)
+@query("stream_gate", f"""WITH {ARRIVING} SELECT symbol, verdict, count(*) AS n FROM j GROUP BY 1, 2""")
 def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts of a state per symbol; ticks of the tables arrive in order."""
-    out = _run(spark, gate.gate_stream(ohlcv.tick_stream(spark, sf_dir)))
+    """Verdicts of a state per symbol on late and repeated ticks."""
+    out, _ = _run(spark, gate.gate_stream(arriving(spark, sf_dir)))
     return out.groupBy("symbol", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 

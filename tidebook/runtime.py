@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -27,6 +28,9 @@ def ship_package(spark: SparkSession | None = None) -> None:
         for source in sorted(_PACKAGE.rglob("*.py")):
             z.write(source, source.relative_to(_PACKAGE.parent))
     context.addPyFile(str(archive))
+    # state processors start in a worker beside the driver, which added files do not reach
+    held = context.environment.get("PYTHONPATH")
+    context.environment["PYTHONPATH"] = os.pathsep.join([str(archive), *([held] if held else [])])
     context._tidebook_shipped = True
 
 

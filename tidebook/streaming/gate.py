@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidebook.runtime import ship_package
 
+#: Verdicts of a tick, by code.
+VERDICTS = ("accepted", "duplicate", "out_of_order")
+
 
 def verdicts(rows: DataFrame, arrival: list[str]) -> DataFrame:
     """`rows` (symbol, ts, ...) with verdict by order of arrival: accepted, out_of_order or duplicate.
@@ -43,34 +47,52 @@ def staleness(rows: DataFrame, now: str, seconds: float) -> DataFrame:
     return last.withColumn("stale", F.coalesce(age > seconds * 1e6, F.lit(True)))
 
 
+def judged(ts: np.ndarray, seen: int | None) -> tuple[np.ndarray, int | None]:
+    """Codes (0 accepted, 1 duplicate, 2 out of order) of times in order of arrival, and the latest time after them.
+
+    A tick is compared with the latest before it, `seen` included.
+    """
+    if not len(ts):
+        return np.zeros(0, np.int8), seen
+    lowest = np.iinfo(np.int64).min if seen is None else seen
+    latest = np.maximum.accumulate(np.append(lowest, ts))
+    return np.where(ts > latest[:-1], 0, np.where(ts == latest[:-1], 1, 2)).astype(np.int8), int(latest[-1])
+
+
+def micros(ts: pd.Series) -> np.ndarray:
+    """Microseconds since the epoch."""
+    return ts.to_numpy("datetime64[us]").astype(np.int64)
+
+
+def in_order(rows: Iterator[pd.DataFrame], arrival: str = "event_id") -> pd.DataFrame:
+    """All rows of a symbol in one micro-batch, by arrival; a group comes in several chunks, whose order says nothing."""
+    return pd.concat(list(rows), ignore_index=True).sort_values(arrival, kind="stable", ignore_index=True)
+
+
 class Gate(StatefulProcessor):
     """Keeps the time of each symbol's latest accepted tick; rows of one batch are taken in order of event_id."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "ts timestamp")
+        self.latest = handle.getValueState("latest", "micros long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        held = self.latest.get() if self.latest.exists() else None
-        seen = pd.Timestamp(held[0]) if held is not None else None
-        for pdf in rows:
-            pdf = pdf.sort_values("event_id", kind="stable")
-            out = []
-            for r in pdf.itertuples():
-                if seen is None or r.ts > seen:
-                    verdict, seen = "accepted", r.ts
-                else:
-                    verdict = "duplicate" if r.ts == seen else "out_of_order"
-                out.append((key[0], r.ts, r.event_id, r.price, r.volume, verdict))
-            yield pd.DataFrame(out, columns=["symbol", "ts", "event_id", "price", "volume", "verdict"])
+        batch = in_order(rows)
+        codes, seen = judged(micros(batch.ts), self.latest.get()[0] if self.latest.exists() else None)
         if seen is not None:
-            self.latest.update((seen.to_pydatetime(),))
+            self.latest.update((seen,))
+        batch["verdict"] = np.array(VERDICTS, object)[codes]
+        yield batch[["symbol", "ts", "event_id", "price", "volume", "verdict"]]
 
     def close(self) -> None:
         pass
 
 
 def gate_stream(stream: DataFrame) -> DataFrame:
-    """A stream of ticks (symbol, ts timestamp, event_id, price, volume) with verdicts by a state per symbol."""
+    """A stream of ticks (symbol, ts timestamp, event_id, price, volume) with verdicts by a state per symbol.
+
+    A symbol's rows of one micro-batch are held together, as their order of arrival
+    decides; sources bound a micro-batch (maxFilesPerTrigger, maxBytesPerTrigger).
+    """
     ship_package()
     return stream.groupBy("symbol").transformWithStateInPandas(
         statefulProcessor=Gate(),
