@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -49,6 +50,8 @@ def test_regime_filter_equals_the_sum_over_all_paths():
     for v in r:
         found.observe(v)
     assert np.abs(found.belief - last / total).max() < 1e-13 and found.log_likelihood == pytest.approx(math.log(total), abs=1e-12)
+    with pytest.raises(ValueError, match="no regime"):
+        filters.RegimeFilter(p).observe(1e200)
     aleatoric, state, parameter = found.split(5)
     parts, epistemic = found.predictive(5)
     w, m, s, d = map(np.array, zip(*parts, strict=True))
@@ -129,7 +132,13 @@ def test_warm_up_is_null_and_names_are_unique(bars):
         f.subset(f.minimal_set(), ["nope"])
     with pytest.raises(ValueError):
         f.moving_average_spread(26, 12)
-    assert f.lookback(f.default_set()) == 140 and len(f.default_set()) == 21
+    assert f.lookback(f.default_set()) == 140
+    # fixed values: names of the standard set
+    assert [x.name for x in f.default_set()] == [
+        "log_return_1", "log_return_5", "momentum_60_5", "momentum_120_20", "close_to_sma_50", "ema_spread_12_26", "trend_slope_60",
+        "trend_quality_60", "price_zscore_20", "rsi_14", "drawdown_120", "volatility_20", "ewma_volatility_20", "parkinson_volatility_20",
+        "downside_volatility_60", "volatility_ratio_10_120", "atr_pct_14", "relative_volume_20", "volume_zscore_60", "turnover_median_20", "amihud_20",
+    ]
 
 
 def test_labels_stop_at_the_horizon(bars):
@@ -157,6 +166,9 @@ def test_calendar_fails_closed(spark):
     with pytest.raises(Exception, match="does not cover"):
         days.select(exchange.trading_day(F.col("day"))).collect()
     assert days.select(exchange.trading_day(F.col("day"), strict=False)).first()[0] is True
+    shut = TradingCalendar(frozenset(date(2026, 1, 1) + timedelta(d) for d in range(200)), years=frozenset({2026}))
+    assert calendar.trading_days(spark, shut, "2026-01-01", 3).collect()[0].day == date(2026, 7, 20)
+    assert calendar.trading_days(spark, shut, "2026-01-01", 3).count() == 3
     assert calendar.trading_days(spark, exchange, "2026-11-07", 2).collect()[0].day.isoformat() == "2026-11-08"
 
 
@@ -254,6 +266,15 @@ def test_journals_and_bundles(spark, tmp_path):
     lost = journal.JournalSink(str(tmp_path / "none" / "j"))
     lost.record(event="bar")
     assert lost.problems
+    # a halt after the last bar moves the mark of a restart; the last equity is that of the last line
+    sink.problems.clear()
+    for event, hour, equity in (("bar", 11, 7.0), ("bar", 10, 6.0), ("halted", 12, None)):
+        journal.JournalSink(str(tmp_path / "k.jsonl")).record(event=event, symbol="a", as_of=f"2024-01-01 {hour}:00:00", equity=equity, filled=-1.0)
+    kept, _ = journal.read_journal(spark, str(tmp_path / "k.jsonl"))
+    state = books.journal_state(kept).first()
+    assert (state.entries, state.last_as_of, state.last_equity, state.fills, state.halted) == (3, "2024-01-01 12:00:00", 6.0, 2, 1)
+    later = spark.createDataFrame([("a", h) for h in (10, 11, 12, 13)], "symbol string, h int").withColumn("timestamp", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, h)"))
+    assert [r.h for r in books.after_restart(later, kept).collect()] == [13]
     text = bundles.dump("variance", {"s": [1.0, 2.0]})
     assert bundles.load(text) == ("variance", {"s": [1.0, 2.0]})
     with pytest.raises(ValueError, match="hash"):

@@ -164,8 +164,12 @@ class RegimeFilter:
             return self
         density = t_logpdf(value, *self.parameters.emission())
         top = density.max()
+        if not np.isfinite(top):
+            raise ValueError(f"no regime can account for a return of {value}")
         joint = moved * np.exp(density - top)
         total = joint.sum()
+        if not total > 0:
+            raise ValueError(f"no regime can account for a return of {value}")
         self.belief = joint / total
         self.log_likelihood += float(np.log(total) + top)
         self.n_seen += 1

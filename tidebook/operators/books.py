@@ -55,21 +55,25 @@ def reconciliation_status(n_discrepancies: int, age_seconds: float | None, avail
 
 
 def journal_state(entries: DataFrame) -> DataFrame:
-    """Per symbol of parsed journal lines: entries, last bar, last equity, fills, order ids, whether a halt was written."""
+    """Per symbol of journal lines (with their number as line): entries, last time, last equity, fills, orders, halts.
+
+    Any event moves the last time, as a halt or a refit is handled like a bar. The last
+    equity is that of the last bar line in the file.
+    """
     bar = F.col("event") == "bar"
     return entries.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("entries"),
-        F.max(F.when(bar, F.col("as_of"))).alias("last_as_of"),
-        F.max_by("equity", F.when(bar & F.col("equity").isNotNull(), F.col("as_of"))).alias("last_equity"),
-        F.count_if(bar & (F.col("filled") > 0)).alias("fills"),
+        F.max("as_of").alias("last_as_of"),
+        F.max_by("equity", F.when(bar & F.col("equity").isNotNull(), F.col("line"))).alias("last_equity"),
+        F.count_if(bar & (F.coalesce("filled", F.lit(0.0)) != 0)).alias("fills"),
         F.count_distinct(F.when(bar, F.col("order_id"))).alias("orders"),
-        F.coalesce(F.bool_or(F.col("event") == "halted"), F.lit(False)).alias("halted"),
+        F.count_if(F.col("event") == "halted").alias("halted"),
     )
 
 
 def after_restart(bars: DataFrame, entries: DataFrame) -> DataFrame:
-    """Bars that a restarted session has not handled: later than the last journalled bar of their symbol."""
-    marks = entries.where("event = 'bar'").groupBy("symbol").agg(F.max(F.col("as_of").cast("timestamp_ntz")).alias("_mark"))
+    """Bars that a restarted session has not handled: later than the last journalled event of their symbol, whatever it is."""
+    marks = entries.groupBy("symbol").agg(F.max(F.col("as_of").cast("timestamp_ntz")).alias("_mark"))
     return bars.join(marks, "symbol", "left").where("_mark IS NULL OR timestamp > _mark").drop("_mark")
 
 

@@ -71,8 +71,13 @@ def load_calendar(spark: SparkSession, path: str, years: list[int], sources: lis
 
 
 def trading_days(spark: SparkSession, calendar: TradingCalendar, start: str, count: int) -> DataFrame:
-    """The first `count` trading days from `start` on, in order."""
-    days = spark.range(2 * count + 60).select(F.date_add(F.lit(start).cast("date"), F.col("id").cast("int")).alias("day"))
+    """The first `count` trading days from `start` on, in order.
+
+    Every week has five weekdays and a calendar closes a known number of days, so the span
+    that holds `count` days is known beforehand however long closures are.
+    """
+    span = 7 * ((count + len(calendar.holidays)) // 5 + 2)
+    days = spark.range(span).select(F.date_add(F.lit(start).cast("date"), F.col("id").cast("int")).alias("day"))
     return days.where(calendar.trading_day(F.col("day"), strict=False)).orderBy("day").limit(count)
 
 

@@ -54,13 +54,13 @@ def calendar_gaps(bars: DataFrame, calendar: TradingCalendar | None = None, most
     gaps = bars.select("symbol", "timestamp", F.lag(day).over(ordered).alias("a"), day.alias("b")).where("a IS NOT NULL")
     days = weekdays_between(F.col("a"), F.col("b"))
     if calendar is not None:
-        from tidebook.functions.market import is_weekday
-
-        inside = lambda d: (d > F.col("a")) & (d < F.col("b"))
-        for d in sorted(calendar.holidays - calendar.specials):
-            days = days - F.when(inside(F.lit(d)) & is_weekday(F.lit(d)), 1).otherwise(0)
-        for d in sorted(calendar.specials):
-            days = days + F.when(inside(F.lit(d)) & ~is_weekday(F.lit(d)), 1).otherwise(0)
+        closed = [d for d in sorted(calendar.holidays - calendar.specials) if d.weekday() < 5]
+        opened = [d for d in sorted(calendar.specials) if d.weekday() >= 5]
+        within = lambda found: F.size(
+            F.filter(F.lit(found).cast("array<date>") if found else F.array().cast("array<date>"), lambda d: (d > F.col("a")) & (d < F.col("b")))
+        )
+        # a day lies between two bars only where they are more than a weekend apart
+        days = F.when(F.datediff("b", "a") > 1, days - within(closed) + within(opened)).otherwise(days)
     rows = gaps.withColumn("n", days).where(F.col("n") > most)
     return _finding(rows, "calendar_gap", "warning", F.col("timestamp"), F.col("n"))
 

@@ -306,7 +306,7 @@ def reconcile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.reconcile_orders(local, venue)
 
 
-JOURNAL_SQL = f"""{FILLS_SQL}, jl AS (SELECT fills.symbol, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS as_of, CASE WHEN fills.event_id % 97 = 0 THEN 'halted' WHEN fills.event_id % 31 = 0 THEN 'refit' ELSE 'bar' END AS event,
+JOURNAL_SQL = f"""{FILLS_SQL}, jl AS (SELECT fills.symbol, fills.event_id AS line, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS as_of, CASE WHEN fills.event_id % 97 = 0 THEN 'halted' WHEN fills.event_id % 31 = 0 THEN 'refit' ELSE 'bar' END AS event,
     side AS action, filled, CASE WHEN filled > 0 THEN px END AS fill_price, CASE WHEN filled > 0 THEN filled * px * 0.0003 ELSE 0 END AS fees,
     'o' || (fills.event_id // 2)::VARCHAR AS order_id, 1000 + (fills.event_id % 100)::DOUBLE AS equity FROM fills JOIN ticks USING (event_id))"""
 
@@ -320,6 +320,7 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(moments, "event_id")
         .select(
             "symbol",
+            F.col("event_id").alias("line"),
             F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("as_of"),
             F.when(n % 97 == 0, "halted").when(n % 31 == 0, "refit").otherwise("bar").alias("event"),
             F.col("side").alias("action"),
@@ -334,9 +335,9 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "journal_state",
-    f"""WITH {JOURNAL_SQL} SELECT symbol, count(*) AS entries, max(as_of) FILTER (event = 'bar') AS last_as_of,
-        arg_max(equity, as_of) FILTER (event = 'bar') AS last_equity, count(*) FILTER (event = 'bar' AND filled > 0) AS fills,
-        count(DISTINCT order_id) FILTER (event = 'bar') AS orders, coalesce(bool_or(event = 'halted'), false) AS halted FROM jl GROUP BY symbol""",
+    f"""WITH {JOURNAL_SQL} SELECT symbol, count(*) AS entries, max(as_of) AS last_as_of,
+        arg_max(equity, line) FILTER (event = 'bar') AS last_equity, count(*) FILTER (event = 'bar' AND filled <> 0) AS fills,
+        count(DISTINCT order_id) FILTER (event = 'bar') AS orders, count(*) FILTER (event = 'halted') AS halted FROM jl GROUP BY symbol""",
 )
 def journal_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.journal_state(journal(spark, sf_dir))
@@ -361,13 +362,21 @@ def rebuild_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "after_restart",
-    f"""WITH {HOURLY}, mark AS (SELECT symbol, max(timestamp) AS m FROM bars WHERE timestamp <= TIMESTAMP '2024-01-20 00:00:00' AND symbol <> 'view' GROUP BY 1)
+    f"""WITH {HOURLY}, e AS (SELECT symbol, timestamp, row_number() OVER (PARTITION BY symbol ORDER BY timestamp) AS n FROM bars
+            WHERE timestamp <= TIMESTAMP '2024-01-20 00:00:00' AND symbol <> 'view'),
+        mark AS (SELECT symbol, max(timestamp) AS m FROM e GROUP BY 1)
         SELECT bars.symbol, bars.timestamp FROM bars LEFT JOIN mark USING (symbol) WHERE m IS NULL OR timestamp > m""",
 )
 def after_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A journal of bars whose last lines are halts and refits; one symbol has no line."""
     bars = tables.hourly_bars(spark, sf_dir)
     entries = bars.where("timestamp <= TIMESTAMP_NTZ '2024-01-20 00:00:00' AND symbol <> 'view'").select(
-        "symbol", F.lit("bar").alias("event"), F.col("timestamp").cast("string").alias("as_of")
+        "symbol",
+        F.when(F.col("timestamp") < F.lit("2024-01-19 12:00:00").cast("timestamp_ntz"), "bar")
+        .when(F.hour("timestamp") % 2 == 0, "halted")
+        .otherwise("refit")
+        .alias("event"),
+        F.col("timestamp").cast("string").alias("as_of"),
     )
     return books.after_restart(bars, entries).select("symbol", "timestamp")
 

@@ -27,15 +27,16 @@ class JournalSink:
 
 
 def append_batch(events: DataFrame, path: str) -> None:
-    """Appends events as JSON lines; the body of a foreachBatch sink."""
+    """Appends events as JSON lines; `lambda df, _: append_batch(df, path)` is the body of a foreachBatch sink."""
     events.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
 
 
 def read_journal(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """Entries of a journal with their fields, and the number of lines that are torn."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    """Entries of a journal with their fields and place (line: file, block, number in it), and the number of lines that are torn."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select("value", place.alias("line")).where(F.trim("value") != "")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_torn"}
     kind = schema.T.StructType([*schema.JOURNAL.fields, schema.T.StructField("_torn", schema.T.StringType())])
-    parsed = lines.select(F.from_json("value", kind, options).alias("e")).select("e.*")
+    parsed = lines.select(F.from_json("value", kind, options).alias("e"), "line").select("e.*", "line")
     torn = F.col("_torn").isNotNull() | F.col("event").isNull()
     return parsed.where(~torn).drop("_torn"), parsed.where(torn).count()
