@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from tidebook.runtime import shared_dir
 
-__all__ = ["count_words", "durable", "let", "read_table", "shared_dir", "unit", "words_of"]
+__all__ = ["count_words", "durable", "join_counted", "let", "read_table", "shared_dir", "unit", "words_of"]
+
+#: Keys that a join may treat as hot, at most, and rows from which a key can be one.
+MOST_HOT, LEAST_HOT = 10_000, 1_000
 
 #: One white-space character of the word rule `[^\x20\x09-\x0D]+`.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -32,6 +35,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str = "n", how: str = "inner") -> DataFrame:
+    """`left` joined with the one row that `right` has for a key; no task meets all rows of a hot key.
+
+    `right` counts in column n the rows of `left` with its key. Keys above a share of
+    1/MOST_HOT of all counted rows are hot: at most MOST_HOT rows, so their side is broadcast, and
+    their rows of `left` stay where they are. The others are joined as usual. `left` is
+    read twice if there are hot keys, and should be cheap to read.
+    """
+    right = durable(right)
+    total = right.agg(F.sum(n)).first()[0] or 0
+    least = max(LEAST_HOT, total // MOST_HOT + 1)
+    hot, cold = right.where(F.col(n) >= least).drop(n), right.where(F.col(n) < least).drop(n)
+    if not hot.limit(1).count():
+        return left.join(cold, key, how)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return rest.unionByName(left.join(F.broadcast(hot), key))
+
+
 def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text (null: none), in order, as an array."""
     return F.filter(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import durable
+from tidebook.llm.common import durable, join_counted
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -14,8 +14,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours and then the label of that
     label, so a path shortens by about half a round. Rounds are checkpointed, as
     their number depends on the data; the loop reads back one count a round. Links
-    stay as they are, so a join never sees more rows per node than it has links, and
-    only slim (node, label) rows meet at a common label.
+    stay as they are, so a join never sees more rows per node than it has links. Nodes of a
+    large component share a label; labels are counted, and the join by label leaves the
+    nodes of a common one where they are.
     """
     both = durable(
         links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -31,10 +32,13 @@ def connected_components(links: DataFrame) -> DataFrame:
             .agg(F.min("label").alias("m"))
             .withColumnRenamed("a", "node")
         )
-        pulled = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("to"))
+        pulled = durable(
+            labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("to"))
+        )
         jump = pulled.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        held = pulled.groupBy("to").agg(F.count(F.lit(1)).alias("n"))
         after = durable(
-            pulled.join(jump, "to").select("node", "was", F.least("to", "far").alias("label"))
+            join_counted(pulled, held.join(jump, "to"), "to").select("node", "was", F.least("to", "far").alias("label"))
         )
         changed = after.where("label <> was").limit(1).count()
         labels = after.select("node", "label")

@@ -3,30 +3,30 @@
 A fingerprint of 64 bits is cut into 32 segments of two bits, and its embedding is
 the vector of bit counts per segment. A differing bit changes one count by at most
 one, so the Manhattan distance of two embeddings is never above the Hamming
-distance of the fingerprints. Fingerprints that differ in at most 3 bits therefore
-have embeddings within 3, and of the two halves of the embedding (16 dimensions
-each) one is within 1. The range join runs on a grid of unit cells over each half:
-every fingerprint lies in its own cell, and probes its own cell and the cells one
-step up; a pair one step apart is found from its lower side. Pairs that meet are
-verified on the fingerprints themselves, in the join.
+distance of the fingerprints. The range join runs on a grid: the 32 dimensions form 8
+groups of 4, embeddings within 3 differ in at most 3 groups, and so agree in at least 5.
+Every fingerprint lies in one cell for each choice of 5 groups (56 of them), two
+fingerprints that may link share a cell, and pairs that meet are verified on the
+fingerprints themselves, in the join.
 
 Only distinct fingerprints are joined: exact copies are one point however many
 there are. A fingerprint has at most 43,744 others within 3 bits, so links grow with
-the fingerprints, not with their square. Cells hold 3^16 combinations, and a
-crowded cell is split by adaptive execution like any skewed join key.
+the fingerprints, not with their square. Of pairs of unrelated fingerprints with even
+bits some 56 x (3/8)^20, one in six million, meet in a cell: about 10^11 comparisons for
+10^9 fingerprints.
 """
 
 from __future__ import annotations
 
 from functools import partial
-from itertools import islice
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import durable, read_table
+from tidebook.llm.common import durable, join_counted, read_table
 from tidebook.llm.components import connected_components
 from tidebook.runtime import ship_package
 
@@ -34,7 +34,10 @@ WIDTH, HASH_SEED, MAX_BITS = 3, 42, 3
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Shingles hashed at a time, so that memory for a text stays bounded.
 SLICE = 1 << 15
-_ODD_BITS, _HALF = 0x55555555, 0xFFFFFFFF
+_ODD_BITS = 0x5555555555555555
+GROUPS, AGREEING = 8, 5
+#: One mask over the packed counts (a byte a group) for each choice of groups.
+MASKS = tuple(sum(0xFF << (8 * g) for g in chosen) for chosen in combinations(range(GROUPS), AGREEING))
 
 
 def fingerprint(text: bytes | None, width: int = WIDTH, seed: int = HASH_SEED) -> int:
@@ -79,37 +82,24 @@ def fingerprints(text: Column, width: int = WIDTH, seed: int = HASH_SEED) -> Col
     return prints(text.cast("binary"))
 
 
-def _counts(half: Column) -> Column:
-    """The bit counts of the 16 segments of 32 bits, two bits each, packed in a long."""
-    return half.bitwiseAND(F.lit(_ODD_BITS)) + F.shiftrightunsigned(half, 1).bitwiseAND(F.lit(_ODD_BITS))
+def embedding(fp: Column) -> Column:
+    """The bit counts of the 32 segments, two bits each, packed in a long."""
+    low, high = fp.bitwiseAND(F.lit(_ODD_BITS)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(_ODD_BITS))
+    return F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))
 
 
 def fingerprint_links(points: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints in column fp that differ in at most 3 bits."""
-    if not 0 <= max_bits <= MAX_BITS:
-        raise ValueError("two halves prove the range join for at most 3 bits")
-    fp = F.col("fp")
-    halves = F.array(
-        F.struct(F.lit(0).alias("half"), _counts(fp.bitwiseAND(F.lit(_HALF))).alias("cell")),
-        F.struct(F.lit(1).alias("half"), _counts(F.shiftrightunsigned(fp, 32)).alias("cell")),
-    )
-    placed = points.select("fp", F.inline(halves))
-    # one step up in each dimension whose count is below 2
-    steps = F.filter(
-        F.array(*[F.struct(F.shiftright("cell", 2 * k).bitwiseAND(F.lit(3)).alias("n"), (F.col("cell") + (1 << (2 * k))).alias("to")) for k in range(16)]),
-        lambda s: s["n"] < 2,
-    )
-    probes = placed.select(
-        F.col("fp").alias("b"),
-        "half",
-        F.col("cell").alias("from"),
-        F.explode(F.concat(F.array("cell"), F.transform(steps, lambda s: s["to"]))).alias("cell"),
+    """Pairs (a, b) of distinct fingerprints in column fp that differ in at most 3 bits; a pair may come more than once."""
+    if not 0 <= max_bits <= GROUPS - AGREEING:
+        raise ValueError(f"{AGREEING} of {GROUPS} groups prove the range join for at most {GROUPS - AGREEING} bits")
+    signed = [m - (1 << 64) if m >> 63 else m for m in MASKS]
+    # cells of two choices may look alike; that only adds pairs to verify
+    placed = points.select("fp", embedding(F.col("fp")).alias("e")).select(
+        "fp", F.explode(F.array(*[F.col("e").bitwiseAND(F.lit(m)) for m in signed])).alias("cell")
     )
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    once = (F.col("from") != F.col("own")) | (F.col("a") < F.col("b"))
-    own = placed.select(F.col("fp").alias("a"), "half", "cell", F.col("cell").alias("own"))
-    at = [own[c] == probes[c] for c in ("half", "cell")]
-    return own.join(probes, [*at, near, once]).select("a", "b")
+    one, other = placed.select(F.col("fp").alias("a"), "cell"), placed.select(F.col("fp").alias("b"), "cell")
+    return one.join(other, "cell").where((F.col("a") < F.col("b")) & near).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -122,31 +112,39 @@ def near_duplicates(docs: DataFrame, key: list[str] | None = None) -> DataFrame:
     """
     key = key or []
     slim = durable(docs.select("doc_id", *key, fingerprints(F.col("text")).alias("fp")))
-    points = durable(slim.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    points = durable(slim.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     found = connected_components(fingerprint_links(points)).withColumnRenamed("node", "fp")
     linked = points.join(found, "fp")
-    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "component").select("fp", "component_id", F.col("component").alias("group"))
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = join_counted(linked.select("fp", "component"), least, "component").select(
+        "fp", "component_id", F.col("component").alias("group")
+    )
     by_print = points.join(named, "fp", "left").select(
         "fp",
         F.when(F.col("group").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"),
         F.coalesce("group", "fp").alias("group"),
+        "n",
     )
-    return slim.join(by_print, "fp").select("doc_id", *key, "fp", "component_id", "group")
+    # common texts share a fingerprint
+    return join_counted(slim, by_print, "fp").select("doc_id", *key, "fp", "component_id", "group")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each component: the smallest doc_id, then the smallest hash of the text.
+    """`docs` with one row of each component: the smallest doc_id, null ids last, then the smallest digest of all columns.
 
-    Columns stay as they are; names that start with `_td_` are reserved. Texts move
+    Rows are told apart by a digest of 128 bits over all columns, so that a row goes only
+    if another of its component stays, and reruns and recomputed tasks keep the same
+    one. Columns stay as they are; names that start with `_td_` are reserved. Texts move
     once, to meet the kept keys.
     """
-    keyed = docs.withColumn("_td_hash", F.xxhash64("text", "doc_id"))
-    kept = near_duplicates(keyed, ["_td_hash"]).groupBy("group").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_td_hash")).alias("k")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("_td_a", F.xxhash64(F.lit(1), *own)).withColumn("_td_b", F.xxhash64(F.lit(2), *own))
+    digest = ["_td_a", "_td_b"]
+    kept = near_duplicates(keyed, digest).groupBy("group").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *digest)).alias("k")
     )
-    keys = kept.select(F.col("k._td_hash").alias("_td_hash")).distinct()
-    return keyed.join(keys, "_td_hash", "left_semi").dropDuplicates(["_td_hash"]).drop("_td_hash")
+    keys = kept.select("k._td_a", "k._td_b")
+    return keyed.join(keys, digest, "left_semi").dropDuplicates(digest).drop(*digest)
 
 
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
