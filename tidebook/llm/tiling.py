@@ -1,16 +1,19 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are compared without case and punctuation. A text is joined to the benchmark
+Words are compared without case, punctuation and marks, by Unicode category. A text is joined to the benchmark
 on shared seeds: Karp-Rabin hashes over runs of `least` words. For each item that it
 shares seeds with, tiles are marked greedily: the longest match of unmarked words
 first, then the next, with marked words never used twice, until no match of `least`
 words is left. Coverage is the share of the item's words under tiles; it does not
 depend on the order of the tiles in the text, so a passage whose sentences were
-moved is caught like one copied in order.
-
-Scale: documents stay where they are, there is no shuffle. The benchmark travels to
-the workers in blocks of bounded bytes (its size is summed first; a larger benchmark
-means more blocks, each met by all documents). Within a text, everything but the
+moved is caught like one copied in order. An item of fewer than `least` words is found
+where all its words stand in a row.
+
+Scale: documents stay where they are, there is no shuffle, and one pass over them meets
+the whole benchmark. It travels to the workers as broadcasts of bounded bytes each (its
+size is summed first; a larger benchmark means more of them), which the driver makes one
+after another from a partition at a time; a worker holds at most HELD_BLOCKS of them ready.
+Within a text, everything but the
 matches themselves is vectorised; matches of one (text, item) are kept as diagonal
 runs, and where their seeds would outgrow memory the runs come from a scan of the item
 that holds one row of positions at a time.
@@ -19,12 +22,16 @@ that holds one row of positions at a time.
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+import unicodedata
+import uuid
+from collections import OrderedDict, defaultdict
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,19 +41,36 @@ from tidebook.runtime import ship_package
 LEAST_WORDS, COVERAGE = 5, 0.5
 #: UTF-8 bytes of the items of one block; seeds of one (text, item) that are held at once.
 BLOCK_BYTES, MOST_SEEDS = 16 << 20, 2_000_000
+#: Blocks that a worker process keeps ready.
+HELD_BLOCKS = 4
 #: Words of documents that are looked up together.
 BATCH_WORDS = 1 << 18
-_FOLD = bytes(
-    b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
-)
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
 
 Runs = list[tuple[int, int, int]]
 
 
+class _Folded(dict):
+    """What a character becomes in words: itself if it is a letter or digit, nothing if it is a mark, else a space."""
+
+    def __missing__(self, code: int) -> int | str | None:
+        kind = unicodedata.category(chr(code))[0]
+        self[code] = code if kind in "LN" else None if kind == "M" else " "
+        return self[code]
+
+
+_KINDS = _Folded()
+
+
 def words_of_bytes(text: bytes | None) -> list[bytes]:
-    """Words of letters, digits and non-ASCII characters, with A-Z lower-cased."""
-    return (text or b"").translate(_FOLD).split()
+    """Words of letters and digits of a UTF-8 text, with case and accents folded; bytes that are no UTF-8 separate words."""
+    text = text or b""
+    if text.isascii():
+        return text.translate(_FOLD).split()
+    # letters come apart from their marks, and the marks go
+    plain = unicodedata.normalize("NFKD", text.decode("utf-8", "replace")).casefold()
+    return plain.translate(_KINDS).encode().split()
 
 
 @dataclass
@@ -115,6 +139,15 @@ def _runs_by_scan(text: np.ndarray, item: np.ndarray, least: int) -> Runs:
     return out
 
 
+def _all_known(ids: np.ndarray, n: int) -> np.ndarray:
+    """Where n known words stand in a row."""
+    size = max(len(ids) - n + 1, 0)
+    known = np.ones(size, bool)
+    for k in range(n):
+        known &= ids[k : k + size] > 0
+    return known
+
+
 class Benchmark:
     """One block of items, ready to be met by texts."""
 
@@ -129,7 +162,11 @@ class Benchmark:
                 np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of_bytes(text)], np.int64)
             )
         hashes, owner, at = [], [], []
+        #: Items of fewer words than a seed, by their words.
+        self.short: dict[int, dict[tuple[int, ...], list[int]]] = {}
         for k, item in enumerate(self.items):
+            if 0 < len(item) < least:
+                self.short.setdefault(len(item), {}).setdefault(tuple(item.tolist()), []).append(k)
             h, ok = self._hashes(item)
             hashes.append(h[ok])
             at.append(np.nonzero(ok)[0])
@@ -143,12 +180,10 @@ class Benchmark:
         n = len(ids) - self.least + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
-        h, known = np.zeros(n, np.uint64), np.ones(n, bool)
+        h = np.zeros(n, np.uint64)
         for k in range(self.least):
-            part = ids[k : k + n]
-            h = h * np.uint64(_BASE) + part.astype(np.uint64) + np.uint64(1)
-            known &= part > 0
-        return h ^ (h >> np.uint64(29)), known
+            h = h * np.uint64(_BASE) + ids[k : k + n].astype(np.uint64) + np.uint64(1)
+        return h ^ (h >> np.uint64(29)), _all_known(ids, self.least)
 
     def covers(self, texts: list[bytes | None], threshold: float) -> list[list[Cover]]:
         """For each text the items that it covers to at least `threshold`."""
@@ -158,7 +193,7 @@ class Benchmark:
         held = 0
         for n, text in enumerate(texts):
             own = words_of_bytes(text)
-            if len(own) >= self.least:
+            if len(own) >= min([self.least, *self.short]):
                 batch.append(n)
                 words.append(own)
                 held += len(own)
@@ -176,6 +211,8 @@ class Benchmark:
         find = self.vocabulary.get
         for start, own in zip(starts, words, strict=False):
             ids[start : start + len(own)] = [find(w, 0) for w in own]
+        for k, start in enumerate(starts[:-1] if self.short else []):
+            out[batch[k]] += self._short(ids[start : start + lengths[k]])
         h, known = self._hashes(ids)
         candidates = np.nonzero(known)[0]
         first = np.searchsorted(self.hashes, h[candidates], "left")
@@ -189,7 +226,19 @@ class Benchmark:
         for k in np.unique(text_of):
             mine = text_of == k
             own = ids[starts[k] : starts[k] + lengths[k]]
-            out[batch[k]] = self._cover(own, candidates[mine] - starts[k], first[mine], counts[mine], threshold)
+            out[batch[k]] += self._cover(own, candidates[mine] - starts[k], first[mine], counts[mine], threshold)
+
+    def _short(self, text: np.ndarray) -> list[Cover]:
+        """Short items that stand in the text as a whole, at their first place."""
+        found = []
+        for n, items in self.short.items():
+            seen: set[tuple[int, ...]] = set()
+            for start in np.nonzero(_all_known(text, n))[0].tolist():
+                words = tuple(text[start : start + n].tolist())
+                if words in items and words not in seen:
+                    seen.add(words)
+                    found += [Cover(k, n, n, [(n, 0, start)]) for k in items[words]]
+        return found
 
     def _cover(self, text: np.ndarray, at: np.ndarray, first: np.ndarray, counts: np.ndarray, threshold: float) -> list[Cover]:
         seeds: dict[int, int] = defaultdict(int)
@@ -228,22 +277,47 @@ class Benchmark:
         return sorted(found, key=lambda c: c.item)
 
 
-def benchmark_blocks(benchmark: DataFrame, least: int = LEAST_WORDS, block_bytes: int = BLOCK_BYTES) -> Iterator[Benchmark]:
-    """The benchmark in blocks of about `block_bytes`, one on the driver at a time."""
+@dataclass
+class Blocks:
+    """The benchmark as broadcasts of (item_id, text), the words of a seed, and a name that no other has."""
+
+    parts: list[Broadcast]
+    least: int
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+
+def benchmark_blocks(benchmark: DataFrame, least: int = LEAST_WORDS, block_bytes: int = BLOCK_BYTES) -> Blocks:
+    """The benchmark in broadcasts of about `block_bytes`; the driver holds one partition at a time."""
+    spark = benchmark.sparkSession
     sized = benchmark.select("item_id", F.col("text").cast("binary").alias("text"))
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // block_bytes + 1
-    for k in range(blocks):
-        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        rows.sort(key=lambda r: (r.item_id is None, r.item_id or 0, r.text or b""))
-        yield Benchmark([(r.item_id, r.text) for r in rows], least)
+    dealt = sized.withColumn("b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    # a block lies in one partition, and partitions reach the driver in turn
+    rows = dealt.repartition(blocks, "b").sortWithinPartitions("b", F.col("item_id").asc_nulls_last(), "text").toLocalIterator()
+    parts = [spark.sparkContext.broadcast([(r.item_id, r.text) for r in part]) for _, part in groupby(rows, lambda r: r.b)]
+    return Blocks(parts or [spark.sparkContext.broadcast([])], least)
+
+
+_READY: OrderedDict[tuple[str, int], Benchmark] = OrderedDict()
+
+
+def _ready(blocks: Blocks, k: int) -> Benchmark:
+    """The k-th block, from what this process holds or made anew."""
+    key = (blocks.name, k)
+    if key not in _READY:
+        _READY[key] = Benchmark(blocks.parts[k].value, blocks.least)
+    _READY.move_to_end(key)
+    while len(_READY) > HELD_BLOCKS:
+        _READY.popitem(last=False)
+    return _READY[key]
 
 
 _COVER = "array<struct<item_id bigint, covered int, item_words int, tiles int, longest int>>"
 
 
-def covers(text: Column, block: Benchmark, threshold: float = COVERAGE) -> Column:
-    """Array of the items of one block that each text covers, by item."""
+def covers(text: Column, blocks: Blocks, threshold: float = COVERAGE) -> Column:
+    """Array of the items that each text covers, by block and item."""
     kind = pa.list_(
         pa.struct(
             [("item_id", pa.int64()), ("covered", pa.int32()), ("item_words", pa.int32()), ("tiles", pa.int32()), ("longest", pa.int32())]
@@ -254,16 +328,15 @@ def covers(text: Column, block: Benchmark, threshold: float = COVERAGE) -> Colum
 
     @F.arrow_udf(_COVER)
     def met(texts: pa.Array) -> pa.Array:
-        out = []
-        for start in range(0, len(texts), 256):
-            part = texts.slice(start, 256).to_pylist()
-            for found in block.covers(part, threshold):
-                out.append(
-                    [
+        out: list[list[dict]] = [[] for _ in range(len(texts))]
+        for k in range(len(blocks.parts)):
+            block = _ready(blocks, k)
+            for start in range(0, len(texts), 256):
+                for n, found in enumerate(block.covers(texts.slice(start, 256).to_pylist(), threshold), start):
+                    out[n] += [
                         {"item_id": block.ids[c.item], "covered": c.covered, "item_words": c.words, "tiles": len(c.tiles), "longest": c.tiles[0][0]}
                         for c in found
                     ]
-                )
         return pa.array(out, kind)
 
     return met(text.cast("binary"))
@@ -275,24 +348,18 @@ def contaminated_pairs(
     """Rows (doc_id, item_id, covered, item_words, tiles, longest, coverage) of documents that hold test items.
 
     An item counts if tiles of at least `least` words cover at least `threshold` of
-    its words; items of fewer than `least` words and null texts never match. Rows that
-    repeat on either side give rows that repeat.
+    its words; items of fewer words count if they stand in the text whole. Items
+    without words and null texts never match. Rows that repeat on either side give
+    rows that repeat.
     """
-    parts = [
-        docs.select("doc_id", F.inline(covers(F.col("text"), block, threshold)))
-        for block in benchmark_blocks(benchmark, least, block_bytes)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out.withColumn("coverage", F.col("covered") / F.col("item_words"))
+    blocks = benchmark_blocks(benchmark, least, block_bytes)
+    found = docs.select("doc_id", F.inline(covers(F.col("text"), blocks, threshold)))
+    return found.withColumn("coverage", F.col("covered") / F.col("item_words"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, least: int = LEAST_WORDS) -> DataFrame:
     """`docs` without the documents that hold a test item; rows stay in place and whole."""
-    for block in benchmark_blocks(benchmark, least):
-        docs = docs.where(F.size(covers(F.col("text"), block, threshold)) == 0)
-    return docs
+    return docs.where(F.size(covers(F.col("text"), benchmark_blocks(benchmark, least), threshold)) == 0)
 
 
 def op10_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
