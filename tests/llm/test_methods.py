@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips, and held-out accuracy."""
 
+import base64
 import hashlib
 import random
 from collections import Counter
@@ -282,6 +283,50 @@ def test_salvage_goes_on_after_damage(squeeze):
     assert sum(f.length for f in found) == len(whole)
 
 
+def foreign(kind, name, block, *more):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 2020-01-01T00:00:00Z", *more]
+    return "\r\n".join([*head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("squeeze", ["each", "together", "none"])
+def test_salvage_reads_archives_of_others(squeeze):
+    """Any type and id, SHA-1 in base 32, HTTP without a length; a wrong digest is a gap, and what follows is read."""
+    page = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>text</p>"
+    digest = "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"<p>text</p>").digest()).decode()
+    http = "Content-Type: application/http; msgtype=response"
+    parts = [
+        foreign("warcinfo", "a", b"software: x\r\n"),
+        foreign("request", "b", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+        foreign("response", "c", page, http, digest),
+        foreign("response", "d", page.replace(b"text", b"tent"), http, digest),
+        foreign("metadata", "e", b"fetchTimeMs: 3"),
+        foreign("revisit", "f", page[:30], http, digest, "WARC-Refers-To: <urn:uuid:c>"),
+    ]
+    whole = {"each": b"".join(map(warc._member, parts)), "together": warc._member(b"".join(parts)), "none": b"".join(parts)}[squeeze]
+    found = list(warc.salvage(whole))
+    assert [(f.record_type, f.record_id) for f in found if not f.fault] == [
+        (k, f"<urn:uuid:{n}>") for k, n in zip(("warcinfo", "request", "response", "metadata", "revisit"), "abcef", strict=True)
+    ]
+    gaps = [f for f in found if f.fault]
+    assert len(gaps) == 1 and "digest" in gaps[0].fault and sum(f.length for f in found) == len(whole)
+    response = next(f for f in found if f.record_type == "response")
+    assert response.payload == b"<p>text</p>" and found[-1].refers_to == "<urn:uuid:c>" and found[-1].payload is None
+
+
+def test_gaps_are_logged_and_files_are_bounded(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"{k}" * 300) for k in range(30)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "a"), file_bytes=400)
+    files = sorted((tmp_path / "a").glob("part-*"))
+    assert len(files) > 5 and max(f.stat().st_size for f in files) < 1000
+    data = bytearray(files[0].read_bytes())
+    data[len(data) // 3] ^= 0xFF
+    files[0].write_bytes(data)
+    for crc in (tmp_path / "a").glob(".*.crc"):
+        crc.unlink()
+    records, gaps = warc.recover(spark, str(tmp_path / "a"), str(tmp_path / "r"))
+    assert 27 <= records.count() < 30 and gaps.count() >= 1 and spark.read.json(str(tmp_path / "r/quarantine")).count() == gaps.count()
+
+
 def test_query_matches_its_sql(spark, sf):
     import duckdb
 

@@ -3,22 +3,27 @@
 Writer. Every page becomes one record, each in a gzip member of its own. Of pages with
 equal payloads of at least `least` bytes the one with the smallest id carries the
 payload as a response; the others are revisit records that refer to it and carry
-HTTP headers alone. Spark's text sink lays the members one after another; its line
-separator is an empty gzip member, so a part file is a valid .warc.gz.
+HTTP headers alone. Spark's text sink writes the members, about `file_bytes` of them a row and
+a row a file; its line separator is an empty gzip member, so a part file is a valid .warc.gz.
 
-Reader. A part file is read record by record. A record counts if its member or
-version line, its headers, its lengths and its payload digest hold. After a failed
-check the reader looks for the next gzip member that starts a record, or the next
-version line, goes on from there, and logs the bytes between as a quarantined gap.
+Reader. An archive is read record by record, plain or in gzip members of one or more
+records, of any type and id. A record counts if its version line, headers and lengths
+hold, its block or payload digest does where it names one, and the length of its HTTP
+payload where it does not. After a failed check the reader looks for the next version
+line, within the member if it inflates, else for the next gzip member that starts a record,
+goes on from there, and logs the bytes between as a quarantined gap.
 
 Scale: payload digests are grouped by partial aggregation on (digest, smallest id,
-count) only, and joined back as slim rows with the digests of repeated payloads;
-pages move once, by (id, digest), which also numbers repeated rows. Files end after
-`rows_per_file` records, so that a reader task holds one bounded file at a time.
+count) only, and joined back as slim rows with the digests of repeated payloads, rows
+of a common payload staying where they are; pages move once, by (id, digest), which also
+numbers repeated rows. Files are bounded by bytes, and so is what a reader task holds.
+Archives of others are read whole, at most 2 GB each (Spark's bound on a binary cell), and
+take that and one inflated member in memory.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -30,15 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import read_table, shared_dir
+from tidebook.llm.common import durable, join_counted, read_table, shared_dir
 from tidebook.runtime import ship_package
 
-LEAST_REVISIT_BYTES, ROWS_PER_FILE, DATE = 100, 4_000, "1970-01-01T00:00:00Z"
+LEAST_REVISIT_BYTES, FILE_BYTES, DATE = 100, 32 << 20, "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP_MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+_STARTS = re.compile(re.escape(GZIP_MAGIC) + b"|" + re.escape(VERSION))
+_OWN_ID = re.compile(r"<urn:page:(-?\d+|null)(?::\d+)?>")
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 FIELDS = (
-    "path string, offset long, length long, record_type string, page_id string, refers_to string, "
+    "path string, offset long, length long, record_type string, record_id string, page_id string, refers_to string, "
     "target_uri string, payload_bytes long, payload_digest string, payload binary, fault string"
 )
 CHUNK = 1 << 16
@@ -81,6 +88,7 @@ class Found:
     offset: int
     length: int
     record_type: str | None = None
+    record_id: str | None = None
     page_id: str | None = None
     refers_to: str | None = None
     target_uri: str | None = None
@@ -119,7 +127,20 @@ def _number(headers: dict[str, str], name: str) -> int:
     return int(headers[name])
 
 
-def _parse(data: bytes, at: int, offset: int) -> tuple[Found, int]:
+def _holds(named: str, data: bytes) -> bool | None:
+    """Whether data has the digest that a header names, `algorithm:value` in hex or base 32; None where it cannot tell."""
+    algorithm, _, value = named.partition(":")
+    algorithm = algorithm.strip().lower().replace("-", "")
+    if algorithm not in ("md5", "sha1", "sha256", "sha512") or not value:
+        return None
+    found = hashlib.new(algorithm, data, usedforsecurity=False)
+    value = value.strip()
+    if len(value) == 2 * found.digest_size:
+        return value.lower() == found.hexdigest()
+    return value.rstrip("=").upper() == base64.b32encode(found.digest()).decode().rstrip("=")
+
+
+def _parse(data: bytes, at: int) -> tuple[Found, int]:
     """The record that starts at data[at:], checked, and where it ends."""
     if data[at : at + len(VERSION)] != VERSION:
         raise Broken("no version line")
@@ -132,72 +153,111 @@ def _parse(data: bytes, at: int, offset: int) -> tuple[Found, int]:
     if data[end : end + 4] != b"\r\n\r\n":
         raise Broken("content length does not lead to the record's end")
     block, end = data[start:end], end + 4
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size, kind = _number(_headers(http), "content-length"), head.get("warc-type")
-    digest = head.get("warc-payload-digest", "").removeprefix("sha256:")
-    record = re.fullmatch(r"<urn:page:(-?\d+|null)(?::\d+)?>", head.get("warc-record-id", ""))
-    if record is None:
-        raise Broken("no valid record id")
-    refers = re.fullmatch(r"<urn:page:(-?\d+|null)>", head.get("warc-refers-to", ""))
-    if kind == "response":
-        if len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
-            raise Broken("payload does not match its length or digest")
-    elif kind != "revisit" or payload or refers is None:
-        raise Broken(f"not a valid record of type {kind}")
+    kind, record_id = head.get("warc-type"), head.get("warc-record-id")
+    if not kind or not record_id:
+        raise Broken("no type or no record id")
+    if _holds(head.get("warc-block-digest", ""), block) is False:
+        raise Broken("block does not match its digest")
+    http = "application/http" in head.get("content-type", "").lower()
+    top, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+    stated = _headers(top)
+    digest = head.get("warc-payload-digest", "")
+    size: int | None = len(payload)
+    if kind == "revisit":
+        # the payload is the record's that it refers to
+        size = int(stated["content-length"]) if stated.get("content-length", "").isdigit() else None
+    elif "warc-truncated" not in head:
+        matched = _holds(digest, payload) if digest else None
+        if matched is False:
+            raise Broken("payload does not match its digest")
+        if matched is None and stated.get("content-length", str(size)) != str(size) and "transfer-encoding" not in stated:
+            raise Broken("payload does not match its length")
+    own, refers = _OWN_ID.fullmatch(record_id), head.get("warc-refers-to")
+    own_refers = _OWN_ID.fullmatch(refers or "")
     return (
-        Found(offset, 0, kind, record[1], refers[1] if refers else None, head.get("warc-target-uri"), size, digest,
-              payload if kind == "response" else None),
+        Found(at, end - at, kind, record_id, own[1] if own else None, own_refers[1] if own_refers else refers, head.get("warc-target-uri"), size,
+              digest.removeprefix("sha256:") or None, payload if kind != "revisit" else None),
         end,
     )
 
 
-def _one(view: memoryview, data: bytes, at: int) -> tuple[Found | None, int]:
-    """The record or empty member at `at`, and where it ends."""
-    if data[at : at + 3] == GZIP_MAGIC:
+def _plain(data: bytes, at: int = 0, only_first: bool = False) -> Iterator[Found]:
+    """Records of uncompressed data and the gaps between them, or the record at `at` alone."""
+    while at < len(data):
+        try:
+            found, end = _parse(data, at)
+        except Broken as e:
+            if only_first:
+                raise
+            end = _next_record(data, at + 1)
+            found = Found(at, end - at, fault=str(e))
+        yield found
+        if only_first:
+            return
+        at = end
+
+
+def _next_record(data: bytes, at: int) -> int:
+    """First offset from `at` on where a version line starts a valid record."""
+    while (at := data.find(VERSION, at)) >= 0:
+        try:
+            _parse(data, at)
+            return at
+        except Broken:
+            at += 1
+    return len(data)
+
+
+def _at(view: memoryview, at: int) -> tuple[list[Found], int]:
+    """What starts at `at` and where it ends: the records and gaps of a member, or one plain record."""
+    if view[at : at + 3] == GZIP_MAGIC:
         content, end = _unzip(view, at)
-        if not content:
-            return None, end
-        found, used = _parse(content, 0, at)
-        if used != len(content):
-            raise Broken("member holds more than its record")
-    else:
-        found, end = _parse(data, at, at)
-    found.length = end - at
-    return found, end
-
-
-def salvage(data: bytes) -> Iterator[Found]:
+        inside = list(_plain(content))
+        if inside and all(f.fault for f in inside):
+            raise Broken(inside[0].fault)
+        if len(inside) == 1:
+            inside[0].offset, inside[0].length = at, end - at
+        for k, found in enumerate(inside if len(inside) > 1 else []):
+            # records that share a member have its place in the file; the first has its length
+            found.offset, found.length = at, end - at if k == 0 else 0
+        return inside, end
+    # a record that is not compressed is cut out of the file before it is parsed
+    split = _find(view, b"\r\n\r\n", at)
+    if view[at : at + len(VERSION)] != VERSION or split < 0:
+        raise Broken("no version line" if split >= 0 else "headers do not end")
+    end = min(split + 8 + _number(_headers(bytes(view[at:split])), "content-length"), len(view))
+    found = next(_plain(bytes(view[at:end]), only_first=True))
+    found.offset = at
+    return [found], at + found.length
+
+
+def _find(view: memoryview, wanted: bytes, at: int) -> int:
+    hit = re.compile(re.escape(wanted)).search(view, at)
+    return hit.start() if hit else -1
+
+
+def salvage(data: bytes | memoryview) -> Iterator[Found]:
     """Records of an archive, plain or gzip by member, and the gaps that hold none."""
-    view, at, n = memoryview(data), 0, len(data)
+    view, at, n = memoryview(data).cast("B"), 0, len(data)
     while at < n:
         try:
-            found, end = _one(view, data, at)
+            found, end = _at(view, at)
         except Broken as e:
-            after = _next_start(view, data, at + 1)
-            yield Found(at, after - at, fault=str(e))
-            at = after
-        else:
-            if found is not None:
-                yield found
-            at = end
+            end = _next_start(view, at + 1)
+            found = [Found(at, end - at, fault=str(e))]
+        yield from found
+        at = end
 
 
-def _next_start(view: memoryview, data: bytes, at: int) -> int:
+def _next_start(view: memoryview, at: int) -> int:
     """First offset from `at` on where a member or version line starts a valid record."""
-    gzip, plain = data.find(GZIP_MAGIC, at), data.find(VERSION, at)
-    while gzip >= 0 or plain >= 0:
-        here = min(x for x in (gzip, plain) if x >= 0)
+    for hit in _STARTS.finditer(view, at):
         try:
-            found, _ = _one(view, data, here)
-            if found is not None:
-                return here
+            if _at(view, hit.start())[0]:
+                return hit.start()
         except Broken:
             pass
-        if here == gzip:
-            gzip = data.find(GZIP_MAGIC, here + 1)
-        else:
-            plain = data.find(VERSION, here + 1)
-    return len(data)
+    return len(view)
 
 
 def classify(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
@@ -219,12 +279,12 @@ def classify(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
     winners = (
         slim.where(F.col("_tw_size") >= least)
         .groupBy("_tw_digest")
-        .agg(F.sum("n").alias("n"), F.min("page_id").alias("_tw_first"))
-        .where("n > 1")
-        .drop("n")
+        .agg(F.sum("n").alias("_tw_n"), F.min("page_id").alias("_tw_first"))
+        .where("_tw_n > 1")
         .withColumn("_tw_known", F.lit(True))
     )
-    plan = slim.join(winners, "_tw_digest", "left").select(
+    # rows of a payload that many pages share stay where they are
+    plan = join_counted(durable(slim), winners, "_tw_digest", "_tw_n", "left").select(
         key.alias("_tw_key"), F.col("_tw_known"), "_tw_first", F.col("page_id").eqNullSafe(F.col("_tw_first")).alias("_tw_wins")
     )
     copies = Window.partitionBy("_tw_key").orderBy("url")
@@ -239,18 +299,25 @@ def classify(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT_BYTES, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Writes columns page_id, url and html as gzip WARC part files under `path`."""
+def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> None:
+    """Writes columns page_id, url and html as gzip WARC part files under `path`, each of about `file_bytes` at most, or one record."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
-                rows = batch.slice(start, 500).to_pylist()
-                done = [
-                    _member(build_record(r["record_type"], r["id"], r["_tw_copy"], r["url"], r["html"], r["_tw_size"], r["_tw_digest"], r["refers_to"]))
-                    for r in rows
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], ["member"])
+                for r in batch.slice(start, 500).to_pylist():
+                    record = build_record(
+                        r["record_type"], r["id"], r["_tw_copy"], r["url"], r["html"], r["_tw_size"], r["_tw_digest"], r["refers_to"]
+                    )
+                    held.append(_member(record))
+                    size += len(held[-1])
+                    if size >= file_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["members"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["members"])
 
     ship_package()
     rows = classify(pages, least).select(
@@ -264,11 +331,11 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT_BYTES
         "refers_to",
     )
     (
-        rows.mapInArrow(members, "member binary")
-        .select(F.col("member").cast("string").alias("value"))
+        rows.mapInArrow(members, "members binary")
+        .select(F.col("members").cast("string").alias("value"))
         .write.option("lineSep", EMPTY_MEMBER.decode("latin-1"))
         .option("encoding", "ISO-8859-1")
-        .option("maxRecordsPerFile", rows_per_file)
+        .option("maxRecordsPerFile", 1)
         .text(path)
     )
 
@@ -282,7 +349,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 out: list[dict] = []
                 held = 0
-                for found in salvage(content.as_py()):
+                for found in salvage(memoryview(content.as_buffer())):
                     out.append({"path": name, **found.__dict__})
                     held += len(found.payload or b"")
                     if len(out) >= 1000 or held > 1 << 23:
@@ -301,18 +368,36 @@ def _schema() -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in FIELDS.split(", "))])
 
 
+def recover(spark: SparkSession, path: str, out: str) -> tuple[DataFrame, DataFrame]:
+    """Records and gaps of all archives under `path`, read once, without payloads.
+
+    Both are kept under `out`; its folder `quarantine` holds a JSON line (path, offset,
+    length, fault) for every gap.
+    """
+    read_archives(spark, path).drop("payload").write.parquet(f"{out}/read")
+    read = spark.read.parquet(f"{out}/read")
+    gaps = read.where(F.col("fault").isNotNull()).select("path", "offset", "length", "fault")
+    gaps.write.json(f"{out}/quarantine")
+    return read.where(F.col("fault").isNull()).drop("fault"), gaps
+
+
 def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages, written as archives in the shared folder and read back."""
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(read_table(spark, sf_dir, "pages"), path)
-    return (
-        read_archives(spark, path)
-        .where(F.col("fault").isNull())
-        .select(
-            F.expr("try_cast(page_id AS BIGINT)").alias("page_id"),
-            "payload_bytes",
-            "payload_digest",
-            "record_type",
-            F.expr("try_cast(refers_to AS BIGINT)").alias("refers_to"),
-        )
+    """All pages, written as archives in the shared folder and read back.
+
+    Bytes that hold no valid record are logged in the folder `recovered/quarantine` beside the
+    archives; a page without a record is an error that names it.
+    """
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    pages = read_table(spark, sf_dir, "pages")
+    write_archives(pages, f"{folder}/archives")
+    records, _ = recover(spark, f"{folder}/archives", f"{folder}/recovered")
+    lost = pages.count() - records.count()
+    if lost:
+        raise ValueError(f"{lost} pages have no valid record; see {folder}/recovered/quarantine")
+    return records.select(
+        F.expr("try_cast(page_id AS BIGINT)").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.expr("try_cast(refers_to AS BIGINT)").alias("refers_to"),
     )
