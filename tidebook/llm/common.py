@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tidebook.runtime import shared_dir
 
-__all__ = ["count_words", "durable", "join_counted", "let", "read_table", "shared_dir", "unit", "words_of"]
+__all__ = ["count_words", "durable", "join_counted", "lane_bits", "let", "read_table", "row_digest", "shared_dir", "unit", "words_of"]
 
 #: Keys that a join may treat as hot, at most, and rows from which a key can be one.
 MOST_HOT, LEAST_HOT = 10_000, 1_000
+ROWS_PER_LANE = 100_000
 
 #: One white-space character of the word rule `[^\x20\x09-\x0D]+`.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -53,6 +54,20 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, n: str = "n", how:
     return rest.unionByName(left.join(F.broadcast(hot), key))
 
 
+def lane_bits(rows: DataFrame, least: int, most: int = 16) -> int:
+    """Bits of a lane number, so that a third of the rows spread over 2^bits lanes leave about ROWS_PER_LANE in each.
+
+    Lanes are ranges of a hash, so their number changes no order and no result.
+    """
+    return max(least, min(most, (rows.count() // (3 * ROWS_PER_LANE)).bit_length()))
+
+
+def row_digest(columns: list[str], names: tuple[str, str]) -> list[Column]:
+    """A digest of 128 bits over the columns, as two longs: rows that share it are equal in all of them."""
+    own = [F.col(f"`{c}`") for c in columns]
+    return [F.xxhash64(F.lit(k), *own).alias(n) for k, n in enumerate(names, 1)]
+
+
 def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text (null: none), in order, as an array."""
     return F.filter(

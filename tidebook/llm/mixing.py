@@ -13,9 +13,10 @@ whole, and a source that must be repeated simply goes round again.
 
 Scale: seats are not listed. A lower bound on every quota comes from the divisor
 (seats - sources/2) / votes, and only the at most 2 x sources seats above the
-bounds compete by quotient. Places on the circle are running sums within
-(source, lane) groups plus a table of lane totals, so that no task ever sees a
-whole source.
+bounds compete by quotient; one task holds a few numbers a source, which some ten million
+sources fit. Places on the circle are running sums within (source, lane) groups plus a table
+of lane totals; lanes are ranges of the seeded hash and their number grows with the
+rows, so that no task ever sees a whole source and the result does not depend on it.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import SPACE_CLASS, WORD_CLASS, count_words, durable, let, read_table, unit
+from tidebook.llm.common import SPACE_CLASS, WORD_CLASS, count_words, durable, lane_bits, let, read_table, row_digest, unit
 
 WEIGHTS, SHARE, CEILING = (5, 2, 1), 1.5, 2
-LANES, SHARDS, SEED = 256, 8, 7_130_417
+LANE_BITS, SHARDS, SEED = 8, 8, 7_130_417
 #: A block is a power of two of words, at most so many, and at most 1/128 of the smallest target.
 BLOCK, FINENESS = 1024, 128
 
@@ -131,7 +132,7 @@ def mix(
     ceiling: float = CEILING,
     n_shards: int = SHARDS,
     block: int = BLOCK,
-    lanes: int = LANES,
+    bits: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """`docs` with size, source_size, target, taken, shard_words, offset and reach.
@@ -141,8 +142,10 @@ def mix(
     document's place after its source's start and reach the words the source takes,
     both on the source's circle. Null sources are a source of their own; documents
     without words take none; no rows give no rows. `key` tells rows apart, rows
-    equal in it are interchangeable. Input columns of the added names are replaced.
+    equal in it are interchangeable. A source has 2^bits lanes, by default by the number of
+    rows. Input columns of the added names are replaced.
     """
+    bits = lane_bits(docs, LANE_BITS) if bits is None else bits
     added = ["size", "source_size", "target", "taken", "shard_words", "offset", "reach"]
     columns = [c for c in docs.columns if c not in added]
     named = [F.col(f"`{c}`") for c in key]
@@ -153,7 +156,7 @@ def mix(
         "size",
         source_key.alias("_tm_key"),
         F.xxhash64(F.lit(seed), *named).alias("_tm_h"),
-    ).withColumn("_tm_lane", F.pmod(F.shiftright("_tm_h", 20), F.lit(lanes)).cast("int"))
+    ).withColumn("_tm_lane", F.shiftrightunsigned("_tm_h", 64 - bits).cast("int"))
 
     per_lane = durable(
         laid.groupBy("_tm_key", "source", "_tm_lane").agg(F.sum("size").alias("lane_size"))
@@ -211,10 +214,17 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A lap that takes all words repeats the row as it is. The lap that ends within a
     document takes its leading or trailing words, or both, with the white space around
     them, and n_chars follows where it exists. At most two documents of a source are cut.
-    Columns keep their names, whatever those are.
+    Columns keep their names, whatever those are. Rows are told apart by all their
+    columns, so reruns and recomputed tasks cut the same ones.
     """
-    packed = docs.select(F.struct("*").alias("_tm_row"), "doc_id", "source", count_words(F.col("text")).alias("n"))
-    mixed = mix(packed, F.col("n"), ["doc_id", "n"])
+    packed = docs.select(
+        F.struct("*").alias("_tm_row"),
+        "doc_id",
+        "source",
+        count_words(F.col("text")).alias("n"),
+        *row_digest(docs.columns, ("_tm_a", "_tm_b")),
+    )
+    mixed = mix(packed, F.col("n"), ["doc_id", "n", "_tm_a", "_tm_b"])
     pieces = F.transform(
         F.sequence(F.lit(0), F.floor((F.col("reach") - 1) / F.col("source_size")).cast("int")),
         lambda lap: F.least(F.col("reach") - lap * F.col("source_size"), F.col("source_size")),
@@ -255,5 +265,5 @@ def op2_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", count_words(F.col("text")).alias("n")
     )
     return mix(docs, F.col("n"), ["doc_id", "n"]).select(
-        "doc_id", "source", "size", "source_size", "target", "taken", "shard_words"
+        "doc_id", "size", "source_size", "target", "taken", "source", "shard_words"
     )

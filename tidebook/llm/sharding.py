@@ -14,10 +14,11 @@ DataFrame functions; randomness comes from hashes of the seed, so reruns and
 recomputed tasks agree.
 
 Scale: neither rank sorts a whole partition or shard in one task. Both are split
-into `lanes` by hash, and a table of lane counts (partitions x lanes, shards x
-lanes rows: fixed parameters) turns ranks within lanes into ranks within the
-whole. The matrix has partitions x shards cells; one draw walks about 16 standard
-deviations of its law, so the work for it grows as the square root of the rows.
+into lanes, ranges of the hash whose number grows with the rows (up to 4096), and a table of lane
+counts (partitions x lanes, shards x lanes rows) turns ranks within lanes into ranks
+within the whole. The matrix has partitions x shards cells; one draw walks about 16 standard
+deviations of its law, so the work for it grows as the square root of the rows: about
+2 x 10^8 steps, well under a minute, for 2 x 10^10 rows.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import let, read_table, unit
+from tidebook.llm.common import lane_bits, let, read_table, row_digest, unit
 
-PARTITIONS, LANES, SHARDS, SEED = 64, 64, 40, 20_240_611
+PARTITIONS, LANE_BITS, MOST_LANE_BITS, SHARDS, SEED = 64, 6, 12, 40, 20_240_611
 
 
 def _hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Column:
@@ -153,7 +154,7 @@ def assign_shards(
     n_shards: int = SHARDS,
     seed: int = SEED,
     partitions: int = PARTITIONS,
-    lanes: int = LANES,
+    bits: int | None = None,
 ) -> DataFrame:
     """`rows` with columns shard (int) and slot (long, gapless from 0 in each shard).
 
@@ -161,8 +162,10 @@ def assign_shards(
     interchangeable, and rows that are null there are rows like any other. An empty
     input gives an empty result. Columns of the input keep their names and values;
     its own columns named shard or slot are replaced, and names that start with
-    `_ts_` are reserved.
+    `_ts_` are reserved. A partition has 2^bits lanes, by default by the number of rows.
     """
+    bits = lane_bits(rows, LANE_BITS, MOST_LANE_BITS) if bits is None else bits
+    lanes = 1 << bits
     rows = rows.drop("shard", "slot")
     named = [F.col(f"`{c}`") for c in key]
     kept = [F.col(f"`{c}`") for c in rows.columns]
@@ -171,7 +174,7 @@ def assign_shards(
         F.pmod(F.xxhash64(F.lit(seed), *named), F.lit(partitions)).cast("int").alias("_ts_p"),
         F.xxhash64(F.lit(seed + 1), *named).alias("_ts_h"),
         F.xxhash64(F.lit(seed + 2), *named).alias("_ts_g"),
-    ).withColumn("_ts_lane", F.pmod(F.shiftright("_ts_h", 20), F.lit(lanes)).cast("int"))
+    ).withColumn("_ts_lane", F.shiftrightunsigned("_ts_h", 64 - bits).cast("int"))
 
     per_lane = dealt.groupBy("_ts_p", "_ts_lane").agg(F.count(F.lit(1)).alias("n"))
     per_partition = per_lane.groupBy("_ts_p").agg(
@@ -200,7 +203,7 @@ def assign_shards(
         .join(plan, "_ts_p")
         .withColumn("_ts_rank", F.col("_ts_rank") + F.element_at("_ts_start", F.col("_ts_lane") + 1))
         .withColumn("_ts_shard", F.size(F.filter("_ts_from", lambda c: c <= F.col("_ts_rank"))) - 1)
-        .withColumn("_ts_lane", F.pmod(F.shiftright("_ts_g", 20), F.lit(lanes)).cast("int"))
+        .withColumn("_ts_lane", F.shiftrightunsigned("_ts_g", 64 - bits).cast("int"))
         .drop("_ts_from", "_ts_start", "_ts_rank", "_ts_h", "_ts_p")
     )
     offsets = (
@@ -237,10 +240,13 @@ _KEY = ["doc_id", "text_crc32", "size", "source"]
 
 
 def shard_documents(docs: DataFrame) -> DataFrame:
-    """`docs` with shard and slot, which replace columns of these names; texts move twice, to their lane and shard."""
+    """`docs` with shard and slot, which replace columns of these names; texts move twice, to their lane and shard.
+
+    Rows are told apart by all their columns, so reruns and recomputed tasks agree.
+    """
     own = [c for c in docs.columns if c not in ("shard", "slot")]
-    packed = _sized(docs, F.struct(*[F.col(f"`{c}`") for c in own]).alias("_ts_row"))
-    return assign_shards(packed, _KEY).select("_ts_row.*", "shard", "slot")
+    packed = _sized(docs, F.struct(*[F.col(f"`{c}`") for c in own]).alias("_ts_row"), *row_digest(own, ("_ts_a", "_ts_b")))
+    return assign_shards(packed, [*_KEY, "_ts_a", "_ts_b"]).select("_ts_row.*", "shard", "slot")
 
 
 def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import durable, join_counted, read_table
+from tidebook.llm.common import durable, join_counted, read_table, row_digest
 from tidebook.llm.components import connected_components
 from tidebook.runtime import ship_package
 
@@ -137,9 +137,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     one. Columns stay as they are; names that start with `_td_` are reserved. Texts move
     once, to meet the kept keys.
     """
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("_td_a", F.xxhash64(F.lit(1), *own)).withColumn("_td_b", F.xxhash64(F.lit(2), *own))
     digest = ["_td_a", "_td_b"]
+    keyed = docs.select("*", *row_digest(docs.columns, ("_td_a", "_td_b")))
     kept = near_duplicates(keyed, digest).groupBy("group").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *digest)).alias("k")
     )
