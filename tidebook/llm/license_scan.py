@@ -1,7 +1,8 @@
 """License scans by an exact set-similarity join of text blocks with templates.
 
 A text is cut into blocks of BLOCK words that start every BLOCK/2 words, so that any
-passage of up to BLOCK/2 words lies within one block. A block matches a template if it
+passage of up to BLOCK/2 words lies within one block. Longer templates meet blocks of twice
+their size, which double from class to class. A block matches a template if it
 contains at least `threshold` of the template's distinct words. Words of templates
 are ordered by the number of documents that hold them, rarest first, counted over
 all documents. For a template of size s that needs o common words:
@@ -74,6 +75,13 @@ def template_words(template: str) -> list[str]:
     return list(dict.fromkeys(template.lower().replace(".", " ").replace("-", " ").split()))
 
 
+def block_of(template: str, block: int = BLOCK) -> int:
+    """Words of a block for a template: `block`, doubled until half of it holds the template."""
+    while len(template.split()) > block // 2:
+        block *= 2
+    return block
+
+
 def need(size: int, threshold: float) -> int:
     return max(1, math.ceil(round(threshold * size, 9)))
 
@@ -170,18 +178,18 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold
     Labels are distinct, sorted and joined by commas, empty without any. score is the
     highest containment, 1 where a phrase stands, 0 without a match. Null and empty
     texts have no words. Input columns of these names are replaced; rows stay as many
-    as they are. A template must not hold more than block/2 words.
+    as they are. Templates may have any number of words.
     """
-    for template, _ in templates:
-        if len(template.split()) > block // 2:
-            raise ValueError(f"template is longer than half a block: {template}")
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
     order = word_order(docs, templates)
-    parts = [templates[k : k + chunk] for k in range(0, len(templates), chunk)]
+    sized: dict[int, list[Template]] = {}
+    for template in templates:
+        sized.setdefault(block_of(template[0], block), []).append(template)
+    parts = [(size, tuple(own[k : k + chunk])) for size, own in sorted(sized.items()) for k in range(0, len(own), chunk)]
 
     def found(w: Column) -> Column:
-        hits = [matches(w, part, order, threshold, block) for part in parts]
+        hits = [matches(w, part, order, threshold, size) for size, part in parts]
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             phrase_places(w).alias("places"),
