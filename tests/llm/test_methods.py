@@ -166,7 +166,7 @@ def test_chi_square():
 
 
 # --- token counts -------------------------------------------------------------------------------------------------------
-COUNTER = token_counts.PieceCounter(token_counts.model_path(token_counts.MODEL), memo_entries=500)
+COUNTER = token_counts.PieceCounter(token_counts.model_path(token_counts.MODEL), memo_bytes=500, batch_bytes=200, long=5)
 
 
 @settings(max_examples=300, deadline=None)
@@ -176,6 +176,21 @@ def test_safe_pieces_count_like_the_whole(parts):
     assert COUNTER.count([text]) == [len(COUNTER.encoder.encode(text))]
 
 
+def test_texts_are_counted_together_and_long_runs_in_parts(monkeypatch):
+    rng = random.Random(5)
+    runs = ["".join(rng.choice(alphabet) for _ in range(3000)) for alphabet in ("abcXYZ09+/", "日本語学校", "é\u0301ßx", "x")]
+    texts = [None, "", *runs, " ".join(runs), "\n" + runs[0] + "\n\n" + runs[1], "the " * 5000, *(" ".join(rng.choice(["the", "cat", "Öl", "x\ny"]) for _ in range(40)) for _ in range(200))]
+    monkeypatch.setattr(token_counts, "GROUP_BYTES", 3000)
+    counter = token_counts.PieceCounter(token_counts.model_path(token_counts.MODEL), memo_bytes=200, batch_bytes=1000, long=64)
+    sizes = []
+    encode = counter.encoder.encode
+    monkeypatch.setattr(counter, "encoder", type("Seen", (), {"encode": lambda self, batch, **k: sizes.append(sum(len(x.encode()) for x in batch)) or encode(batch, **k)})())
+    assert counter.count(texts) == [len(encode(t or "")) for t in texts]
+    # a run of one letter has no safe place; other batches are near the bound
+    assert sum(s >= 3000 for s in sizes) <= 2 and len(sizes) > 30
+    assert all(sum(map(len, counter.segments(r))) == len(r) for r in runs) and len(counter.segments(runs[1])) > 20
+
+
 def test_token_counts_match_the_library(spark, sf):
     encoder = sentencepiece.SentencePieceProcessor(model_file=token_counts.model_path(token_counts.MODEL))
     texts = {r.doc_id: r.text for r in read_table(spark, sf, "documents").collect()}
@@ -361,3 +376,19 @@ def test_block_join_is_exact(spark):
         joined = " " + " ".join(words) + " "
         want |= {label for phrase, label in license_scan.PHRASES if f" {phrase} " in joined}
         assert set(filter(None, r.labels.split(","))) == want
+
+
+def test_templates_of_any_length(spark):
+    """A template of 300 words, at any place of a long text, whole or with a twentieth of it left out."""
+    rng = random.Random(9)
+    template = " ".join(f"law{k}" for k in range(300))
+    short = "released under the mit license"
+    texts = []
+    for k in range(12):
+        words = template.split()
+        for _ in range(15 * (k % 3)):
+            words.pop(rng.randrange(len(words)))
+        texts.append(" ".join(["pad"] * rng.randint(0, 900) + words + ["pad"] * rng.randint(0, 900)))
+    texts += [" ".join(template.split()[:200]), short, template + " " + short]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), ((template, "law"), (short, "mit"))).orderBy("k").collect()
+    assert [r.labels for r in rows] == ["law"] * 12 + ["", "mit", "law,mit"]
