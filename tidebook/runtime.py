@@ -49,3 +49,9 @@ def shared_dir(spark: SparkSession) -> str:
             folder = tempfile.mkdtemp(prefix="tidebook-checkpoint-")
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more, wherever it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
