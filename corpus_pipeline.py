@@ -12,6 +12,7 @@ from tidebook.llm.outliers import drop_outliers
 from tidebook.llm.sharding import shard_documents
 from tidebook.llm.simhash import drop_near_duplicates
 from tidebook.llm.tiling import drop_contaminated
+from tidebook.runtime import discard
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents; each result is written as Parquet in the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """The stages in order over documents; each result is written as Parquet in the shared folder and read again.
+
+    A stage's table goes once the next one is written; the last one is read by the result.
+    """
+    docs, folder = read_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            discard(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

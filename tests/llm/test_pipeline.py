@@ -1,7 +1,9 @@
 """The pipeline's stages, each against a brute-force version of it on its own input."""
 
+import math
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -28,8 +30,29 @@ def stages(spark, sf, tmp_path_factory):
     return {k: v.collect() for k, v in out.items()}
 
 
+def chi2_cdf(x, df):
+    """By integration of the density."""
+    t = np.linspace(0, x, 20_001)[1:]
+    density = t ** (df / 2 - 1) * np.exp(-t / 2) / (2 ** (df / 2) * math.gamma(df / 2))
+    return float(density.sum() * x / 20_000)
+
+
+@lru_cache(None)
+def quantile(q, df=4):
+    low, high = 0.0, 80.0
+    for _ in range(50):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2_cdf(mid, df) < q else (low, mid)
+    return low
+
+
+@lru_cache(None)
+def whole_again(share):
+    return 1.0 if share >= 1 else share / chi2_cdf(quantile(share), 6)
+
+
 def sorted_mcd(rows):
-    """Verdicts by concentration on sorted distances, from the same two starts, group by group."""
+    """Verdicts by concentration on sorted distances until the subset stays, from the same two starts, group by group."""
     groups = defaultdict(list)
     for r in rows:
         groups[(r.lang, r.source)].append(r)
@@ -43,23 +66,26 @@ def sorted_mcd(rows):
         x = np.array([vector(counts[k], length) for k in sound])
         ridge = np.diag(np.array(outliers.RIDGE) ** 2)
         n = len(x)
-        h = max(1, (n + 4 + 1) // 2)
+        h = min(n, (n + 4 + 1) // 2)
         q = np.percentile(x, [25, 50, 75], axis=0, method="inverted_cdf")
-        starts = [(q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + ridge), (x.mean(0), np.cov(x.T, ddof=0) + ridge)]
         found = []
-        for centre, scatter in starts:
-            for _ in range(outliers.STEPS):
+        for centre, scatter in [(q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + ridge), (x.mean(0), np.cov(x.T, ddof=0) + ridge)]:
+            before = None
+            for _ in range(100):
                 d = distances(x, centre, scatter)
-                inner = x[d <= np.sort(d)[min(h, n) - 1] * 2 ** (1 / 16)]
-                centre = inner.mean(0)
-                scatter = outliers._consistency(0.5) * np.cov(inner.T, ddof=0) + ridge
+                inner = d <= np.sort(d)[h - 1]  # ties go together
+                if before is not None and (inner == before).all():
+                    break
+                before = inner
+                centre = x[inner].mean(0)
+                scatter = whole_again(round(inner.mean(), 3)) * np.cov(x[inner].T, ddof=0) + ridge
             found.append((np.linalg.det(scatter), centre, scatter))
         _, centre, scatter = min(found, key=lambda f: f[0])
-        inner = x[distances(x, centre, scatter) <= outliers.chi2_quantile(0.975, 4)]
+        inner = x[distances(x, centre, scatter) <= quantile(0.975)]
         if len(inner):
-            centre, scatter = inner.mean(0), outliers._consistency(0.975) * np.cov(inner.T, ddof=0) + ridge
+            centre, scatter = inner.mean(0), whole_again(0.975) * np.cov(inner.T, ddof=0) + ridge
         d = distances(x, centre, scatter)
-        kept |= {part[k].doc_id for k, v in zip(sound, d, strict=True) if v <= outliers.chi2_quantile(1 - outliers.TAIL, 4)}
+        kept |= {part[k].doc_id for k, v in zip(sound, d, strict=True) if v <= quantile(1 - outliers.TAIL)}
     return kept
 
 
@@ -145,3 +171,11 @@ def test_run_is_its_stages(stages, spark, sf):
 def test_stage_columns(stages):
     for name, _ in corpus_pipeline.STAGES[:-1]:
         assert list(stages[name][0].asDict()) == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_pipeline_on_no_rows_and_on_null_texts(spark, sf, tmp_path):
+    for name, rows in (("none", []), ("nulls", [(1, None, None, None, None), (None, None, "en", "a", 0), (2, "", "en", None, 0)])):
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / name / "documents.parquet"))
+        read_table(spark, sf, "benchmark").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert out.collect() == [] and out.columns[-2:] == ["shard", "slot"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidebook.runtime import shared_dir
 
-__all__ = ["count_words", "durable", "join_counted", "lane_bits", "let", "read_table", "row_digest", "shared_dir", "unit", "words_of"]
+__all__ = ["count_words", "durable", "join_counted", "lane_bits", "let", "read_table", "row_digest", "shared_dir", "stored", "unit", "words_of"]
 
 #: Keys that a join may treat as hot, at most, and rows from which a key can be one.
 MOST_HOT, LEAST_HOT = 10_000, 1_000
@@ -36,6 +37,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder, which later reads take by column."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def join_counted(left: DataFrame, right: DataFrame, key: str, n: str = "n", how: str = "inner") -> DataFrame:
     """`left` joined with the one row that `right` has for a key; no task meets all rows of a hot key.
 

@@ -13,8 +13,10 @@ without any symbol or repeat and would have no determinant at all.
 Scale: a concentration step is one partial aggregation. Rows fall into fine bins of
 the logarithm of their distance; sums of moments per (group, bin) say both where
 the subset ends and what its moments are, so no group is sorted or collected, and a
-group that holds a third of all rows is a few hundred partial sums. Counts are computed inside
-the row. Estimates have one row per group; they are broadcast only if they are few,
+group that holds a third of all rows is a few hundred partial sums. The subset takes the
+whole bin that fills it, and its scatter is made whole by the share that it really holds. Groups
+step until their determinant stays, and groups that are done are left out of the next step.
+Counts are computed inside the row, once. Estimates have one row per group; they are broadcast only if they are few,
 else joined.
 """
 
@@ -25,11 +27,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import SPACE_CLASS, durable, let, read_table
+from tidebook.llm.common import SPACE_CLASS, durable, let, read_table, stored
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
-STEPS, TAIL = 5, 1e-6
+#: Concentration steps at most, and the relative change of a determinant that counts as none.
+MOST_STEPS, STILL, TAIL = 40, 1e-9, 1e-6
+#: Consistency factors are looked up by share in steps of one over this.
+SHARES = 1000
 #: Words by which rates of short texts are drawn to their group's.
 PRIOR_WORDS = 50
 #: Scale that every transformed statistic has at least: log word length, log symbols and repeated lines per 100 words, share of repeated words.
@@ -61,6 +66,13 @@ def _consistency(share: float) -> float:
     return share / chi2_cdf(chi2_quantile(share, _P), _P + 2)
 
 
+def consistency(share: Column) -> Column:
+    """The factor for a share from a half to the whole, to three digits."""
+    table = [_consistency(max(k, SHARES // 2) / SHARES) if k < SHARES else 1.0 for k in range(SHARES // 2, SHARES + 1)]
+    place = F.least(F.lit(SHARES // 2), F.greatest(F.lit(0), F.round(share * SHARES).cast("int") - SHARES // 2))
+    return F.get(F.lit(table), place)
+
+
 def text_counts(text: Column) -> Column:
     """Struct of the COUNTS (longs) of a whole text; null counts as empty."""
     whole = F.coalesce(text, F.lit(""))
@@ -135,7 +147,7 @@ def _moments(prefix: str = "") -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), *sums, *[F.sum(F.col(_X[j]) * F.col(_X[k])).alias(f"s{j}{k}") for j, k in _PAIRS]]
 
 
-def _estimate(sums: DataFrame, factor: float) -> DataFrame:
+def _estimate(sums: DataFrame, factor: float | Column) -> DataFrame:
     """Sums of moments to means m*, the inverse i** of the ridged scatter, and its determinant."""
     out = sums
     for j in range(_P):
@@ -187,7 +199,7 @@ def small_or_joined(few: DataFrame) -> DataFrame:
     return F.broadcast(few) if few.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else few
 
 
-def estimates(counted: DataFrame, steps: int = STEPS) -> DataFrame:
+def estimates(counted: DataFrame, steps: int = MOST_STEPS) -> DataFrame:
     """One row per group: key, prior_length, means m*, inverse scatter i** and det.
 
     `counted` has key, failed and the COUNTS; failed rows take no part. Groups of any
@@ -213,13 +225,14 @@ def estimates(counted: DataFrame, steps: int = STEPS) -> DataFrame:
         ],
     )
     classical = _estimate(first.withColumn("start", F.lit("moments")), 1.0)
-    now = durable(_invert(diagonal).unionByName(classical))
+    going = durable(_invert(diagonal).unionByName(classical))
     few = small_or_joined(first) is not first
     bins = Window.partitionBy("key", "start").orderBy("bin")
     sums = [*_X, *[f"s{j}{k}" for j, k in _PAIRS]]
-    for _ in range(steps):
+    now = going.limit(0)
+    for step in range(steps):
         binned = (
-            rows.join(F.broadcast(now) if few else now, "key")
+            rows.join(F.broadcast(going) if few else going, "key")
             .withColumn("bin", F.floor(_BINS_PER_OCTAVE * F.log2(_distance() + 1e-6)).cast("int"))
             .groupBy("key", "start", "all", "bin")
             .agg(*_moments())
@@ -230,7 +243,15 @@ def estimates(counted: DataFrame, steps: int = STEPS) -> DataFrame:
             .groupBy("key", "start", "all")
             .agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in sums])
         )
-        now = durable(_estimate(inner, _consistency(0.5)))
+        after = _estimate(inner, consistency(F.col("n") / F.col("all")))
+        was = going.select("key", "start", F.col("det").alias("was"))
+        moved = durable(after.join(was, ["key", "start"]).withColumn("still", F.abs(F.col("det") - F.col("was")) <= STILL * F.col("was")))
+        last = step == steps - 1
+        now = now.unionByName(moved.where(F.col("still") | F.lit(last)).drop("was", "still"))
+        going = moved.where(~F.col("still")).drop("was", "still")
+        if last or not going.limit(1).count():
+            break
+    now = durable(now)
     best = now.groupBy("key").agg(F.min_by(F.struct(*[c for c in now.columns if c != "key"]), F.struct("det", "start")).alias("b"))
     raw = durable(best.select("key", "b.*"))
     share = 0.975
@@ -274,14 +295,13 @@ def count_documents(docs: DataFrame) -> DataFrame:
 def drop_outliers(docs: DataFrame) -> DataFrame:
     """`docs` without the rows that fail the fixed rules or lie outside their group.
 
-    Two passes over the texts, one for the estimates and one for the verdicts; texts
-    themselves are not moved while groups are few. All columns stay as they are, whatever
-    their names.
+    Texts are read and counted once: rows go to a table in the shared folder with their counts,
+    which the estimates read alone and the verdicts select from. Texts are not shuffled while
+    groups are few. All columns stay as they are, whatever their names.
     """
-    slim = durable(count_documents(docs.select("lang", "source", "text")).drop("lang", "source", "text"))
     packed = docs.select(F.struct("*").alias("_to_row"), "lang", "source", "text")
-    verdicts = judge(count_documents(packed), estimates(slim))
-    return verdicts.where("kept").select("_to_row.*")
+    counted = stored(count_documents(packed).drop("lang", "source", "text"))
+    return judge(counted, estimates(counted.drop("_to_row"))).where("kept").select("_to_row.*")
 
 
 def op5_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
