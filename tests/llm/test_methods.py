@@ -264,6 +264,95 @@ def test_held_out_accuracy(spark):
     assert [s.category for s in steps] == ["low_quality", "toxic"] and len(steps[1].earlier) == 1
 
 
+def brute_chain(texts, labels, folds):
+    """The chain from its definition: word sets, plain Newton steps, a fold at a time; per category weights, threshold and probabilities out of fold."""
+    sets = [set("".join(c if c.isalnum() else " " for c in t.lower()).split()) for t in texts]
+
+    def style(t, n_words, n_distinct):
+        size = max(len(t), 1)
+        return [
+            sum("A" <= c <= "Z" for c in t) / size, sum(c in "#*$%&|<>" for c in t) / size, len(t) / max(n_words, 1) / 10,
+            n_distinct / max(n_words, 1) ** 0.5 / 10, np.log1p(n_words) / 10,
+        ]
+
+    dense = [style(t, len("".join(c if c.isalnum() else " " for c in t.lower()).split()), len(s)) for t, s in zip(texts, sets, strict=True)]
+
+    def chosen_words(mine, y):
+        strength = {}
+        for w in set().union(*(sets[k] for k in mine)):
+            cells = Counter((w in sets[k], y[k]) for k in mine)
+            g = 0.0
+            for (a, b), seen in cells.items():
+                row, col = sum(v for (x, _), v in cells.items() if x == a), sum(v for (_, x), v in cells.items() if x == b)
+                g += seen * np.log(seen * len(mine) / (row * col))
+            if sum(v for (x, _), v in cells.items() if x) >= toxicity.LEAST_ROWS:
+                strength[w] = max(2 * g, 0) ** 0.5
+        return sorted(w for w, v in strength.items() if v >= toxicity.LEAST_ROOT)
+
+    def fit(mine, y, dense):
+        words = chosen_words(mine, y)
+        x = np.array([[float(w in sets[k]) for w in words] + dense[k] + [1.0] for k in mine])
+        target = np.array([float(y[k]) for k in mine])
+        penalty = np.full(x.shape[1], toxicity.RIDGE)
+        penalty[-1] = 1e-6
+        w = np.zeros(x.shape[1])
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-x @ w))
+            step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(penalty), x.T @ (target - p) - penalty * w)
+            w += step * min(1.0, 1 / np.abs(step).max())
+        return words, w
+
+    def predict(k, words, w, dense):
+        return 1 / (1 + np.exp(-(sum(v for word, v in zip(words, w, strict=False) if word in sets[k]) + np.dot(w[len(words) :], [*dense[k], 1.0]))))
+
+    out = []
+    for c in range(2):
+        y = [int(row[c]) for row in labels]
+        oof = [0.0] * len(texts)
+        for f in range(toxicity.FOLDS):
+            words, w = fit([k for k in range(len(texts)) if folds[k] != f], y, dense)
+            for k in range(len(texts)):
+                if folds[k] == f:
+                    oof[k] = predict(k, words, w, dense)
+        words, w = fit(list(range(len(texts))), y, dense)
+        cut = [(sum(y[k] for k in range(len(y)) if oof[k] >= p), sum(q >= p for q in oof), p) for p in sorted(set(oof))]
+        best = max(((2 * h / (n + sum(y)), p) for h, n, p in cut if h >= 0.9 * n and h), default=None)
+        out.append((dict(zip(words, w, strict=False)), w[len(words) :], best, oof))
+        dense = [[*d, float(np.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4))))] for d, p in zip(dense, oof, strict=True)]
+    return out
+
+
+def test_chain_against_its_definition():
+    """Weights, what later models get of earlier ones out of fold, thresholds and scores, on texts whose categories depend on each other."""
+    rng = random.Random(8)
+    texts, labels = [], []
+    for _ in range(240):
+        low = rng.random() < 0.4
+        toxic = rng.random() < (0.6 if low else 0.1)
+        words = [rng.choice(["calm", "day", "tree", "river", "Stone", "bread"]) for _ in range(rng.randint(4, 25))]
+        words += [rng.choice(["spam", "BUY", "now$"])] * (2 * low) if rng.random() < 0.9 else []
+        words += [rng.choice(["vile", "awful"])] if toxic and rng.random() < 0.8 else []
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        labels.append((int(low), int(toxic)))
+    folds = np.array([k % toxicity.FOLDS for k in range(len(texts))])
+    steps = toxicity.train_chain([t.encode() for t in texts], np.array(labels), folds)
+    want = brute_chain(texts, labels, folds)
+    for step, (words, rest, best, oof) in zip(steps, want, strict=True):
+        assert set(step.words) == set(words) and all(step.words[k] == pytest.approx(v, abs=1e-4) for k, v in words.items())
+        assert [*step.style, *step.earlier, step.bias] == pytest.approx(rest.tolist(), abs=2e-3)
+        below = max((p for p in oof if p < best[1] - 1e-6), default=0.0)
+        assert step.threshold == pytest.approx((best[1] + below) / 2, abs=1e-4)
+    assert abs(steps[1].earlier[0]) > 0.1
+    chain = toxicity.Chain(steps)
+    for text in texts[:40]:
+        features, before = toxicity.text_features(text.encode()), []
+        for (words, rest, _, _), p in zip(want, chain.scores(text.encode()), strict=True):
+            x = sum(v for k, v in words.items() if k.encode() in features[0]) + np.dot(rest, [*features[1], *before, 1.0])
+            assert p == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-3)
+            before.append(float(np.log(p / (1 - p))))
+
+
 def test_threshold_needs_precision():
     assert toxicity.best_threshold(np.array([0.5, 0.5, 0.5]), np.array([0.0, 1.0, 0.0])) > 1
     assert 0.4 < toxicity.best_threshold(np.array([0.9, 0.8, 0.1]), np.array([1.0, 1.0, 0.0])) < 0.5

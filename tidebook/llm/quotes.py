@@ -16,13 +16,19 @@ A message whose parent is not the one before it starts a branch. Reply order put
 branch right after its parent: the sort key of a message is the path of the parents of
 its branches, then its turn.
 
-Scale: links are found by one window over (conversation, line hash) or (conversation,
-passage), which sees them in turn order and keeps a single value; no pairs of equal lines
-are made. Distinct passages meet distinct own texts of their conversation by the rarest of
+Scale: links are found by windows over (conversation, line hash) or (conversation,
+passage), which see them in turn order and keep a single value; no pairs of equal lines
+are made. A line that a conversation repeats endlessly is spread over lanes of LANE turns: the
+latest earlier original is in the lane of the quotation or the last one of the lanes before,
+from a table of lane ends. Distinct passages meet distinct own texts of their conversation by the rarest of
 their windows of LEAST words, and are then compared word by word. The
-message before, and the branch that a message belongs to, are carried over lanes of
-LANE turns and a table of lane ends, so that a conversation that holds a large share of all
-messages is spread over tasks. Branch paths need as many rounds as branches nest.
+message before, and the branch that a message belongs to, are carried over the same lanes,
+so that a conversation that holds a large share of all messages is spread over tasks. Paths of
+branches double their reach in every round, by joining them to those of the branch where
+they begin, so rounds grow as the logarithm of the nesting.
+
+Columns of messages other than conv_id, turn and text pass through. Texts are handled whole in
+their row however long they are: memory is a few times the text.
 """
 
 from __future__ import annotations
@@ -33,6 +39,7 @@ from pyspark.sql import functions as F
 from tidebook.llm.common import durable, let, read_table
 
 LANE, LEAST = 256, 4
+ADDED = ("parent_turn", "quoted_lines", "linked_lines", "depth", "reply_path")
 _MARKS = r"^[ \t]*>[> \t]*"
 
 
@@ -156,10 +163,26 @@ def _windows(text: Column) -> Column:
 
 def _latest(origins: DataFrame, quoted: DataFrame, key: str) -> DataFrame:
     """`quoted` with origin: the latest earlier turn of `origins` (conv_id, turn, key) with the same key."""
-    earlier = Window.partitionBy("conv_id", key).orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    both = origins.withColumn("_tq_own", F.lit(True)).unionByName(quoted, allowMissingColumns=True)
-    found = both.withColumn("origin", F.max(F.when(F.col("_tq_own"), F.col("turn"))).over(earlier))
-    return found.where("_tq_own IS NULL").drop("_tq_own")
+    lane = F.floor(F.col("turn") / LANE).alias("_tq_lane")
+    held = origins.select("conv_id", key, "turn", lane)
+    ends = held.groupBy("conv_id", key, "_tq_lane").agg(F.max("turn").alias("_tq_end"))
+    # a lane that only asks has no end of its own
+    asked = quoted.select("conv_id", key, lane).distinct()
+    lanes = Window.partitionBy("conv_id", key).orderBy("_tq_lane").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        ends.join(asked.withColumn("_tq_asked", F.lit(True)), ["conv_id", key, "_tq_lane"], "full")
+        .withColumn("_tq_carry", F.last("_tq_end", ignorenulls=True).over(lanes))
+        .where("_tq_asked")
+        .select("conv_id", key, "_tq_lane", "_tq_carry")
+    )
+    earlier = Window.partitionBy("conv_id", key, "_tq_lane").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    both = held.withColumn("_tq_own", F.lit(True)).unionByName(quoted.select("*", lane), allowMissingColumns=True)
+    found = both.withColumn("_tq_near", F.max(F.when(F.col("_tq_own"), F.col("turn"))).over(earlier)).where("_tq_own IS NULL")
+    return (
+        found.join(carried, ["conv_id", key, "_tq_lane"], "left")
+        .withColumn("origin", F.coalesce("_tq_near", "_tq_carry"))
+        .drop("_tq_own", "_tq_lane", "_tq_near", "_tq_carry")
+    )
 
 
 def _unit_links(keyed: DataFrame) -> DataFrame:
@@ -254,34 +277,35 @@ def _carried(turns: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 def _branch_paths(branches: DataFrame) -> DataFrame:
-    """(conv_id, branch, path) from branches with parent_turn and parent_branch (null: the main line)."""
-    done = durable(
-        branches.where("parent_branch IS NULL").select("conv_id", "branch", F.array("parent_turn").alias("path"))
-    )
-    rest = durable(branches.where("parent_branch IS NOT NULL"))
-    found = done
-    while rest.limit(1).count():
-        # parents are earlier turns, so every branch is reached
-        step = found.select("conv_id", F.col("branch").alias("parent_branch"), F.col("path").alias("above"))
-        found = durable(
-            rest.join(step, ["conv_id", "parent_branch"]).select(
-                "conv_id", "branch", F.concat("above", F.array("parent_turn")).alias("path")
-            )
+    """(conv_id, branch, path) from branches with parent_turn and parent_branch (null: the main line).
+
+    Each round puts the path of the branch where one begins before its own, so that what a
+    path covers doubles. Parents are earlier turns, so every path ends at the main line.
+    """
+    now = durable(branches.select("conv_id", "branch", F.array("parent_turn").alias("path"), F.col("parent_branch").alias("up")))
+    while now.where("up IS NOT NULL").limit(1).count():
+        above = now.select("conv_id", F.col("branch").alias("up"), F.col("path").alias("above"), F.col("up").alias("further"))
+        open_ones, done = now.where("up IS NOT NULL"), now.where("up IS NULL")
+        longer = open_ones.join(above, ["conv_id", "up"]).select(
+            "conv_id", "branch", F.concat("above", "path").alias("path"), F.col("further").alias("up")
         )
-        done = done.unionByName(found)
-        rest = durable(rest.join(found, ["conv_id", "branch"], "left_anti"))
-    return done
+        now = durable(done.unionByName(longer))
+    return now.drop("up")
 
 
 def reply_order(messages: DataFrame) -> DataFrame:
-    """Rows of `messages` (conv_id, turn, role, text) as conv_id, turn, role, text, parent_turn,
-    quoted_lines, linked_lines, depth and reply_path, sorted by conversation and reply path.
+    """Rows of `messages` (conv_id, turn, text and any others) with parent_turn, quoted_lines,
+    linked_lines, depth and reply_path, sorted by conversation and reply path.
 
     text is without quotations. parent_turn is null for the first message of a conversation, and
     for rows whose conv_id or turn is null, which link to nothing. Rows that repeat a
-    (conv_id, turn) share their links. depth counts the branches above a message.
+    (conv_id, turn) share their links. depth counts the branches above a message. Input
+    columns of the added names are replaced, the others keep their names and values;
+    no rows give no rows, and texts of any length are parsed whole.
     """
-    parsed = messages.select("conv_id", "turn", "role", split_message(F.col("text")).alias("s"))
+    own = [c for c in messages.columns if c not in ADDED]
+    packed = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_tq_row")
+    parsed = messages.select("conv_id", "turn", packed, split_message(F.col("text")).alias("s"))
     links = durable(quotation_links(parsed))
     turns = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct()
     counts = links.groupBy("conv_id", "turn").agg(
@@ -303,7 +327,10 @@ def reply_order(messages: DataFrame) -> DataFrame:
         .join(parents, ["conv_id", "parent_turn"], "left")
     )
     paths = _branch_paths(branches)
-    ordered = placed.join(paths, ["conv_id", "branch"], "left").select(
+    # messages of the main line have no branch; only the others look for a path
+    astray = placed.where("branch IS NOT NULL").join(paths, ["conv_id", "branch"], "left")
+    straight = placed.where("branch IS NULL").withColumn("path", F.lit(None).cast("array<bigint>"))
+    ordered = astray.unionByName(straight).select(
         "conv_id",
         "turn",
         "parent_turn",
@@ -313,13 +340,10 @@ def reply_order(messages: DataFrame) -> DataFrame:
         F.concat(F.coalesce("path", F.array().cast("array<bigint>")), F.array("turn")).alias("reply_path"),
     )
     return (
-        parsed.select("conv_id", "turn", "role", F.col("s.own").alias("text"))
+        parsed.select("conv_id", "turn", "_tq_row", F.col("s.own").alias("_tq_text"))
         .join(ordered, ["conv_id", "turn"], "left")
         .select(
-            "conv_id",
-            "turn",
-            "role",
-            "text",
+            *[F.col("_tq_text").alias("text") if c == "text" else F.col(f"_tq_row.`{c}`").alias(c) for c in own],
             "parent_turn",
             F.coalesce("quoted_lines", F.lit(0)).cast("long").alias("quoted_lines"),
             F.coalesce("linked_lines", F.lit(0)).cast("long").alias("linked_lines"),
@@ -332,4 +356,4 @@ def reply_order(messages: DataFrame) -> DataFrame:
 
 def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All messages of all conversations, without quotations, in reply order."""
-    return reply_order(read_table(spark, sf_dir, "conversations"))
+    return reply_order(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))

@@ -226,7 +226,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Step]:
-    """The chain, fitted in one task on the sample; rows that repeat an id may not exceed the bound."""
+    """The chain, fitted in one task on the sample of at most `rows` labelled rows.
+
+    Labelled ids that documents repeat give as many rows; in order of id, rows beyond the
+    bound are left out of the fit (never of the scoring). Texts count whole, null as empty.
+    """
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[bytes | None] = []
@@ -263,7 +267,12 @@ def chain_scores(text: Column, steps: list[Step]) -> Column:
 
 
 def score_documents(docs: DataFrame, steps: list[Step]) -> DataFrame:
-    """`docs` with p_<category> and the decision of each category as a boolean column of its name."""
+    """`docs` with p_<category> and the decision of each category as a boolean column of its name.
+
+    Every row is scored in place from its whole text, however long; null and empty texts
+    have no words, equal texts equal scores, no rows give no rows. Columns of these names
+    are replaced.
+    """
     own = [F.col(f"`{c}`") for c in docs.columns if c not in {x for s in steps for x in (s.category, f"p_{s.category}")}]
     out = docs.withColumn("_tt", chain_scores(F.col("text"), steps))
     return out.select(
