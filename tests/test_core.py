@@ -14,7 +14,8 @@ from tidebook.functions import features as f
 from tidebook.functions import filters, special
 from tidebook.operators import books, calendar, provenance, quality, series, store, trading
 from tidebook.operators.calendar import TradingCalendar
-from tidebook.operators.walk_forward import WalkForward, estimate_regime
+from tidebook.operators.life_cycle import estimate_regime
+from tidebook.operators.walk_forward import WalkForward
 from tidebook.sources import bars as bar_files
 from tidebook.sources import broker, bundles, frames, journal, synthetic, tables, vendors
 
@@ -262,7 +263,7 @@ def test_journals_and_bundles(spark, tmp_path):
         torn.write('{"event": "bar", "sym')
     entries, broken = journal.read_journal(spark, str(tmp_path / "j.jsonl"))
     assert entries.count() == 1 and broken == 1
-    assert books.rebuild_verdict(entries, broken, 100.0) == (True, []) and not books.rebuild_verdict(entries, 2, None)[0]
+    assert books.rebuild_verdict(entries, broken, 5.0) == (True, []) and not books.rebuild_verdict(entries, broken, 100.0)[0] and not books.rebuild_verdict(entries, 2, None)[0]
     lost = journal.JournalSink(str(tmp_path / "none" / "j"))
     lost.record(event="bar")
     assert lost.problems

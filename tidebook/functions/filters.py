@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from tidebook.functions.special import digamma, lgamma, t_logpdf, trigamma
+from tidebook.functions.special import beta_inc, digamma, gamma_inc, lgamma, t_logpdf, trigamma
 
 DISCOUNTS = (0.9, 0.95, 0.975, 0.99, 1.0)
 FORGETTING, LOG_FLOOR = 0.98, -46.0
@@ -99,6 +99,65 @@ class VarianceFilter:
         ]
         return parts, float((self.weights * horizon * b / (a * (a - 1))).sum())
 
+    def plugin_variance(self, horizon: int = 1) -> float:
+        """The part of the predictive variance that would stay if the variance were known."""
+        a, b = self.posterior(evolved=True)
+        return float((self.weights * horizon * b / a).sum())
+
+    def predictive_df(self) -> float:
+        return float((self.weights * 2 * self.posterior(evolved=True)[0]).sum())
+
+    def expected_volatility(self) -> float:
+        a, b = self.posterior()
+        return float((self.weights * np.sqrt(b) * np.exp(lgamma(a - 0.5) - lgamma(a))).sum())
+
+    def disagreement(self) -> float:
+        """Spread of the grid's log volatilities about their mean."""
+        a, b = self.posterior()
+        each = 0.5 * (np.log(b) - digamma(a))
+        return float(np.sqrt((self.weights * (each - (self.weights * each).sum()) ** 2).sum()))
+
+    def variance_cdf(self, v: float) -> float:
+        """P(variance of a bar <= v): a mixture of inverse gammas."""
+        a, b = self.posterior()
+        return float((self.weights * (1 - gamma_inc(a, b / v))).sum()) if v > 0 else 0.0
+
+    def realised_cdf(self, v: float, horizon: int = 1) -> float:
+        """P(sum of squared deviations over the next `horizon` bars <= v): a mixture of 2 b BetaPrime(horizon / 2, a)."""
+        a, b = self.posterior(evolved=True)
+        return float((self.weights * beta_inc(np.full_like(a, horizon / 2), a, v / (v + 2 * b))).sum()) if v > 0 else 0.0
+
+    def realised_mean(self, horizon: int = 1) -> float:
+        a, b = self.posterior(evolved=True)
+        return float((self.weights * horizon * b / (a - 1)).sum())
+
+    def volatility_interval(self, level: float = 0.9) -> tuple[float, float]:
+        """Central interval of the volatility of a bar: roots of quantiles of its variance."""
+        if not 0 < level < 1:
+            raise ValueError("a level lies between 0 and 1")
+        return tuple(float(np.sqrt(_positive_quantile(self.variance_cdf, p, self.noise_variance()))) for p in ((1 - level) / 2, (1 + level) / 2))
+
+    def dump(self) -> list:
+        return [self.mu, self.a0, self.b0, self.s.tolist(), self.q.tolist(), self.logs.tolist(), self.n_seen, self.n_skipped]
+
+    @classmethod
+    def load(cls, held: list) -> VarianceFilter:
+        mu, a0, b0, s, q, logs, n_seen, n_skipped = held
+        return cls(mu, a0, b0, np.array(s), np.array(q), np.array(logs), n_seen, n_skipped)
+
+
+def _positive_quantile(cdf, p: float, near: float) -> float:
+    """Where a distribution function on the positive numbers reaches p, by bisection of the logarithm."""
+    low = high = np.log(near)
+    while cdf(np.exp(low)) > p:
+        low -= 1
+    while cdf(np.exp(high)) < p:
+        high += 1
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if cdf(np.exp(mid)) < p else (low, mid)
+    return float(np.exp((low + high) / 2))
+
 
 STATIONARY = (0.35, 0.25, 0.4)
 _DRIFTS, _VARIANCES = (1.0, -1.0, 0.0), (-0.5, 1.5, 0.0)
@@ -175,6 +234,16 @@ class RegimeFilter:
         self.n_seen += 1
         return self
 
+    def dump(self) -> list:
+        p = self.parameters
+        scalars = [p.centre, p.drift_spread, p.persistence, p.mean_variance, p.dispersion, p.n_rows, p.prior_shape]
+        return [scalars, self.belief.tolist(), self.log_likelihood, self.n_seen, self.n_skipped]
+
+    @classmethod
+    def load(cls, held: list) -> RegimeFilter:
+        scalars, belief, *rest = held
+        return cls(RegimeParameters(*scalars), np.array(belief), *rest)
+
     def horizon_weights(self, horizon: int = 1) -> np.ndarray:
         held = self.parameters.persistence**horizon
         return held * self.belief + (1 - held) * np.array(STATIONARY)

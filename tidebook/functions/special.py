@@ -61,6 +61,35 @@ def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(swap, 1 - value, value)
 
 
+def gamma_inc(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised lower incomplete gamma function: a series below the mean, a continued fraction above it."""
+    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
+    z = np.where(x > 0, x, 1.0)
+    front = np.exp(a * np.log(z) - z - lgamma(a))
+    term = total = 1 / a
+    for k in range(1, 2000):
+        term = term * z / (a + k)
+        total = total + term
+        if np.all((np.abs(term) < 1e-16 * np.abs(total)) | (z > a + 1)):
+            break
+    tiny = 1e-300
+    b = z + 1 - a
+    c, d = np.full_like(z, 1 / tiny), 1 / np.where(np.abs(b) < tiny, tiny, b)
+    f = d.copy()
+    for k in range(1, 2000):
+        step, b = -k * (k - a), b + 2
+        d = step * d + b
+        d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+        c = b + step / c
+        c = np.where(np.abs(c) < tiny, tiny, c)
+        f = f * c * d
+        if np.all((np.abs(c * d - 1) < 1e-15) | (z <= a + 1)):
+            break
+    with np.errstate(invalid="ignore", over="ignore"):
+        value = np.where(z <= a + 1, front * total, 1 - front * f)
+    return np.where(x > 0, np.clip(value, 0, 1), 0.0)
+
+
 def t_logpdf(x, loc, scale, df) -> np.ndarray:
     z = (np.asarray(x, float) - loc) / scale
     return lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5 * np.log(df * np.pi) - np.log(scale) - (df + 1) / 2 * np.log1p(z * z / df)

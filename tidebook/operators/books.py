@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook import schema
 from tidebook.functions.filters import Book
-from tidebook.runtime import ship_package
+from tidebook.operators.folds import fold
 
 QUANTITY_TOLERANCE, PRICE_TOLERANCE, MAX_AGE_SECONDS = 0.0, 1e-4, 300
 MAX_TORN, EQUITY_TOLERANCE = 1, 0.01
@@ -91,16 +91,35 @@ def rebuilt_cash(entries: DataFrame, opening: float) -> DataFrame:
 
 def rebuild_positions(entries: DataFrame) -> DataFrame:
     """Quantity and average price per symbol after all fills in order: a fold, as averages depend on the path."""
-    ship_package()
     rows = entries.where("event = 'bar' AND filled > 0 AND fill_price IS NOT NULL").select("symbol", "as_of", "order_id", "action", "filled", "fill_price", "fees")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        book = Book(0.0)
-        for x in pdf.sort_values(["as_of", "order_id"], kind="stable").itertuples():
-            book.apply(x.symbol, x.action, x.filled, x.fill_price, x.fees)
-        return pd.DataFrame([(s, q, a) for s, (q, a) in book.positions.items()], columns=["symbol", "quantity", "average_price"])
+    def step(book: Book, x) -> list[tuple]:
+        book.apply(x.symbol, x.action, x.filled, x.fill_price, x.fees)
+        return []
+
+    def finish(book: Book) -> list[tuple]:
+        return [(s, q, a) for s, (q, a) in book.positions.items()]
 
-    return rows.groupBy("symbol").applyInPandas(run, "symbol string, quantity double, average_price double")
+    return fold(rows, "symbol", ["as_of", "order_id"], lambda _: Book(0.0), step, "symbol string, quantity double, average_price double", finish)
+
+
+def rebuilt_equity(entries: DataFrame, opening: float) -> DataFrame:
+    """One row: cash and equity rebuilt from a journal's fills and closes, the last equity that it recorded, and their relative gap.
+
+    Positions are marked at the last close of their symbol, or at their average price where
+    there is none. Needs line, the place of an entry in the journal.
+    """
+    bar = entries.where("event = 'bar'")
+    closes = bar.where("close IS NOT NULL").groupBy("symbol").agg(F.max_by("close", "line").alias("mark"))
+    held = rebuild_positions(entries).join(closes, "symbol", "left")
+    worth = held.agg(F.coalesce(F.sum(F.col("quantity") * F.coalesce("mark", "average_price")), F.lit(0.0)).alias("worth"))
+    moved = rebuilt_cash(entries, opening).agg(F.coalesce(F.sum("cash_moved"), F.lit(0.0)).alias("moved"))
+    recorded = bar.agg(F.max_by("equity", F.when(F.col("equity").isNotNull(), F.col("line"))).alias("recorded"))
+    # one row each
+    both = moved.crossJoin(worth).crossJoin(recorded).withColumn("cash", opening + F.col("moved"))
+    equity = F.col("cash") + F.col("worth")
+    gap = F.abs(equity - F.col("recorded")) / F.greatest(F.abs("recorded"), F.lit(1.0))
+    return both.select("cash", equity.alias("equity"), "recorded", gap.alias("gap"))
 
 
 def rebuild_verdict(entries: DataFrame, torn: int, opening: float | None) -> tuple[bool, list[str]]:
@@ -110,27 +129,13 @@ def rebuild_verdict(entries: DataFrame, torn: int, opening: float | None) -> tup
         problems.append(f"{torn} torn lines")
     if opening is None:
         problems.append("no opening cash")
+    elif "line" in entries.columns:
+        found = rebuilt_equity(entries, opening).first()
+        if not math.isfinite(found.cash):
+            problems.append("the rebuilt cash is not finite")
+        elif found.gap is not None and found.gap > EQUITY_TOLERANCE:
+            problems.append(f"rebuilt equity {found.equity:.2f} disagrees with the journalled {found.recorded:.2f}")
     priceless = entries.where("event = 'bar' AND filled > 0 AND fill_price IS NULL").limit(1).count()
     if priceless:
         problems.append("a fill has no price")
     return not problems, problems
-
-
-def health(checks: dict[str, bool | None]) -> dict[str, str]:
-    """Named checks as pass, fail or, where unknown, fail as well: a session opens nothing on doubt."""
-    return {name: "pass" if ok else "fail" for name, ok in checks.items()}
-
-
-def settlement_backlog(rows: DataFrame, horizon: int) -> DataFrame:
-    """Per symbol the bars whose outcomes are due but open, and whether they are at most ten horizons."""
-    last = rows.groupBy("symbol").agg(F.count_if(F.col("realised_at").isNull()).alias("pending"))
-    return last.withColumn("healthy", F.col("pending") <= 10 * horizon)
-
-
-def deduplicated(entries: DataFrame) -> DataFrame:
-    """Journal lines without repeats of (symbol, as_of, event): the first by line number stays."""
-    place = Window.partitionBy("symbol", "as_of", "event").orderBy("line")
-    return entries.withColumn("_p", F.row_number().over(place)).where("_p = 1").drop("_p")
-
-
-JOURNAL = schema.JOURNAL

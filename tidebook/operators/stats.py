@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import filters
 from tidebook.functions.market import ANNUALISER
+from tidebook.operators.folds import fold
 from tidebook.runtime import ship_package
 
 
@@ -184,23 +185,16 @@ def regime_scalars(returns: DataFrame, strength: float = 250.0) -> DataFrame:
 
 
 def _fold(make, readout, schema: str, returns: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """Runs a kernel over each symbol's returns in time order, in batches of rows, one state at a time."""
-    ship_package()
+    """Runs a kernel over each symbol's returns in time order."""
     rows = returns.select("symbol", "timestamp", "r")
     if extra is not None:
         rows = rows.join(extra, "symbol")
-    names = [f.split()[0] for f in schema.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("timestamp", kind="stable")
-        state = make(pdf.iloc[0])
-        out = []
-        for symbol, moment, r in zip(pdf.symbol, pdf.timestamp, pdf.r, strict=True):
-            state.observe(None if pd.isna(r) else float(r))
-            out.append((symbol, moment, *readout(state)))
-        return pd.DataFrame(out, columns=names)
-
-    return rows.groupBy("symbol").applyInPandas(run, schema)
+
+    def step(state, row) -> list[tuple]:
+        state.observe(None if pd.isna(row.r) else float(row.r))
+        return [(row.symbol, row.timestamp, *readout(state))]
+
+    return fold(rows, "symbol", ["timestamp"], make, step, schema)
 
 
 def variance_filter(returns: DataFrame, scale: float = 0.02) -> DataFrame:

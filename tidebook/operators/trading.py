@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.config import RiskLimits
 from tidebook.functions import mixtures
 from tidebook.functions.filters import Book
-from tidebook.runtime import ship_package
+from tidebook.operators.folds import fold
 
 # Bounds of the agreement labels.
 AGREEMENT_BOUNDS = (0.1, 0.35)
@@ -230,19 +229,14 @@ def settle(filled: DataFrame, cash: float) -> DataFrame:
 
     Needs account, seq, symbol, side, filled, fill_price and fees. One account is one fold.
     """
-    ship_package()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        book = Book(cash)
-        out = []
-        for r in pdf.sort_values("seq", kind="stable").itertuples():
-            covered = r.side != "buy" or r.filled * r.fill_price + r.fees <= book.cash
-            if covered:
-                book.apply(r.symbol, r.side, r.filled, r.fill_price, r.fees)
-            quantity, average = book.positions.get(r.symbol, (0.0, 0.0))
-            out.append((r.account, r.seq, r.symbol, covered, book.cash, quantity, average))
-        return pd.DataFrame(out, columns=["account", "seq", "symbol", "accepted", "cash", "quantity", "average_price"])
+
+    def step(book: Book, r) -> list[tuple]:
+        covered = r.side != "buy" or r.filled * r.fill_price + r.fees <= book.cash
+        if covered:
+            book.apply(r.symbol, r.side, r.filled, r.fill_price, r.fees)
+        quantity, average = book.positions.get(r.symbol, (0.0, 0.0))
+        return [(r.account, r.seq, r.symbol, covered, book.cash, quantity, average)]
 
     schema = "account string, seq long, symbol string, accepted boolean, cash double, quantity double, average_price double"
     rows = filled.where("filled > 0").select("account", "seq", "symbol", "side", "filled", "fill_price", "fees")
-    return rows.groupBy("account").applyInPandas(run, schema)
+    return fold(rows, "account", ["seq"], lambda _: Book(cash), step, schema)

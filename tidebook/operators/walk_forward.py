@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,8 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.functions import filters, special
-from tidebook.operators.stats import posterior_two, predictive_two, solve_posterior
+from tidebook.functions import account, filters, special
+from tidebook.operators.folds import fold
+from tidebook.operators.life_cycle import LEAST_REGIME, Ensemble, log_score
+from tidebook.operators.stats import posterior_two, predictive_two
 from tidebook.runtime import ship_package
 
 
@@ -90,147 +93,94 @@ REPLAY = (
 )
 
 
+#: Kinds of events of a replay, in their order at one moment.
+KNOWN, BAR = 0, 1
+
+
+class _Replay:
+    """What one symbol's replay holds between events: rows to train on, models, weights, answers that wait for their outcome."""
+
+    def __init__(self, x: str, horizon: int, warmup: int, refit_every: int):
+        self.x, self.horizon, self.warmup, self.refit_every = x, horizon, warmup, refit_every
+        self.first = warmup + horizon + 1
+        self.columns: dict[str, list] = {c: [] for c in ("as_of", x, "forward_log_return", "r")}
+        self.models = Ensemble(x, horizon)
+        self.reliability = filters.Reliability({m: float(-np.log(len(Ensemble.names))) for m in Ensemble.names})
+        self.waiting: dict[object, dict] = {}
+
+    def known(self, event) -> None:
+        """An outcome exists now: it scores the answers of its bar, and models that were not fitted on it absorb it."""
+        answers = self.waiting.pop(event.as_of, None)
+        if answers is None:
+            return
+        self.reliability.score({m: log_score(event.outcome, parts) for m, (parts, _) in answers.items()})
+        row = {"as_of": event.as_of, self.x: event.x, "forward_log_return": event.outcome, "r": event.r}
+        if str(event.as_of) > self.models.models["momentum"].span.end:
+            self.models.update(row)
+
+    def bar(self, event) -> list[tuple]:
+        """Stores the bar, refits where the schedule says so, and answers."""
+        seen = self.columns["as_of"]
+        if seen and event.as_of <= seen[-1]:
+            raise ValueError(f"{event.symbol} has two rows at {event.as_of}")
+        for name, value in zip(self.columns, (event.as_of, event.x, event.outcome, event.r), strict=True):
+            self.columns[name].append(value)
+        place = len(seen) - self.first
+        if place < 0:
+            return []
+        if place % self.refit_every == 0:
+            # outcomes of the last `horizon` rows before this one may not be known
+            rows = pd.DataFrame({c: v[: len(seen) - self.horizon - 1] for c, v in self.columns.items()})
+            self.models.fit(rows)
+        if not math.isfinite(event.outcome):
+            return []
+        answers = self.models.predict({self.x: event.x})
+        weights = self.reliability.weights()
+        parts, epistemic, _ = account.pool(answers, weights)
+        self.waiting[event.as_of] = answers
+        m = tuple(np.array(v, float) for v in zip(*parts, strict=True))
+        mixture = [dict(zip(("w", "loc", "scale", "df"), c, strict=True)) for c in parts]
+        u, p = float(special.mixture_cdf(event.outcome, m)), float(1 - special.mixture_cdf(0.0, m))
+        return [
+            (event.symbol, event.as_of, event.realised_at, event.outcome, mixture, epistemic, *(weights[n] for n in Ensemble.names), u, p,
+             float(special.mixture_logpdf(event.outcome, m)))
+        ]
+
+    def step(self, event) -> list[tuple]:
+        if event.kind == BAR:
+            return self.bar(event)
+        self.known(event)
+        return []
+
+
 def replay(rows: DataFrame, x: str = "momentum_20_1", horizon: int = 5, warmup: int = 300, refit_every: int = 50) -> DataFrame:
     """Decision-time replay of three models per symbol: regression, variance filter and regime filter.
 
-    At each bar outcomes that are known by now are scored and absorbed, models are
-    refitted on schedule on rows whose outcomes are known, and the fused prediction is
-    recorded. One symbol is one fold; rows need symbol, timestamp, realised_at,
-    forward_log_return, r and x.
+    Every row is two events: a bar at its time, and an outcome that is known from
+    realised_at on. Events of a symbol in order of time, outcomes first, are one fold: an outcome is scored
+    and absorbed, a bar refits the models every `refit_every` bars on the rows up to
+    horizon + 1 bars before it, and the fused prediction is recorded. Rows whose outcome is not
+    finite are neither trained on nor recorded (`skipped` counts them), two rows of one
+    symbol at one time are an error, as is another horizon in a column horizon_bars; a
+    symbol of fewer rows than warmup + horizon + 1 has no record. Rows need symbol, timestamp,
+    realised_at, forward_log_return, r and x. The state keeps four numbers a bar.
     """
-    ship_package()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("timestamp", kind="stable").reset_index(drop=True)
-        return pd.DataFrame(_replay_symbol(pdf, x, horizon, warmup, refit_every), columns=[c.split()[0] for c in _split(REPLAY)])
-
-    return rows.groupBy("symbol").applyInPandas(run, REPLAY)
-
-
-def _split(schema: str) -> list[str]:
-    out, depth, word = [], 0, ""
-    for ch in schema:
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and depth == 0:
-            out.append(word.strip())
-            word = ""
-        else:
-            word += ch
-    return [*out, word.strip()]
-
-
-class _Models:
-    """The three models of a replay and what they have absorbed."""
-
-    def __init__(self, horizon: int):
-        self.horizon = horizon
-        self.ready = False
-
-    def fit(self, pdf: pd.DataFrame, stop: int, x: str) -> None:
-        part = pdf.iloc[:stop]
-        xs, ys = part[x].to_numpy(float), part.forward_log_return.to_numpy(float)
-        self.sums = {
-            "n": len(part), "weight": float(len(part)), "yy": float(ys @ ys), "xy_0": float(ys.sum()), "xy_1": float(xs @ ys),
-            "xx_0_0": float(len(part)), "xx_0_1": float(xs.sum()), "xx_1_1": float(xs @ xs),
-        }
-        returns = part.r.to_numpy(float)
-        scale = float(np.std(returns, ddof=1)) or 1e-4
-        self.variance = filters.VarianceFilter(mu=float(returns.mean()), b0=scale**2)
-        self.regime = filters.RegimeFilter(estimate_regime(returns))
-        for v in returns:
-            self.variance.observe(v)
-            self.regime.observe(v)
-        self.ready = True
-
-    def update(self, row, x: str) -> None:
-        a, y = float(getattr(row, x)), float(row.forward_log_return)
-        for k, v in (("n", 1), ("weight", 1.0), ("yy", y * y), ("xy_0", y), ("xy_1", a * y), ("xx_0_0", 1.0), ("xx_0_1", a), ("xx_1_1", a * a)):
-            self.sums[k] += v
-        self.variance.observe(float(row.r))
-        self.regime.observe(float(row.r))
-
-    def predict(self, row, x: str) -> dict[str, tuple[list, float]]:
-        fit = solve_posterior(self.sums, 2)
-        at = np.array([1.0, float(getattr(row, x))])
-        leverage = float(at @ np.linalg.solve(np.array(fit["precision"]).reshape(2, 2), at))
-        df, scale = 2 * fit["shape"], np.sqrt(fit["rate"] / fit["shape"] * (1 + leverage))
-        var = scale**2 * df / (df - 2)
-        return {
-            "momentum": ([(1.0, float(at @ np.array(fit["mean"])), float(scale), float(df))], float(var * leverage / (1 + leverage))),
-            "volatility": self.variance.predictive(self.horizon),
-            "regime": self.regime.predictive(self.horizon),
-        }
-
-
-def estimate_regime(returns: np.ndarray, strength: float = 250.0) -> filters.RegimeParameters:
-    """The regime scalars of one series; the same estimators as stats.regime_scalars."""
-    n, block, far = len(returns), filters.REGIME_BLOCK, filters.REGIME_FAR_LAG
-    w, centre, total = n / (n + strength), float(returns.mean()), float(returns.var(ddof=1))
-    k = n // block
-    between = 0.0
-    if k >= 2:
-        means = returns[: k * block].reshape(k, block).mean(1)
-        between = (means.var(ddof=1) - total / block) / (1 - 1 / block)
-    drift = w * max(0.0, between) + (1 - w) * (0.25 / 252) ** 2
-    d = (returns - centre) ** 2
-    d = d - d.mean()
-    lag = lambda m: float((d[:-m] * d[m:]).mean()) if n > m else 0.0
-    near, later = lag(1), lag(far)
-    measured = (later / near) ** (1 / (far - 1)) if near > 0 and later > 0 else 1 - 1 / 25
-    held = min(0.99, max(0.5, w * measured + (1 - w) * (1 - 1 / 25)))
-    mean_variance = max(total - drift, 1e-12)
-    spread = w * max(0.0, near / held) + (1 - w) * (0.55 * mean_variance) ** 2
-    return filters.RegimeParameters(centre, drift**0.5, held, mean_variance, spread**0.5 / mean_variance, n)
-
-
-def _mixture(parts: list[tuple[float, float, float, float]]) -> special.Mixture:
-    return tuple(np.array(v, float) for v in zip(*parts, strict=True))
-
-
-def _mean(parts: list) -> float:
-    w, loc, _, _ = _mixture(parts)
-    return float((w * loc).sum() / w.sum())
-
-
-def _replay_symbol(pdf: pd.DataFrame, x: str, horizon: int, warmup: int, refit_every: int) -> list[tuple]:
-    required = warmup + horizon + 1
-    models, reliability = _Models(horizon), filters.Reliability({m: float(-np.log(3)) for m in ("momentum", "volatility", "regime")})
-    pending: list[tuple[int, dict]] = []
-    out, fitted_at, absorbed = [], 0, 0
-    rows = list(pdf.itertuples(index=False))
-    for index in range(required, len(rows) + 1):
-        row = rows[index - 1]
-        while pending and rows[pending[0][0] - 1].realised_at <= row.timestamp:
-            position, answers = pending.pop(0)
-            past = rows[position - 1]
-            reliability.score({m: float(special.mixture_logpdf(past.forward_log_return, _mixture(parts))) for m, (parts, _) in answers.items()})
-            if position > absorbed:
-                models.update(past, x)
-                absorbed = position
-        if fitted_at == 0 or index - fitted_at >= refit_every:
-            stop = index - horizon - 1
-            if stop >= warmup:
-                models.fit(pdf, stop, x)
-                fitted_at, absorbed = index, stop
-                pending = [p for p in pending if p[0] > stop]
-        if not models.ready:
-            continue
-        answers = models.predict(row, x)
-        weights = reliability.weights()
-        parts, means, within = [], [], 0.0
-        for m, (own, epistemic) in answers.items():
-            total = sum(c[0] for c in own)
-            parts += [(weights[m] * c[0] / total, *c[1:]) for c in own]
-            means.append((weights[m], _mean(own)))
-            within += weights[m] * epistemic
-        centre = sum(w * v for w, v in means)
-        between = sum(w * (v - centre) ** 2 for w, v in means)
-        m = _mixture(parts)
-        outcome = float(row.forward_log_return)
-        record = [{"w": c[0], "loc": c[1], "scale": c[2], "df": c[3]} for c in parts]
-        out.append(
-            (row.symbol, row.timestamp, row.realised_at, outcome, record, within + between, weights["momentum"], weights["volatility"],
-             weights["regime"], float(special.mixture_cdf(outcome, m)), float(1 - special.mixture_cdf(0.0, m)), float(special.mixture_logpdf(outcome, m)))
-        )
-        pending.append((index, answers))
-    return out
+    if warmup < LEAST_REGIME or refit_every < 1 or horizon < 1:
+        raise ValueError(f"a replay warms up over at least {LEAST_REGIME} bars, and refits and looks ahead by at least one")
+    outcome = F.coalesce(F.col("forward_log_return"), F.lit(float("nan")))
+    if "horizon_bars" in rows.columns:
+        other = F.col("horizon_bars") != horizon
+        outcome = F.when(other, F.raise_error(F.lit(f"a label is not of {horizon} bars")).cast("double")).otherwise(outcome)
+    of_row = [F.col("timestamp").alias("as_of"), "realised_at", outcome.alias("outcome"), F.col("r").alias("r"), F.col(x).alias("x")]
+    bars = rows.select("symbol", F.col("timestamp").alias("moment"), F.lit(BAR).alias("kind"), *of_row)
+    finite = ~F.isnan("outcome") & (F.abs("outcome") < float("inf"))
+    outcomes = rows.select("symbol", F.col("realised_at").alias("moment"), F.lit(KNOWN).alias("kind"), *of_row).where(finite)
+    events = bars.unionByName(outcomes)
+    return fold(events, "symbol", ["moment", "kind", "as_of"], lambda _: _Replay(x, horizon, warmup, refit_every), _Replay.step, REPLAY)
+
+
+def skipped(rows: DataFrame) -> DataFrame:
+    """Per symbol the rows of a replay whose outcome is not finite."""
+    y = F.col("forward_log_return")
+    bad = y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))
+    return rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_examples"), F.count_if(bad).alias("n_skipped"))

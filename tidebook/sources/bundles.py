@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from tidebook.operators.provenance import canonical, stable_hash
+from tidebook.operators.provenance import stable_hash
 
 SCHEMA = 1
 KINDS = ("regression", "variance", "regime")
@@ -14,7 +14,8 @@ KINDS = ("regression", "variance", "regime")
 def dump(kind: str, parameters: dict) -> str:
     if kind not in KINDS:
         raise ValueError(f"unknown kind of model {kind!r}")
-    return canonical({"schema": SCHEMA, "kind": kind, "parameters": parameters, "params_hash": stable_hash(parameters)})
+    # numbers keep all their digits; the hash is of their canonical form
+    return json.dumps({"schema": SCHEMA, "kind": kind, "parameters": parameters, "params_hash": stable_hash(parameters)}, sort_keys=True)
 
 
 def load(text: str) -> tuple[str, dict]:

@@ -12,8 +12,8 @@ Before the first fit the variance filter alone predicts and nothing is decided.
 without a usable close neither trades nor settles: what is due waits for the next usable
 bar. A bar after a longer silence than allowed is marked and settled, and then halts.
 
-Scale: one symbol is one fold. Refits read all settled examples, so the state holds three
-numbers per bar, and a series of n bars costs n / refit_every passes over them.
+Scale: one symbol is one fold over batches of bars. Refits read all settled examples, so the state
+holds four values per bar, and a series of n bars costs n / refit_every passes over them.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
-from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -34,7 +33,8 @@ from tidebook.config import RiskLimits
 from tidebook.functions import account, filters, special
 from tidebook.functions.features import ANNUALISER
 from tidebook.operators import trading
-from tidebook.operators.walk_forward import _Models
+from tidebook.operators.folds import fold
+from tidebook.operators.life_cycle import Ensemble
 from tidebook.runtime import ship_package
 
 OUTPUT = (
@@ -73,31 +73,23 @@ class State:
     def __init__(self, symbol: str, config: Config):
         self.symbol, self.config = symbol, config
         self.filter = filters.VarianceFilter(b0=config.scale**2)
-        self.models = _Models(config.horizon)
+        self.models = Ensemble(X, config.horizon, least=config.warmup)
         self.reliability = filters.Reliability({m: float(-np.log(len(MODELS))) for m in MODELS})
         self.account = account.Account(config.starting_cash)
         self.last_close: float | None = None
         self.last_bar: str | None = None
         self.closes: list[float | None] = []
-        self.examples: list[tuple[float, float, float]] = []
+        self.examples: list[tuple[str, float, float, float]] = []
         self.pending: list[dict] = []
         self.since_refit = 0
 
     def dump(self) -> str:
         held = {
-            "filter": _of_filter(self.filter), "account": asdict(self.account),
-            "reliability": [self.reliability.logs, self.reliability.scored], "models": None,
+            "filter": self.filter.dump(), "account": asdict(self.account),
+            "reliability": [self.reliability.logs, self.reliability.scored], "models": self.models.dump(),
             "last_close": self.last_close, "last_bar": self.last_bar, "closes": self.closes,
             "examples": self.examples, "pending": self.pending, "since_refit": self.since_refit,
         }
-        if self.models.ready:
-            g = self.models.regime
-            p = g.parameters
-            held["models"] = {
-                "sums": self.models.sums, "variance": _of_filter(self.models.variance),
-                "regime": [[p.centre, p.drift_spread, p.persistence, p.mean_variance, p.dispersion, p.n_rows, p.prior_shape],
-                           g.belief.tolist(), g.log_likelihood, g.n_seen, g.n_skipped],
-            }
         return json.dumps(held)
 
     @classmethod
@@ -105,15 +97,11 @@ class State:
         out = cls(symbol, config)
         if text:
             held = json.loads(text)
-            out.filter = _to_filter(held["filter"])
+            out.filter = filters.VarianceFilter.load(held["filter"])
             out.account = account.Account(**held["account"])
             logs, scored = held["reliability"]
             out.reliability = filters.Reliability(logs, {k: tuple(v) for k, v in scored.items()})
-            if held["models"]:
-                parameters, belief, *rest = held["models"]["regime"]
-                out.models.sums, out.models.variance = held["models"]["sums"], _to_filter(held["models"]["variance"])
-                out.models.regime = filters.RegimeFilter(filters.RegimeParameters(*parameters), np.array(belief), *rest)
-                out.models.ready = True
+            out.models.restore(held["models"])
             for name in ("last_close", "last_bar", "closes", "pending", "since_refit"):
                 setattr(out, name, held[name])
             out.examples = [tuple(e) for e in held["examples"]]
@@ -170,9 +158,9 @@ class State:
             due = self.pending.pop(0)
             outcome = math.log(close / due["close"])
             if due["r"] is not None and due["x"] is not None:
-                self.examples.append((due["x"], outcome, due["r"]))
+                self.examples.append((due["bar"], due["x"], outcome, due["r"]))
                 if self.models.ready:
-                    self.models.update(SimpleNamespace(forward_log_return=outcome, r=due["r"], **{X: due["x"]}), X)
+                    self.models.update({"as_of": due["bar"], "forward_log_return": outcome, "r": due["r"], X: due["x"]})
             if due["answers"] is None:
                 continue
             answers = {m: parts for m, (parts, _) in due["answers"].items()}
@@ -188,8 +176,8 @@ class State:
         self.since_refit += 1
         if (self.models.ready and self.since_refit < self.config.refit_every) or len(self.examples) < self.config.warmup:
             return []
-        table = pd.DataFrame(self.examples, columns=[X, "forward_log_return", "r"])
-        self.models.fit(table, len(table), X)
+        table = pd.DataFrame(self.examples, columns=["as_of", X, "forward_log_return", "r"])
+        self.models.fit(table)
         self.since_refit = 0
         return [self._row("refit", close, n_rows=len(table))]
 
@@ -201,7 +189,7 @@ class State:
         elif asked["x"] is None:
             return self._row("bar", close, reason="no_features")
         else:
-            asked["answers"] = self.models.predict(SimpleNamespace(**{X: asked["x"]}), X)
+            asked["answers"] = self.models.predict({X: asked["x"]})
             asked["weights"] = self.reliability.weights()
         parts, epistemic, disagreement = account.pool(asked["answers"], asked["weights"])
         mean, variance, _ = account.moments(parts)
@@ -229,15 +217,6 @@ class State:
         return self._row("bar", close, **said)
 
 
-def _of_filter(f: filters.VarianceFilter) -> list:
-    return [f.mu, f.a0, f.b0, f.s.tolist(), f.q.tolist(), f.logs.tolist(), f.n_seen, f.n_skipped]
-
-
-def _to_filter(held: list) -> filters.VarianceFilter:
-    mu, a0, b0, s, q, logs, n_seen, n_skipped = held
-    return filters.VarianceFilter(mu, a0, b0, np.array(s), np.array(q), np.array(logs), n_seen, n_skipped)
-
-
 def _mixture(parts: list) -> special.Mixture:
     return tuple(np.array(v, float) for v in zip(*parts, strict=True))
 
@@ -289,10 +268,10 @@ def session_stream(bars: DataFrame, horizon: int = 5, scale: float = 0.02, **con
 
 def session_batch(bars: DataFrame, horizon: int = 5, scale: float = 0.02, **config: object) -> DataFrame:
     """The same events from a table of bars, by the same state."""
-    ship_package()
     held = Config(horizon, scale, **config)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _events(State(pdf.symbol.iloc[0], held), pdf)
+    def step(state: State, bar) -> list[tuple]:
+        close, volume = (None if pd.isna(v) else v for v in (bar.close, bar.volume))
+        return [(state.symbol, bar.bar_end, *row) for row in state.on_bar(bar.bar_end, close, volume)]
 
-    return _slim(bars).groupBy("symbol").applyInPandas(run, OUTPUT)
+    return fold(_slim(bars), "symbol", ["bar_end"], lambda first: State(first.symbol, held), step, OUTPUT)
