@@ -2,15 +2,19 @@
 
 import json
 import math
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidebook.functions import account, filters, special
-from tidebook.operators import books, folds, life_cycle, walk_forward
-from tidebook.sources import bundles
+from tidebook.functions import account, filters, mixtures, special
+from tidebook.functions import features as f
+from tidebook.operators import books, folds, life_cycle, series, walk_forward
+from tidebook.schema import bar_is_valid
+from tidebook.sources import bundles, synthetic
+from tidebook.streaming import gate
 
 
 def window(n: int, seed: int = 0) -> pd.DataFrame:
@@ -206,3 +210,65 @@ def test_rebuilt_equity_must_agree_with_the_journal(spark):
     assert books.rebuild_verdict(entries, 0, 1000.0) == (True, [])
     ok, problems = books.rebuild_verdict(entries, 0, 1100.0)
     assert not ok and "disagrees" in problems[0]
+
+
+def test_fit_reports_leave_short_series_out(spark):
+    rows = window(400).drop(columns="horizon_bars").rename(columns={"as_of": "timestamp"})
+    both = pd.concat([rows.assign(symbol="a"), rows[:304].assign(symbol="short")])
+    table = spark.createDataFrame(both).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    report, fitted = walk_forward.fit_report(table, "x", "forward_log_return", walk_forward.WalkForward())
+    assert [(r.symbol, r.n_examples, r.n_scored) for r in report.collect()] == [("a", 400, 145)]
+    f = fitted.first()
+    d = np.column_stack([np.ones(400), rows.x])
+    want = np.linalg.solve(d.T @ d + np.eye(2), d.T @ rows.forward_log_return)
+    assert [r.symbol for r in fitted.collect()] == ["a"] and (f.m0, f.m1) == pytest.approx(tuple(want))
+
+
+def test_generators_tell_their_truth(spark):
+    rng = np.random.default_rng(0)
+    r, states = synthetic.Process("regime", persistence=0.9, state_volatilities=(0.5, 3.0, 1.0)).path(60_000, rng)
+    assert [np.std(r[states == k]) for k in range(3)] == pytest.approx([x * 0.2 / 252**0.5 for x in (0.5, 3.0, 1.0)], rel=0.05)
+    assert np.mean(states[1:] == states[:-1]) == pytest.approx(0.9 + 0.1 * sum(p * p for p in filters.STATIONARY), abs=0.01)
+    r, sigma = synthetic.Process("stochastic_volatility", drift=0.0).path(60_000, rng)
+    assert np.std(r / sigma) == pytest.approx(1, abs=0.02) and np.std(np.log(sigma)) == pytest.approx(0.15 / (1 - 0.97**2) ** 0.5, rel=0.1)
+    r, mean = synthetic.Process("autoregressive", phi=0.5, drift=0.0).path(60_000, rng)
+    assert np.corrcoef(r, mean)[0, 1] == pytest.approx(0.5, abs=0.02) and np.std(r) == pytest.approx(0.2 / 252**0.5, rel=0.03)
+    with pytest.raises(ValueError):
+        synthetic.Process("regime", persistence=1.0)
+    quiet, loud = (np.log(synthetic.bars_of("a", r[:2000], np.random.default_rng(1), datetime(2020, 1, 1), volume_beta=b).volume) for b in (0, 50))
+    assert np.corrcoef(loud, np.abs(r[:2000]))[0, 1] > 0.3 > abs(np.corrcoef(quiet, np.abs(r[:2000]))[0, 1])
+    one = spark.createDataFrame([("a",)], "symbol string")
+    out = synthetic.simulate(one, 50, synthetic.Process("regime"), truth=True)
+    assert {x.true_value for x in out.collect()} <= {0.0, 1.0, 2.0} and out.where(~bar_is_valid()).count() == 0
+
+
+def test_sweeps_over_generators(spark):
+    laws = {"gaussian": synthetic.Process(), "regime": synthetic.Process("regime")}
+    out = walk_forward.calibration_sweep(laws, [1, 2], 420, spark, walk_forward.WalkForward(initial_train=120)).collect()
+    assert sorted((r.process, r.seed) for r in out) == [(p, k) for p in laws for k in (1, 2)] and all(r.n > 200 and 0 < r.brier < 0.5 for r in out)
+
+
+def test_mixtures_as_distributions(spark):
+    parts = "array(named_struct('w', 0.4D, 'loc', -1D, 'scale', 1D, 'df', 5D), named_struct('w', 0.6D, 'loc', 2D, 'scale', 0.5D, 'df', 30D))"
+    rows = spark.range(4000).select("id", F.expr(parts).alias("m"))
+    m = F.col("m")
+    one = rows.limit(1).select(mixtures.credible_interval(m, 0.8).alias("ci"), mixtures.cdf(m, 0.3).alias("c"), mixtures.ccdf(m, 0.3).alias("cc"), mixtures.pdf(m, 0.3).alias("p"), mixtures.logpdf(m, 0.3).alias("lp")).first()
+    assert one.c + one.cc == pytest.approx(1) and one.p == pytest.approx(math.exp(one.lp)) and one.ci.level == 0.8
+    drawn = rows.select(mixtures.draw(m, 7, F.col("id")).alias("x")).toPandas().x
+    assert np.mean(drawn < one.ci.lower) == pytest.approx(0.1, abs=0.02) and np.mean(drawn < one.ci.upper) == pytest.approx(0.9, abs=0.02)
+    assert rows.select(mixtures.draw(m, 7, F.col("id")).alias("x")).toPandas().x.equals(drawn)
+    w = F.array(F.lit(0.2), F.lit(0.5), F.lit(0.3))
+    got = spark.range(1).select(mixtures.most_likely(["a", "b", "c"], w), mixtures.probability_of(["a", "b", "c"], w, "c"), mixtures.probability_of(["a"], w, "z")).first()
+    assert tuple(got) == ("b", 0.3, 0.0)
+
+
+def test_faults_and_staleness_of_vectors(spark):
+    walked = spark.createDataFrame([("a", 1, 5, None, None), ("a", 2, 30, 1.0, None), ("a", 3, 30, 1.0, 2.0)], "symbol string, timestamp int, n_bars int, momentum_20_1 double, relative_volume_20 double")
+    found = [f.momentum(20, 1), f.relative_volume(20)]
+    got = {r.timestamp: r.faults for r in series.design_faults(walked, found, ["momentum_20_1", "relative_volume_20"]).collect()}
+    assert got == {1: ["momentum_20_1: warming up", "relative_volume_20: warming up"], 2: ["relative_volume_20: undefined"]}
+    assert series.design_faults(walked, found, ["nope"]).first().faults == ["nope: never requested"]
+    vectors = spark.sql("SELECT timestamp_ntz'2024-01-01 02:00:00' AS as_of, timestamp_ntz'2024-01-01 00:30:00' AS data_as_of")
+    assert series.staleness(vectors).first().stale_seconds == 5400
+    own, other = gate.foreign(spark.createDataFrame([("a",), ("b",), (None,)], "symbol string"), ["a"])
+    assert own.count() == 1 and other.count() == 2

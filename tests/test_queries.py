@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB, and every query without it for rows and a stable schema."""
+"""Every query against DuckDB, but for two that no SQL expresses."""
 
 import math
 
@@ -11,6 +11,12 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 NAMES = sorted(n for n in entry.queries() if not n.startswith("op") and n != "pipeline")
 
 
+WITHOUT_SQL = {
+    "replay_fused": "test_models.py::test_replay_against_its_schedule_with_outcomes_missing",
+    "session_events": "test_session.py, test_streams.py::test_session_stream_equals_batch_over_a_restart",
+}
+
+
 @pytest.fixture(scope="module")
 def con(sf):
     c = duckdb.connect()
@@ -35,7 +41,8 @@ def test_query(spark, con, sf, name):
         assert sorted(df.columns) == sorted(want.columns)
         assert plain(df.columns, got) == plain(want.columns, want.fetchall())
     else:
-        assert df.columns
+        # held row by row in the tests that it is listed with
+        assert name in WITHOUT_SQL and got
 
 
 def test_entry(spark):

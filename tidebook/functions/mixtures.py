@@ -123,3 +123,36 @@ def entropy(weights: Column) -> Column:
 
 def normalised_entropy(weights: Column) -> Column:
     return F.when(F.size(weights) > 1, entropy(weights) / F.ln(F.size(weights))).otherwise(0.0)
+
+
+def pdf(mixture: Column, x: Column | float) -> Column:
+    return F.exp(logpdf(mixture, x))
+
+
+def ccdf(mixture: Column, x: Column | float) -> Column:
+    """P(X > x)."""
+    return 1 - cdf(mixture, x)
+
+
+def credible_interval(mixture: Column, level: float = 0.9) -> Column:
+    """Struct of lower, upper and level: the central interval."""
+    if not 0 < level < 1:
+        raise ValueError("a level lies between 0 and 1")
+    lower, upper = quantile(mixture, (1 - level) / 2), quantile(mixture, (1 + level) / 2)
+    return F.struct(lower.alias("lower"), upper.alias("upper"), F.lit(level).alias("level"))
+
+
+def draw(mixture: Column, seed: int, *key: Column) -> Column:
+    """One draw of the mixture, the same whenever it is asked with the same seed and key: the quantile of a hash."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11).cast("double") + 0.5) / float(1 << 53)
+    return quantile(mixture, u)
+
+
+def most_likely(labels: list[str], weights: Column) -> Column:
+    """The label of the largest of an array of probabilities, the first on ties."""
+    return F.element_at(F.lit(labels), F.array_position(weights, F.array_max(weights)).cast("int"))
+
+
+def probability_of(labels: list[str], weights: Column, label: str) -> Column:
+    """The probability of a label; zero for one that is not there."""
+    return F.get(weights, F.lit(labels.index(label))) if label in labels else F.lit(0.0)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.functions.filters import Book
+from tidebook.functions.market import unrealised_pnl
 from tidebook.operators.folds import fold
 
 QUANTITY_TOLERANCE, PRICE_TOLERANCE, MAX_AGE_SECONDS = 0.0, 1e-4, 300
@@ -89,6 +90,36 @@ def rebuilt_cash(entries: DataFrame, opening: float) -> DataFrame:
     ).withColumn("opening_cash", F.lit(float(opening)))
 
 
+def mark_to_market(positions: DataFrame, quotes: DataFrame) -> DataFrame:
+    """`positions` (symbol, quantity, average_price, last_price) at the latest quoted price of their symbol, with unrealised_pnl.
+
+    Quotes have symbol, timestamp and last_price. A symbol without a quote keeps its last price.
+    """
+    latest = quotes.groupBy("symbol").agg(F.max_by("last_price", "timestamp").alias("_quoted"))
+    marked = positions.join(latest, "symbol", "left").withColumn("last_price", F.coalesce("_quoted", "last_price")).drop("_quoted")
+    return marked.withColumn("unrealised_pnl", unrealised_pnl())
+
+
+def equity_of(positions: DataFrame, cash: DataFrame, key: str = "account") -> DataFrame:
+    """Per account its cash, what its positions are worth, and their sum."""
+    worth = positions.groupBy(key).agg(F.sum(F.col("quantity") * F.col("last_price")).alias("worth"))
+    joined = cash.join(worth, key, "left").withColumn("worth", F.coalesce("worth", F.lit(0.0)))
+    return joined.withColumn("equity", F.col("cash") + F.col("worth"))
+
+
+def cancel_orders(receipts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Receipts (order_id, status) after cancelling the orders of `wanted` (order_id), with cancelled and note.
+
+    Open orders are cancelled; others stay, and the note says why. Orders that are not known are an error.
+    """
+    asked = wanted.select("order_id").distinct().withColumn("_asked", F.lit(True))
+    joined = receipts.join(asked, "order_id", "full")
+    known = F.coalesce("status", F.raise_error(F.concat(F.lit("no order with id "), F.col("order_id"))).cast("string"))
+    hit = F.col("_asked").isNotNull() & (F.col("status") == "open")
+    note = F.when(hit, "cancelled").when(F.col("_asked").isNotNull(), F.concat(F.lit("cannot cancel an order that is "), F.col("status")))
+    return joined.withColumn("status", known).withColumn("note", note).withColumn("cancelled", hit).withColumn("status", F.when(hit, "cancelled").otherwise(F.col("status"))).drop("_asked")
+
+
 def rebuild_positions(entries: DataFrame) -> DataFrame:
     """Quantity and average price per symbol after all fills in order: a fold, as averages depend on the path."""
     rows = entries.where("event = 'bar' AND filled > 0 AND fill_price IS NOT NULL").select("symbol", "as_of", "order_id", "action", "filled", "fill_price", "fees")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.functions.features import Feature, Frames, compute, lookback, ratio, with_helpers
@@ -59,6 +59,25 @@ def completeness(walked: DataFrame, features: list[Feature]) -> DataFrame:
     )
 
 
+def staleness(vectors: DataFrame) -> DataFrame:
+    """Vectors of features_at with stale_seconds: how far their data lie behind the moment that they are for."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return vectors.withColumn("stale_seconds", (micros("as_of") - micros("data_as_of")) / 1e6)
+
+
+def design_faults(walked: DataFrame, features: list[Feature], names: list[str]) -> DataFrame:
+    """symbol, timestamp and faults: per named feature without a value whether it warms up, is undefined, or was never asked for."""
+    known = {f.name: f for f in features}
+
+    def fault(name: str) -> Column:
+        if name not in known:
+            return F.lit(f"{name}: never requested")
+        warming = F.when(F.col("n_bars") < known[name].lookback + 1, F.lit(f"{name}: warming up"))
+        return F.coalesce(warming, F.when(F.col(name).isNull(), F.lit(f"{name}: undefined")))
+
+    return walked.select(*KEEP, F.array_compact(F.array(*map(fault, names))).alias("faults")).where(F.size("faults") > 0)
+
+
 def design_rows(walked: DataFrame, names: list[str]) -> DataFrame:
     """symbol, timestamp and the array of the named features, for rows where all have values."""
     return walked.na.drop(subset=names).select(*KEEP, F.array(*names).alias("x"))

@@ -197,13 +197,20 @@ def _fold(make, readout, schema: str, returns: DataFrame, extra: DataFrame | Non
     return fold(rows, "symbol", ["timestamp"], make, step, schema)
 
 
-def variance_filter(returns: DataFrame, scale: float = 0.02) -> DataFrame:
-    """Readouts of the discounted variance filter after each bar; null returns age the evidence."""
+def variance_filter(returns: DataFrame, scale: float = 0.02, horizon: int = 5) -> DataFrame:
+    """Readouts of the discounted variance filter after each bar, and of its predictive over `horizon` bars; null returns age the evidence."""
 
     def readout(f: filters.VarianceFilter) -> tuple:
-        return (f.noise_variance(), f.uncertainty(), f.effective_n(), f.expected_discount(), f.entropy(), f.n_seen, f.n_skipped)
-
-    schema = "symbol string, timestamp timestamp_ntz, noise_variance double, uncertainty double, effective_n double, expected_discount double, entropy double, n_seen long, n_skipped long"
+        inflation = f.predictive(horizon)[1]
+        return (
+            f.noise_variance(), f.uncertainty(), f.effective_n(), f.expected_discount(), f.entropy(), f.n_seen, f.n_skipped,
+            f.plugin_variance(horizon), inflation, f.realised_mean(horizon), f.predictive_df(),
+        )
+
+    schema = (
+        "symbol string, timestamp timestamp_ntz, noise_variance double, uncertainty double, effective_n double, expected_discount double, entropy double, "
+        "n_seen long, n_skipped long, plugin_variance double, inflation double, realised_variance double, predictive_df double"
+    )
     return _fold(lambda _: filters.VarianceFilter(b0=scale**2), readout, schema, returns)
 
 
@@ -227,6 +234,17 @@ def exposure(positions: DataFrame) -> DataFrame:
     )
 
 
+def position_weights(positions: DataFrame) -> DataFrame:
+    """`positions` with weight: the share of their portfolio's equity, whichever way they point."""
+    return positions.withColumn("weight", F.abs(F.col("quantity") * F.col("last_price")) / F.col("equity"))
+
+
+def sector_exposure(positions: DataFrame) -> DataFrame:
+    """Per portfolio and sector the gross weight, to which long and short positions both add; positions without a sector are left out."""
+    held = position_weights(positions).where("sector IS NOT NULL")
+    return held.groupBy("portfolio", "sector").agg(F.sum("weight").alias("exposure"), F.count(F.lit(1)).alias("n_positions"))
+
+
 def equity_state(curve: DataFrame, keys: list[str], order: str = "timestamp") -> DataFrame:
     """`curve` (equity by moment) with running peak, drawdown, equity at the day's start and daily loss."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions import account, filters, special
+from tidebook.operators.calibration import assess
 from tidebook.operators.folds import fold
 from tidebook.operators.life_cycle import LEAST_REGIME, Ensemble, log_score
-from tidebook.operators.stats import posterior_two, predictive_two
+from tidebook.operators.stats import gram, posterior_two, predictive_two
 from tidebook.runtime import ship_package
 
 
@@ -184,3 +186,42 @@ def skipped(rows: DataFrame) -> DataFrame:
     y = F.col("forward_log_return")
     bad = y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))
     return rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_examples"), F.count_if(bad).alias("n_skipped"))
+
+
+#: Rows that a fit report needs beyond the first training window and the horizon.
+LEAST_SCORED = 50
+
+
+def fit_report(rows: DataFrame, x: str, y: str, config: WalkForward, **prior: float) -> tuple[DataFrame, DataFrame]:
+    """Out-of-sample calibration per symbol, and the regression fitted on all its rows.
+
+    Symbols of fewer than initial_train + horizon + 50 rows are left out of both: a fit with
+    nothing held out is of unknown quality.
+    """
+    counts = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_examples"))
+    enough = counts.where(F.col("n_examples") >= config.initial_train + config.horizon + LEAST_SCORED)
+    kept = rows.join(enough.select("symbol"), "symbol", "left_semi")
+    report = assess(scored(regression_walk(kept, x, y, config, **prior), y), ["symbol"]).withColumnRenamed("n", "n_scored")
+    sums = gram(kept.withColumn("_one", F.lit(1.0)), ["_one", x], y, ["symbol"])
+    return report.join(enough, "symbol"), posterior_two(sums, ["symbol"], **prior)
+
+
+def calibration_sweep(processes: dict[str, object], seeds: list[int], bars: int, spark: SparkSession, config: WalkForward) -> DataFrame:
+    """Calibration of the walk-forward regression over simulated series: a row per process and seed.
+
+    Every series is one symbol of one plan, so the sweep runs as one job.
+    """
+    from tidebook.functions.features import log_return, momentum
+    from tidebook.operators.series import training_set
+    from tidebook.sources.synthetic import simulate
+
+    parts = []
+    for name, law in sorted(processes.items()):
+        for seed in seeds:
+            one = spark.createDataFrame([(f"{name}/{seed}",)], "symbol string")
+            parts.append(simulate(one, bars, law, seed))
+    table = reduce(DataFrame.unionByName, parts)
+    rows = training_set(table, [log_return(1), momentum(20, 1)], config.horizon)
+    out = assess(scored(regression_walk(rows, "momentum_20_1", "forward_log_return", config), "forward_log_return"), ["symbol"])
+    label = F.split("symbol", "/")
+    return out.withColumns({"process": label[0], "seed": label[1].cast("int")}).drop("symbol")

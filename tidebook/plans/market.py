@@ -239,28 +239,40 @@ def market_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return local.select("event_id", "local", open_now.alias("open"), market.period_end(F.col("local"), F.lit("1d")).alias("session_close"))
 
 
+@query(
+    "period_ends",
+    f"""WITH {HOURLY}, x AS (SELECT symbol, timestamp, ['15m', '1h', '4h', '1d', '1w', '1mo', '90m'][(hour(timestamp) % 7 + 1)::INT] AS interval FROM bars)
+        SELECT symbol, timestamp, interval, CASE interval WHEN '15m' THEN timestamp + INTERVAL 15 MINUTE WHEN '90m' THEN timestamp + INTERVAL 90 MINUTE
+               WHEN '1h' THEN timestamp + INTERVAL 1 HOUR WHEN '4h' THEN timestamp + INTERVAL 4 HOUR WHEN '1w' THEN timestamp + INTERVAL 7 DAY
+               WHEN '1mo' THEN timestamp + INTERVAL 1 MONTH ELSE date_trunc('day', timestamp) + INTERVAL '15 hours 30 minutes' END AS complete_at FROM x""",
+)
+def period_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When bars of every interval are complete."""
+    kinds = F.array(*map(F.lit, ("15m", "1h", "4h", "1d", "1w", "1mo", "90m")))
+    rows = tables.hourly_bars(spark, sf_dir).select("symbol", "timestamp", F.element_at(kinds, F.hour("timestamp") % 7 + 1).alias("interval"))
+    return rows.withColumn("complete_at", market.period_end(F.col("timestamp"), F.col("interval")))
+
+
 # --- quality ---------------------------------------------------------------------------------------------------------
-GAP_SQL = f"""WITH {SHIPMENTS}, g AS (SELECT symbol, timestamp AS "at", lag(timestamp::DATE) OVER (PARTITION BY symbol ORDER BY timestamp) AS a,
-    timestamp::DATE AS b FROM bars WHERE isodow(timestamp) = 1),
-    n AS (SELECT symbol, g."at", (SELECT count(*) FROM range(1, 400) t(i) WHERE a + CAST(i AS INT) < b AND isodow(a + CAST(i AS INT)) <= 5) AS observed FROM g WHERE a IS NOT NULL)
-    SELECT 'calendar_gap' AS check, 'warning' AS severity, symbol, n."at", observed::DOUBLE AS observed FROM n WHERE observed > 5"""
+def _gap_sql(most: int) -> str:
+    return f"""WITH {SHIPMENTS}, g AS (SELECT symbol, timestamp AS "at", lag(timestamp::DATE) OVER (PARTITION BY symbol ORDER BY timestamp) AS a,
+        timestamp::DATE AS b FROM bars),
+        n AS (SELECT symbol, "at", len(list_filter(range(1, b - a), lambda i: isodow(a + i::INT) <= 5)) AS observed FROM g WHERE a IS NOT NULL)
+        SELECT 'calendar_gap' AS check, 'warning' AS severity, symbol, "at", observed::DOUBLE AS observed FROM n WHERE observed > {most}"""
 
 
-@query("quality_calendar_gap", GAP_SQL)
+@query("quality_calendar_gap", _gap_sql(0))
 def quality_calendar_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mondays only, so that most neighbours are gaps; quality_calendar_gap_all checks every bar."""
-    return quality.calendar_gaps(tables.shipment_bars(spark, sf_dir).where(F.weekday("timestamp") == 0))
+    """Every weekday that a part type shipped nothing on, between two days that it did."""
+    return quality.calendar_gaps(tables.shipment_bars(spark, sf_dir), most=0)
 
 
 @query(
     "quality_calendar_gap_all",
-    f"""WITH {SHIPMENTS}, g AS (SELECT symbol, timestamp AS "at", lag(timestamp::DATE) OVER (PARTITION BY symbol ORDER BY timestamp) AS a,
-        timestamp::DATE AS b FROM bars),
-        n AS (SELECT symbol, "at", len(list_filter(range(1, b - a), lambda i: isodow(a + i::INT) <= 5)) AS observed FROM g WHERE a IS NOT NULL)
-        SELECT 'calendar_gap' AS check, 'warning' AS severity, symbol, "at", observed::DOUBLE AS observed FROM n WHERE observed > 5""",
+    _gap_sql(5),
 )
 def quality_calendar_gap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gaps of the whole table."""
+    """The same at the default of more than five missing days."""
     return quality.calendar_gaps(tables.shipment_bars(spark, sf_dir))
 
 

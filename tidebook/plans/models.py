@@ -10,10 +10,11 @@ from tidebook.functions import filters
 from tidebook.operators import calibration, series, stats
 from tidebook.operators.walk_forward import WalkForward, regression_walk, replay, scored
 from tidebook.plans.features import BASE, LABELS, W, sql_of
-from tidebook.plans.registry import HOURLY, TICKS, query, r, rounded
+from tidebook.plans.registry import HOURLY, TICKS, query, r, rounded, t_cdf, t_logpdf
 from tidebook.sources import tables
 
 X, Y = "momentum_20_1", "forward_log_return"
+FEATURES = ("log_return_1", "momentum_20_1", "volatility_20")
 TRAIN = f"""WITH w AS ({sql_of(f.minimal_set()).replace("round(", "(").replace(", 6) + 0.0 AS", ") AS")}),
     y AS ({LABELS} SELECT symbol, as_of AS timestamp, realised_at, fwd AS forward_log_return FROM l WHERE realised_at IS NOT NULL),
     t AS (SELECT * FROM w JOIN y USING (symbol, timestamp)
@@ -32,11 +33,11 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "scaler",
-    f"""{TRAIN} SELECT symbol, count(*) AS n, {r("avg(momentum_20_1)", "mean_momentum_20_1")}, {r("stddev_samp(momentum_20_1)", "sd_momentum_20_1")}
+    f"""{TRAIN} SELECT symbol, count(*) AS n, {", ".join(r(f"avg({x})", f"mean_{x}") + ", " + r(f"stddev_samp({x})", f"sd_{x}") for x in FEATURES)}
         FROM t GROUP BY symbol""",
 )
 def scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.scaler(training(spark, sf_dir), [X], ["symbol"]))
+    return rounded(stats.scaler(training(spark, sf_dir), list(FEATURES), ["symbol"]))
 
 
 @query(
@@ -68,11 +69,11 @@ def gram_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     "gram_discounted",
     f"""{TRAIN}, d AS (SELECT symbol, momentum_20_1 AS x, forward_log_return AS y,
             0.99 ** (row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) - 1) AS w FROM t)
-        SELECT symbol, count(*) AS n, {r("sum(w)", "weight")}, {r("sum(w * x * y)", "xy_0")} FROM d GROUP BY symbol""",
+        SELECT symbol, count(*) AS n, {r("sum(w)", "weight")}, {r("sum(w * x * y)", "xy_0")}, {r("sum(w * y * y)", "yy")}, {r("sum(w * x * x)", "xx_0_0")} FROM d GROUP BY symbol""",
 )
 def gram_discounted(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = stats.gram(training(spark, sf_dir), [X], Y, ["symbol"], forgetting=0.99)
-    return rounded(sums.select("symbol", "n", "weight", "xy_0"))
+    return rounded(sums.select("symbol", "n", "weight", "xy_0", "yy", "xx_0_0"))
 
 
 POSTERIOR = """SELECT *, xx_0_0 + 1 AS p00, xx_0_1 AS p01, xx_1_1 + 1 AS p11, (xx_0_0 + 1) * (xx_1_1 + 1) - xx_0_1 * xx_0_1 AS det FROM s"""
@@ -120,14 +121,28 @@ WALK = f"""{TRAIN}, d AS (SELECT symbol, timestamp, momentum_20_1 AS x, forward_
 )
 def blr_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = regression_walk(training(spark, sf_dir), X, Y, WalkForward())
-    small = out.withColumn("epistemic_variance", F.round("epistemic_variance", 8) + F.lit(0.0))
-    rest = rounded(small.select("symbol", "timestamp", "train_end", "df", "loc", "scale"))
-    return rest.join(small.select("symbol", "timestamp", "epistemic_variance"), ["symbol", "timestamp"])
+    wide = rounded(out.select("symbol", "timestamp", "train_end", "df", "loc", "scale", F.col("epistemic_variance").cast("string").alias("e")))
+    return wide.withColumn("epistemic_variance", F.round(F.col("e").cast("double"), 8) + F.lit(0.0)).drop("e")
 
 
-@query("walk_forward_report")
+@query(
+    "walk_forward_report",
+    f"""{WALK}, sc AS (SELECT symbol, timestamp, y AS outcome, loc AS mean, scale * sqrt(df / (df - 2)) AS sd, {t_cdf("((y - loc) / scale)", "df")} AS u,
+            1 - {t_cdf("((0 - loc) / scale)", "df")} AS p, y > 0 AS up, {t_logpdf("((y - loc) / scale)", "df", "scale")} AS logpdf FROM p),
+        one AS (SELECT symbol, count(*) AS n, avg((p - up::INT) ** 2) AS brier, avg(logpdf) AS log_score, avg(sd) AS sharpness, avg(outcome - mean) AS bias FROM sc GROUP BY 1),
+        k AS (SELECT symbol, u, row_number() OVER (PARTITION BY symbol ORDER BY u) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM sc),
+        ks AS (SELECT symbol, max(greatest(i / n - u, u - (i - 1) / n)) AS ks FROM k GROUP BY 1),
+        c AS (SELECT symbol, level::DOUBLE AS level, avg((u BETWEEN (1 - level) / 2 AND (1 + level) / 2)::INT) AS empirical
+              FROM sc, (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99]) AS level) GROUP BY 1, 2),
+        ie AS (SELECT symbol, avg(abs(empirical - level)) AS interval_error, sum(empirical - level) < 0 AS is_overconfident FROM c GROUP BY 1),
+        b AS (SELECT symbol, least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS predicted, avg(up::INT) AS observed FROM sc GROUP BY 1, 2),
+        ec AS (SELECT symbol, sum(n * abs(predicted - observed)) / sum(n) AS ece FROM b GROUP BY 1)
+        SELECT symbol, n, {r("brier", "brier")}, {r("log_score", "log_score")}, {r("sharpness", "sharpness")}, {r("bias", "bias")}, {r("ks", "ks")},
+               {r("interval_error", "interval_error")}, is_overconfident, {r("ece", "ece")}
+        FROM one JOIN ks USING (symbol) JOIN ie USING (symbol) JOIN ec USING (symbol)""",
+)
 def walk_forward_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibration of the walk-forward regression; needs the Student-t distribution function."""
+    """Calibration of the walk-forward regression."""
     rows = scored(regression_walk(training(spark, sf_dir), X, Y, WalkForward()), Y)
     return rounded(calibration.assess(rows, ["symbol"]))
 
@@ -223,6 +238,12 @@ def _variance_sql() -> str:
     n_eff = " + ".join(f"exp(w{k}) * s{k}" for k in ks)
     disc = " + ".join(f"exp(w{k}) * {d[k]}" for k in ks)
     ent = " + ".join(f"-exp(w{k}) * w{k}" for k in ks)
+    shape = [f"(2 + {d[k]} * s{k} / 2)" for k in ks]
+    rate = [f"greatest(0.0004 + {d[k]} * q{k} / 2, 1e-18)" for k in ks]
+    plug = " + ".join(f"exp(w{k}) * 5 * {rate[k]} / {shape[k]}" for k in ks)
+    infl = " + ".join(f"exp(w{k}) * 5 * {rate[k]} / ({shape[k]} * ({shape[k]} - 1))" for k in ks)
+    real = " + ".join(f"exp(w{k}) * 5 * {rate[k]} / ({shape[k]} - 1)" for k in ks)
+    df = " + ".join(f"exp(w{k}) * 2 * {shape[k]}" for k in ks)
     return f"""WITH RECURSIVE {RETURNS.removeprefix("WITH ")},
         run AS (
             SELECT DISTINCT symbol, 0::BIGINT AS n, NULL::TIMESTAMP AS timestamp, {zero} FROM ret
@@ -231,15 +252,16 @@ def _variance_sql() -> str:
               SELECT *, {floored} FROM (SELECT *, {norm} AS norm FROM (SELECT *, {top} AS top FROM (SELECT *, {moved} FROM (
                 SELECT ret.symbol, ret.n, ret.timestamp, ret.r IS NOT NULL AS seen, coalesce(ret.r * ret.r, 0.0) AS z, {keep}, {evolved}
                 FROM run JOIN ret ON ret.symbol = run.symbol AND ret.n = run.n + 1))))))
-        SELECT symbol, timestamp, {r(noise, "noise_variance")}, {r(n_eff, "effective_n", 4)}, {r(disc, "expected_discount")}, {r(ent, "entropy")} FROM run WHERE n > 0"""
+        SELECT symbol, timestamp, {r(noise, "noise_variance")}, {r(n_eff, "effective_n", 4)}, {r(disc, "expected_discount")}, {r(ent, "entropy")},
+            {r(plug, "plugin_variance")}, {r(infl, "inflation")}, {r(real, "realised_variance")}, {r(df, "predictive_df", 4)} FROM run WHERE n > 0"""
 
 
 @query("var_filter", _variance_sql())
 def var_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each symbol's first return is missing and only ages the evidence."""
     out = stats.variance_filter(returns(spark, sf_dir))
-    out = out.withColumn("effective_n", F.round("effective_n", 4))
-    return rounded(out.select("symbol", "timestamp", "noise_variance", "effective_n", "expected_discount", "entropy"))
+    out = out.withColumns({c: F.round(c, 4) for c in ("effective_n", "predictive_df")})
+    return rounded(out.drop("uncertainty", "n_seen", "n_skipped"))
 
 
 # --- calibration -------------------------------------------------------------------------------------------------------
@@ -326,29 +348,40 @@ def regime_terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "model_health",
-    f"""{SCORES_SQL}, m AS (SELECT symbol AS model, avg((p - up::INT) ** 2) AS brier, count(*) AS n FROM p GROUP BY 1),
-        c AS (SELECT model, 'fitted' AS name, 'pass' AS status, 1.0::DOUBLE AS observed FROM m UNION ALL
-              SELECT model, 'interval_error', 'skipped', NULL FROM m UNION ALL
-              SELECT model, 'brier', CASE WHEN brier <= 0.3 THEN 'pass' ELSE 'fail' END, brier FROM m UNION ALL
-              SELECT model, 'uncertainty', 'fail', 'inf'::DOUBLE FROM m UNION ALL
-              SELECT model, 'n', CASE WHEN n >= 30 THEN 'pass' ELSE 'fail' END, n::DOUBLE FROM m UNION ALL
-              SELECT model, 'disagreement', 'pass', 0.5 FROM m)
-        SELECT model, name, status, CASE WHEN isinf(observed) THEN 1e9 ELSE round(observed, 6) + 0.0 END AS observed, false AS healthy FROM c""",
+    f"""{SCORES_SQL}, {COVERED}, ie AS (SELECT symbol, avg(abs(empirical - level)) AS e FROM c GROUP BY 1),
+        m AS (SELECT symbol AS model, avg((p - up::INT) ** 2) AS brier, count(*) AS n, max(sd) * 30 AS uncertainty, avg(abs(p - 0.5)) * 2 AS disagreement,
+                     count(*) > 100 AS fitted, e AS interval_error, symbol = 'view' AS unknown FROM p JOIN ie USING (symbol) GROUP BY symbol, e),
+        c6 AS (SELECT model, 'fitted' AS name, fitted::INT::DOUBLE AS observed, fitted AS ok FROM m UNION ALL
+               SELECT model, 'interval_error', CASE WHEN NOT unknown THEN interval_error END, interval_error <= 0.15 FROM m UNION ALL
+               SELECT model, 'brier', brier, brier <= 0.3 FROM m UNION ALL
+               SELECT model, 'uncertainty', CASE WHEN unknown THEN 'inf'::DOUBLE ELSE uncertainty END, uncertainty <= 1 AND NOT unknown FROM m UNION ALL
+               SELECT model, 'n', n::DOUBLE, n >= 30 FROM m UNION ALL SELECT model, 'disagreement', disagreement, disagreement <= 0.9 FROM m),
+        st AS (SELECT *, CASE WHEN observed IS NULL THEN 'skipped' WHEN ok THEN 'pass' ELSE 'fail' END AS status FROM c6)
+        SELECT model, name, status, CASE WHEN isinf(observed) THEN 1e9 ELSE round(observed, 6) + 0.0 END AS observed,
+               min((status <> 'fail')::INT) OVER (PARTITION BY model) = 1 AS healthy FROM st""",
 )
 def model_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An uncertainty that is not finite fails; an absent interval error is skipped."""
+    """All six checks from scores; of one model the interval error is absent and the uncertainty not finite."""
+    rows = synthetic_scores(spark, sf_dir)
+    errors = calibration.interval_error(calibration.coverage(rows, ["symbol"]), ["symbol"])
+    unknown = F.col("symbol") == "view"
     report = (
-        synthetic_scores(spark, sf_dir)
-        .groupBy(F.col("symbol").alias("model"))
-        .agg(calibration.brier(F.col("p"), F.col("up")).alias("brier"), F.count(F.lit(1)).alias("n"))
+        rows.groupBy("symbol")
+        .agg(
+            calibration.brier(F.col("p"), F.col("up")).alias("brier"),
+            F.count(F.lit(1)).alias("n"),
+            (F.max("sd") * 30).alias("uncertainty"),
+            (F.avg(F.abs(F.col("p") - 0.5)) * 2).alias("disagreement"),
+        )
+        .join(errors.drop("is_overconfident"), "symbol")
         .withColumns(
             {
-                "fitted": F.lit(True),
-                "interval_error": F.lit(None).cast("double"),
-                "uncertainty": F.lit(float("inf")),
-                "disagreement": F.lit(0.5),
+                "fitted": F.col("n") > 100,
+                "interval_error": F.when(~unknown, F.col("interval_error")),
+                "uncertainty": F.when(unknown, float("inf")).otherwise(F.col("uncertainty")),
             }
         )
+        .withColumnRenamed("symbol", "model")
     )
     found = calibration.model_health(report)
     return rounded(found.withColumn("observed", F.when(F.col("observed") < float("inf"), F.col("observed")).when(F.col("observed").isNotNull(), 1e9)))
@@ -364,6 +397,10 @@ def model_health(spark: SparkSession, sf_dir: str) -> DataFrame:
         p AS (SELECT *, greatest(1, max(equity) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS peak FROM e)
         SELECT symbol, count(*) + 1 AS n_bars, round(max(1 - equity / peak), 5) + 0.0 AS max_drawdown, round(sum(traded), 5) + 0.0 AS turnover,
                round(avg(ret) / stddev_samp(ret) * 15.874507866387544, 5) + 0.0 AS sharpe,
+               round(avg(ret) / sqrt(avg(least(ret, 0) ** 2)) * 15.874507866387544, 5) + 0.0 AS sortino,
+               round(arg_max(equity, timestamp) ** (252 / (count(*) + 1)) - 1, 5) + 0.0 AS cagr, round(arg_max(equity, timestamp) - 1, 5) + 0.0 AS total_return,
+               round(stddev_samp(ret) * 15.874507866387544, 5) + 0.0 AS volatility,
+               round(sum(greatest(profit, 0)) / sum(greatest(-profit, 0)), 5) + 0.0 AS profit_factor,
                round(avg((profit > 0)::INT), 5) + 0.0 AS win_rate FROM p GROUP BY symbol""",
 )
 def metrics_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,7 +410,7 @@ def metrics_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = tables.hourly_bars(spark, sf_dir)
     path = bars.select("symbol", "timestamp", "close", F.when(up > 0, 1.0).otherwise(-0.5).alias("weight"))
     out = stats.performance(path, scale=1e-5)
-    return rounded(out.select("symbol", "n_bars", "max_drawdown", "turnover", "sharpe", "win_rate"), 5)
+    return rounded(out, 5)
 
 
 @query(
@@ -407,6 +444,25 @@ def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.exposure(positions))
 
 
+@query(
+    "sector_exposure",
+    """WITH p AS (SELECT o_custkey % 50 AS portfolio, nullif(o_orderpriority, '3-MEDIUM') AS sector,
+            abs(CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END * (o_orderkey % 7 + 1)::DOUBLE * o_totalprice) / 1e9 AS weight FROM orders)
+        SELECT portfolio, sector, round(sum(weight), 6) + 0.0 AS exposure, count(*) AS n_positions FROM p WHERE sector IS NOT NULL GROUP BY 1, 2""",
+)
+def sector_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long and short positions both add to their sector; one priority stands for no sector."""
+    n = F.col("o_orderkey")
+    positions = tables.table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 50).alias("portfolio"),
+        F.when(F.col("o_orderpriority") != "3-MEDIUM", F.col("o_orderpriority")).alias("sector"),
+        (F.when(n % 3 == 0, -1).otherwise(1) * (n % 7 + 1)).cast("double").alias("quantity"),
+        F.col("o_totalprice").alias("last_price"),
+        F.lit(1e9).alias("equity"),
+    )
+    return rounded(stats.sector_exposure(positions))
+
+
 @query(
     "tally",
     """SELECT 'o_orderstatus' AS "column", o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2

@@ -58,3 +58,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def r(expression: str, name: str, digits: int = 6) -> str:
     """The same rounding in SQL."""
     return f"round({expression}, {digits}) + 0.0 AS {name}"
+
+
+def t_cdf(z: str, df: str) -> str:
+    """Distribution function of Student's t with whole degrees of freedom, a finite sum, in SQL."""
+    angle = f"atan({z} / sqrt({df}))"
+    even = f"list_sum(list_transform(range(0, ({df})::BIGINT // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) * pow(cos({angle}), 2 * k))) / sqrt(pi())"
+    odd = f"list_sum(list_transform(range(0, (({df})::BIGINT - 1) // 2), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow(cos({angle}), 2 * k))) * sqrt(pi()) / 2"
+    return (
+        f"(CASE WHEN ({df})::BIGINT % 2 = 0 THEN 0.5 + 0.5 * sin({angle}) * {even} "
+        f"ELSE 0.5 + ({angle} + sin({angle}) * cos({angle}) * coalesce({odd}, 0)) / pi() END)"
+    )
+
+
+def t_logpdf(z: str, df: str, scale: str) -> str:
+    return f"(lgamma(({df} + 1) / 2) - lgamma({df} / 2) - 0.5 * ln({df} * pi()) - ln({scale}) - ({df} + 1) / 2 * ln(1 + {z} * {z} / {df}))"

@@ -11,7 +11,7 @@ from tidebook.functions import market, mixtures
 from tidebook.operators import books, trading
 from tidebook.plans.features import BASE, over
 from tidebook.plans.market import quotes
-from tidebook.plans.registry import HOURLY, TICKS, query, r, rounded
+from tidebook.plans.registry import HOURLY, TICKS, query, r, rounded, t_cdf, t_logpdf
 from tidebook.sources import frames, tables, vendors
 
 LIMITS = RiskLimits()
@@ -52,11 +52,15 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "fuse_pool",
     f"""{PREDS_SQL} SELECT symbol, as_of, 2::BIGINT AS n_models, {r("mean", "mean", 9)}, {r("var", "variance", 9)}, {r("dis", "disagreement", 9)},
-        {r("epi", "epistemic_variance", 9)} FROM fused""",
+        {r("epi", "epistemic_variance", 9)}, round(exp(-0.5) / (1 + exp(-0.5)), 9) AS w_fast, round(1 / (1 + exp(-0.5)), 9) AS w_slow, 2 AS n_components,
+        {r("wa * m20 + wb * m60", "pooled_loc", 9)} FROM fused JOIN pr USING (symbol, as_of)""",
 )
 def fuse_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = trading.fuse(predictions(spark, sf_dir))
-    return rounded(fused.select("symbol", "as_of", "n_models", "mean", "variance", "disagreement", "epistemic_variance"), 9)
+    weights = [F.col("weights")[k]["weight"].alias(f"w_{m}") for k, m in enumerate(("fast", "slow"))]
+    pooled = F.aggregate("mixture", F.lit(0.0), lambda acc, c: acc + c["w"] * c["loc"]).alias("pooled_loc")
+    figures = ["n_models", "mean", "variance", "disagreement", "epistemic_variance"]
+    return rounded(fused.select("symbol", "as_of", *figures, *weights, F.size("mixture").alias("n_components"), pooled), 9)
 
 
 @query(
@@ -113,15 +117,49 @@ def decide_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(intents(spark, sf_dir).select("symbol", "as_of", "action", "reason", "downside", "target_weight"))
 
 
-@query("decide_tails")
+def _pool_cdf(x: str) -> str:
+    return f"(wa * {t_cdf(f'(({x} - m20) / s20)', '10')} + wb * {t_cdf(f'(({x} - m60) / s60)', '30')})"
+
+
+def _quantiles(levels: tuple[float, ...]) -> str:
+    """Quantiles of the pools by fifty halvings, as common table expressions over PREDS_SQL."""
+    start = "least(m20, m60) - 40 * greatest(s20, s60) AS low, greatest(m20, m60) + 40 * greatest(s20, s60) AS high"
+    return f"""qs AS (SELECT symbol, as_of, wa, wb, m20, s20, m60, s60, level::DOUBLE AS level, 0 AS step, {start}
+            FROM pr, (SELECT unnest({list(levels)}) AS level)
+        UNION ALL
+        SELECT symbol, as_of, wa, wb, m20, s20, m60, s60, level, step + 1, CASE WHEN below THEN mid ELSE low END, CASE WHEN below THEN high ELSE mid END
+        FROM (SELECT *, {_pool_cdf("mid")} < level AS below FROM (SELECT *, (low + high) / 2 AS mid FROM qs WHERE step < 50))),
+        q AS (SELECT symbol, as_of, level, (low + high) / 2 AS q FROM qs WHERE step = 50)"""
+
+
+TAILS_SQL = f"""{PREDS_SQL.replace("WITH", "WITH RECURSIVE", 1)}, {_quantiles((0.05, 0.95))},
+    lo AS (SELECT symbol, as_of, q AS lo FROM q WHERE level < 0.5), hi AS (SELECT symbol, as_of, q AS hi FROM q WHERE level > 0.5),
+    z AS (SELECT pr.symbol, pr.as_of, var, epi / var AS share, 1 - {_pool_cdf("0")} AS p, {_pool_cdf("-0.05")} AS below, 1 - {_pool_cdf("0.05")} AS above, lo, hi
+          FROM pr JOIN fused USING (symbol, as_of) JOIN lo USING (symbol, as_of) JOIN hi USING (symbol, as_of)),
+    g AS (SELECT *, p >= 0.6 AS buy, CASE WHEN NOT var > 0 OR share > 0.6 THEN 'uncertainty_too_high' WHEN 1 - share < 0.55 THEN 'model_disagreement'
+              WHEN p < 0.6 AND p > 0.4 THEN 'edge_too_small' WHEN CASE WHEN p >= 0.6 THEN below ELSE above END > 0.15 THEN 'loss_probability_too_high' END AS reason FROM z),
+    d AS (SELECT *, CASE WHEN reason IS NULL THEN greatest(CASE WHEN buy THEN -lo ELSE hi END, 0, 1e-4) END AS downside FROM g)"""
+
+
+@query(
+    "decide_tails",
+    f"""{TAILS_SQL} SELECT symbol, as_of, CASE WHEN reason IS NOT NULL THEN 'no_trade' WHEN buy THEN 'buy' ELSE 'sell' END AS action, reason,
+        {r("p", "p_positive")}, {r("lo", "q_low")}, {r("hi", "q_high")}, {r("downside", "downside")},
+        CASE WHEN reason IS NULL THEN round(least(0.005 / downside, 0.05), 6) + 0.0 ELSE 0.0::DOUBLE END AS target_weight FROM d""",
+)
 def decide_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions on tails of the mixtures themselves; needs the Student-t distribution function and its inverse."""
+    """Decisions on tails of the mixtures themselves."""
     fused = trading.agreement(trading.fuse(predictions(spark, sf_dir))).withColumn("now", F.col("as_of"))
     out = trading.decide(trading.tails(fused, LIMITS), LIMITS)
     return rounded(out.select("symbol", "as_of", "action", "reason", "p_positive", "q_low", "q_high", "downside", "target_weight"))
 
 
-@query("mixture_scores")
+@query(
+    "mixture_scores",
+    f"""{PREDS_SQL.replace("WITH", "WITH RECURSIVE", 1)}, {_quantiles((0.5,))}, j AS (SELECT * FROM pr JOIN fused USING (symbol, as_of) JOIN q USING (symbol, as_of))
+        SELECT symbol, as_of, {r(_pool_cdf("mean"), "u")}, {r("q", "median")},
+               {r(f"ln(wa * exp({t_logpdf('((mean - m20) / s20)', '10.0', 's20')}) + wb * exp({t_logpdf('((mean - m60) / s60)', '30.0', 's60')}))", "logpdf")} FROM j""",
+)
 def mixture_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PIT, log density and median of every pool at its own mean."""
     fused = trading.fuse(predictions(spark, sf_dir))
@@ -184,14 +222,40 @@ def risk_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("symbol", "as_of", "approved_weight", "was_reduced", failures.alias("failures")))
 
 
+def _risk_check(name: str, value: str, allowed: float, failed: str, skipped: str = "false", when: str = "acts") -> str:
+    """One check of every ruling, in SQL."""
+    return f"""SELECT '{name}' AS name, CASE WHEN {skipped} THEN 'skipped' WHEN {failed} THEN 'fail' ELSE 'pass' END AS status,
+        CASE WHEN NOT ({skipped}) THEN ({value})::DOUBLE END AS observed, CASE WHEN NOT ({skipped}) THEN {allowed}::DOUBLE END AS allowed FROM ar WHERE {when}"""
+
+
+CHECKS_SQL = " UNION ALL ".join(
+    [
+        "SELECT 'actionable' AS name, 'skipped' AS status, NULL::DOUBLE AS observed, NULL::DOUBLE AS allowed FROM ar WHERE NOT acts",
+        _risk_check("kill_switch", "halted::INT", 0, "halted"),
+        _risk_check("daily_loss", "daily_loss", 0.02, "daily_loss > 0.02"),
+        _risk_check("drawdown", "drawdown", 0.15, "drawdown > 0.15"),
+        _risk_check("open_positions", "slots + 1", 10, "slots + 1 > 10", "held <> 0"),
+        _risk_check("volatility", "vol", 0.6, "vol > 0.6", "vol IS NULL"),
+        _risk_check("liquidity", "tov", 5e7, "tov < 5e7", "tov IS NULL"),
+        _risk_check("position_weight", "CASE WHEN h1 <= 0 THEN pos ELSE pos + least(a0, h1) END", 0.05, "h1 <= 0", when="acts AND NOT stopped"),
+        _risk_check("sector_exposure", "CASE WHEN h2 <= 0 THEN sec ELSE sec + least(a1, h2) END", 0.25, "h2 <= 0", "sec IS NULL", "acts AND NOT stopped"),
+        _risk_check("portfolio_exposure", "CASE WHEN h3 <= 0 THEN port ELSE port + least(a2, h3) END", 0.6, "h3 <= 0", when="acts AND NOT stopped"),
+    ]
+)
+
+
 @query(
     "risk_checks",
-    f"""{RISK_SQL}, x AS (SELECT CASE WHEN NOT acts THEN 1 WHEN stopped THEN 6 ELSE 9 END AS n_checks, failures FROM kr)
-        SELECT n_checks, failures, count(*) AS n FROM x GROUP BY 1, 2""",
+    f"""{RISK_SQL}, ar AS (SELECT *, target_weight AS a0, least(target_weight, h1) AS a1, least(target_weight, h1, coalesce(h2, 1e9)) AS a2 FROM hr),
+        x AS ({CHECKS_SQL})
+        SELECT name, status, count(*) AS n, {r("sum(observed)", "observed", 4)}, {r("sum(allowed)", "allowed", 4)} FROM x GROUP BY 1, 2""",
 )
 def risk_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rulings(spark, sf_dir).select(F.size("checks").alias("n_checks"), F.size(F.filter("checks", lambda c: c["status"] == "fail")).alias("failures"))
-    return out.groupBy("n_checks", "failures").agg(F.count(F.lit(1)).alias("n"))
+    """All checks of all rulings by name and status, with what they saw and allowed."""
+    found = rulings(spark, sf_dir).select(F.inline("checks"))
+    seen = lambda c: F.round(F.sum(F.when(~F.isnan(c), F.col(c))), 4)
+    out = found.groupBy("name", "status").agg(F.count(F.lit(1)).alias("n"), seen("observed").alias("observed"), seen("allowed").alias("allowed"))
+    return rounded(out, 4)
 
 
 @query(
@@ -255,13 +319,67 @@ def cash_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out)
 
 
-@query("settled_book")
+#: One fill applied to a held quantity q at average price a: delta is signed, px its price.
+AFTER = """CASE WHEN abs(q + delta) < 1e-9 THEN 0.0 ELSE q + delta END"""
+AVERAGE = """CASE WHEN abs(q + delta) < 1e-9 THEN 0.0 WHEN q = 0 OR sign(q + delta) <> sign(q) THEN px
+    WHEN abs(q + delta) > abs(q) THEN (q * a + delta * px) / (q + delta) ELSE a END"""
+
+
+@query(
+    "settled_book",
+    f"""WITH RECURSIVE {FILLS_SQL}, s AS (SELECT symbol, event_id, side, filled, px, filled * px * 0.0003 AS fee, CASE WHEN side = 'buy' THEN filled ELSE -filled END AS delta,
+            row_number() OVER (PARTITION BY symbol ORDER BY event_id) AS i FROM fills WHERE filled > 0),
+        run AS (SELECT DISTINCT symbol, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::BOOLEAN AS accepted, 5000.0::DOUBLE AS cash, 0.0::DOUBLE AS q, 0.0::DOUBLE AS a FROM s
+            UNION ALL
+            SELECT symbol, i, event_id, ok, CASE WHEN ok THEN cash - delta * px - fee ELSE cash END, CASE WHEN ok THEN {AFTER} ELSE q END, CASE WHEN ok THEN {AVERAGE} ELSE a END
+            FROM (SELECT s.*, cash, q, a, side <> 'buy' OR filled * px + fee <= cash AS ok FROM run JOIN s ON s.symbol = run.symbol AND s.i = run.i + 1))
+        SELECT symbol AS account, seq, symbol, accepted, {r("cash", "cash")}, {r("q", "quantity")}, {r("a", "average_price")} FROM run WHERE i > 0""",
+)
 def settled_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fills through the cash and positions of an account per symbol, in order: a fold."""
     rows = fills(spark, sf_dir).withColumn("account", F.col("symbol")).withColumn("seq", F.col("event_id"))
     return rounded(trading.settle(rows, 5_000.0))
 
 
+@query(
+    "cancelled_orders",
+    f"""WITH {FILLS_SQL} SELECT event_id, CASE WHEN event_id % 3 = 0 AND status = 'open' THEN 'cancelled' ELSE status END AS status,
+        event_id % 3 = 0 AND status = 'open' AS cancelled,
+        CASE WHEN event_id % 3 = 0 THEN CASE WHEN status = 'open' THEN 'cancelled' ELSE 'cannot cancel an order that is ' || status END END AS note FROM fills""",
+)
+def cancelled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third order is asked to be cancelled; only open ones are."""
+    receipts = fills(spark, sf_dir).select(F.col("event_id").alias("order_id"), "status")
+    out = books.cancel_orders(receipts, receipts.where("order_id % 3 = 0").select("order_id"))
+    return out.select(F.col("order_id").alias("event_id"), "status", "cancelled", "note")
+
+
+@query(
+    "marked_books",
+    f"""WITH {FILLS_SQL}, held AS (SELECT symbol AS account, sum(CASE WHEN side = 'buy' THEN filled ELSE -filled END) AS quantity,
+            sum(filled * px) / sum(filled) AS average_price, sum(CASE WHEN side = 'buy' THEN -filled ELSE filled END * px - filled * px * 0.0003) + 1e6 AS cash
+            FROM fills WHERE filled > 0 GROUP BY 1),
+        q AS (SELECT symbol AS account, arg_max(price, ts) AS price FROM ticks WHERE symbol <> 'view' AND ts < TIMESTAMP '2024-01-25 00:00:00' GROUP BY 1),
+        m AS (SELECT held.*, coalesce(q.price, average_price) AS last_price FROM held LEFT JOIN q USING (account))
+        SELECT account, {r("last_price", "last_price", 4)}, {r("quantity * (last_price - average_price)", "unrealised_pnl", 3)}, {r("cash", "cash", 3)},
+               {r("quantity * last_price", "worth", 3)}, {r("cash + quantity * last_price", "equity", 3)} FROM m""",
+)
+def marked_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each symbol's account marked at its last tick before a moment; one symbol has no quote and keeps its average."""
+    done = fills(spark, sf_dir).where("filled > 0").select("symbol", "side", F.col("filled").alias("quantity"), F.col("fill_price").alias("price"), F.col("fees").alias("commission"))
+    held = done.groupBy(F.col("symbol")).agg(
+        F.sum(market.signed_quantity()).alias("quantity"),
+        (F.sum(F.col("quantity") * F.col("price")) / F.sum("quantity")).alias("average_price"),
+        (F.sum(market.cash_flow()) + 1e6).alias("cash"),
+    )
+    positions = held.select("symbol", F.col("symbol").alias("account"), "quantity", "average_price", F.col("average_price").alias("last_price"))
+    before = tables.ticks(spark, sf_dir).where("symbol <> 'view' AND ts < TIMESTAMP_NTZ '2024-01-25 00:00:00'")
+    marked = books.mark_to_market(positions, before.select("symbol", F.col("ts").alias("timestamp"), F.col("price").alias("last_price")))
+    equity = books.equity_of(marked, held.select(F.col("symbol").alias("account"), "cash"))
+    out = equity.join(marked.select("account", "last_price", "unrealised_pnl"), "account")
+    return out.select("account", F.round("last_price", 4).alias("last_price"), *[(F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("unrealised_pnl", "cash", "worth", "equity")])
+
+
 # --- books ---------------------------------------------------------------------------------------------------------------
 BOOKS_SQL = """a AS (SELECT l_suppkey AS symbol, sum(l_quantity) AS q, sum(l_extendedprice) / sum(l_quantity) AS p FROM lineitem WHERE l_suppkey % 10 <> 0 GROUP BY 1),
     b AS (SELECT l_suppkey AS symbol, sum(l_quantity) + (l_suppkey % 7 = 0)::INT AS q, sum(l_extendedprice) / sum(l_quantity) * (CASE WHEN l_suppkey % 6 = 0 THEN 1.01 ELSE 1 END) AS p
@@ -354,7 +472,16 @@ def rebuild_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumn("cash_moved", F.round("cash_moved", 4)))
 
 
-@query("rebuild_positions")
+@query(
+    "rebuild_positions",
+    f"""WITH RECURSIVE {JOURNAL_SQL}, s AS (SELECT symbol, fill_price AS px, CASE WHEN action = 'buy' THEN filled ELSE -filled END AS delta,
+            row_number() OVER (PARTITION BY symbol ORDER BY as_of, order_id) AS i FROM jl WHERE event = 'bar' AND filled > 0 AND fill_price IS NOT NULL),
+        run AS (SELECT DISTINCT symbol, 0::BIGINT AS i, 0.0::DOUBLE AS q, 0.0::DOUBLE AS a FROM s
+            UNION ALL
+            SELECT symbol, i, {AFTER}, {AVERAGE} FROM (SELECT s.*, q, a FROM run JOIN s ON s.symbol = run.symbol AND s.i = run.i + 1)),
+        ends AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY i DESC) = 1)
+        SELECT symbol, {r("q", "quantity")}, {r("a", "average_price")} FROM ends WHERE q <> 0""",
+)
 def rebuild_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average prices depend on the order of fills: a fold per symbol."""
     return rounded(books.rebuild_positions(journal(spark, sf_dir)))
@@ -382,24 +509,51 @@ def after_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- wire formats ----------------------------------------------------------------------------------------------------------
+#: Packets of two modes a tick, in SQL; k is the place of the packet in its frame.
+PACKETS_SQL = f"""{"WITH " + TICKS}, pk AS (SELECT event_id, k AS position, price, volume, ts, ['ltp', 'index_quote', 'index_full', 'quote', 'full'][((event_id + 2 * k) % 5 + 1)::INT] AS mode,
+        round(price * 100) AS units, CASE event_id % 9 WHEN 3 THEN 1e7 WHEN 6 THEN 1e4 ELSE 100 END AS divisor FROM ticks, (SELECT unnest([0, 1]) AS k)),
+    dp AS (SELECT event_id, position, mode, (event_id * 256 + event_id % 9)::BIGINT AS token, (event_id % 9)::INT AS segment, units / divisor AS last_price,
+        CASE WHEN mode IN ('quote', 'full') THEN volume::BIGINT END AS volume, CASE WHEN mode = 'full' THEN (event_id % 4 * 10)::BIGINT END AS bid_quantity,
+        CASE WHEN mode = 'full' THEN (units - 5) / divisor END AS bid, CASE WHEN mode = 'full' THEN (event_id % 3)::BIGINT END AS ask_quantity,
+        CASE WHEN mode = 'full' THEN (units + 5) / divisor END AS ask, CASE WHEN mode = 'full' THEN date_trunc('second', ts) END AS exchange_timestamp FROM pk)"""
+
+
+def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks written as binary frames of two packets, of all five lengths, then cut and decoded."""
+    n = F.col("event_id")
+    word = lambda x, width=8: F.lpad(F.substring(F.hex(x.cast("long")), -width, width), width, "0")  # noqa: E731  two's complement
+    zeros = lambda size: F.repeat(F.lit("00"), size)
+    units = F.round(F.col("price") * 100)
+    head = F.concat(word(n * 256 + n % 9), word(units))
+    traded = F.concat(head, zeros(8), word(F.col("volume")))
+    second = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    full = F.concat(traded, zeros(40), word(second), word(n % 4 * 10), word(units - 5), zeros(52), word(n % 3), word(units + 5), zeros(52))
+    kinds = F.array(head, F.concat(head, zeros(20)), F.concat(head, zeros(24)), F.concat(traded, zeros(24)), full)
+    packet = lambda k: F.element_at(kinds, ((n + 2 * k) % 5 + 1).cast("int"))
+    framed = lambda x: F.concat(word(F.length(x) / 2, 4), x)
+    frame = F.unhex(F.concat(word(F.lit(2), 4), framed(packet(0)), framed(packet(1))))
+    return frames.decode(frames.packets(tables.ticks(spark, sf_dir).select("event_id", frame.alias("frame")))).drop("packet")
+
+
 @query(
     "binary_ticks",
-    f"""{"WITH " + TICKS} SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'ltp' ELSE 'quote' END AS mode, (event_id * 256 + event_id % 9)::BIGINT AS token,
-        (event_id % 9)::INT AS segment, {r("round(price * 100) / (CASE event_id % 9 WHEN 3 THEN 1e7 WHEN 6 THEN 1e4 ELSE 100 END)", "last_price")},
-        CASE WHEN event_id % 2 = 1 THEN volume::BIGINT END AS volume FROM ticks""",
+    f"""{PACKETS_SQL} SELECT event_id, position::INT AS position, mode, token, segment, {r("last_price", "last_price", 9)}, volume, bid_quantity, {r("bid", "bid", 9)},
+        ask_quantity, {r("ask", "ask", 9)}, exchange_timestamp FROM dp""",
 )
 def binary_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks written as binary frames of one packet, then cut and decoded."""
-    n = F.col("event_id")
-    word = lambda x, width=8: F.lpad(F.hex(x.cast("long")), width, "0")
-    token = n * 256 + n % 9
-    price = F.round(F.col("price") * 100)
-    short = F.concat(word(token), word(price))
-    long = F.concat(short, F.repeat(F.lit("00"), 8), word(F.col("volume")), F.repeat(F.lit("00"), 24))
-    packet = F.when(n % 2 == 0, short).otherwise(long)
-    frame = F.unhex(F.concat(word(F.lit(1), 4), word(F.length(packet) / 2, 4), packet))
-    cut = frames.packets(tables.ticks(spark, sf_dir).select("event_id", frame.alias("frame")))
-    return rounded(frames.decode(cut).select("event_id", "mode", "token", "segment", "last_price", "volume"))
+    """Packets of all five lengths, two a frame."""
+    return rounded(_packets(spark, sf_dir), 9)
+
+
+@query(
+    "frame_quotes",
+    f"""{PACKETS_SQL} SELECT token::VARCHAR AS symbol, exchange_timestamp AS timestamp, {r("last_price", "last_price", 9)},
+        CASE WHEN bid > 0 AND bid_quantity > 0 THEN round(bid, 9) + 0.0 END AS bid, CASE WHEN ask > 0 AND ask_quantity > 0 THEN round(ask, 9) + 0.0 END AS ask,
+        bid_quantity, ask_quantity, coalesce(volume::DOUBLE, 0.0) AS volume FROM dp WHERE last_price > 0""",
+)
+def frame_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets as quotes; sides without quantity are absent."""
+    return rounded(frames.to_quotes(_packets(spark, sf_dir)), 9)
 
 
 @query(

@@ -28,6 +28,12 @@ def verdicts(rows: DataFrame, arrival: list[str]) -> DataFrame:
     ).drop("_seen")
 
 
+def foreign(rows: DataFrame, symbols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Ticks of the symbols that a feed asked for, in a table or a stream, and those that it did not, which are counted and never judged."""
+    own = F.coalesce(F.col("symbol").isin(symbols), F.lit(False))
+    return rows.where(own), rows.where(~own)
+
+
 def silences(rows: DataFrame, seconds: float) -> DataFrame:
     """Ticks that follow a gap of more than so many seconds in their symbol."""
     ordered = Window.partitionBy("symbol").orderBy("ts", "event_id")
