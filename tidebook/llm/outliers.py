@@ -15,7 +15,8 @@ the logarithm of their distance; sums of moments per (group, bin) say both where
 the subset ends and what its moments are, so no group is sorted or collected, and a
 group that holds a third of all rows is a few hundred partial sums. The subset takes the
 whole bin that fills it, and its scatter is made whole by the share that it really holds. Groups
-step until their determinant stays, and groups that are done are left out of the next step.
+step until their determinant stays, and groups that are done are left out of the next step; the few
+that go round between neighbouring bins keep their last estimate.
 Counts are computed inside the row, once. Estimates have one row per group; they are broadcast only if they are few,
 else joined.
 """
@@ -32,7 +33,7 @@ from tidebook.llm.common import SPACE_CLASS, durable, let, read_table, stored
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 #: Concentration steps at most, and the relative change of a determinant that counts as none.
-MOST_STEPS, STILL, TAIL = 40, 1e-9, 1e-6
+MOST_STEPS, STILL, TAIL = 8, 1e-3, 1e-6
 #: Consistency factors are looked up by share in steps of one over this.
 SHARES = 1000
 #: Words by which rates of short texts are drawn to their group's.
@@ -149,34 +150,36 @@ def _moments(prefix: str = "") -> list[Column]:
 
 def _estimate(sums: DataFrame, factor: float | Column) -> DataFrame:
     """Sums of moments to means m*, the inverse i** of the ridged scatter, and its determinant."""
-    out = sums
-    for j in range(_P):
-        out = out.withColumn(f"m{j}", F.col(f"x{j}") / F.col("n"))
-    for j, k in _PAIRS:
-        scatter = factor * (F.col(f"s{j}{k}") / F.col("n") - F.col(f"m{j}") * F.col(f"m{k}"))
-        out = out.withColumn(f"c{j}{k}", (F.greatest(scatter, F.lit(0.0)) + RIDGE[j] ** 2) if j == k else scatter)
-    return _invert(out)
+    out = sums.withColumns({f"m{j}": F.col(f"x{j}") / F.col("n") for j in range(_P)})
+
+    def scatter(j: int, k: int) -> Column:
+        value = factor * (F.col(f"s{j}{k}") / F.col("n") - F.col(f"m{j}") * F.col(f"m{k}"))
+        return (F.greatest(value, F.lit(0.0)) + RIDGE[j] ** 2) if j == k else value
+
+    return _invert(out.withColumns({f"c{j}{k}": scatter(j, k) for j, k in _PAIRS}))
 
 
 def _invert(out: DataFrame) -> DataFrame:
-    """Adds i** and det for the scatter c**, by its Cholesky factor (lower, l**)."""
+    """Adds i** and det for the scatter c**, by its Cholesky factor (lower, l**); columns that need no other are added together."""
     keys = [c for c in ("key", "start", "all") if c in out.columns]
     means = [f"m{j}" for j in range(_P)]
-    for j in range(_P):
-        for k in range(j + 1):
-            rest = F.col(f"c{j}{k}")
-            for t in range(k):
-                rest = rest - F.col(f"l{j}{t}") * F.col(f"l{k}{t}")
-            floor = (RIDGE[j] ** 2) * 1e-3
-            out = out.withColumn(f"l{j}{k}", F.sqrt(F.greatest(rest, F.lit(floor))) if j == k else rest / F.col(f"l{k}{k}"))
-    for j in range(_P):  # the inverse of the factor, row by row
-        for k in range(j + 1):
-            if j == k:
-                value = 1 / F.col(f"l{j}{j}")
-            else:
-                total = sum((F.col(f"l{j}{t}") * F.col(f"v{t}{k}") for t in range(k, j)), F.lit(0.0))
-                value = -total / F.col(f"l{j}{j}")
-            out = out.withColumn(f"v{j}{k}", value)
+
+
+    def rest(j: int, k: int) -> Column:
+        return F.col(f"c{j}{k}") - sum((F.col(f"l{j}{t}") * F.col(f"l{k}{t}") for t in range(k)), F.lit(0.0))
+
+    for k in range(_P):
+        out = out.withColumn(f"l{k}{k}", F.sqrt(F.greatest(rest(k, k), F.lit(RIDGE[k] ** 2 * 1e-3))))
+        out = out.withColumns({f"l{j}{k}": rest(j, k) / F.col(f"l{k}{k}") for j in range(k + 1, _P)}) if k + 1 < _P else out
+    # the inverse of the factor, diagonal by diagonal
+    out = out.withColumns({f"v{j}{j}": 1 / F.col(f"l{j}{j}") for j in range(_P)})
+    for gap in range(1, _P):
+        out = out.withColumns(
+            {
+                f"v{j}{j - gap}": -sum((F.col(f"l{j}{t}") * F.col(f"v{t}{j - gap}") for t in range(j - gap, j)), F.lit(0.0)) / F.col(f"l{j}{j}")
+                for j in range(gap, _P)
+            }
+        )
     inverse = [
         sum((F.col(f"v{t}{j}") * F.col(f"v{t}{k}") for t in range(j, _P)), F.lit(0.0)).alias(f"i{j}{k}") for j, k in _PAIRS
     ]
