@@ -40,7 +40,7 @@ SHARES = 1000
 PRIOR_WORDS = 50
 #: Scale that every transformed statistic has at least: log word length, log symbols and repeated lines per 100 words, share of repeated words.
 RIDGE = (0.03, 0.3, 0.25, 0.05)
-BROADCAST_GROUPS = 10_000
+BROADCAST_GROUPS, FEW_PARTS = 10_000, 8
 _P = len(RIDGE)
 _BINS_PER_OCTAVE = 16
 
@@ -228,8 +228,9 @@ def estimates(counted: DataFrame, steps: int = MOST_STEPS) -> DataFrame:
         ],
     )
     classical = _estimate(first.withColumn("start", F.lit("moments")), 1.0)
-    going = durable(_invert(diagonal).unionByName(classical))
     few = small_or_joined(first) is not first
+    starts = _invert(diagonal).unionByName(classical)
+    going = durable(starts.coalesce(FEW_PARTS) if few else starts)
     bins = Window.partitionBy("key", "start").orderBy("bin")
     sums = [*_X, *[f"s{j}{k}" for j, k in _PAIRS]]
     now = going.limit(0)
@@ -248,13 +249,15 @@ def estimates(counted: DataFrame, steps: int = MOST_STEPS) -> DataFrame:
         )
         after = _estimate(inner, consistency(F.col("n") / F.col("all")))
         was = going.select("key", "start", F.col("det").alias("was"))
-        moved = durable(after.join(was, ["key", "start"]).withColumn("still", F.abs(F.col("det") - F.col("was")) <= STILL * F.col("was")))
+        after = after.join(was, ["key", "start"]).withColumn("still", F.abs(F.col("det") - F.col("was")) <= STILL * F.col("was"))
+        # few groups need no more than few tasks, however many partitions a shuffle has
+        moved = durable(after.coalesce(FEW_PARTS) if few else after)
         last = step == steps - 1
         now = now.unionByName(moved.where(F.col("still") | F.lit(last)).drop("was", "still"))
         going = moved.where(~F.col("still")).drop("was", "still")
         if last or not going.limit(1).count():
             break
-    now = durable(now)
+    now = durable(now.coalesce(FEW_PARTS) if few else now)
     best = now.groupBy("key").agg(F.min_by(F.struct(*[c for c in now.columns if c != "key"]), F.struct("det", "start")).alias("b"))
     raw = durable(best.select("key", "b.*"))
     share = 0.975
