@@ -27,16 +27,20 @@ so that a conversation that holds a large share of all messages is spread over t
 branches double their reach in every round, by joining them to those of the branch where
 they begin, so rounds grow as the logarithm of the nesting.
 
-Columns of messages other than conv_id, turn and text pass through. Texts are handled whole in
+Messages are parsed twice: once into a table in the shared folder, which goes when the links
+are found, and once for the result. Columns of messages other than conv_id, turn and text pass through. Texts are handled whole in
 their row however long they are: memory is a few times the text.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import durable, let, read_table
+from tidebook.llm.common import durable, let, read_table, shared_dir
+from tidebook.runtime import discard
 
 LANE, LEAST = 256, 4
 ADDED = ("parent_turn", "quoted_lines", "linked_lines", "depth", "reply_path")
@@ -306,8 +310,13 @@ def reply_order(messages: DataFrame) -> DataFrame:
     own = [c for c in messages.columns if c not in ADDED]
     packed = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_tq_row")
     parsed = messages.select("conv_id", "turn", packed, split_message(F.col("text")).alias("s"))
-    links = durable(quotation_links(parsed))
-    turns = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct()
+    # links read the parts of a message again and again, each by its columns
+    spark, parts = messages.sparkSession, parsed.select("conv_id", "turn", "s")
+    path = f"{shared_dir(spark)}/quotes-{uuid.uuid4().hex}"
+    parts.write.parquet(path)
+    links = durable(quotation_links(spark.read.schema(parts.schema).parquet(path)))
+    discard(spark, path)
+    turns = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct()
     counts = links.groupBy("conv_id", "turn").agg(
         F.count(F.lit(1)).alias("quoted_lines"), F.count("origin").alias("linked_lines")
     )
