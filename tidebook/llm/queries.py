@@ -10,6 +10,7 @@ from tidebook.llm.license_scan import op1_license_scan, oracle as license_oracle
 from tidebook.llm.mixing import op2_sainte_lague_mix
 from tidebook.llm.outliers import op5_mcd_quality
 from tidebook.llm.quotes import op7_quotation_linking
+from tidebook.llm.repair import op11_conversation_repair, oracle as repair_oracle
 from tidebook.llm.sharding import op3_hypergeometric_shards
 from tidebook.llm.simhash import op4_simhash_components
 from tidebook.llm.tiling import op10_tiling_decontamination
@@ -28,10 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_chain": op8_toxicity_chain,
     "op10_tiling_decontamination": op10_tiling_decontamination,
     "op9_warc_salvage": op9_warc_salvage,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": license_oracle(),
+    "op11_conversation_repair": repair_oracle(),
     "op9_warc_salvage": """
         WITH p AS (
             SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
