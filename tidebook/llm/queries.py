@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidebook.llm.infill import op12_fill_in_middle, oracle as infill_oracle
 from tidebook.llm.license_scan import op1_license_scan, oracle as license_oracle
 from tidebook.llm.mixing import op2_sainte_lague_mix
+from tidebook.llm.ngram_join import op13_ngram_jaccard, oracle as ngram_oracle
 from tidebook.llm.outliers import op5_mcd_quality
 from tidebook.llm.quotes import op7_quotation_linking
 from tidebook.llm.repair import op11_conversation_repair, oracle as repair_oracle
@@ -32,12 +33,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_salvage": op9_warc_salvage,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_ngram_jaccard": op13_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": license_oracle(),
     "op11_conversation_repair": repair_oracle(),
     "op12_fill_in_middle": infill_oracle(),
+    "op13_ngram_jaccard": ngram_oracle(),
     "op9_warc_salvage": """
         WITH p AS (
             SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
