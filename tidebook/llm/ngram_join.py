@@ -8,7 +8,7 @@ rows of the index, but each candidate must use up l of them, and candidates are
 dear, as their texts must come together. A pair is a candidate at the smaller l of the two, counted over
 shingles within both prefixes of that l.
 
-The order needs no join of shingles with their frequencies: a sketch of 2^20 counters over
+The order needs no join of shingles with their frequencies: a sketch of 2^17 counters over
 all texts, summed in Spark, ranks a shingle by its counter and then by its hash. Any order gives
 exact results; counters only make it a good one. Equal sets are one point however many documents have
 them. Candidates meet in two rounds. In the first every set of a posting list faces only the
@@ -38,51 +38,118 @@ from tidebook.runtime import ship_package
 WIDTH, PER_CENT = 3, 90
 MOST_MATCHES = 4
 #: Bits of a counter's number; the counters' classes are broadcast, one byte each.
-SKETCH_BITS = 20
+SKETCH_BITS = 17
 #: Classes per doubling of a counter.
 CLASSES = 4
 #: What it costs to verify a pair, in rows of the index: so much and one for as many shingles.
 VERIFY_ROWS, SHINGLES_PER_ROW = 8, 16
 #: Texts are split so many bytes at a time, and sets seen in a task are remembered up to a number.
-SLICE_BYTES, MOST_SEEN = 1 << 20, 1 << 18
+SLICE_BYTES, MOST_SEEN = 1 << 19, 1 << 18
 #: Rows of a posting list in one block of the second round, and pairs of one set that share a copy of its text.
 BLOCK_ROWS = 2_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+#: Longest word whose hash is a polynomial.
+LONG_WORD = 256
 _MIX = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+#: A random number for each byte.
+_BYTES = np.random.Generator(np.random.PCG64(13)).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _pieces(text: bytes) -> Iterator[list[bytes]]:
-    """Words of a text, in runs of about SLICE_BYTES."""
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of about SLICE_BYTES, cut before white space."""
     start = 0
     while start < len(text):
         found = _SPACE.search(text, start + SLICE_BYTES)
         end = found.start() if found else len(text)
-        yield text[start:end].translate(_LOWER).split()
+        yield text[start:end]
         start = end
 
 
-def shingle_hashes(text: bytes | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes (uint64) of the word shingles; a text of fewer words is one shingle, no words are none."""
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    out = []
+    for base in (int(_MIX[0]), pow(int(_MIX[0]), -1, 1 << 64)):
+        row = np.full(n, base, np.uint64)
+        row[0] = 1
+        out.append(np.cumprod(row, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def word_hashes(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a block, lower-cased, and where they start.
+
+    A word's hash is a polynomial in its bytes, each replaced by a random number, read off
+    running sums over the block; long words, in which such a hash could be forced, have one of their own.
+    """
     import xxhash
 
-    digest = xxhash.xxh64_intdigest
-    parts = [np.fromiter(map(digest, words), np.uint64, len(words)) for words in _pieces(text or b"")]
-    words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    if not len(words):
-        return words
-    size = min(width, len(words))
-    out = np.full(len(words) - size + 1, size, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            out = (out + words[k : len(words) - size + 1 + k]) * _MIX[k % 3]
-            out ^= out >> np.uint64(31)
-    return np.unique(out)
+    lower = block.translate(_LOWER)
+    bytes_ = np.frombuffer(lower, np.uint8)
+    edge = np.ones(len(bytes_) + 2, np.int8)
+    edge[1:-1] = _IS_SPACE[bytes_]
+    edges = np.flatnonzero(np.diff(edge))
+    starts, ends = edges[::2], edges[1::2]
+    size = 1 << max(SLICE_BYTES.bit_length(), len(bytes_).bit_length())
+    up, down = _powers(size)
+    sums = np.zeros(len(bytes_) + 1, np.uint64)
+    np.cumsum(_BYTES[bytes_] * up[: len(bytes_)], out=sums[1:])
+    out = (sums[ends] - sums[starts]) * down[starts]
+    out ^= out >> np.uint64(29)
+    out *= _MIX[1]
+    out ^= out >> np.uint64(32)
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        out[k] = xxhash.xxh64_intdigest(lower[starts[k] : ends[k]])
+    return out, starts
+
+
+def _mixed(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of `size` words, in order."""
+    out = np.full(max(len(words) - size + 1, 0), size, np.uint64)
+    for k in range(size):
+        out = (out + words[k : len(words) - size + 1 + k]) * _MIX[k % 3]
+        out ^= out >> np.uint64(31)
+    return out
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def shingles_of(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes (uint64) of the word shingles of each text; a text of fewer words is one shingle, no words are none.
+
+    Short texts are hashed together, long ones in pieces.
+    """
+    start = 0
+    while start < len(texts):
+        end, size = start + 1, len(texts[start])
+        while end < len(texts) and size + len(texts[end]) < SLICE_BYTES:
+            size += len(texts[end]) + 1
+            end += 1
+        if size > SLICE_BYTES:
+            words = np.concatenate([word_hashes(piece)[0] for piece in _pieces(texts[start])])
+            cuts = np.array([0, len(words)])
+        else:
+            words, at = word_hashes(b" ".join(texts[start:end]))
+            begins = np.cumsum([0] + [len(t) + 1 for t in texts[start:end]])
+            cuts = np.searchsorted(at, begins)
+        runs = _mixed(words, width)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield _distinct(runs[a : b - width + 1]) if b - a >= width else _mixed(words[a:b], max(b - a, 1))
+        start = end
+
+
+def shingle_hashes(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    return next(shingles_of([text or b""], width))
 
 
 def shingle_set(text: bytes | None, width: int = WIDTH) -> frozenset[bytes]:
     """The shingles themselves."""
-    words = [w for part in _pieces(text or b"") for w in part]
+    words = (text or b"").translate(_LOWER).split()
     if len(words) < width:
         return frozenset([b" ".join(words)] if words else [])
     return frozenset(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)))
@@ -129,14 +196,14 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
 
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            n, digests = [], []
-            for text in batch.column("text"):
-                h = shingle_hashes(text.as_py(), width)
+            n, digests, buckets = [], [], []
+            for h in shingles_of(batch.column("text").to_pylist(), width):
                 n.append(len(h))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
-                counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)) if len(h) > 4096 else 0
-                if len(h) <= 4096:
-                    np.add.at(counts, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                buckets.append(h >> np.uint64(64 - SKETCH_BITS))
+            if not n:
+                continue
+            counts += np.bincount(np.concatenate(buckets).astype(np.int64), minlength=len(counts))
             both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             nothing = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -166,7 +233,12 @@ def _classes(survey: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def _postings(docs: DataFrame, classes: Broadcast, mean: float, width: int, per_cent: int, most: int) -> DataFrame:
-    """Prefix shingles of sets that can have a partner: token, hi, lo, n, pos (from 1), asked. A set may come more than once."""
+    """Prefix shingles of sets that can have a partner: token, hi, lo, fact. A set may come more than once.
+
+    fact packs n (from bit 32), the place in the prefix (28 bits from bit 4) and the matches asked (4 bits).
+    """
+    if most > 15:
+        raise ValueError("at most 15 matches can be asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -175,8 +247,7 @@ def _postings(docs: DataFrame, classes: Broadcast, mean: float, width: int, per_
         expect = np.maximum(2.0 ** (np.arange(256) / CLASSES) - mean - 1, 0)
         for batch in batches:
             tokens, facts, digests = [], [], []
-            for text in batch.column("text"):
-                h = shingle_hashes(text.as_py(), width)
+            for h in shingles_of(batch.column("text").to_pylist(), width):
                 n = len(h)
                 # a set that no other size can join is linked with equal ones alone
                 if 100 * n < per_cent * (n + 1) and least_overlap(n, per_cent) == n:
@@ -204,14 +275,15 @@ def _postings(docs: DataFrame, classes: Broadcast, mean: float, width: int, per_
                 [
                     pa.array(np.concatenate(tokens)),
                     *[pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)],
-                    pa.array(np.repeat(np.array([f[0] for f in facts], np.int64), repeats)),
-                    pa.array(np.concatenate([np.arange(1, r + 1, dtype=np.int32) for r in repeats])),
-                    pa.array(np.repeat(np.array([f[1] for f in facts], np.int32), repeats)),
+                    pa.array(
+                        (np.repeat(np.array([f[0] << 32 | f[1] for f in facts], np.int64), repeats))
+                        | np.concatenate([np.arange(1, r + 1, dtype=np.int64) << 4 for r in repeats])
+                    ),
                 ],
-                names=["token", "hi", "lo", "n", "pos", "asked"],
+                names=["token", "hi", "lo", "fact"],
             )
 
-    return docs.mapInArrow(run, "token long, hi long, lo long, n long, pos int, asked int")
+    return docs.mapInArrow(run, "token long, hi long, lo long, fact long")
 
 
 def _set_id() -> Column:
@@ -280,10 +352,13 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int,
 
     @F.arrow_udf("boolean")
     def linked(one: pa.Array, other: pa.Array) -> pa.Array:
+        hashes = map(shingles_of, (one.to_pylist(), other.to_pylist()), (width, width))
         out = []
-        for x, y in zip(one, other, strict=True):
-            a, b = _held_set(x.as_py(), width), _held_set(y.as_py(), width)
-            common = len(a & b)
+        for x, y, a, b in zip(one, other, *hashes, strict=True):
+            common = len(a) + len(b) - len(_distinct(np.concatenate([a, b])))
+            if 100 * common >= per_cent * (len(a) + len(b) - common):
+                a, b = _held_set(x.as_py(), width), _held_set(y.as_py(), width)
+                common = len(a & b)
             out.append(100 * common >= per_cent * (len(a) + len(b) - common))
         return pa.array(out, pa.bool_())
 
@@ -329,12 +404,20 @@ def similar_sets(
     classes, mean = _classes(survey)
     held = spark.sparkContext.broadcast(classes)
     postings = stored(_postings(read.select("text"), held, mean, width, per_cent, most_matches))
+    # one half of a set's digest tells lists of one set from others, but once in 2^64
     shared = postings.groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{c}") for k, f in (("min", F.min), ("max", F.max)) for c in ("hi", "lo")]
-    ).where("min_hi <> max_hi or min_lo <> max_lo")
+        F.count(F.lit(1)).alias("rows"), F.min("hi").alias("first"), F.max("hi").alias("last")
+    ).where("first <> last")
+    fact = F.col("fact")
     hits = stored(
-        join_counted(postings, shared.select("token", "n").withColumnRenamed("n", "rows"), "token", "rows")
-        .select("token", _set_id(), "n", "pos", "asked")
+        join_counted(postings, shared.select("token", "rows"), "token", "rows")
+        .select(
+            "token",
+            _set_id(),
+            F.shiftright(fact, 32).alias("n"),
+            F.shiftright(fact, 4).bitwiseAND(F.lit((1 << 28) - 1)).cast("int").alias("pos"),
+            fact.bitwiseAND(F.lit(15)).cast("int").alias("asked"),
+        )
         .dropDuplicates(["token", "d"])
     )
     texts = read.select("tkey", "text")
