@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.runtime import shared_dir
 
-__all__ = ["count_words", "durable", "join_counted", "lane_bits", "let", "read_table", "row_digest", "shared_dir", "stored", "unit", "words_of"]
+__all__ = ["count_words", "durable", "join_counted", "lane_bits", "let", "read_table", "releasing", "row_digest", "shared_dir", "stored", "unit", "words_of"]
 
 #: Keys that a join may treat as hot, at most, and rows from which a key can be one.
 MOST_HOT, LEAST_HOT = 10_000, 1_000
@@ -45,6 +46,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query go when the query ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def join_counted(left: DataFrame, right: DataFrame, key: str, n: str = "n", how: str = "inner") -> DataFrame:
     """`left` joined with the one row that `right` has for a key; no task meets all rows of a hot key.
 

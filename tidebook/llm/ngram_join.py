@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidebook.llm.common import durable, join_counted, read_table, stored
+from tidebook.llm.common import durable, join_counted, read_table, releasing, stored
 from tidebook.llm.components import connected_components
 from tidebook.runtime import ship_package
 
@@ -377,19 +377,9 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int,
     return durable(held.where(linked("one", "other")).select("a", "b"))
 
 
-def similar_sets(
-    docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT, most_matches: int = MOST_MATCHES, block_rows: int = BLOCK_ROWS
+def _similar_sets(
+    docs: DataFrame, width: int, per_cent: int, most_matches: int, block_rows: int
 ) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, set_id.
-
-    A-Z are lower-cased, words are `[^\\x20\\x09-\\x0D]+`, a set holds the distinct shingles of `width`
-    words (fewer words: all as one), and sets link from `per_cent` per cent of their union. component_id
-    is the smallest doc_id reachable over links; null ids count only where a component
-    has no other. Null and empty texts have no shingles, no set_id and no links. Repeated rows stay; other
-    columns are not read.
-    """
-    if not 1 <= width <= 3 or not 50 <= per_cent <= 100 or most_matches < 1:
-        raise ValueError("shingles have 1 to 3 words, sets link from 50 to 100 per cent, and a match is asked at least")
     spark = docs.sparkSession
     ship_package(spark)
     body = F.coalesce("text", F.lit("")).cast("binary")
@@ -443,6 +433,23 @@ def similar_sets(
     return found.unionByName(alone)
 
 
+def similar_sets(
+    docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT, most_matches: int = MOST_MATCHES, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, set_id.
+
+    A-Z are lower-cased, words are `[^\\x20\\x09-\\x0D]+`, a set holds the distinct shingles of `width`
+    words (fewer words: all as one), and sets link from `per_cent` per cent of their union. component_id
+    is the smallest doc_id reachable over links; null ids count only where a component
+    has no other. Null and empty texts have no shingles, no set_id and no links. Repeated rows stay; other
+    columns are not read.
+    """
+    if not 1 <= width <= 3 or not 50 <= per_cent <= 100 or most_matches < 1:
+        raise ValueError("shingles have 1 to 3 words, sets link from 50 to 100 per cent, and a match is asked at least")
+    with releasing(docs.sparkSession):
+        return _similar_sets(docs, width, per_cent, most_matches, block_rows)
+
+
 def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the size of their set and their component."""
     return similar_sets(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
