@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from tidebook.runtime import shared_dir
 
@@ -84,10 +85,18 @@ def lane_bits(rows: DataFrame, least: int, most: int = 16) -> int:
     return max(least, min(most, (rows.count() // (3 * ROWS_PER_LANE)).bit_length()))
 
 
-def row_digest(columns: list[str], names: tuple[str, str]) -> list[Column]:
-    """A digest of 128 bits over the columns, as two longs: rows that share it are equal in all of them."""
-    own = [F.col(f"`{c}`") for c in columns]
-    return [F.xxhash64(F.lit(k), *own).alias(n) for k, n in enumerate(names, 1)]
+def row_digest(df: DataFrame, names: tuple[str, str], columns: list[str] | None = None) -> list[Column]:
+    """A digest of 128 bits over the columns (default: all), as two longs: rows that share it are equal in all of them.
+
+    Hashes pass over nulls, so each column is hashed with whether it is null; columns of nested
+    types, within which nulls could move too, are hashed as JSON.
+    """
+    parts = []
+    for c in df.columns if columns is None else columns:
+        own = F.col(f"`{c}`")
+        nested = isinstance(df.schema[c].dataType, (ArrayType, MapType, StructType))
+        parts += [own.isNull(), F.to_json(F.struct(own.alias("v"))) if nested else own]
+    return [F.xxhash64(F.lit(k), *parts).alias(n) for k, n in enumerate(names, 1)]
 
 
 def words_of(text: Column) -> Column:

@@ -222,7 +222,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         "doc_id",
         "source",
         count_words(F.col("text")).alias("n"),
-        *row_digest(docs.columns, ("_tm_a", "_tm_b")),
+        *row_digest(docs, ("_tm_a", "_tm_b")),
     )
     mixed = mix(packed, F.col("n"), ["doc_id", "n", "_tm_a", "_tm_b"])
     pieces = F.transform(

@@ -15,10 +15,10 @@ the logarithm of their distance; sums of moments per (group, bin) say both where
 the subset ends and what its moments are, so no group is sorted or collected, and a
 group that holds a third of all rows is a few hundred partial sums. The subset takes the
 whole bin that fills it, and its scatter is made whole by the share that it really holds. Groups
-step until their determinant stays, and groups that are done are left out of the next step; the few
-that go round between neighbouring bins keep their last estimate.
+step as long as their determinant falls, by a thousandth at least, so steps end; one that rises or goes round
+between neighbouring bins keeps the smaller determinant. Groups that are done are left out of the next step.
 Counts are computed inside the row, once. Estimates have one row per group; they are broadcast only if they are few,
-else joined.
+else those of large groups are.
 """
 
 from __future__ import annotations
@@ -28,12 +28,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import SPACE_CLASS, durable, let, read_table, stored
+from tidebook.llm.common import SPACE_CLASS, durable, join_counted, let, read_table, stored
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
-#: Concentration steps at most, and the relative change of a determinant that counts as none.
-MOST_STEPS, STILL, TAIL = 8, 1e-3, 1e-6
+#: The relative fall of a determinant that counts as none, and the tail beyond the cut-off.
+STILL, TAIL = 1e-3, 1e-6
 #: Consistency factors are looked up by share in steps of one over this.
 SHARES = 1000
 #: Words by which rates of short texts are drawn to their group's.
@@ -197,12 +197,21 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def small_or_joined(few: DataFrame) -> DataFrame:
-    """A hint to broadcast a table that has few rows; larger tables are left to a shuffle join."""
-    return F.broadcast(few) if few.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else few
+def is_small(groups: DataFrame) -> bool:
+    return groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
 
 
-def estimates(counted: DataFrame, steps: int = MOST_STEPS) -> DataFrame:
+def with_groups(rows: DataFrame, groups: DataFrame, n: str, how: str = "inner", few: bool | None = None) -> DataFrame:
+    """`rows` joined by key with facts of their groups; column n of `groups` counts a group's rows and goes.
+
+    Few groups are broadcast. Of many, the large ones are, and only rows of the others move.
+    """
+    if is_small(groups) if few is None else few:
+        return rows.join(F.broadcast(groups.drop(n)), "key", how)
+    return join_counted(rows, groups, "key", n, how)
+
+
+def estimates(counted: DataFrame) -> DataFrame:
     """One row per group: key, prior_length, means m*, inverse scatter i** and det.
 
     `counted` has key, failed and the COUNTS; failed rows take no part. Groups of any
@@ -210,10 +219,13 @@ def estimates(counted: DataFrame, steps: int = MOST_STEPS) -> DataFrame:
     """
     sound = counted.where(~F.col("failed"))
     prior = durable(
-        sound.groupBy("key").agg((F.sum("word_chars") / F.greatest(F.sum("n_words"), F.lit(1))).alias("prior_length"))
+        sound.groupBy("key").agg(
+            (F.sum("word_chars") / F.greatest(F.sum("n_words"), F.lit(1))).alias("prior_length"), F.count(F.lit(1)).alias("_rows")
+        )
     )
+    few = is_small(prior)
     rows = durable(
-        sound.join(small_or_joined(prior), "key").select("key", *[v.alias(x) for v, x in zip(_vector(), _X, strict=True)])
+        with_groups(sound, prior, "_rows", few=few).select("key", *[v.alias(x) for v, x in zip(_vector(), _X, strict=True)])
     )
     quartiles = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(f"q{x}") for x in _X]
     first = durable(rows.groupBy("key").agg(*_moments(), *quartiles).withColumn("all", F.col("n")))
@@ -228,15 +240,15 @@ def estimates(counted: DataFrame, steps: int = MOST_STEPS) -> DataFrame:
         ],
     )
     classical = _estimate(first.withColumn("start", F.lit("moments")), 1.0)
-    few = small_or_joined(first) is not first
     starts = _invert(diagonal).unionByName(classical)
     going = durable(starts.coalesce(FEW_PARTS) if few else starts)
     bins = Window.partitionBy("key", "start").orderBy("bin")
     sums = [*_X, *[f"s{j}{k}" for j, k in _PAIRS]]
-    now = going.limit(0)
-    for step in range(steps):
+    now, fresh = going.limit(0), True
+    while going.limit(1).count():
+        held = going.withColumn("_rows", F.col("all"))
         binned = (
-            rows.join(F.broadcast(going) if few else going, "key")
+            with_groups(rows, held, "_rows", few=few)
             .withColumn("bin", F.floor(_BINS_PER_OCTAVE * F.log2(_distance() + 1e-6)).cast("int"))
             .groupBy("key", "start", "all", "bin")
             .agg(*_moments())
@@ -248,21 +260,24 @@ def estimates(counted: DataFrame, steps: int = MOST_STEPS) -> DataFrame:
             .agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in sums])
         )
         after = _estimate(inner, consistency(F.col("n") / F.col("all")))
-        was = going.select("key", "start", F.col("det").alias("was"))
-        after = after.join(was, ["key", "start"]).withColumn("still", F.abs(F.col("det") - F.col("was")) <= STILL * F.col("was"))
+        found = [c for c in after.columns if c not in ("key", "start")]
+        was = going.select("key", "start", F.struct(*found).alias("was"))
+        # the starts are no subsets, so their determinants say nothing
+        fell = F.lit(fresh) | (F.col("det") < (1 - STILL) * F.col("was.det"))
+        better = F.lit(fresh) | (F.col("det") <= F.col("was.det"))
+        after = after.join(was, ["key", "start"]).select(
+            "key", "start", fell.alias("fell"), F.when(better, F.struct(*found)).otherwise(F.col("was")).alias("e")
+        ).select("key", "start", "fell", "e.*")
         # few groups need no more than few tasks, however many partitions a shuffle has
         moved = durable(after.coalesce(FEW_PARTS) if few else after)
-        last = step == steps - 1
-        now = now.unionByName(moved.where(F.col("still") | F.lit(last)).drop("was", "still"))
-        going = moved.where(~F.col("still")).drop("was", "still")
-        if last or not going.limit(1).count():
-            break
+        now = now.unionByName(moved.where("not fell").drop("fell"))
+        going, fresh = moved.where("fell").drop("fell"), False
     now = durable(now.coalesce(FEW_PARTS) if few else now)
     best = now.groupBy("key").agg(F.min_by(F.struct(*[c for c in now.columns if c != "key"]), F.struct("det", "start")).alias("b"))
     raw = durable(best.select("key", "b.*"))
     share = 0.975
     reweighted = (
-        rows.join(F.broadcast(raw) if few else raw, "key")
+        with_groups(rows, raw.withColumn("_rows", F.col("all")), "_rows", few=few)
         .where(_distance() <= chi2_quantile(share, _P))
         .groupBy("key")
         .agg(*_moments())
@@ -271,13 +286,13 @@ def estimates(counted: DataFrame, steps: int = MOST_STEPS) -> DataFrame:
     final = _estimate(reweighted, _consistency(share))
     names = [c for c in final.columns if c != "key"]
     merged = raw.select("key", F.struct(*names).alias("r")).join(final.select("key", F.struct(*names).alias("f")), "key", "left")
-    return durable(merged.select("key", F.coalesce("f", "r").alias("e")).join(prior, "key").select("key", "prior_length", "e.*"))
+    return durable(merged.select("key", F.coalesce("f", "r").alias("e")).join(prior, "key").select("key", "prior_length", "_rows", "e.*"))
 
 
 def judge(counted: DataFrame, found: DataFrame, tail: float = TAIL) -> DataFrame:
     """`counted` with distance2 and kept: sound by the fixed rules and within the cut-off of its group."""
     names = counted.columns
-    joined = counted.join(small_or_joined(found), "key", "left")
+    joined = with_groups(counted, found, "_rows", "left")
     for v, x in zip(_vector(), _X, strict=True):
         joined = joined.withColumn(x, v)
     distance = F.when(~F.col("failed"), _distance())

@@ -245,7 +245,7 @@ def shard_documents(docs: DataFrame) -> DataFrame:
     Rows are told apart by all their columns, so reruns and recomputed tasks agree.
     """
     own = [c for c in docs.columns if c not in ("shard", "slot")]
-    packed = _sized(docs, F.struct(*[F.col(f"`{c}`") for c in own]).alias("_ts_row"), *row_digest(own, ("_ts_a", "_ts_b")))
+    packed = _sized(docs, F.struct(*[F.col(f"`{c}`") for c in own]).alias("_ts_row"), *row_digest(docs, ("_ts_a", "_ts_b"), own))
     return assign_shards(packed, [*_KEY, "_ts_a", "_ts_b"]).select("_ts_row.*", "shard", "slot")
 
 

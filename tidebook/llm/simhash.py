@@ -138,7 +138,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     once, to meet the kept keys.
     """
     digest = ["_td_a", "_td_b"]
-    keyed = docs.select("*", *row_digest(docs.columns, ("_td_a", "_td_b")))
+    keyed = docs.select("*", *row_digest(docs, ("_td_a", "_td_b")))
     kept = near_duplicates(keyed, digest).groupBy("group").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *digest)).alias("k")
     )

@@ -12,7 +12,8 @@ where all its words stand in a row.
 Scale: documents stay where they are, there is no shuffle, and one pass over them meets
 the whole benchmark. It travels to the workers as broadcasts of bounded bytes each (its
 size is summed first; a larger benchmark means more of them), which the driver makes one
-after another from a partition at a time; a worker holds at most HELD_BLOCKS of them ready.
+after another from a partition at a time; a worker holds at most HELD_BLOCKS of them ready,
+and makes each of the others once for every GROUP_BYTES of texts.
 Within a text, everything but the
 matches themselves is vectorised; matches of one (text, item) are kept as diagonal
 runs, and where their seeds would outgrow memory the runs come from a scan of the item
@@ -24,8 +25,8 @@ from __future__ import annotations
 import heapq
 import unicodedata
 import uuid
-from collections import OrderedDict, defaultdict
-from collections.abc import Iterable
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
 
@@ -43,6 +44,8 @@ LEAST_WORDS, COVERAGE = 5, 0.5
 BLOCK_BYTES, MOST_SEEDS = 16 << 20, 2_000_000
 #: Blocks that a worker process keeps ready.
 HELD_BLOCKS = 4
+#: Bytes of texts that meet a block together where there are more.
+GROUP_BYTES = 128 << 20
 #: Words of documents that are looked up together.
 BATCH_WORDS = 1 << 18
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -299,45 +302,75 @@ def benchmark_blocks(benchmark: DataFrame, least: int = LEAST_WORDS, block_bytes
     return Blocks(parts or [spark.sparkContext.broadcast([])], least)
 
 
-_READY: OrderedDict[tuple[str, int], Benchmark] = OrderedDict()
+#: Blocks that this process holds ready, by the name of their benchmark.
+_READY: dict[str, dict[int, Benchmark]] = {}
 
 
 def _ready(blocks: Blocks, k: int) -> Benchmark:
-    """The k-th block, from what this process holds or made anew."""
-    key = (blocks.name, k)
-    if key not in _READY:
-        _READY[key] = Benchmark(blocks.parts[k].value, blocks.least)
-    _READY.move_to_end(key)
-    while len(_READY) > HELD_BLOCKS:
-        _READY.popitem(last=False)
-    return _READY[key]
+    """The k-th block. The first HELD_BLOCKS stay; others are made for the texts at hand and go."""
+    if blocks.name not in _READY:
+        _READY.clear()
+    held = _READY.setdefault(blocks.name, {})
+    if k in held:
+        return held[k]
+    made = Benchmark(blocks.parts[k].value, blocks.least)
+    if k < HELD_BLOCKS:
+        held[k] = made
+    return made
+
+
+def _groups(batches: Iterator[pa.Array], most: int) -> Iterator[list[pa.Array]]:
+    """Batches of texts, together up to about `most` bytes."""
+    group, size = [], 0
+    for batch in batches:
+        group.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 _COVER = "array<struct<item_id bigint, covered int, item_words int, tiles int, longest int>>"
 
 
-def covers(text: Column, blocks: Blocks, threshold: float = COVERAGE) -> Column:
-    """Array of the items that each text covers, by block and item."""
+def matches(blocks: Blocks, threshold: float) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """What runs in a task: batches of texts to arrays of the items that each covers."""
     kind = pa.list_(
         pa.struct(
             [("item_id", pa.int64()), ("covered", pa.int32()), ("item_words", pa.int32()), ("tiles", pa.int32()), ("longest", pa.int32())]
         )
     )
+    # texts wait for one another only where some blocks must be made anew for them
+    most = GROUP_BYTES if len(blocks.parts) > HELD_BLOCKS else 0
+
+    def met(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for group in _groups(batches, most):
+            out: list[list[list[dict]]] = [[[] for _ in range(len(texts))] for texts in group]
+            for k in range(len(blocks.parts)):
+                block = _ready(blocks, k)
+                for texts, rows in zip(group, out, strict=True):
+                    for start in range(0, len(texts), 256):
+                        for n, found in enumerate(block.covers(texts.slice(start, 256).to_pylist(), threshold), start):
+                            rows[n] += [
+                                {"item_id": block.ids[c.item], "covered": c.covered, "item_words": c.words, "tiles": len(c.tiles), "longest": c.tiles[0][0]}
+                                for c in found
+                            ]
+            for rows in out:
+                yield pa.array(rows, kind)
+
+    return met
+
 
+def covers(text: Column, blocks: Blocks, threshold: float = COVERAGE) -> Column:
+    """Array of the items that each text covers, by block and item."""
     ship_package()
+    run = matches(blocks, threshold)
 
     @F.arrow_udf(_COVER)
-    def met(texts: pa.Array) -> pa.Array:
-        out: list[list[dict]] = [[] for _ in range(len(texts))]
-        for k in range(len(blocks.parts)):
-            block = _ready(blocks, k)
-            for start in range(0, len(texts), 256):
-                for n, found in enumerate(block.covers(texts.slice(start, 256).to_pylist(), threshold), start):
-                    out[n] += [
-                        {"item_id": block.ids[c.item], "covered": c.covered, "item_words": c.words, "tiles": len(c.tiles), "longest": c.tiles[0][0]}
-                        for c in found
-                    ]
-        return pa.array(out, kind)
+    def met(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return run(batches)
 
     return met(text.cast("binary"))
 
