@@ -63,6 +63,27 @@ def test_gate_stream_orders_a_whole_micro_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).where("verdict = 'accepted'").count() == n
 
 
+def test_ticks_without_a_time_are_refused_and_counted(spark, tmp_path):
+    """Alone in a batch before and after there is a bar, and beside others; batch and stream say the same."""
+    parts = [
+        [("a", None, 1), ("b", 3, 2)], [("a", 10, 3), ("a", None, 4), ("a", 10, 5)], [("a", None, 6)], [("a", 3700, 7), ("c", None, 8)],
+    ]
+    schema = ticks_of(parts[1], spark).schema
+    for part in parts:
+        ticks_of(part, spark).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for name, build in (("bars", ohlcv.bars_stream), ("gate", gate.gate_stream)):
+            stream = build(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+            ohlcv.run_available(stream, str(tmp_path / name), str(tmp_path / f"{name}-checkpoint"))
+    bars = spark.read.parquet(str(tmp_path / "bars")).collect()
+    assert [(r.symbol, r.open, r.n_ticks, r.n_accepted, r.n_duplicates, r.n_untimed) for r in bars] == [("a", 10.0, 1, 2, 1, 3)]
+    left = {r.symbol: (r.open, r.n_accepted, r.n_untimed) for r in ohlcv.open_bars(spark, str(tmp_path / "bars-checkpoint")).collect()}
+    assert left == {"a": (3700.0, 2, 3), "b": (3.0, 1, 0), "c": (None, 0, 1)}
+    got = {r.event_id: r.verdict for r in spark.read.parquet(str(tmp_path / "gate")).collect()}
+    rows = ticks_of([r for part in parts for r in part], spark)
+    assert got == {r.event_id: r.verdict for r in gate.verdicts(rows, ["event_id"]).collect()}
+    assert sorted(k for k, v in got.items() if v == "untimed") == [1, 4, 6, 8]
+
+
 def test_bars_stream_counts_what_it_refuses_and_flushes_what_is_open(spark, tmp_path):
     """Two batches: the slow symbol's ticks are far behind the fast one's clock and still make bars."""
     first = [("fast", 10, 1), ("fast", 7300, 2), ("slow", 5, 3), ("slow", 5, 4)]

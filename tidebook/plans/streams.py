@@ -13,21 +13,23 @@ from tidebook.sources import tables
 from tidebook.streaming import gate, ohlcv, session
 
 
-#: Ticks as they arrive: each six times, those of every eleventh event late, in SQL.
+#: Ticks as they arrive: each six times, those of every eleventh event late, and the fourth of every ninth event without a time, in SQL.
 COPIES = 6
-ARRIVING = f"""{TICKS}, ar AS (SELECT symbol, ts, price, volume,
+ARRIVING = f"""{TICKS}, ar AS (SELECT symbol, CASE WHEN k = 3 AND event_id % 9 = 0 THEN NULL ELSE ts END AS ts, price, volume,
         (event_id + CASE WHEN event_id % 11 = 0 THEN 7 ELSE 0 END) * 100 + CASE WHEN event_id % 11 = 0 THEN 50 ELSE 0 END + k AS arrival
         FROM ticks, (SELECT unnest(range({COPIES})) AS k)),
     v AS (SELECT *, max(ts) OVER (PARTITION BY symbol ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ar),
-    j AS (SELECT *, CASE WHEN ts < seen THEN 'out_of_order' WHEN ts = seen THEN 'duplicate' ELSE 'accepted' END AS verdict FROM v)"""
+    j AS (SELECT *, CASE WHEN ts IS NULL THEN 'untimed' WHEN ts < seen THEN 'out_of_order' WHEN ts = seen THEN 'duplicate' ELSE 'accepted' END AS verdict FROM v)"""
 
 
 def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of late and repeated ticks; event_id is the order of arrival, which is not that of the file."""
+    """A stream of late, repeated and untimed ticks; event_id is the order of arrival, which is not that of the file."""
     late = F.col("event_id") % 11 == 0
     base = (F.col("event_id") + F.when(late, 7).otherwise(0)) * 100 + F.when(late, 50).otherwise(0)
     copies = F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))
-    return ohlcv.tick_stream(spark, sf_dir).withColumn("k", copies).withColumn("event_id", base + F.col("k")).drop("k")
+    untimed = (F.col("k") == 3) & (F.col("event_id") % 9 == 0)
+    told = ohlcv.tick_stream(spark, sf_dir).withColumn("k", copies).withColumn("ts", F.when(~untimed, F.col("ts")))
+    return told.withColumn("event_id", base + F.col("k")).drop("k")
 
 
 def _run(spark: SparkSession, stream: DataFrame) -> tuple[DataFrame, str]:
@@ -55,8 +57,8 @@ def stream_ohlcv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_flush",
     f"""{FEED_BARS}, c AS (SELECT symbol, count(*) FILTER (verdict = 'accepted') AS n_accepted, count(*) FILTER (verdict = 'duplicate') AS n_duplicates,
-            count(*) FILTER (verdict = 'out_of_order') AS n_out_of_order FROM j GROUP BY 1)
-        SELECT symbol, bar_start, {PRICES}, n_ticks, n_accepted, n_duplicates, n_out_of_order FROM bars JOIN ends USING (symbol) JOIN c USING (symbol)
+            count(*) FILTER (verdict = 'out_of_order') AS n_out_of_order, count(*) FILTER (verdict = 'untimed') AS n_untimed FROM j GROUP BY 1)
+        SELECT symbol, bar_start, {PRICES}, n_ticks, n_accepted, n_duplicates, n_out_of_order, n_untimed FROM bars JOIN ends USING (symbol) JOIN c USING (symbol)
         WHERE bar_start = final""",
 )
 def stream_flush(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,18 +13,22 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidebook.runtime import ship_package
 
 #: Verdicts of a tick, by code.
-VERDICTS = ("accepted", "duplicate", "out_of_order")
+VERDICTS = ("accepted", "duplicate", "out_of_order", "untimed")
 
 
 def verdicts(rows: DataFrame, arrival: list[str]) -> DataFrame:
-    """`rows` (symbol, ts, ...) with verdict by order of arrival: accepted, out_of_order or duplicate.
+    """`rows` (symbol, ts, ...) with verdict by order of arrival: accepted, out_of_order, duplicate or, without a time, untimed.
 
     A tick is compared with the latest accepted before it, which is the latest of all
     before it, as what is not accepted is never later.
     """
     before = Window.partitionBy("symbol").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("_seen", F.max("ts").over(before)).withColumn(
-        "verdict", F.when(F.col("ts") < F.col("_seen"), "out_of_order").when(F.col("ts") == F.col("_seen"), "duplicate").otherwise("accepted")
+        "verdict",
+        F.when(F.col("ts").isNull(), "untimed")
+        .when(F.col("ts") < F.col("_seen"), "out_of_order")
+        .when(F.col("ts") == F.col("_seen"), "duplicate")
+        .otherwise("accepted"),
     ).drop("_seen")
 
 
@@ -54,19 +58,26 @@ def staleness(rows: DataFrame, now: str, seconds: float) -> DataFrame:
 
 
 def judged(ts: np.ndarray, seen: int | None) -> tuple[np.ndarray, int | None]:
-    """Codes (0 accepted, 1 duplicate, 2 out of order) of times in order of arrival, and the latest time after them.
+    """Codes (0 accepted, 1 duplicate, 2 out of order, 3 untimed) of times in order of arrival, and the latest time after them.
 
-    A tick is compared with the latest before it, `seen` included.
+    A tick is compared with the latest before it, `seen` included. NO_TIME has no place among the times.
     """
-    if not len(ts):
-        return np.zeros(0, np.int8), seen
-    lowest = np.iinfo(np.int64).min if seen is None else seen
-    latest = np.maximum.accumulate(np.append(lowest, ts))
-    return np.where(ts > latest[:-1], 0, np.where(ts == latest[:-1], 1, 2)).astype(np.int8), int(latest[-1])
+    codes = np.full(len(ts), 3, np.int8)
+    timed = ts != NO_TIME
+    own = ts[timed]
+    if not len(own):
+        return codes, seen
+    latest = np.maximum.accumulate(np.append(NO_TIME if seen is None else seen, own))
+    codes[timed] = np.where(own > latest[:-1], 0, np.where(own == latest[:-1], 1, 2))
+    return codes, int(latest[-1])
+
+
+#: What an absent time becomes as a number.
+NO_TIME = np.iinfo(np.int64).min
 
 
 def micros(ts: pd.Series) -> np.ndarray:
-    """Microseconds since the epoch."""
+    """Microseconds since the epoch, NO_TIME where there is none."""
     return ts.to_numpy("datetime64[us]").astype(np.int64)
 
 

@@ -29,10 +29,10 @@ def tick_stream(spark: SparkSession, folder: str, pattern: str = "events*.parque
 
 BARS = (
     "symbol string, bar_start timestamp, bar_end timestamp, open double, high double, low double, close double, volume double, "
-    "n_ticks long, n_accepted long, n_duplicates long, n_out_of_order long"
+    "n_ticks long, n_accepted long, n_duplicates long, n_out_of_order long, n_untimed long"
 )
 #: The open bar of a symbol: where it starts, its ticks, and what the gate has counted.
-HELD = "seen long, bucket long, open double, high double, low double, close double, volume double, n_ticks long, accepted long, duplicates long, out_of_order long"
+HELD = "seen long, bucket long, open double, high double, low double, close double, volume double, n_ticks long, accepted long, duplicates long, out_of_order long, untimed long"
 
 
 class Bars(StatefulProcessor):
@@ -46,7 +46,7 @@ class Bars(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         batch = in_order(rows)
-        seen, *bar, accepted, duplicates, late = self.held.get() if self.held.exists() else (None, None, *[None] * 5, 0, 0, 0, 0)
+        seen, *bar, _, _, _, _ = before = self.held.get() if self.held.exists() else (None, None, *[None] * 5, 0, 0, 0, 0, 0)
         codes, seen = judged(micros(batch.ts), seen)
         good = batch[codes == 0]
         bucket = micros(good.ts) // self.width * self.width
@@ -63,7 +63,10 @@ class Bars(StatefulProcessor):
         elif bar[0] is not None:
             parts = pd.concat([pd.DataFrame([bar], columns=parts.columns), parts], ignore_index=True)
         # the counters of a bar are those at the end of the batch that closed it
-        counts = (accepted + int((codes == 0).sum()), duplicates + int((codes == 1).sum()), late + int((codes == 2).sum()))
+        counts = tuple(n + int((codes == k).sum()) for k, n in enumerate(before[-4:]))
+        if not len(parts):  # no tick with a time yet: only counters are held
+            self.held.update((*before[:-4], *counts))
+            return
         last = parts.iloc[-1]
         self.held.update((seen, int(last.bucket), *map(float, last[1:6]), int(last.n_ticks), *counts))
         done = parts.iloc[:-1]
@@ -71,7 +74,7 @@ class Bars(StatefulProcessor):
             {
                 "symbol": key[0], "bar_start": pd.to_datetime(done.bucket, unit="us"), "bar_end": pd.to_datetime(done.bucket + self.width, unit="us"),
                 **{c: done[c] for c in ("open", "high", "low", "close", "volume", "n_ticks")},
-                "n_accepted": counts[0], "n_duplicates": counts[1], "n_out_of_order": counts[2],
+                "n_accepted": counts[0], "n_duplicates": counts[1], "n_out_of_order": counts[2], "n_untimed": counts[3],
             }
         )
 
@@ -84,7 +87,7 @@ def bars_stream(ticks: DataFrame, seconds: int = 3600) -> DataFrame:
 
     Ticks are judged and gathered in one state per symbol, so that a slow symbol loses
     nothing to the clock of a fast one: late and repeated ticks are refused by their
-    own symbol's latest tick alone, and counted.
+    own symbol's latest tick alone, and counted, as are ticks without a time.
     """
     ship_package()
     return ticks.groupBy("symbol").transformWithStateInPandas(
@@ -117,7 +120,10 @@ def _run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def open_bars(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The open bar of each symbol with the gate's counters, read from the state of a stopped stream: its flush."""
+    """The open bar of each symbol with the gate's counters, read from the state of a stopped stream: its flush.
+
+    A symbol that sent no tick with a time has no bar, only counters.
+    """
     held = spark.read.format("statestore").option("stateVarName", "held").load(checkpoint).select("key.*", "value.*")
     return held.select(
         F.col(held.columns[0]).alias("symbol"),
@@ -131,4 +137,5 @@ def open_bars(spark: SparkSession, checkpoint: str) -> DataFrame:
         F.col("accepted").alias("n_accepted"),
         F.col("duplicates").alias("n_duplicates"),
         F.col("out_of_order").alias("n_out_of_order"),
+        F.col("untimed").alias("n_untimed"),
     )
