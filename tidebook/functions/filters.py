@@ -10,6 +10,7 @@ from tidebook.functions.special import beta_inc, digamma, gamma_inc, lgamma, t_l
 
 DISCOUNTS = (0.9, 0.95, 0.975, 0.99, 1.0)
 FORGETTING, LOG_FLOOR = 0.98, -46.0
+LEAST_RATE = 1e-18
 RELIABILITY_FORGETTING = 0.99
 
 
@@ -18,7 +19,7 @@ def _softmax(logs: np.ndarray) -> np.ndarray:
     return w / w.sum()
 
 
-def _reweight(logs: np.ndarray, gain: np.ndarray, forgetting: float) -> np.ndarray:
+def reweight(logs: np.ndarray, gain: np.ndarray, forgetting: float) -> np.ndarray:
     """Discounts log weights, adds the gain, normalises, floors and normalises again."""
     moved = forgetting * logs + gain
     moved = moved - moved.max()
@@ -43,20 +44,20 @@ class VarianceFilter:
     def posterior(self, evolved: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Shapes and rates of the grid, as of now or one step on."""
         d = np.array(DISCOUNTS) if evolved else 1.0
-        return self.a0 + d * self.s / 2, np.maximum(self.b0 + d * self.q / 2, 1e-18)
+        return self.a0 + d * self.s / 2, np.maximum(self.b0 + d * self.q / 2, LEAST_RATE)
 
     def observe(self, value: float | None, weight: float = 1.0) -> VarianceFilter:
         """Absorbs one return; a missing one only ages the evidence."""
         d = np.array(DISCOUNTS)
         if value is None or not np.isfinite(value):
             self.s, self.q = d * self.s, d * self.q
-            self.logs = _reweight(self.logs, np.zeros(len(d)), FORGETTING)
+            self.logs = reweight(self.logs, np.zeros(len(d)), FORGETTING)
             self.n_skipped += 1
             return self
         z = (value - self.mu) ** 2
         a, b = self.posterior(evolved=True)
         gain = a * np.log(b) + lgamma(a + weight / 2) - lgamma(a) - (a + weight / 2) * np.log(b + weight * z / 2)
-        self.logs = _reweight(self.logs, gain, FORGETTING)
+        self.logs = reweight(self.logs, gain, FORGETTING)
         self.s, self.q = d * self.s + weight, d * self.q + weight * z
         self.n_seen += 1
         return self

@@ -7,9 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.functions.filters import Book
 from tidebook.functions.market import unrealised_pnl
-from tidebook.operators.folds import fold
+from tidebook.operators import scans
 
 QUANTITY_TOLERANCE, PRICE_TOLERANCE, MAX_AGE_SECONDS = 0.0, 1e-4, 300
 MAX_TORN, EQUITY_TOLERANCE = 1, 0.01
@@ -121,17 +120,16 @@ def cancel_orders(receipts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def rebuild_positions(entries: DataFrame) -> DataFrame:
-    """Quantity and average price per symbol after all fills in order: a fold, as averages depend on the path."""
-    rows = entries.where("event = 'bar' AND filled > 0 AND fill_price IS NOT NULL").select("symbol", "as_of", "order_id", "action", "filled", "fill_price", "fees")
-
-    def step(book: Book, x) -> list[tuple]:
-        book.apply(x.symbol, x.action, x.filled, x.fill_price, x.fees)
-        return []
-
-    def finish(book: Book) -> list[tuple]:
-        return [(s, q, a) for s, (q, a) in book.positions.items()]
-
-    return fold(rows, "symbol", ["as_of", "order_id"], lambda _: Book(0.0), step, "symbol string, quantity double, average_price double", finish)
+    """Quantity and average price per symbol after all fills in order; averages depend on the path, which is composed over chunks."""
+    rows = entries.where("event = 'bar' AND filled > 0 AND fill_price IS NOT NULL").select(
+        "symbol",
+        "as_of",
+        "order_id",
+        F.when(F.col("action") == "buy", F.col("filled")).otherwise(-F.col("filled")).alias("delta"),
+        F.col("fill_price").alias("price"),
+    )
+    # a stamp's first ten characters are its day
+    return scans.position_scan(rows, ["as_of", "order_id"], F.substring(F.col("as_of").cast("string"), 1, 10))
 
 
 def rebuilt_equity(entries: DataFrame, opening: float) -> DataFrame:

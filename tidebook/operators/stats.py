@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import filters
 from tidebook.functions.market import ANNUALISER
-from tidebook.operators.folds import fold
+from tidebook.operators import scans
 from tidebook.runtime import ship_package
 
 
@@ -184,46 +184,17 @@ def regime_scalars(returns: DataFrame, strength: float = 250.0) -> DataFrame:
     )
 
 
-def _fold(make, readout, schema: str, returns: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """Runs a kernel over each symbol's returns in time order."""
-    rows = returns.select("symbol", "timestamp", "r")
-    if extra is not None:
-        rows = rows.join(extra, "symbol")
-
-    def step(state, row) -> list[tuple]:
-        state.observe(None if pd.isna(row.r) else float(row.r))
-        return [(row.symbol, row.timestamp, *readout(state))]
-
-    return fold(rows, "symbol", ["timestamp"], make, step, schema)
-
-
 def variance_filter(returns: DataFrame, scale: float = 0.02, horizon: int = 5) -> DataFrame:
-    """Readouts of the discounted variance filter after each bar, and of its predictive over `horizon` bars; null returns age the evidence."""
-
-    def readout(f: filters.VarianceFilter) -> tuple:
-        inflation = f.predictive(horizon)[1]
-        return (
-            f.noise_variance(), f.uncertainty(), f.effective_n(), f.expected_discount(), f.entropy(), f.n_seen, f.n_skipped,
-            f.plugin_variance(horizon), inflation, f.realised_mean(horizon), f.predictive_df(),
-        )
-
-    schema = (
-        "symbol string, timestamp timestamp_ntz, noise_variance double, uncertainty double, effective_n double, expected_discount double, entropy double, "
-        "n_seen long, n_skipped long, plugin_variance double, inflation double, realised_variance double, predictive_df double"
-    )
-    return _fold(lambda _: filters.VarianceFilter(b0=scale**2), readout, schema, returns)
+    """Readouts of the discounted variance filter after each bar, and of its predictive over `horizon` bars; null returns age the evidence.
 
+    A symbol is cut in chunks that are filtered side by side.
+    """
+    return scans.variance_scan(returns, filters.VarianceFilter.a0, scale**2, horizon)
 
-def regime_filter(returns: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Belief over bullish, bearish and neutral after each bar, and the running log likelihood."""
 
-    def make(row) -> filters.RegimeFilter:
-        return filters.RegimeFilter(
-            filters.RegimeParameters(row.centre, row.drift_spread, row.persistence, row.mean_variance, row.dispersion, int(row.n_rows))
-        )
-
-    schema = "symbol string, timestamp timestamp_ntz, p_bullish double, p_bearish double, p_neutral double, log_likelihood double"
-    return _fold(make, lambda f: (*map(float, f.belief), f.log_likelihood), schema, returns, scalars)
+def regime_filter(returns: DataFrame, scalars: DataFrame) -> DataFrame:
+    """Belief over bullish, bearish and neutral after each bar, and the running log likelihood, over chunks of each symbol."""
+    return scans.regime_scan(returns, scalars)
 
 
 def exposure(positions: DataFrame) -> DataFrame:
