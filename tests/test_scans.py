@@ -116,3 +116,39 @@ def test_positions_equal_the_fold(spark):
     assert {r.symbol for r in books.rebuild_positions(entries).collect()} == set(want)
     assert books.rebuild_positions(entries.limit(0)).count() == 0
     assert "Python" not in books.rebuild_positions(entries)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("longest,forgetting", [(None, 1.0), (60, 1.0), (None, 0.97), (60, 0.97), (47, 0.9)])
+def test_wide_walk_equals_fits_one_by_one(spark, longest, forgetting):
+    """Any number of columns, windows that do and do not end with a refit, and chunks of few refits."""
+    from tidebook.operators.stats import solve_posterior
+    from tidebook.operators.walk_forward import WalkForward, discounted_sums, regression_walk_wide
+
+    rng = np.random.default_rng(9)
+    n, names = 150, ["x0", "x1", "x2", "x3"]
+    values = rng.normal(0, 1, (n, 4))
+    y = values @ [0.5, -0.3, 0.2, 0.0] + rng.normal(0, 0.1, n)
+    rows = [("a", k, *map(float, values[k]), float(y[k])) for k in range(n)] + [("short", k, 1.0, 2.0, 3.0, 4.0, 5.0) for k in range(20)]
+    df = spark.createDataFrame(rows, "symbol string, day int, x0 double, x1 double, x2 double, x3 double, y double").withColumn(
+        "timestamp", (F.lit("2020-01-01").cast("date") + F.col("day")).cast("timestamp_ntz")
+    )
+    config = WalkForward(initial_train=40, refit_every=7, horizon=3, max_train=longest)
+    out = {r.day: r for r in regression_walk_wide(df, names, "y", config, forgetting).collect()}
+    assert sorted(out) == list(range(config.first - 1, n))
+    small = discounted_sums(scans.placed(df, ["timestamp"], F.lit("")), names, "y", config, forgetting, periods=3)
+    told = {r.train_end: r for r in small.where("symbol = 'a'").collect()}
+    for day, r in out.items():
+        end = 40 + (day + 1 - config.first) // 7 * 7
+        start = 0 if longest is None else max(0, end - longest)
+        w = forgetting ** np.arange(end - start - 1, -1, -1)
+        x, t = values[start:end], y[start:end]
+        sums = {"n": end - start, "weight": w.sum(), "yy": (w * t * t).sum()}
+        sums |= {f"xy_{i}": (w * x[:, i] * t).sum() for i in range(4)}
+        sums |= {f"xx_{i}_{j}": (w * x[:, i] * x[:, j]).sum() for i in range(4) for j in range(i, 4)}
+        for c, v in sums.items():
+            assert told[end][c] == pytest.approx(v, rel=1e-9, abs=1e-9)
+        fit = solve_posterior(sums, 4)
+        at, inverse = values[day], np.linalg.inv(np.reshape(fit["precision"], (4, 4)))
+        lev = at @ inverse @ at
+        assert (r.train_end, r.train_rows, r.df) == (end, end - start, pytest.approx(2 * fit["shape"]))
+        assert r.loc == pytest.approx(at @ fit["mean"], rel=1e-8) and r.scale == pytest.approx(np.sqrt(fit["rate"] / fit["shape"] * (1 + lev)), rel=1e-7)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,8 @@ from tidebook.functions import account, filters, special
 from tidebook.operators.calibration import assess
 from tidebook.operators.folds import fold
 from tidebook.operators.life_cycle import LEAST_REGIME, Ensemble, log_score
-from tidebook.operators.stats import gram, posterior_two, predictive_two
+from tidebook.operators.scans import decayed, placed
+from tidebook.operators.stats import gram, posterior, posterior_two, predictive_two
 from tidebook.runtime import ship_package
 
 
@@ -67,6 +69,101 @@ def regression_walk(rows: DataFrame, x: str, y: str, config: WalkForward, **prio
     return predictive_two(asked, fitted, x, ["symbol", "train_end"])
 
 
+#: Refit periods whose sums one task adds up.
+PERIODS = 1024
+
+
+def discounted_sums(rows: DataFrame, x: list[str], y: str, config: WalkForward, forgetting: float = 1.0, periods: int = PERIODS) -> DataFrame:
+    """Per symbol and train_end of every refit the sums of `gram` over its training rows, the last of which counts one.
+
+    Rows (symbol, _n, x, y) are summed in segments that end where a training window ends or begins, discounted to the
+    segment's end. Running sums over segments compose by powers of the discount: a
+    chunk of `periods` refits has one summary, summaries give each chunk its start, and a window of at most max_train
+    rows is the difference of two running sums.
+    """
+    if not 0 < forgetting <= 1:
+        raise ValueError("forgetting must lie in (0, 1]")
+    ship_package()
+    step, first, longest = config.refit_every, config.initial_train, config.max_train
+    n = F.col("_n")
+    end = F.greatest(F.lit(first), first + F.ceil((n - first) / step) * step)
+    if longest is not None:
+        end = F.least(end, first - longest + F.ceil((n - first + longest) / step) * step)
+    pairs = list(combinations_with_replacement(range(len(x)), 2))
+    w = F.pow(F.lit(forgetting), F.col("_end") - n)
+    values = [w, w * F.col(y) * F.col(y), *[w * F.col(c) * F.col(y) for c in x], *[w * F.col(x[i]) * F.col(x[j]) for i, j in pairs]]
+    names = ["n", "weight", "yy", *[f"xy_{i}" for i in range(len(x))], *[f"xx_{i}_{j}" for i, j in pairs]]
+    segments = rows.withColumn("_end", end.cast("long")).groupBy("symbol", "_end").agg(
+        F.array(F.count(F.lit(1)).cast("double"), *[F.sum(v) for v in values]).alias("sums")
+    )
+    # counts are never discounted
+    decay = np.array([1.0] + [forgetting] * len(values))
+    span = periods * step
+    chunk = F.floor((F.col("_end") - 1) / span)
+    kept = [F.when(F.lit(k == 0), 1.0).otherwise(F.pow(F.lit(forgetting), (F.col("_chunk") + 1) * span - F.col("_end"))) for k in range(len(decay))]
+    cut = segments.withColumn("_chunk", chunk)
+    summary = cut.groupBy("symbol", "_chunk").agg(F.array(*[F.sum(v * F.col("sums")[k]) for k, v in enumerate(kept)]).alias("whole"))
+
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_chunk")
+        running = decayed(np.stack(pdf["whole"].to_numpy()).astype(float), decay**span, 0.0)
+        before = np.concatenate([np.zeros((1, len(decay))), running[:-1]])
+        return pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "_chunk": pdf["_chunk"].to_numpy(), "start": list(before)})
+
+    def running(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_end")
+        now, at, out = np.array(pdf["start"].iloc[0], float), int(pdf["_chunk"].iloc[0]) * span, []
+        for e, own in zip(pdf["_end"].tolist(), pdf["sums"], strict=True):
+            now, at = decay ** (e - at) * now + own, e
+            out.append(now)
+        return pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "_end": pdf["_end"].to_numpy(), "sums": out})
+
+    begin = summary.groupBy("symbol").applyInPandas(starts, "symbol string, _chunk long, start array<double>")
+    total = cut.join(begin, ["symbol", "_chunk"]).groupBy("symbol", "_chunk").applyInPandas(running, "symbol string, _end long, sums array<double>")
+    fits = total.where((F.col("_end") >= first) & (F.pmod(F.col("_end") - first, F.lit(step)) == 0))
+    sums = [F.col("sums")[k] for k in range(len(names))]
+    if longest is not None:
+        old = total.select("symbol", (F.col("_end") + longest).alias("_end"), F.col("sums").alias("old"))
+        fits = fits.join(old, ["symbol", "_end"], "left")
+        gone = decay**longest
+        sums = [v - F.coalesce(F.col("old")[k], F.lit(0.0)) * float(gone[k]) for k, v in enumerate(sums)]
+    return fits.select("symbol", F.col("_end").alias("train_end"), *[v.cast("long" if c == "n" else "double").alias(c) for c, v in zip(names, sums, strict=True)])
+
+
+def regression_walk_wide(rows: DataFrame, x: list[str], y: str, config: WalkForward, forgetting: float = 1.0, **prior: float) -> DataFrame:
+    """Out-of-sample Student-t predictives of a regression of y on any columns x, refitted on schedule.
+
+    Training rows may be the last max_train, and count `forgetting` to the power of their age.
+    No task meets a whole symbol: rows are numbered by counts, sums come from
+    `discounted_sums`, each fit is one small solve in an Arrow batch, and predictions are expressions.
+    A prediction is of one refit, of whose training none is realised later than it. Rows need symbol, timestamp, x and y.
+    """
+    k = len(x)
+    numbered = placed(rows, ["timestamp"], F.date_trunc("month", "timestamp")).drop("_chunk")
+    sums = discounted_sums(numbered, x, y, config, forgetting)
+    fitted = posterior(sums, k, ["symbol", "train_end"], **prior)
+
+    def inverted(batches):
+        for b in batches:
+            p = np.stack(b["precision"].to_numpy()).reshape(-1, k, k) if len(b) else np.zeros((0, k, k))
+            yield b.drop(columns="precision").assign(inverse=list(np.linalg.inv(p).reshape(-1, k * k)))
+
+    fits = fitted.mapInPandas(inverted, "symbol string, train_end long, n long, mean array<double>, shape double, rate double, inverse array<double>")
+    epoch = F.floor((F.col("_n") - config.first) / config.refit_every)
+    asked = numbered.where(F.col("_n") >= config.first).withColumn("train_end", config.initial_train + epoch * config.refit_every)
+    at = [F.col(c) for c in x]
+    loc = reduce(lambda a, b: a + b, [v * F.col("mean")[i] for i, v in enumerate(at)])
+    leverage = reduce(lambda a, b: a + b, [at[i] * at[j] * F.col("inverse")[i * k + j] for i in range(k) for j in range(k)])
+    out = asked.join(fits, ["symbol", "train_end"]).withColumn("_lev", leverage)
+    df = 2 * F.col("shape")
+    scale = F.sqrt(F.col("rate") / F.col("shape") * (1 + F.col("_lev")))
+    spread = F.when(df > 2, scale * scale * df / (df - 2)) * F.col("_lev") / (1 + F.col("_lev"))
+    return out.select(
+        *rows.columns, "train_end", F.col("n").alias("train_rows"), df.alias("df"), loc.alias("loc"), scale.alias("scale"),
+        spread.alias("epistemic_variance"),
+    )
+
+
 def scored(predictions: DataFrame, y: str) -> DataFrame:
     """Adds outcome, u (PIT), p (probability of a rise), up, logpdf, mean and sd to Student-t predictions."""
     ship_package()

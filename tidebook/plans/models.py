@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidebook.functions import features as f
 from tidebook.functions import filters
 from tidebook.operators import calibration, series, stats
-from tidebook.operators.walk_forward import WalkForward, regression_walk, replay, scored
+from tidebook.operators.walk_forward import WalkForward, regression_walk, regression_walk_wide, replay, scored
 from tidebook.plans.features import BASE, LABELS, W, sql_of
 from tidebook.plans.registry import HOURLY, TICKS, query, r, rounded, t_cdf, t_logpdf
 from tidebook.sources import tables
@@ -125,6 +125,51 @@ def blr_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.withColumn("epistemic_variance", F.round(F.col("e").cast("double"), 8) + F.lit(0.0)).drop("e")
 
 
+#: Three columns, the last 400 rows at most, each row discounted by its age.
+WIDE = WalkForward(initial_train=250, refit_every=20, horizon=5, max_train=400)
+WIDE_FORGETTING = 0.99
+
+
+def _wide_sql() -> str:
+    """The same refits by a join of rows with the windows that hold them, and a 3 x 3 inverse by cofactors."""
+    names = dict(zip("abc", FEATURES, strict=True))
+    pairs = ["aa", "ab", "ac", "bb", "bc", "cc"]
+    sums = ", ".join([f"sum(w * {p[0]} * {p[1]}) AS {p}" for p in pairs] + [f"sum(w * {c} * y) AS y{c}" for c in "abc"])
+    lam = {p: f"({p} + 1)" if p[0] == p[1] else p for p in pairs}
+    co = {
+        "aa": "{bb} * {cc} - {bc} * {bc}", "ab": "{ac} * {bc} - {ab} * {cc}", "ac": "{ab} * {bc} - {ac} * {bb}",
+        "bb": "{aa} * {cc} - {ac} * {ac}", "bc": "{ab} * {ac} - {aa} * {bc}", "cc": "{aa} * {bb} - {ab} * {ab}",
+    }
+    co = {k: v.format(**lam) for k, v in co.items()}
+    det = f"({lam['aa']} * ({co['aa']}) + ab * ({co['ab']}) + ac * ({co['ac']}))"
+    inv = lambda i, j: f"i{min(i, j)}{max(i, j)}"
+    mean = ", ".join(f"{' + '.join(f'{inv(i, j)} * y{j}' for j in 'abc')} AS m{i}" for i in "abc")
+    lev = " + ".join(f"{inv(i, j)} * t.{i} * t.{j}" for i in "abc" for j in "abc")
+    return f"""{TRAIN}, d AS (SELECT symbol, timestamp, {", ".join(f"{c} AS {k}" for k, c in names.items())}, forward_log_return AS y,
+            row_number() OVER (PARTITION BY symbol ORDER BY timestamp) AS i FROM t),
+        q AS (SELECT *, (250 + floor((i - 256) / 20) * 20)::BIGINT AS e FROM d WHERE i >= 256),
+        g AS (SELECT f.symbol, f.e, count(*) AS n, sum(w) AS weight, sum(w * y * y) AS yy, {sums}
+              FROM (SELECT f.symbol, f.e, {", ".join(f"d.{c}" for c in "abc")}, d.y, 0.99 ** (f.e - d.i) AS w
+                    FROM (SELECT DISTINCT symbol, e FROM q) f JOIN d ON d.symbol = f.symbol AND d.i <= f.e AND d.i > f.e - 400) f GROUP BY 1, 2),
+        v AS (SELECT *, {", ".join(f"({c}) / {det} AS i{k}" for k, c in co.items())} FROM g),
+        m AS (SELECT *, {mean} FROM v),
+        o AS (SELECT *, 2 + weight / 2 AS shape, greatest(0.0004 + 0.5 * (yy - ma * ya - mb * yb - mc * yc), 1e-12) AS rate FROM m),
+        p AS (SELECT t.symbol, t.timestamp, o.e AS train_end, o.n AS train_rows, 2 * shape AS df, ma * t.a + mb * t.b + mc * t.c AS loc, {lev} AS lev, rate, shape
+              FROM q t JOIN o ON o.symbol = t.symbol AND o.e = t.e)
+        SELECT symbol, timestamp, train_end, train_rows, {r("df", "df")}, {r("loc", "loc")}, {r("sqrt(rate / shape * (1 + lev))", "scale")},
+            round(rate / shape * (1 + lev) * df / (df - 2) * lev / (1 + lev), 8) + 0.0 AS epistemic_variance FROM p"""
+
+
+@query("blr_walk_forward_wide", _wide_sql())
+def blr_walk_forward_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walk-forward on three features with a training window and forgetting."""
+    rows = training(spark, sf_dir).select("symbol", "timestamp", *FEATURES, Y)
+    out = regression_walk_wide(rows, list(FEATURES), Y, WIDE, WIDE_FORGETTING)
+    spread = F.col("epistemic_variance").cast("string").alias("e")
+    wide = rounded(out.select("symbol", "timestamp", "train_end", "train_rows", "df", "loc", "scale", spread))
+    return wide.withColumn("epistemic_variance", F.round(F.col("e").cast("double"), 8) + F.lit(0.0)).drop("e")
+
+
 @query(
     "walk_forward_report",
     f"""{WALK}, sc AS (SELECT symbol, timestamp, y AS outcome, loc AS mean, scale * sqrt(df / (df - 2)) AS sd, {t_cdf("((y - loc) / scale)", "df")} AS u,
