@@ -21,6 +21,7 @@ Candidates are verified on the shingles of their whole texts.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,9 +32,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidebook.llm.common import durable, join_counted, read_table, releasing, stored
+from tidebook.llm.common import durable, join_counted, read_table, releasing
 from tidebook.llm.components import connected_components
-from tidebook.runtime import ship_package
+from tidebook.runtime import discard, shared_dir, ship_package
 
 WIDTH, PER_CENT = 3, 90
 MOST_MATCHES = 4
@@ -314,6 +315,21 @@ def _candidates(met: DataFrame, per_cent: int) -> DataFrame:
     )
 
 
+class Scratch:
+    """Tables of one run in a folder of their own that all executors share; what is not needed any more goes at once."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            discard(self.spark, f"{self.folder}/{name}")
+
+
 _CARRIED = ("d", "n", "pos", "asked")
 
 
@@ -324,21 +340,23 @@ def _star(hits: DataFrame, per_cent: int) -> DataFrame:
     return _candidates(met.where("a.d <> b.d"), per_cent)
 
 
-def _others(hits: DataFrame, labels: DataFrame, per_cent: int, block_rows: int) -> DataFrame:
+def _others(hits: DataFrame, labels: DataFrame, per_cent: int, block_rows: int, scratch: Scratch) -> DataFrame:
     """Candidates between sets of different components."""
-    named = durable(
+    named = scratch.put(
+        "named",
         hits.join(labels.select(F.col("node").alias("d"), "component"), "d", "left").withColumn(
             "component", F.coalesce("component", "d")
-        )
+        ),
     )
     open_ = named.groupBy("token").agg(
         F.count(F.lit(1)).alias("n"), F.min("component").alias("first"), F.max("component").alias("last")
     ).where("first <> last")
     parts = F.ceil(F.col("n") / block_rows).cast("int")
-    rows = durable(
+    rows = scratch.put(
+        "open",
         join_counted(named, open_.select("token", "n", parts.alias("parts")), "token").select(
             "token", "parts", F.struct(*_CARRIED, "component").alias("row")
-        )
+        ),
     )
     own = F.pmod(F.xxhash64("row.d"), F.col("parts")).cast("int")
     one = rows.select("token", own.alias("block"), F.col("row").alias("a"))
@@ -347,7 +365,7 @@ def _others(hits: DataFrame, labels: DataFrame, per_cent: int, block_rows: int)
     return _candidates(met, per_cent)
 
 
-def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
+def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int, per_cent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs whose whole texts link."""
 
     @F.arrow_udf("boolean")
@@ -362,10 +380,10 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int,
             out.append(100 * common >= per_cent * (len(a) + len(b) - common))
         return pa.array(out, pa.bool_())
 
-    pairs = stored(pairs)
+    pairs = scratch.put(f"{name}-pairs", pairs)
     ids = pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct()
-    wanted = stored(ids.join(members.select("d", "tkey"), "d"))
-    texts = stored(docs.join(wanted, "tkey").select("d", "text").dropDuplicates(["d"]))
+    wanted = scratch.put(f"{name}-wanted", ids.join(members.select("d", "tkey"), "d"))
+    texts = scratch.put(f"{name}-texts", docs.join(wanted, "tkey").select("d", "text").dropDuplicates(["d"]))
     # a set with many candidates has its text on several tasks
     shares = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
     shares = durable(shares)
@@ -374,7 +392,9 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int,
         "a", "one", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     )
     held = dealt.join(texts.withColumnsRenamed({"d": "b", "text": "other"}), "b").join(copies, ["a", "part"])
-    return durable(held.where(linked("one", "other")).select("a", "b"))
+    found = durable(held.where(linked("one", "other")).select("a", "b"))
+    scratch.drop(f"{name}-pairs", f"{name}-wanted", f"{name}-texts")
+    return found
 
 
 def _similar_sets(
@@ -384,22 +404,25 @@ def _similar_sets(
     ship_package(spark)
     body = F.coalesce("text", F.lit("")).cast("binary")
     read = docs.select("doc_id", body.alias("text"), F.md5(body).alias("tkey"))
-    survey = stored(_survey(read, width))
+    scratch = Scratch(spark)
+    survey = scratch.put("survey", _survey(read, width))
     slim = survey.where("n is not null").select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, _set_id()).alias("d"))
-    members = stored(
+    members = scratch.put(
+        "members",
         slim.where("d is not null").groupBy("d").agg(
             F.min("doc_id").alias("least"), F.min("tkey").alias("tkey"), F.count(F.lit(1)).alias("n")
-        )
+        ),
     )
     classes, mean = _classes(survey)
     held = spark.sparkContext.broadcast(classes)
-    postings = stored(_postings(read.select("text"), held, mean, width, per_cent, most_matches))
+    postings = scratch.put("postings", _postings(read.select("text"), held, mean, width, per_cent, most_matches))
     # one half of a set's digest tells lists of one set from others, but once in 2^64
     shared = postings.groupBy("token").agg(
         F.count(F.lit(1)).alias("rows"), F.min("hi").alias("first"), F.max("hi").alias("last")
     ).where("first <> last")
     fact = F.col("fact")
-    hits = stored(
+    hits = scratch.put(
+        "hits",
         join_counted(postings, shared.select("token", "rows"), "token", "rows")
         .select(
             "token",
@@ -408,12 +431,14 @@ def _similar_sets(
             F.shiftright(fact, 4).bitwiseAND(F.lit((1 << 28) - 1)).cast("int").alias("pos"),
             fact.bitwiseAND(F.lit(15)).cast("int").alias("asked"),
         )
-        .dropDuplicates(["token", "d"])
+        .dropDuplicates(["token", "d"]),
     )
+    scratch.drop("postings")
     texts = read.select("tkey", "text")
-    near = _verified(_star(hits, per_cent), members, texts, width, per_cent)
+    near = _verified(_star(hits, per_cent), members, texts, width, per_cent, scratch, "near")
     labels = connected_components(near)
-    rest = _verified(_others(hits, labels, per_cent, block_rows), members, texts, width, per_cent)
+    rest = _verified(_others(hits, labels, per_cent, block_rows, scratch), members, texts, width, per_cent, scratch, "rest")
+    scratch.drop("hits", "named", "open")
     # what is new joins components, so the smaller graph of their labels is enough
     named = labels.withColumnRenamed("node", "d")
     links = rest
