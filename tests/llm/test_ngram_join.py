@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,14 @@ def test_a_third_of_all_rows_in_one_group(spark):
     out = {r.doc_id: r.component_id for r in similar_sets(spark.createDataFrame(rows, DOCS)).collect()}
     assert len(out) == 1600 and {out[k + 10] for k in range(400)} == {10} and {out[1000 + k] for k in range(400)} == {10}
     assert all(out[5000 + k] == 5000 + k for k in range(800))
+
+
+def test_the_bound_is_never_below_what_sets_share():
+    rng = random.Random(8)
+    sets = [shingle_hashes(" ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 400))).encode()) for _ in range(60)]
+    spreads = [np.bincount((h >> np.uint64(56)).astype(int), minlength=256).astype(np.uint8).tobytes() for h in sets]
+    pairs = [(i, j) for i in range(60) for j in range(60)]
+    one, other = (pa.array([None if p[k] == 7 else spreads[p[k]] for p in pairs], pa.binary()) for k in (0, 1))
+    for (i, j), most in zip(pairs, ngram_join.most_in_common(one, other).to_pylist(), strict=True):
+        assert (most is None) == (7 in (i, j))
+        assert most is None or most >= len(set(sets[i].tolist()) & set(sets[j].tolist()))

@@ -15,7 +15,8 @@ them. Candidates meet in two rounds. In the first every set of a posting list fa
 list's smallest set, so a group of near copies costs as many pairs as it has members; components
 follow. The second joins the lists of all shingles that still hold more than one component, and leaves
 out pairs within one, which can add no link that matters. Long lists are joined in blocks.
-Candidates are verified on the shingles of their whole texts.
+Candidates whose sets differ too much in 256 classes of hashes, which bounds what they share, go; the others are verified
+on the shingles of their whole texts.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from tidebook.llm.common import durable, join_counted, read_table, releasing
 from tidebook.llm.components import connected_components
@@ -185,11 +187,15 @@ def _class_of(counts: np.ndarray) -> np.ndarray:
 
 
 def _survey(docs: DataFrame, width: int) -> DataFrame:
-    """Per document: doc_id, tkey (of its text), n, hi, lo (of its set); and rows of counters: bucket, count."""
+    """Per document: doc_id, tkey (of its text), n, hi, lo and spread (of its set); and rows of counters: bucket, count.
+
+    spread counts a set's shingles in 256 classes of their hash, a byte each; it is null where one has more than 255.
+    """
     kind = docs.schema["doc_id"].dataType
     schema = StructType(
         [StructField("doc_id", kind), StructField("tkey", StringType())]
         + [StructField(c, LongType()) for c in ("n", "hi", "lo", "bucket", "count")]
+        + [StructField("spread", BinaryType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,24 +203,26 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
 
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            n, digests, buckets = [], [], []
+            n, digests, buckets, spreads = [], [], [], []
             for h in shingles_of(batch.column("text").to_pylist(), width):
                 n.append(len(h))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 buckets.append(h >> np.uint64(64 - SKETCH_BITS))
+                spread = np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256)
+                spreads.append(spread.astype(np.uint8).tobytes() if spread.max() < 256 else None)
             if not n:
                 continue
             counts += np.bincount(np.concatenate(buckets).astype(np.int64), minlength=len(counts))
             both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             nothing = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tkey"), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), nothing, nothing],
+                [batch.column("doc_id"), batch.column("tkey"), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), nothing, nothing, pa.array(spreads, pa.binary())],
                 names=schema.names,
             )
         used = np.flatnonzero(counts)
         nothing = pa.nulls(len(used), pa.int64())
         ids, keys = (pa.nulls(len(used), t) for t in (_arrow(kind), pa.string()))
-        yield pa.RecordBatch.from_arrays([ids, keys, nothing, nothing, nothing, pa.array(used), pa.array(counts[used])], names=schema.names)
+        yield pa.RecordBatch.from_arrays([ids, keys, nothing, nothing, nothing, pa.array(used), pa.array(counts[used]), pa.nulls(len(used), pa.binary())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -365,6 +373,15 @@ def _others(hits: DataFrame, labels: DataFrame, per_cent: int, block_rows: int,
     return _candidates(met, per_cent)
 
 
+def most_in_common(one: pa.Array, other: pa.Array) -> pa.Array:
+    """An upper bound of the shingles that two sets share, from their spreads; null where one is null."""
+    known = pc.and_(pc.is_valid(one), pc.is_valid(other))
+    a, b = (np.frombuffer(b"".join(x.filter(known).to_pylist()), np.uint8).reshape(-1, 256) for x in (one, other))
+    out = np.zeros(len(one), np.int64)
+    out[known.to_numpy(zero_copy_only=False)] = np.minimum(a, b).sum(1, dtype=np.int64)
+    return pc.if_else(known, pa.array(out), pa.nulls(len(one), pa.int64()))
+
+
 def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int, per_cent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs whose whole texts link."""
 
@@ -380,7 +397,17 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int,
             out.append(100 * common >= per_cent * (len(a) + len(b) - common))
         return pa.array(out, pa.bool_())
 
-    pairs = scratch.put(f"{name}-pairs", pairs)
+    @F.arrow_udf("long")
+    def most(one: pa.Array, other: pa.Array) -> pa.Array:
+        return most_in_common(one, other)
+
+    # sets have in common at most what their classes have, so most pairs need no texts
+    pairs = scratch.put(f"{name}-met", pairs)
+    facts = members.select("d", F.col("n_shingles").alias("size"), "spread")
+    one = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(facts.withColumnsRenamed({"d": "a", "size": "na", "spread": "sa"}), "a")
+    both = join_counted(pairs, one, "a").join(facts.withColumnsRenamed({"d": "b", "size": "nb", "spread": "sb"}), "b")
+    needed = F.ceil(F.lit(per_cent) * (F.col("na") + F.col("nb")) / (100 + per_cent))
+    pairs = scratch.put(f"{name}-pairs", both.where(F.coalesce(most("sa", "sb") >= needed, F.lit(True))).select("a", "b"))
     ids = pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct()
     wanted = scratch.put(f"{name}-wanted", ids.join(members.select("d", "tkey"), "d"))
     texts = scratch.put(f"{name}-texts", docs.join(wanted, "tkey").select("d", "text").dropDuplicates(["d"]))
@@ -393,7 +420,7 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int,
     )
     held = dealt.join(texts.withColumnsRenamed({"d": "b", "text": "other"}), "b").join(copies, ["a", "part"])
     found = durable(held.where(linked("one", "other")).select("a", "b"))
-    scratch.drop(f"{name}-pairs", f"{name}-wanted", f"{name}-texts")
+    scratch.drop(f"{name}-met", f"{name}-pairs", f"{name}-wanted", f"{name}-texts")
     return found
 
 
@@ -406,11 +433,12 @@ def _similar_sets(
     read = docs.select("doc_id", body.alias("text"), F.md5(body).alias("tkey"))
     scratch = Scratch(spark)
     survey = scratch.put("survey", _survey(read, width))
-    slim = survey.where("n is not null").select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, _set_id()).alias("d"))
+    slim = survey.where("n is not null").select("doc_id", "tkey", F.col("n").alias("n_shingles"), "spread", F.when(F.col("n") > 0, _set_id()).alias("d"))
     members = scratch.put(
         "members",
         slim.where("d is not null").groupBy("d").agg(
-            F.min("doc_id").alias("least"), F.min("tkey").alias("tkey"), F.count(F.lit(1)).alias("n")
+            F.min("doc_id").alias("least"), F.min("tkey").alias("tkey"), F.count(F.lit(1)).alias("n"),
+            F.min("n_shingles").alias("n_shingles"), F.min("spread").alias("spread"),
         ),
     )
     classes, mean = _classes(survey)
