@@ -6,10 +6,13 @@ import sys
 from pathlib import Path
 
 import pandas as pd
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from tidebook.sources import tables
-from tidebook.streaming import gate, ohlcv, session
+from tidebook.operators import books
+from tidebook.sources import journal, tables
+from tidebook.streaming import gate, ohlcv, session, silence
 
 
 def test_session_stream_equals_batch_over_a_restart(spark, sf, tmp_path):
@@ -119,3 +122,90 @@ print("rows", spark.read.parquet("out").count())
 def test_staleness(spark):
     rows = spark.createDataFrame([("a", "2024-01-01 00:00:00")], "symbol string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert gate.staleness(rows, "2024-01-01 00:05:00", 60).first().stale is True
+
+
+def feed(rows, spark):
+    return spark.createDataFrame(rows, "symbol string, ms long, event_id long").select("symbol", F.timestamp_millis("ms").alias("ts"), "event_id")
+
+
+def test_a_feed_that_falls_silent_is_told_by_the_clock(spark, tmp_path):
+    """No tick of its own is needed; one tick past the allowed age, not at it; a feed that never ticks counts from when it was asked for."""
+    asked = spark.createDataFrame([("never", 0), ("late", 0), ("a", 0)], "symbol string, ms long").select("symbol", F.timestamp_millis("ms").alias("since"))
+    parts = [
+        [("a", 1000, 1), ("b", 5000, 2), ("clock", 11000, 3)],
+        [("clock", 11001, 4), ("b", 9000, 5)],  # b's tick is behind the clock of the batch before
+        [("clock", 11002, 6), ("b", 12000, 7), ("late", 12000, 8), ("b", None, 9)],
+        [("a", 20000, 10), ("b", 40000, 11), ("b", 40000, 12), ("b", 39000, 13), ("a", 20500, 14), ("clock", 25000, 15)],
+    ]
+    told = []
+    for part in parts:
+        feed(part, spark).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ticks = spark.readStream.schema(feed(part, spark).schema).parquet(str(tmp_path / "in"))
+        ohlcv.run_available(silence.silence_stream(ticks, 10, "0 seconds", asked), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        seconds = F.expr("unix_millis(last_tick)"), F.expr("unix_millis(moment)")
+        rows = sorted(((r[0], r[2], r[3], r[1]) for r in spark.read.parquet(str(tmp_path / "out")).select("symbol", "event", *seconds).collect() if r[0] != "never"), key=lambda x: (x[0], x[2]))
+        told.append([r for r in rows if r not in sum(told, [])])
+    assert told == [
+        [("late", None, 10000, "silent")],
+        [("a", 1000, 11000, "silent")],
+        [("late", None, 12000, "resumed")],
+        [
+            ("a", 1000, 20000, "resumed"), ("a", 20500, 30500, "silent"), ("b", 12000, 22000, "silent"), ("b", 12000, 40000, "resumed"),
+            ("clock", 11002, 21002, "silent"), ("clock", 11002, 25000, "resumed"), ("clock", 25000, 35000, "silent"), ("late", 12000, 22000, "silent"),
+        ],
+    ]
+    never = spark.read.parquet(str(tmp_path / "out")).where("symbol = 'never'").collect()
+    assert [(r.event, r.last_tick) for r in never] == [("silent", None)]
+
+
+def test_silences_do_not_depend_on_how_ticks_are_cut_in_batches(spark, tmp_path):
+    rows = [("ab"[k % 7 == 0], 1000 * (k * k % 97 + 40 * k), k) for k in range(60)]
+    got = []
+    for n in (1, 4):
+        for k in range(n):
+            feed(rows[k * 60 // n : (k + 1) * 60 // n], spark).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{n}"))
+            ticks = spark.readStream.schema(feed(rows, spark).schema).parquet(str(tmp_path / f"in{n}"))
+            ohlcv.run_available(silence.silence_stream(ticks, 60, "200 seconds"), str(tmp_path / f"out{n}"), str(tmp_path / f"checkpoint{n}"))
+        got.append(sorted(map(str, spark.read.parquet(str(tmp_path / f"out{n}")).collect())))
+    assert got[0] == got[1] and len(got[0]) > 10
+
+
+def test_a_journal_holds_each_line_once_though_its_stream_is_killed(spark, tmp_path):
+    """Killed after the write of the second batch and before its commit; then one batch cannot be written."""
+    line = lambda k: spark.createDataFrame([("bar", "a", f"2024-01-0{k} 00:00:00", float(k), k)], "event string, symbol string, as_of string, equity double, n int")
+    path = str(tmp_path / "journal")
+
+    def start(sink):
+        stream = spark.readStream.schema(line(1).schema).parquet(str(tmp_path / "in"))
+        run = stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        run.awaitTermination()
+
+    def dying(events, batch_id):
+        journal.StreamJournal(path, order=("n",))(events, batch_id)
+        raise RuntimeError("killed")
+
+    line(1).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    start(journal.StreamJournal(path, order=("n",)))
+    line(2).union(line(3)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(StreamingQueryException):
+        start(dying)
+    start(journal.StreamJournal(path, order=("n",)))
+    entries, torn = journal.read_journal(spark, path)
+    assert torn == 0 and sorted(r.equity for r in entries.collect()) == [1.0, 2.0, 3.0]
+    state = books.journal_state(entries).first()
+    assert (state.entries, state.last_as_of, state.last_equity) == (3, "2024-01-03 00:00:00", 3.0)
+    # a file stands where the third batch would be a folder's parent; the stream lives, and the next batch is written
+    broken, sink = journal.StreamJournal(str(tmp_path / "in-the-way" / "journal")), journal.StreamJournal(path)
+    (tmp_path / "in-the-way").write_text("")
+    line(4).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    start(broken)
+    assert [k for k, _ in broken.problems] == [2] and journal.lost_batches(spark, path) == []
+    line(5).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    start(sink)
+    assert not sink.problems and journal.lost_batches(spark, path) == [2]
+    strict = journal.StreamJournal(broken.path, strict=True)
+    line(6).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(StreamingQueryException):
+        start(strict)
+    start(sink)
+    assert sorted(r.equity for r in journal.read_journal(spark, path)[0].collect()) == [1.0, 2.0, 3.0, 5.0, 6.0]

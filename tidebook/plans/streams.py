@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.plans.registry import TICKS, query, r, rounded
+from tidebook.operators import books
+from tidebook.plans import trading
+from tidebook.plans.registry import ORACLE_SQL, TICKS, query, r, rounded
 from tidebook.runtime import shared_dir
-from tidebook.sources import tables
-from tidebook.streaming import gate, ohlcv, session
+from tidebook.sources import journal, tables
+from tidebook.streaming import gate, ohlcv, session, silence
 
 
 #: Ticks as they arrive: each six times, those of every eleventh event late, and the fourth of every ninth event without a time, in SQL.
@@ -75,6 +77,46 @@ def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("symbol", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+SILENT, BEHIND = 1200, 600
+
+
+@query(
+    "stream_silences",
+    f"""WITH {ARRIVING}, a AS (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY arrival) AS before,
+            lead(ts) OVER (PARTITION BY symbol ORDER BY arrival) AS after FROM j WHERE verdict = 'accepted'),
+        clock AS (SELECT max(epoch_ms(ts)) - {BEHIND} * 1000 AS mark FROM ar),
+        gaps AS (SELECT * FROM a WHERE epoch_us(ts) - epoch_us(before) > {SILENT} * 1000000)
+        SELECT symbol, 'silent' AS event, before AS last_tick, before + INTERVAL {SILENT} SECOND AS moment FROM gaps
+        UNION ALL SELECT symbol, 'resumed', before, ts FROM gaps
+        UNION ALL SELECT symbol, 'silent', ts, ts + INTERVAL {SILENT} SECOND FROM a, clock
+        WHERE after IS NULL AND epoch_us(ts) + {SILENT} * 1000000 < mark * 1000""",
+)
+def stream_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silences of more than twenty minutes between accepted ticks, and those that last when the clock, ten minutes behind, stops."""
+    out, _ = _run(spark, silence.silence_stream(arriving(spark, sf_dir), SILENT, f"{BEHIND} seconds"))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_tick", "moment")})
+
+
+@query("stream_journal", ORACLE_SQL["journal_state"])
+def stream_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of a journal that a stream wrote, every batch of which came twice, as after a crash before its commit."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    lines = trading.journal(spark, sf_dir)
+    lines.repartitionByRange(4, "line").write.parquet(f"{folder}/in")
+    sink = journal.StreamJournal(f"{folder}/journal", order=("line",), strict=True)
+
+    def twice(events: DataFrame, batch_id: int) -> None:
+        sink(events, batch_id)
+        sink(events, batch_id)
+
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    run = stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    entries, _ = journal.read_journal(spark, sink.path)
+    # files come in any order here, so the time of a line says which is the last
+    return books.journal_state(entries.withColumn("line", F.col("as_of")))
+
+
 @query("session_events")
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A paper session over hourly bars: refits, fused predictions, rulings, fills and settlements after five bars; a fold per symbol."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +28,45 @@ class JournalSink:
             self.problems.append(str(e))
 
 
-def append_batch(events: DataFrame, path: str) -> None:
-    """Appends events as JSON lines; `lambda df, _: append_batch(df, path)` is the body of a foreachBatch sink."""
-    events.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
+@dataclass
+class StreamJournal:
+    """The body of a foreachBatch sink: appends the events of a stream as JSON lines, each batch once.
+
+    A batch is a folder named by its number and is written over when the stream repeats it, as it
+    does after a crash between the write and its commit. What fails while a batch is
+    written is remembered with its number, never thrown, and the stream goes on; `lost_batches`
+    finds such batches later, in any process. With `strict` it is thrown as well, so
+    that the stream stops and its next start repeats the batch. A symbol's lines of a batch stand in one
+    file in the order of `order`; without an order they stay as they come.
+    """
+
+    path: str
+    order: tuple[str, ...] = ()
+    strict: bool = False
+    problems: list[tuple[int, str]] = field(default_factory=list)
+
+    def __call__(self, events: DataFrame, batch_id: int) -> None:
+        if self.order:
+            events = events.repartition("symbol").sortWithinPartitions("symbol", *self.order)
+        lines = events.select(F.to_json(F.struct("*")).alias("value"))
+        try:
+            lines.write.mode("overwrite").text(f"{self.path}/batch={batch_id:012d}")
+        except (PySparkException, Py4JJavaError, OSError) as e:
+            self.problems.append((batch_id, str(e).split("\n")[0]))
+            if self.strict:
+                raise
+
+
+def lost_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of batches of a stream's journal that were not written whole, up to the last one that was.
+
+    A whole batch has a marker file, even if it has no lines. This lists folders and reads no lines;
+    batches lost after the last whole one are known to the running sink alone.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "batch=*/_SUCCESS"))
+    whole = {int(f.getPath().getParent().getName().removeprefix("batch=")) for f in found or ()}
+    return [k for k in range(max(whole, default=-1)) if k not in whole]
 
 
 def read_journal(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
