@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidebook.config import RiskLimits
 from tidebook.functions import account
 from tidebook.operators import trading
-from tidebook.streaming import session
+from tidebook.streaming import ohlcv, session
 
 LIMITS = RiskLimits(min_probability_positive=0.52, min_daily_turnover=1e6, max_annualised_volatility=2.0)
 
@@ -114,3 +114,25 @@ def test_scalar_rulings_equal_the_column_forms(spark):
         assert r.target_weight == pytest.approx(r.want_target, abs=1e-9) and r.approved_weight == pytest.approx(r.want_approved, abs=1e-9)
         assert ",".join(c["name"] for c in r.checks if c["status"] == "fail") == r.want_failed
     assert len({r.action for r in got}) == 3 and len({r.want_failed for r in got}) > 4 and any(r.approved_weight > 0 for r in got)
+
+
+def test_a_batch_writes_what_it_changed(spark, tmp_path):
+    """Six batches with refits in them: events are those of one run, the value keeps its size, examples and pending are lists."""
+    bars, config = trending(170), {"warmup": 60, "refit_every": 40, "limits": LIMITS}
+    whole = session._events(session.State("a", session.Config(**config)), bars)
+    schema = "symbol string, bar_end timestamp, close double, volume double"
+    sizes = {}
+    for first, last in ((0, 90), (90, 100), (100, 101), (101, 130), (125, 150), (150, 170)):
+        spark.createDataFrame(bars[first:last], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = session.session_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), **config)
+        ohlcv.run_available(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        held = lambda name: spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / "checkpoint"))
+        sizes[last] = len(held("session").selectExpr("value.state").first().state)
+    got = spark.read.parquet(str(tmp_path / "out")).where("event <> 'already_handled'").toPandas()
+    keys = ["bar_end", "event", "settled_bar"]
+    a, b = (x.assign(settled_bar=pd.to_datetime(x.settled_bar)).sort_values(keys).reset_index(drop=True)[session.COLUMNS] for x in (got, whole))
+    pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-12)
+    assert (whole.event == "refit").sum() == 3
+    # digits of numbers differ by a little; 70 more bars add none
+    assert abs(sizes[170] - sizes[100]) < 0.05 * sizes[100]
+    assert held("examples").count() == 170 - 21 - 5 and held("pending").count() == 5

@@ -12,15 +12,18 @@ Before the first fit the variance filter alone predicts and nothing is decided.
 without a usable close neither trades nor settles: what is due waits for the next usable
 bar. A bar after a longer silence than allowed is marked and settled, and then halts.
 
-Scale: one symbol is one fold over batches of bars. Refits read all settled examples, so the state
-holds four values per bar, and a series of n bars costs n / refit_every passes over them.
+Scale: one symbol is one fold over batches of bars. Refits read all settled examples, four values a bar,
+and a series of n bars costs n / refit_every passes over them. A stream keeps them in a list state to which a
+batch adds what it settled and which only a refit reads; pending predictions, at most a horizon of them, are
+a second list, and all else is one value of fixed size. So a batch writes what it changed,
+however long the series.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -67,8 +70,24 @@ class Config:
             raise ValueError("horizon, warmup, refit_every and starting cash are too small")
 
 
+class Examples:
+    """Settled examples (bar, momentum, outcome, return): those of earlier batches, which are read when all are asked for, and new ones."""
+
+    def __init__(self, n_earlier: int = 0, earlier: Callable[[], Iterable[tuple]] = tuple):
+        self.n_earlier, self.earlier, self.new = n_earlier, earlier, []
+
+    def __len__(self) -> int:
+        return self.n_earlier + len(self.new)
+
+    def append(self, example: tuple[str, float, float, float]) -> None:
+        self.new.append(example)
+
+    def rows(self) -> list[tuple]:
+        return [*map(tuple, self.earlier()), *self.new]
+
+
 class State:
-    """What one symbol has absorbed, its account and its pending predictions; round-trips through JSON."""
+    """What one symbol has absorbed, its account and its pending predictions; round-trips through JSON, whole or with its lists apart."""
 
     def __init__(self, symbol: str, config: Config):
         self.symbol, self.config = symbol, config
@@ -79,34 +98,43 @@ class State:
         self.last_close: float | None = None
         self.last_bar: str | None = None
         self.closes: list[float | None] = []
-        self.examples: list[tuple[str, float, float, float]] = []
+        self.examples = Examples()
         self.pending: list[dict] = []
         self.since_refit = 0
 
-    def dump(self) -> str:
+    def core(self) -> str:
+        """All but the examples and the pending predictions; its size does not grow with the series."""
         held = {
             "filter": self.filter.dump(), "account": asdict(self.account),
             "reliability": [self.reliability.logs, self.reliability.scored], "models": self.models.dump(),
             "last_close": self.last_close, "last_bar": self.last_bar, "closes": self.closes,
-            "examples": self.examples, "pending": self.pending, "since_refit": self.since_refit,
+            "since_refit": self.since_refit, "n_examples": len(self.examples),
         }
         return json.dumps(held)
 
+    def dump(self) -> str:
+        return json.dumps({"core": self.core(), "examples": self.examples.rows(), "pending": self.pending})
+
     @classmethod
-    def restore(cls, text: str | None, symbol: str, config: Config) -> State:
+    def of(cls, core: str | None, pending: list[dict], earlier: Callable[[], Iterable[tuple]], symbol: str, config: Config) -> State:
         out = cls(symbol, config)
-        if text:
-            held = json.loads(text)
+        if core:
+            held = json.loads(core)
             out.filter = filters.VarianceFilter.load(held["filter"])
             out.account = account.Account(**held["account"])
             logs, scored = held["reliability"]
             out.reliability = filters.Reliability(logs, {k: tuple(v) for k, v in scored.items()})
             out.models.restore(held["models"])
-            for name in ("last_close", "last_bar", "closes", "pending", "since_refit"):
+            for name in ("last_close", "last_bar", "closes", "since_refit"):
                 setattr(out, name, held[name])
-            out.examples = [tuple(e) for e in held["examples"]]
+            out.pending, out.examples = pending, Examples(held["n_examples"], earlier)
         return out
 
+    @classmethod
+    def restore(cls, text: str | None, symbol: str, config: Config) -> State:
+        held = json.loads(text) if text else {"core": None, "examples": [], "pending": []}
+        return cls.of(held["core"], held["pending"], lambda: held["examples"], symbol, config)
+
     def _row(self, event: str, close: float | None, **values: object) -> tuple:
         a = self.account
         known = {"n_seen": self.filter.n_seen, "cash": a.cash, "position": a.quantity, "equity": a.equity, "day_start_equity": a.day_start}
@@ -176,7 +204,7 @@ class State:
         self.since_refit += 1
         if (self.models.ready and self.since_refit < self.config.refit_every) or len(self.examples) < self.config.warmup:
             return []
-        table = pd.DataFrame(self.examples, columns=["as_of", X, "forward_log_return", "r"])
+        table = pd.DataFrame(self.examples.rows(), columns=["as_of", X, "forward_log_return", "r"])
         self.models.fit(table)
         self.since_refit = 0
         return [self._row("refit", close, n_rows=len(table))]
@@ -239,12 +267,21 @@ class Session(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("session", "state string")
+        self.pending = handle.getListState("pending", "prediction string")
+        self.examples = handle.getListState("examples", "bar string, x double, outcome double, r double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        text = self.held.get()[0] if self.held.exists() else None
-        state = State.restore(text, key[0], self.config)
+        core = self.held.get()[0] if self.held.exists() else None
+        pending = [json.loads(p) for (p,) in self.pending.get()] if core else []
+        state = State.of(core, pending, self.examples.get, key[0], self.config)
         events = _events(state, pd.concat(list(rows)))
-        self.held.update((state.dump(),))
+        if state.examples.new:
+            self.examples.appendList(state.examples.new)
+        if state.pending:
+            self.pending.put([(json.dumps(p),) for p in state.pending])
+        else:
+            self.pending.clear()
+        self.held.update((state.core(),))
         yield events
 
     def close(self) -> None:
