@@ -148,6 +148,17 @@ def test_labels_stop_at_the_horizon(bars):
     assert labels.count() == n and labels.where("mae > 0 OR mfe < 0 OR realised_at <= as_of").count() == 0
 
 
+def test_labels_over_chunks_are_those_of_whole_series(bars):
+    """Chunks shorter and longer than a series; the bars that a chunk looks ahead to lie in the next one."""
+    found = f.minimal_set()
+    plain = lambda df: sorted(map(str, df.select([F.round(c, 9).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes]).collect()))
+    labels, rows = plain(series.forward_labels(bars, 5)), plain(series.training_set(bars, found, 5))
+    for chunk in (7, 40, 10_000):
+        spread = bars.repartition(7)
+        assert plain(series.forward_labels(spread, 5, chunk=chunk)) == labels and plain(series.training_set(spread, found, 5, chunk=chunk)) == rows
+    assert len(labels) > len(rows) > 300
+
+
 # --- store, calendars, quality -------------------------------------------------------------------------------------------
 def test_store_errors_and_empty_reads(spark, bars):
     assert store.history(bars, "1990-01-01 00:00:00").count() == 0 and store.history(bars, "2030-01-01 00:00:00", count=0).count() == 0

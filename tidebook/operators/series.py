@@ -83,40 +83,49 @@ def design_rows(walked: DataFrame, names: list[str]) -> DataFrame:
     return walked.na.drop(subset=names).select(*KEEP, F.array(*names).alias("x"))
 
 
-def forward_labels(bars: DataFrame, horizon: int) -> DataFrame:
-    """symbol, as_of, realised_at, forward_log_return, mae and mfe for bars with `horizon` later ones."""
+def _cut(bars: DataFrame, reach: int, ahead: int, chunk: int | None) -> tuple[DataFrame, Frames]:
+    """Bars with _halo, and the frames to read them by: whole series, or chunks with the bars that they reach back and ahead to."""
+    if chunk is None:
+        return bars.withColumn("_halo", F.lit(False)), Frames()
+    cut = chunked(numbered(bars, F.date_trunc("month", "timestamp")), reach, max(chunk, reach, ahead), ahead)
+    return cut, Frames(("symbol", "_chunk"))
+
+
+def _outcomes(frames: Frames, horizon: int) -> list[Column]:
+    """realised_at, forward_log_return, mae and mfe over the next `horizon` bars."""
     if horizon < 1:
         raise ValueError("the horizon must be at least one bar")
-    ordered = Frames().ordered
-    ahead = ordered.rowsBetween(1, horizon)
+    ahead = frames.ordered.rowsBetween(1, horizon)
     close = F.col("close")
+    return [
+        F.lead("timestamp", horizon).over(frames.ordered).alias("realised_at"),
+        F.ln(ratio(F.lead("close", horizon).over(frames.ordered), close)).alias("forward_log_return"),
+        F.least(F.lit(0.0), F.ln(ratio(F.min("low").over(ahead), close))).alias("mae"),
+        F.greatest(F.lit(0.0), F.ln(ratio(F.max("high").over(ahead), close))).alias("mfe"),
+    ]
+
+
+def forward_labels(bars: DataFrame, horizon: int, chunk: int | None = None) -> DataFrame:
+    """symbol, as_of, realised_at, forward_log_return, mae and mfe for bars with `horizon` later ones.
+
+    With `chunk` a series is spread over tasks in chunks of so many bars, each with the
+    `horizon` bars after it; the values are the same.
+    """
+    cut, frames = _cut(bars, 0, horizon, chunk)
     return (
-        bars.select(
-            "symbol",
-            F.col("timestamp").alias("as_of"),
-            F.lead("timestamp", horizon).over(ordered).alias("realised_at"),
-            F.ln(ratio(F.lead("close", horizon).over(ordered), close)).alias("forward_log_return"),
-            F.least(F.lit(0.0), F.ln(ratio(F.min("low").over(ahead), close))).alias("mae"),
-            F.greatest(F.lit(0.0), F.ln(ratio(F.max("high").over(ahead), close))).alias("mfe"),
-        )
-        .where("realised_at IS NOT NULL")
+        cut.select("symbol", F.col("timestamp").alias("as_of"), *_outcomes(frames, horizon), "_halo")
+        .where("NOT _halo AND realised_at IS NOT NULL")
+        .drop("_halo")
         .withColumn("horizon_bars", F.lit(horizon))
         .withColumn("went_up", F.col("forward_log_return") > 0)
     )
 
 
-def training_set(bars: DataFrame, features: list[Feature], horizon: int, complete_only: bool = True) -> DataFrame:
-    """Features and labels of the same bar, in one pass over each symbol."""
-    frames = Frames()
-    ahead = frames.ordered.rowsBetween(1, horizon)
-    labelled = bars.select(
-        "*",
-        F.lead("timestamp", horizon).over(frames.ordered).alias("realised_at"),
-        F.ln(ratio(F.lead("close", horizon).over(frames.ordered), F.col("close"))).alias("forward_log_return"),
-        F.least(F.lit(0.0), F.ln(ratio(F.min("low").over(ahead), F.col("close")))).alias("mae"),
-        F.greatest(F.lit(0.0), F.ln(ratio(F.max("high").over(ahead), F.col("close")))).alias("mfe"),
-    )
-    out = compute(
-        with_helpers(labelled, frames), features, frames, [*KEEP, "realised_at", "forward_log_return", "mae", "mfe"]
-    ).where("realised_at IS NOT NULL")
+def training_set(bars: DataFrame, features: list[Feature], horizon: int, complete_only: bool = True, chunk: int | None = None) -> DataFrame:
+    """Features and labels of the same bar, in one pass over each symbol, or over each of its chunks of so many bars."""
+    cut, frames = _cut(bars, lookback(features) + 1, horizon, chunk)
+    labelled = cut.select("*", *_outcomes(frames, horizon))
+    helped = with_helpers(labelled, frames) if chunk is None else with_helpers(labelled, frames, F.col("_n"))
+    kept = [*KEEP, "realised_at", "forward_log_return", "mae", "mfe", "_halo"]
+    out = compute(helped, features, frames, kept).where("NOT _halo AND realised_at IS NOT NULL").drop("_halo")
     return out.na.drop(subset=[f.name for f in features]) if complete_only else out

@@ -211,7 +211,7 @@ LABELS = f"""WITH {HOURLY}, l AS (SELECT symbol, timestamp AS as_of, lead(timest
         5 AS horizon_bars, fwd > 0 AS went_up FROM l WHERE realised_at IS NOT NULL""",
 )
 def label_fwd5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(series.forward_labels(tables.hourly_bars(spark, sf_dir), 5))
+    return rounded(series.forward_labels(tables.hourly_bars(spark, sf_dir), 5, chunk=512))
 
 
 @query(
@@ -222,7 +222,7 @@ def label_fwd5(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHERE log_return_1 IS NOT NULL AND momentum_20_1 IS NOT NULL AND volatility_20 IS NOT NULL""",
 )
 def train_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(series.training_set(tables.hourly_bars(spark, sf_dir), f.minimal_set(), 5))
+    return rounded(series.training_set(tables.hourly_bars(spark, sf_dir), f.minimal_set(), 5, chunk=512))
 
 
 @query(
