@@ -7,15 +7,35 @@ from pyspark.sql import functions as F
 
 # Credible levels and reliability bins.
 LEVELS, BINS = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99), 10
+#: Ranges of u that are ranked side by side.
+LANES = 4096
 
 
-def kolmogorov(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Largest distance of the values u from a uniform distribution, per group."""
-    place = Window.partitionBy(*keys).orderBy("u")
-    all_rows = Window.partitionBy(*keys)
-    ranked = rows.where("u IS NOT NULL").select(*keys, "u", F.row_number().over(place).alias("i"), F.count(F.lit(1)).over(all_rows).alias("n"))
-    gap = F.greatest(F.col("i") / F.col("n") - F.col("u"), F.col("u") - (F.col("i") - 1) / F.col("n"))
-    return ranked.groupBy(*keys).agg(F.max(gap).alias("ks"), F.count(F.lit(1)).alias("n"))
+def kolmogorov(rows: DataFrame, keys: list[str], lanes: int = LANES) -> DataFrame:
+    """Largest distance of the values u from a uniform distribution, per group; NaN where a value is.
+
+    Equal values are counted first, so ties are one row; the others are ranked within `lanes` equal
+    ranges of u, and counts of whole ranges carry the rank on. A group is therefore many tasks, and what is summed
+    over a whole group is at most one number a range. Values outside 0 to 1 belong to the first and last range.
+    """
+    lane = F.least(F.greatest(F.floor(F.col("u") * lanes), F.lit(0)), F.lit(lanes - 1)).cast("int")
+    tied = rows.where("u IS NOT NULL").groupBy(*keys, lane.alias("_lane"), "u").agg(F.count(F.lit(1)).alias("_ties"))
+    before = Window.partitionBy(*keys).orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = tied.groupBy(*keys, "_lane").agg(F.sum("_ties").alias("_in"))
+    ranges = ranges.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_lane").alias("_at"),
+        F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_in").over(Window.partitionBy(*keys)).alias("n"),
+    )
+    same = F.col("_lane") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    within = Window.partitionBy(*keys, "_lane").orderBy("u").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.col("_offset") + F.col("_upto")
+    gap = F.greatest(last / F.col("n") - F.col("u"), F.col("u") - (last - F.col("_ties")) / F.col("n"))
+    ranked = tied.withColumn("_upto", F.sum("_ties").over(within)).join(ranges, same)
+    return ranked.groupBy(*keys).agg(F.max(gap).alias("ks"), F.max("n").alias("n"))
 
 
 def coverage(rows: DataFrame, keys: list[str], levels: tuple[float, ...] = LEVELS) -> DataFrame:

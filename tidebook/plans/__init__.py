@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that register queries.
-MODULES = ("market", "features", "models", "trading", "streams")
+MODULES = ("market", "features", "models", "trading", "streams", "layout")
 
 
 def load():
