@@ -175,6 +175,51 @@ def mixture_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Weights by rule of the hour: both unknown, one unknown, one model absent, else softmax of two log weights that vary.
+WEIGHED_SQL = PREDS_SQL.replace(
+    "exp(-0.5) / (1 + exp(-0.5)) AS wa, 1 / (1 + exp(-0.5)) AS wb FROM m WHERE n > 60)",
+    """kind <> 2 AS answered, CASE kind WHEN 0 THEN 0.5 WHEN 1 THEN 0 WHEN 2 THEN 0 ELSE 1 / (1 + exp(ls - lf)) END AS wa, 1 - wa AS wb
+        FROM (SELECT *, hour(as_of) % 6 AS kind, -0.4 * (day(as_of) % 5) AS lf, -0.7 * (day(as_of) % 3) AS ls FROM m) WHERE n > 60)""",
+).replace("WITH", "WITH RECURSIVE", 1)
+
+
+def weighed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two models with log weights that vary, are unknown, or with one model that gives no answer."""
+    kind, day, fast = F.hour("as_of") % 6, F.dayofmonth("as_of"), F.col("model") == "fast"
+    weight = F.when((kind == 0) | ((kind == 1) & fast), None).when(fast, -0.4 * (day % 5)).otherwise(-0.7 * (day % 3))
+    return predictions(spark, sf_dir).where(~((kind == 2) & fast)).withColumn("log_weight", weight)
+
+
+@query(
+    "fuse_weights",
+    f"""{WEIGHED_SQL}, {_quantiles((0.05, 0.95))}, j AS (SELECT * FROM pr JOIN fused USING (symbol, as_of)),
+    ends AS (SELECT symbol, as_of, min(q) AS lo, max(q) AS hi FROM q GROUP BY 1, 2)
+    SELECT symbol, as_of, 1 + answered::BIGINT AS n_models, {r("mean", "mean", 9)}, {r("var", "variance", 9)}, {r("dis", "disagreement", 9)}, {r("epi", "epistemic_variance", 9)},
+        CASE WHEN answered THEN round(wa, 9) + 0.0 END AS w_fast, {r("wb", "w_slow", 9)},
+        {r("CASE WHEN answered THEN -(CASE WHEN wa > 0 THEN wa * ln(wa) ELSE 0 END + CASE WHEN wb > 0 THEN wb * ln(wb) ELSE 0 END) / ln(2) ELSE 0 END", "weight_entropy")},
+        {r(f"1 - ({_pool_cdf('0.001')})", "p_above")}, {r(f"wa * exp({t_logpdf('((0 - m20) / s20)', '10.0', 's20')}) + wb * exp({t_logpdf('((0 - m60) / s60)', '30.0', 's60')})", "pdf_zero", 5)},
+        {r("lo", "low")}, {r("hi", "high")} FROM j JOIN ends USING (symbol, as_of)""",
+)
+def fuse_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools under weights that vary, with what is read off the pool: tail, density and central interval of 90 %."""
+    fused = trading.fuse(weighed_predictions(spark, sf_dir))
+    m, own = F.col("mixture"), lambda name: F.filter("weights", lambda w: w["model"] == name)
+    span = mixtures.credible_interval(m, 0.9)
+    figures = ["n_models", "mean", "variance", "disagreement", "epistemic_variance"]
+    read = fused.select(
+        "symbol",
+        "as_of",
+        *[F.round(c, 9).alias(c) if c != "n_models" else F.col(c) for c in figures],
+        *[F.round(F.get(own(n), F.lit(0))["weight"], 9).alias(f"w_{n}") for n in ("fast", "slow")],
+        F.round(mixtures.normalised_entropy(F.col("weights.weight")), 6).alias("weight_entropy"),
+        F.round(mixtures.probability_above(m, 0.001), 6).alias("p_above"),
+        F.round(mixtures.pdf(m, 0.0), 5).alias("pdf_zero"),
+        F.round(span["lower"], 6).alias("low"),
+        F.round(span["upper"], 6).alias("high"),
+    )
+    return rounded(read, 9)
+
+
 BOOK_SQL = """bk AS (SELECT *, n % 29 = 0 AS halted, (n % 40) / 1500.0 AS daily_loss, (n % 50) / 300.0 AS drawdown,
         (n % 3 - 1) * 10.0 AS held, CASE WHEN n % 3 = 1 THEN 0 ELSE 0.01::DOUBLE * (n % 6) END AS pos, n % 12 AS slots,
         CASE WHEN n % 4 <> 0 THEN 0.02::DOUBLE * (n % 14) END AS sec, 0.03::DOUBLE * (n % 22) AS port, CASE WHEN n % 5 <> 0 THEN 0.3 + (n % 35) / 100.0 END AS vol,
