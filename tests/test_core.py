@@ -210,6 +210,7 @@ def test_bar_files(spark, bars, tmp_path):
     (tmp_path / "bad.csv").write_text("interval,symbol,timestamp,open,high,low,close,volume\n1d,a,2024-01-01 00:00:00,1,2,1,2,5\n1d,a,x,1,2,1,2,5\n1d,a,2024-01-02 00:00:00,1,2,3,2,5\n\n")
     ok, bad = bar_files.read_bars(spark, str(tmp_path / "bad.csv"))
     assert ok.count() == 1 and bad.count() == 2
+    assert sorted((x._line, x._place.endswith(f"/bad.csv:{x._line}")) for x in bad.collect()) == [(3, True), (4, True)]
     (tmp_path / "short.csv").write_text("symbol,timestamp\na,b\n")
     with pytest.raises(ValueError, match="open"):
         bar_files.read_bars(spark, str(tmp_path / "short.csv"))
@@ -217,6 +218,35 @@ def test_bar_files(spark, bars, tmp_path):
     assert bar_files.load_store(spark, str(tmp_path / "store")).exceptAll(bars.select(*bar_files.COLUMNS)).count() == 0
 
 
+def test_rejects_name_their_line_over_many_splits(spark, tmp_path):
+    """Files in splits of a few hundred bytes; blank lines count, wrong arity and another header are refused."""
+    names = "symbol,timestamp,open,high,low,close,volume,interval"
+    (tmp_path / "in").mkdir()
+    wrong = {}
+    for name in ("a", "b"):
+        lines = [names]
+        for k in range(2, 400):
+            row = f"s{k % 3},2024-01-{1 + k % 28:02d} {k % 24:02d}:00:00,1.5,2,1,1.75,{k},1d"
+            lines.append("" if k % 41 == 0 else row + ",7" if k % 43 == 0 else row.replace("1.5", "9") if k % 47 == 0 else row.replace("2024", "then") if k % 53 == 0 else row)
+        (tmp_path / "in" / f"{name}.csv").write_text("\n".join(lines) + "\n")
+        wrong |= {(name, k): lines[k - 1] for k in range(2, 400) if k % 41 and (k % 43 == 0 or k % 47 == 0 or k % 53 == 0)}
+    (tmp_path / "in" / "c.csv").write_text("timestamp,symbol,open,high,low,close,volume,interval\n2024-01-01 00:00:00,s,1,2,1,1,5,1d\n")
+    wrong["c", 2] = "2024-01-01 00:00:00,s,1,2,1,1,5,1d"
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "700")
+    try:
+        ok, bad = bar_files.read_bars(spark, str(tmp_path / "in"))
+        lines = bar_files.numbered_lines(spark, str(tmp_path / "in"))
+        splits = spark.read.text(str(tmp_path / "in")).select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+        assert splits > 30 and lines.groupBy("path").agg(F.max("line").alias("n")).agg(F.max("n")).first()[0] == 399
+        found = {(x._path.rsplit("/", 1)[1][0], x._line): x._text for x in bad.collect()}
+        assert found == wrong
+        assert ok.count() == 2 * 398 - 2 * len([k for k in range(2, 400) if k % 41 == 0]) - (len(wrong) - 1)
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_frames(spark):
     full = bytearray(184)
     full[0:4], full[4:8], full[16:20] = (408065).to_bytes(4, "big"), (250_000).to_bytes(4, "big"), (900).to_bytes(4, "big")
@@ -245,8 +275,7 @@ def test_vendor_plumbing(spark):
     pauses = []
     assert vendors.Retrying(sleep=pauses.append)(flaky) == "ok" and pauses == [0.5, 1.0]
     source = vendors.SyntheticSource(spark)
-    found, report = vendors.ingest(source, ["a", "b"], date(2024, 1, 1), date(2024, 1, 31))
-    assert report.ok and report.total == 46 and found.where(schema.bar_is_valid()).count() == 46
+    assert source.fetch_bars("a", date(2024, 1, 1), date(2024, 1, 31)).where(schema.bar_is_valid()).count() == 23
     with pytest.raises(ValueError):
         vendors.check_window(source, date(2024, 2, 1), date(2024, 1, 1), "1d")
     assert vendors.translate_status(429) is vendors.TransientError and vendors.translate_status(200) is None

@@ -1,4 +1,4 @@
-"""Queries over stored bar tables: what they read lies where they need it."""
+"""Queries over stored bars: tables whose rows lie where reads need them, and text files whose rejects name their line."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidebook.operators import store
 from tidebook.plans.registry import HOURLY, query, r, rounded
 from tidebook.runtime import shared_dir
+from tidebook.sources import bars as bar_files
 from tidebook.sources import tables
 from tidebook.sources.layout import BarTable, buckets_for, ordered_reads
 
@@ -83,3 +84,34 @@ def layout_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = _table(spark, "closed", tables.hourly_bars(spark, sf_dir).select("symbol", ended.alias("timestamp"), "close"), buckets)
     met = store.as_of_join(left.read(), right.read(), "symbol", "timestamp", "timestamp", "close", lanes="day")
     return rounded(met.select("event_id", "symbol", "price", "close"))
+
+
+@query(
+    "csv_rejects",
+    f"""WITH {HOURLY}, placed AS (SELECT *, strftime(timestamp, '%Y-%m-%d') AS day, hour(timestamp) AS h,
+        row_number() OVER (PARTITION BY timestamp::DATE ORDER BY symbol, timestamp) + 1 AS line FROM bars)
+    SELECT day, line, symbol, CASE WHEN h % 11 = 3 THEN 'time' ELSE 'prices' END AS fault FROM placed WHERE h % 11 = 3 OR h % 7 = 5""",
+)
+def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars as text files, some with a time or prices that no bar has, read again: the file and line of each reject."""
+    hour, path = F.hour("timestamp"), f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    bars = tables.hourly_bars(spark, sf_dir).withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
+    text = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
+    spoilt = bars.select(
+        "day",
+        "symbol",
+        F.col("timestamp").alias("_at"),
+        F.when(hour % 11 == 3, F.concat(F.lit("at "), text)).otherwise(text).alias("timestamp"),
+        F.when(hour % 7 == 5, F.col("high") + 1).otherwise(F.col("open")).alias("open"),
+        *bar_files.COLUMNS[3:],
+    )
+    # a file per day, in order, so that SQL knows the lines
+    laid = spoilt.repartition("day").sortWithinPartitions("day", "symbol", "_at").drop("_at")
+    laid.write.partitionBy("day").option("header", True).csv(path)
+    _, bad = bar_files.read_bars(spark, path)
+    return bad.select(
+        F.regexp_extract("_path", r"day=([\d-]+)", 1).alias("day"),
+        F.col("_line").alias("line"),
+        F.split("_text", ",")[0].alias("symbol"),
+        F.when(F.col("timestamp").isNull(), "time").otherwise("prices").alias("fault"),
+    )

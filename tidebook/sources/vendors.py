@@ -1,9 +1,9 @@
-"""Bar sources behind a network: windows, candles, retries and ingestion runs. Transports are injected."""
+"""Bar sources behind a network: windows, candles and retries. Transports are injected."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 from typing import Protocol
 
@@ -101,42 +101,6 @@ def candles_to_bars(candles: DataFrame, interval: str, now: str) -> tuple[DataFr
     return done.select(*[f.name for f in schema.BAR]), bad
 
 
-@dataclass
-class IngestionReport:
-    rows: dict[str, int] = field(default_factory=dict)
-    failures: dict[str, str] = field(default_factory=dict)
-
-    @property
-    def total(self) -> int:
-        return sum(self.rows.values())
-
-    @property
-    def ok(self) -> bool:
-        return not self.failures
-
-
-def ingest(source: BarSource, symbols: list[str], start: date, stop: date, interval: str = "1d", retry: Retrying | None = None) -> tuple[DataFrame | None, IngestionReport]:
-    """Bars of all symbols that could be fetched, and what happened; a vendor without bars is a failure."""
-    check_window(source, start, stop, interval)
-    retry = retry or Retrying()
-    report, parts = IngestionReport(), []
-    for symbol in symbols:
-        try:
-            found = retry(lambda s=symbol: source.fetch_bars(s, start, stop, interval))
-            n = found.count()
-            if n == 0:
-                raise LookupError("vendor returned no bars")
-        except (TransientError, LookupError, PermissionError, ValueError, RuntimeError) as e:
-            report.failures[symbol] = str(e)
-        else:
-            report.rows[symbol] = n
-            parts.append(found)
-    out = parts[0] if parts else None
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, report
-
-
 @dataclass
 class SyntheticSource:
     """Simulated bars, one per weekday, by a process of `tidebook.sources.synthetic`."""
