@@ -184,6 +184,28 @@ def test_calendar_fails_closed(spark):
     assert calendar.trading_days(spark, exchange, "2026-11-07", 2).collect()[0].day.isoformat() == "2026-11-08"
 
 
+def test_sessions_from_any_day(spark):
+    exchange = TradingCalendar.exchange()
+    rows = spark.createDataFrame([("2025-10-20",), ("2026-11-07",), ("2026-12-24",), (None,)], "d string").select(F.col("d").cast("date").alias("day"), F.lit(1).alias("x"))
+    found = {r.day and r.day.isoformat(): r.sessions and [d.isoformat() for d in r.sessions] for r in calendar.sessions_from(rows, "day", exchange, 3).collect()}
+    assert found == {
+        "2025-10-20": ["2025-10-20", "2025-10-21", "2025-10-23"],  # a special session on a holiday, then a holiday
+        "2026-11-07": ["2026-11-08", "2026-11-09", "2026-11-11"],  # a special session on a Sunday
+        "2026-12-24": ["2026-12-24", "2026-12-28", "2026-12-29"],
+        None: None,
+    }
+    assert calendar.sessions_from(rows.limit(0), "day", exchange, 3).columns == ["day", "x", "sessions"]
+    shut = TradingCalendar(frozenset(date(2026, 1, 1) + timedelta(d) for d in range(200)), years=frozenset({2026}))
+    assert calendar.sessions_from(rows.where("day = '2026-11-07'"), "day", shut, 1).first().sessions == [date(2026, 11, 9)]
+    early = spark.createDataFrame([(date(2026, 1, 2),)], "day date")
+    assert calendar.sessions_from(early, "day", shut, 1).first().sessions == [date(2026, 7, 20)]
+    wide = spark.createDataFrame([(date(1, 1, 1),), (date(9999, 1, 1),)], "day date")
+    with pytest.raises(ValueError, match="span"):
+        calendar.sessions_from(wide, "day", exchange, 1)
+    with pytest.raises(ValueError):
+        calendar.sessions_from(rows, "day", exchange, 0)
+
+
 def test_calendar_file(spark, tmp_path):
     (tmp_path / "days.txt").write_text("2030-01-01 # new year\n\n# nothing\n2030-12-25\n")
     found = calendar.load_calendar(spark, str(tmp_path / "days.txt"), [2030], ["me"])

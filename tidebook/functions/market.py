@@ -76,8 +76,8 @@ def exchange_time(utc: Column, offset_minutes: int = 330) -> Column:
 
 def is_open(moment: Column, opens: str = "09:15:00", closes: str = "15:30:00") -> Column:
     """Weekday, and between the opening and closing times, both included."""
-    clock = F.date_format(moment, "HH:mm:ss.SSS")
-    return is_weekday(moment) & clock.between(f"{opens}.000", f"{closes}.000")
+    clock = F.date_format(moment, "HH:mm:ss.SSSSSS")
+    return is_weekday(moment) & clock.between(f"{opens}.000000", f"{closes}.000000")
 
 
 def same_session(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.market import is_weekday
@@ -18,6 +18,8 @@ HOLIDAYS = """
 2026-10-02 2026-10-20 2026-11-10 2026-11-24 2026-12-25
 """.split()
 SPECIAL_SESSIONS = ("2025-10-21", "2026-11-08")
+#: Days between the first and the last day of a table that one task may number and a broadcast may hold; some 2,700 years.
+MOST_DAYS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -81,6 +83,29 @@ def trading_days(spark: SparkSession, calendar: TradingCalendar, start: str, cou
     return days.where(calendar.trading_day(F.col("day"), strict=False)).orderBy("day").limit(count)
 
 
+def sessions_from(rows: DataFrame, day: str, calendar: TradingCalendar, count: int, name: str = "sessions") -> DataFrame:
+    """`rows` with an array of the first `count` trading days on or after a date column; null dates have none.
+
+    The days between the smallest and the largest date are numbered once, and that table, whose rows
+    follow from the dates' range and are checked, is broadcast: rows stay where they are. Days of years that the
+    calendar does not cover go by their weekday.
+    """
+    if count < 1:
+        raise ValueError("at least one trading day is asked for")
+    low, high = rows.agg(F.min(day), F.max(day)).first()
+    if low is None:
+        return rows.withColumn(name, F.lit(None).cast("array<date>"))
+    reach = 7 * ((count + len(calendar.holidays)) // 5 + 2)
+    if (high - low).days + reach > MOST_DAYS:
+        raise ValueError(f"dates from {low} to {high} span more than {MOST_DAYS} days")
+    spark = rows.sparkSession
+    span = spark.range((high - low).days + reach + 1).select(F.date_add(F.lit(low), F.col("id").cast("int")).alias("_day"))
+    ahead = Window.orderBy("_day").rowsBetween(0, reach)
+    trades = F.when(calendar.trading_day(F.col("_day"), strict=False), F.col("_day"))
+    table = span.select("_day", F.slice(F.collect_list(trades).over(ahead), 1, count).alias(name)).where(F.col("_day") <= F.lit(high))
+    return rows.join(F.broadcast(table), rows[day] == F.col("_day"), "left").drop("_day")
+
+
 def weekdays_between(a: Column, b: Column) -> Column:
     """Weekdays strictly between two dates, by arithmetic."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook import schema
@@ -200,7 +200,14 @@ def known_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- calendars -------------------------------------------------------------------------------------------------------
-DAYS = "days AS (SELECT (DATE '2025-01-01' + CAST(range AS INT))::DATE AS day FROM range(730))"
+DAYS = """days AS (SELECT (DATE '2025-01-01' + CAST(range AS INT))::DATE AS day FROM range(730)),
+    o AS (SELECT o_orderkey, DATE '2025-01-01' + ((o_orderdate::DATE - DATE '1992-01-01') % 700)::INT AS day FROM orders)"""
+
+
+def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their date moved into the years that the exchange's calendar covers."""
+    since = F.pmod(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")), F.lit(700))
+    return tables.table(spark, sf_dir, "orders").select("o_orderkey", F.date_add(F.lit("2025-01-01").cast("date"), since).alias("day"))
 
 
 def _list(days: list[str]) -> str:
@@ -213,17 +220,45 @@ TRADES = f"""CASE WHEN day IN ({_list(list(calendar.SPECIAL_SESSIONS))}) THEN tr
 
 @query(
     "trading_days",
-    f"""WITH {DAYS} SELECT day, {TRADES} AS trades, ({TRADES}) AND day NOT IN ({_list(list(calendar.SPECIAL_SESSIONS))}) AS full_session FROM days""",
+    f"""WITH {DAYS} SELECT o_orderkey, day, {TRADES} AS trades, ({TRADES}) AND day NOT IN ({_list(list(calendar.SPECIAL_SESSIONS))}) AS full_session FROM o""",
 )
 def trading_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = spark.range(730).select(F.date_add(F.lit("2025-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
-    exchange = TradingCalendar.exchange()
-    return days.select("day", exchange.trading_day(F.col("day")).alias("trades"), exchange.full_session(F.col("day")).alias("full_session"))
+    """Whether the exchange trades, and in full, on the day of each order."""
+    exchange, day = TradingCalendar.exchange(), F.col("day")
+    return order_days(spark, sf_dir).select("o_orderkey", "day", exchange.trading_day(day).alias("trades"), exchange.full_session(day).alias("full_session"))
 
 
-@query("first_trading_days", f"WITH {DAYS} SELECT day FROM days WHERE {TRADES} AND day >= DATE '2025-10-15' ORDER BY day LIMIT 40")
+@query(
+    "first_trading_days",
+    f"""WITH {DAYS}, t AS (SELECT day AS session FROM days WHERE {TRADES}),
+    f AS (SELECT day, list(session ORDER BY session)[1:3] AS l FROM (SELECT DISTINCT day FROM o) JOIN t ON session >= day AND session <= day + 30 GROUP BY day)
+    SELECT o_orderkey, day, l[1] AS trades_on, l[3] AS settles_on FROM o JOIN f USING (day)""",
+)
 def first_trading_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendar.trading_days(spark, TradingCalendar.exchange(), "2025-10-15", 40)
+    """The day on which each order can trade, and the second trading day after it, on which it settles."""
+    found = calendar.sessions_from(order_days(spark, sf_dir), "day", TradingCalendar.exchange(), 3)
+    return found.select("o_orderkey", "day", F.get("sessions", F.lit(0)).alias("trades_on"), F.get("sessions", F.lit(2)).alias("settles_on"))
+
+
+@query(
+    "session_volatility",
+    f"""WITH {HOURLY}, x AS (SELECT symbol, timestamp + INTERVAL 330 MINUTE AS local, close FROM bars),
+    y AS (SELECT symbol, local, ln(close / lag(close) OVER w) AS r, lag(local) OVER w AS before FROM x WINDOW w AS (PARTITION BY symbol, local::DATE ORDER BY local))
+    SELECT symbol, count(r) AS n, {r("stddev_samp(r) * sqrt(252)", "annual")}, {r("stddev_samp(r)", "daily")},
+           count(*) FILTER (isodow(local) <= 5 AND local::TIME BETWEEN TIME '09:15:00' AND TIME '15:30:00') AS n_open FROM y GROUP BY symbol""",
+)
+def session_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviation of returns within a session of exchange time, annualised and back, and bars while the exchange is open."""
+    local = tables.hourly_bars(spark, sf_dir).select("symbol", market.exchange_time(F.col("timestamp")).alias("local"), "close")
+    session = Window.partitionBy("symbol", F.to_date("local")).orderBy("local")
+    steps = local.select("symbol", "local", F.lag("local").over(session).alias("before"), F.ln(F.try_divide("close", F.lag("close").over(session))).alias("step"))
+    within = F.when(market.same_session(F.col("before"), F.col("local")), F.col("step"))
+    annual = market.annualise(F.stddev_samp(within))
+    return rounded(
+        steps.groupBy("symbol").agg(
+            F.count(within).alias("n"), annual.alias("annual"), market.deannualise(annual).alias("daily"), F.count(F.when(market.is_open(F.col("local")), 1)).alias("n_open")
+        )
+    )
 
 
 @query(
@@ -234,9 +269,7 @@ def first_trading_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def market_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = tables.ticks(spark, sf_dir).select("event_id", market.exchange_time(F.col("ts")).alias("local"))
-    clock = F.date_format("local", "HH:mm:ss.SSSSSS")
-    open_now = market.is_weekday(F.col("local")) & clock.between("09:15:00.000000", "15:30:00.000000")
-    return local.select("event_id", "local", open_now.alias("open"), market.period_end(F.col("local"), F.lit("1d")).alias("session_close"))
+    return local.select("event_id", "local", market.is_open(F.col("local")).alias("open"), market.period_end(F.col("local"), F.lit("1d")).alias("session_close"))
 
 
 @query(
