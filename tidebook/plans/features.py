@@ -176,6 +176,32 @@ def features_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(series.features_at(tables.hourly_bars(spark, sf_dir), f.minimal_set(), "2024-01-15 00:00:00"))
 
 
+@query(
+    "feature_staleness",
+    f"""WITH {HOURLY} SELECT symbol, max(timestamp) AS data_as_of,
+        {r("epoch(TIMESTAMP '2024-01-15 00:20:00') - epoch(max(timestamp))", "stale_seconds")} FROM bars WHERE timestamp <= TIMESTAMP '2024-01-15 00:20:00' GROUP BY symbol""",
+)
+def feature_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the latest vector of each symbol lies behind a moment."""
+    vectors = series.features_at(tables.hourly_bars(spark, sf_dir), f.minimal_set(), "2024-01-15 00:20:00")
+    return rounded(series.staleness(vectors).select("symbol", "data_as_of", "stale_seconds"))
+
+
+@query(
+    "design_faults",
+    f"""WITH w AS ({sql_of([f.relative_volume(20), f.momentum(20, 1)])}), x AS (SELECT symbol, timestamp, concat_ws('; ',
+            CASE WHEN n_bars < 20 THEN 'relative_volume_20: warming up' WHEN relative_volume_20 IS NULL THEN 'relative_volume_20: undefined' END,
+            CASE WHEN n_bars < 22 THEN 'momentum_20_1: warming up' WHEN momentum_20_1 IS NULL THEN 'momentum_20_1: undefined' END) AS faults FROM w)
+        SELECT * FROM x WHERE faults <> ''""",
+)
+def design_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why rows cannot enter a design: features that warm up or are undefined."""
+    found = [f.relative_volume(20), f.momentum(20, 1)]
+    walked = series.feature_walk(tables.hourly_bars(spark, sf_dir), found)
+    faults = series.design_faults(walked, found, ["relative_volume_20", "momentum_20_1"])
+    return faults.select("symbol", "timestamp", F.array_join("faults", "; ").alias("faults"))
+
+
 @query(
     "first_complete",
     f"""WITH w AS ({sql_of(f.minimal_set())}) SELECT symbol, min(timestamp) AS first_complete FROM w

@@ -77,6 +77,17 @@ def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("symbol", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "stream_foreign",
+    f"""WITH {TICKS} SELECT symbol, symbol IN ('purchase', 'view') AS asked, count(*) AS n, {r("sum(price)", "total", 4)} FROM ticks GROUP BY 1, 2""",
+)
+def stream_foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed that asked for two symbols: its ticks, and those of symbols that it did not ask for."""
+    own, other = gate.foreign(tables.ticks(spark, sf_dir), ["purchase", "view"])
+    rows = own.withColumn("asked", F.lit(True)).unionByName(other.withColumn("asked", F.lit(False)))
+    return rounded(rows.groupBy("symbol", "asked").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total")), 4)
+
+
 SILENT, BEHIND = 1200, 600
 
 
