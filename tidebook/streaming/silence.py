@@ -48,7 +48,7 @@ class Silence(StatefulProcessor):
         self._wait(int(micros(initialState.since).max()), False)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ts = micros(in_order(rows).ts)
+        ts = micros(in_order(rows, ["ts", "event_id"]).ts)
         mark, ticked, told = self.held.get() if self.held.exists() else (None, False, False)
         codes, _ = judged(ts, mark if ticked else None)
         good = ts[codes == 0]
