@@ -51,3 +51,7 @@ def check_in_many_batches(spark, sf, monkeypatch, name):
 @pytest.mark.parametrize("name", ["stream_ohlcv", "stream_flush"])
 def test_bars_of_a_landed_feed_equal_their_sql(spark, sf, monkeypatch, name):
     check_in_many_batches(spark, sf, monkeypatch, name)
+
+
+def test_verdicts_of_a_landed_feed_equal_their_sql(spark, sf, monkeypatch):
+    check_in_many_batches(spark, sf, monkeypatch, "stream_gate")
