@@ -55,3 +55,8 @@ def test_bars_of_a_landed_feed_equal_their_sql(spark, sf, monkeypatch, name):
 
 def test_verdicts_of_a_landed_feed_equal_their_sql(spark, sf, monkeypatch):
     check_in_many_batches(spark, sf, monkeypatch, "stream_gate")
+
+
+def test_silences_of_a_landed_feed_equal_their_sql(spark, sf, monkeypatch):
+    """Ticks come later than the clock is behind; none is lost where batches end."""
+    check_in_many_batches(spark, sf, monkeypatch, "stream_silences")
