@@ -137,3 +137,34 @@ def test_the_bound_is_never_below_what_sets_share():
     for (i, j), most in zip(pairs, ngram_join.most_in_common(one, other).to_pylist(), strict=True):
         assert (most is None) == (7 in (i, j))
         assert most is None or most >= len(set(sets[i].tolist()) & set(sets[j].tolist()))
+
+
+def test_near_copies_that_do_not_link_do_not_meet_in_pairs(spark, monkeypatch):
+    """Copies of one text with one to four edits each, of which few pairs link: rows that meet grow with the rows, and no link is lost."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(500, " ".join(base))]
+    for k in range(200):
+        held = list(base)
+        for at in rng.sample(range(2, 148), 1 + k % 4):
+            held[at] = f"n{k}x{at}"
+        rows.append((k, " ".join(held)))
+    met = []
+    candidates = ngram_join._candidates
+    monkeypatch.setattr(
+        ngram_join, "_candidates", lambda df, per_cent: met.append(df.where(ngram_join._may_match(per_cent)).count()) or candidates(df, per_cent)
+    )
+    out = similar_sets(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == expected(rows)
+    assert len({r.component_id for r in out}) > 50
+    assert len(met) == 2 and max(met) < 20 * len(rows)
+
+
+def test_counters_of_many_tasks_sum_to_their_classes(spark):
+    """The classes of the sketch are those of all shingles, however many tasks counted them."""
+    rows = corpus(6, 60)
+    survey = ngram_join._survey(spark.createDataFrame(rows, DOCS).select("doc_id", F.col("text").cast("binary").alias("text"), F.md5("text").alias("tkey")).repartition(7), 3)
+    classes, mean = ngram_join._classes(survey)
+    hashes = np.concatenate([shingle_hashes(t.encode()) for _, t in rows])
+    counts = np.bincount((hashes >> np.uint64(64 - ngram_join.SKETCH_BITS)).astype(int), minlength=1 << ngram_join.SKETCH_BITS)
+    assert (classes == ngram_join._class_of(counts)).all() and mean == counts.mean()

@@ -6,14 +6,17 @@ common ones, for every l: so a set may lengthen its prefix by l - 1 and ask for
 shingles. Each set chooses its own l by an estimate of cost: a longer prefix meets more
 rows of the index, but each candidate must use up l of them, and candidates are what is
 dear, as their texts must come together. A pair is a candidate at the smaller l of the two, counted over
-shingles within both prefixes of that l.
+shingles within both prefixes of that l. A shingle that no other prefix has is in no pair, so a place in a prefix
+also knows how many earlier ones can be shared at all: the j-th common shingle, j at most that number plus one,
+leaves at most j and what follows it in the shorter rest. The first l common ones of a pair that links pass this
+bound, so they alone count; sets with many edits of their own fail it before they meet.
 
-The order needs no join of shingles with their frequencies: a sketch of 2^17 counters over
+The order needs no join of shingles with their frequencies: a sketch of 2^20 counters over
 all texts, summed in Spark, ranks a shingle by its counter and then by its hash. Any order gives
 exact results; counters only make it a good one. Equal sets are one point however many documents have
 them. Candidates meet in two rounds. In the first every set of a posting list faces only the
-list's smallest set, so a group of near copies costs as many pairs as it has members; components
-follow. The second joins the lists of all shingles that still hold more than one component, and leaves
+list's set with fewest shingles that no other has, the middle of a group of near copies, which so costs as many pairs as it has
+members; components follow. The second joins the lists of all shingles that still hold more than one component, and leaves
 out pairs within one, which can add no link that matters. Long lists are joined in blocks.
 Candidates whose sets differ too much in 256 classes of hashes, which bounds what they share, go; the others are verified
 on the shingles of their whole texts.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
@@ -41,7 +45,9 @@ from tidebook.runtime import discard, shared_dir, ship_package
 WIDTH, PER_CENT = 3, 90
 MOST_MATCHES = 4
 #: Bits of a counter's number; the counters' classes are broadcast, one byte each.
-SKETCH_BITS = 17
+SKETCH_BITS = 20
+#: Counters that are summed together, and the most that one of them counts in a task.
+CHUNK, MOST_COUNTED = 1 << 14, (1 << 16) - 1
 #: Classes per doubling of a counter.
 CLASSES = 4
 #: What it costs to verify a pair, in rows of the index: so much and one for as many shingles.
@@ -187,15 +193,15 @@ def _class_of(counts: np.ndarray) -> np.ndarray:
 
 
 def _survey(docs: DataFrame, width: int) -> DataFrame:
-    """Per document: doc_id, tkey (of its text), n, hi, lo and spread (of its set); and rows of counters: bucket, count.
+    """Per document: doc_id, tkey (of its text), n, hi, lo and spread (of its set); and rows of counters: chunk, and its counts as packed 16-bit numbers.
 
     spread counts a set's shingles in 256 classes of their hash, a byte each; it is null where one has more than 255.
     """
     kind = docs.schema["doc_id"].dataType
     schema = StructType(
         [StructField("doc_id", kind), StructField("tkey", StringType())]
-        + [StructField(c, LongType()) for c in ("n", "hi", "lo", "bucket", "count")]
-        + [StructField("spread", BinaryType())]
+        + [StructField(c, LongType()) for c in ("n", "hi", "lo", "chunk")]
+        + [StructField(c, BinaryType()) for c in ("counts", "spread")]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,15 +220,16 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
                 continue
             counts += np.bincount(np.concatenate(buckets).astype(np.int64), minlength=len(counts))
             both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            nothing = pa.nulls(len(n), pa.int64())
+            nothing = (pa.nulls(len(n), t) for t in (pa.int64(), pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tkey"), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), nothing, nothing, pa.array(spreads, pa.binary())],
+                [batch.column("doc_id"), batch.column("tkey"), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), *nothing, pa.array(spreads, pa.binary())],
                 names=schema.names,
             )
-        used = np.flatnonzero(counts)
-        nothing = pa.nulls(len(used), pa.int64())
-        ids, keys = (pa.nulls(len(used), t) for t in (_arrow(kind), pa.string()))
-        yield pa.RecordBatch.from_arrays([ids, keys, nothing, nothing, nothing, pa.array(used), pa.array(counts[used]), pa.nulls(len(used), pa.binary())], names=schema.names)
+        chunks = np.minimum(counts, MOST_COUNTED).astype("<u2").reshape(-1, CHUNK)
+        used = np.flatnonzero(chunks.any(1))
+        packed = pa.array([zlib.compress(chunks[k].tobytes(), 1) for k in used], pa.binary())
+        ids, keys, nothing, spreads = (pa.nulls(len(used), t) for t in (_arrow(kind), pa.string(), pa.int64(), pa.binary()))
+        yield pa.RecordBatch.from_arrays([ids, keys, nothing, nothing, nothing, pa.array(used), packed, spreads], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -234,11 +241,19 @@ def _arrow(kind) -> pa.DataType:
 
 
 def _classes(survey: DataFrame) -> tuple[np.ndarray, float]:
-    """The class of each counter, and the mean of the counters. At most 2^SKETCH_BITS numbers reach the driver."""
-    sums = survey.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    counts[sums.column("bucket").to_numpy()] = sums.column("count").to_numpy()
-    return _class_of(counts), float(counts.mean())
+    """The class of each counter, and the mean of the counters. One byte for each of 2^SKETCH_BITS counters reaches the driver."""
+
+    def total(rows: pa.Table) -> pa.Table:
+        sums = np.zeros(CHUNK, np.int64)
+        for packed in rows.column("counts"):
+            sums += np.frombuffer(zlib.decompress(packed.as_py()), "<u2")
+        return pa.table({"chunk": rows.column("chunk")[:1], "classes": [_class_of(sums).tobytes()], "total": [int(sums.sum())]})
+
+    rows = survey.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(total, "chunk long, classes binary, total long").collect()
+    classes = np.zeros((-(-(1 << SKETCH_BITS) // CHUNK), CHUNK), np.uint8)
+    for row in rows:
+        classes[row.chunk] = np.frombuffer(row.classes, np.uint8)
+    return classes.ravel(), sum(row.total for row in rows) / classes.size
 
 
 def _postings(docs: DataFrame, classes: Broadcast, mean: float, width: int, per_cent: int, most: int) -> DataFrame:
@@ -296,11 +311,15 @@ def _postings(docs: DataFrame, classes: Broadcast, mean: float, width: int, per_
 
 
 def _set_id() -> Column:
-    return F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")).alias("d")
+    return F.unhex(F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0"))).alias("d")
 
 
 def _may_match(per_cent: int) -> Column:
-    """Of a shingle that sets a and b share: whether it counts, by length, position, and the matches asked."""
+    """Of a shingle that sets a and b share: whether it counts, by length, position, and the matches asked.
+
+    It is their j-th in common for a j of at most the matches asked, if it counts, and at most
+    one more than the earlier ones of either that any other prefix has.
+    """
 
     def level(side: str) -> Column:
         base = F.floor((F.lit(100 - per_cent) * F.col(f"{side}.n")) / 100)
@@ -308,8 +327,10 @@ def _may_match(per_cent: int) -> Column:
 
     both = F.col("a.n") + F.col("b.n")
     needed = F.ceil(F.lit(per_cent) * both / (100 + per_cent))
-    reach = F.least("a.pos", "b.pos") + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    return (reach >= needed) & (F.greatest(level("a"), level("b")) <= F.least("a.asked", "b.asked"))
+    asked = F.least("a.asked", "b.asked")
+    common = F.least(asked, F.col("a.earlier") + 1, F.col("b.earlier") + 1)
+    reach = common + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    return (reach >= needed) & (F.greatest(level("a"), level("b")) <= asked)
 
 
 def _candidates(met: DataFrame, per_cent: int) -> DataFrame:
@@ -338,12 +359,18 @@ class Scratch:
             discard(self.spark, f"{self.folder}/{name}")
 
 
-_CARRIED = ("d", "n", "pos", "asked")
+_CARRIED = ("d", "n", "pos", "asked", "earlier")
+
+
+def _placed(hits: DataFrame) -> DataFrame:
+    """Rows of the index with `earlier`, their set's rows before them, and `own`, its prefix shingles before the last row that no other prefix has."""
+    of_set = Window.partitionBy("d")
+    return hits.withColumns({"earlier": F.row_number().over(of_set.orderBy("pos")) - 1, "own": F.max("pos").over(of_set) - F.count(F.lit(1)).over(of_set)})
 
 
 def _star(hits: DataFrame, per_cent: int) -> DataFrame:
-    """Candidates between each set and the smallest set of a posting list."""
-    centres = hits.groupBy("token").agg(F.min(F.struct(*_CARRIED)).alias("a"), F.count(F.lit(1)).alias("n"))
+    """Candidates between each set and the set of a posting list that has fewest shingles of its own."""
+    centres = hits.groupBy("token").agg(F.min(F.struct("own", *_CARRIED)).alias("a"), F.count(F.lit(1)).alias("n"))
     met = join_counted(hits.select("token", F.struct(*_CARRIED).alias("b")), centres, "token")
     return _candidates(met.where("a.d <> b.d"), per_cent)
 
@@ -449,8 +476,7 @@ def _similar_sets(
         F.count(F.lit(1)).alias("rows"), F.min("hi").alias("first"), F.max("hi").alias("last")
     ).where("first <> last")
     fact = F.col("fact")
-    hits = scratch.put(
-        "hits",
+    hits = (
         join_counted(postings, shared.select("token", "rows"), "token", "rows")
         .select(
             "token",
@@ -459,8 +485,9 @@ def _similar_sets(
             F.shiftright(fact, 4).bitwiseAND(F.lit((1 << 28) - 1)).cast("int").alias("pos"),
             fact.bitwiseAND(F.lit(15)).cast("int").alias("asked"),
         )
-        .dropDuplicates(["token", "d"]),
+        .dropDuplicates(["token", "d"])
     )
+    hits = scratch.put("hits", _placed(hits))
     scratch.drop("postings")
     texts = read.select("tkey", "text")
     near = _verified(_star(hits, per_cent), members, texts, width, per_cent, scratch, "near")
@@ -480,9 +507,9 @@ def _similar_sets(
     smallest = group.groupBy("group").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     by_set = join_counted(group.select("d", "group", F.col("n").alias("rows")), smallest, "group").select("d", "component_id", "rows")
     found = join_counted(slim.where("d is not null"), by_set, "d", "rows").select(
-        "doc_id", "n_shingles", "component_id", F.col("d").alias("set_id")
+        "doc_id", "n_shingles", "component_id", F.hex("d").alias("set_id")
     )
-    alone = slim.where("d is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("d").alias("set_id"))
+    alone = slim.where("d is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.hex("d").alias("set_id"))
     return found.unionByName(alone)
 
 
