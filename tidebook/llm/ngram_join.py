@@ -56,6 +56,8 @@ VERIFY_ROWS, SHINGLES_PER_ROW = 8, 16
 SLICE_BYTES, MOST_SEEN = 1 << 19, 1 << 18
 #: Rows of a posting list in one block of the second round, and pairs of one set that share a copy of its text.
 BLOCK_ROWS = 2_000
+#: Bits of the hash by which texts are told apart before they are joined; at most so many slots are broadcast.
+SLOT_BITS = 22
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -437,7 +439,10 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int,
     pairs = scratch.put(f"{name}-pairs", both.where(F.coalesce(most("sa", "sb") >= needed, F.lit(True))).select("a", "b"))
     ids = pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct()
     wanted = scratch.put(f"{name}-wanted", ids.join(members.select("d", "tkey"), "d"))
-    texts = scratch.put(f"{name}-texts", docs.join(wanted, "tkey").select("d", "text").dropDuplicates(["d"]))
+    # of the texts that nothing asks for, all but a few stay where they are
+    slot = F.pmod(F.xxhash64("tkey"), F.lit(1 << SLOT_BITS)).alias("slot")
+    near = docs.select("*", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").drop("slot")
+    texts = scratch.put(f"{name}-texts", near.join(wanted, "tkey").select("d", "text").dropDuplicates(["d"]))
     # a set with many candidates has its text on several tasks
     shares = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
     shares = durable(shares)
